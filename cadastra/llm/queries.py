@@ -8,6 +8,8 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 from cadastra.llm.bpe import bpe_encode_decode
+from cadastra.llm.langid import held_out, language_id, train_language_id
+from cadastra.llm.linededup import line_dedup
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,8 +29,35 @@ def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = train_language_id(docs.where(~held_out(docs["doc_id"])).select("text", "lang"))
+    out = language_id(docs.select("doc_id", "text", held_out(docs["doc_id"]).alias("held_out")), model)
+    return out.select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")
+
+
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return line_dedup(docs, min_docs=10, min_chars=1, digest=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op6_line_dedup": op6_line_dedup,
     "op9_bpe": op9_bpe,
+    "op10_language_id": op10_language_id,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": r"""
+        WITH lines AS (
+            SELECT doc_id, i, l,
+                   translate(trim(l, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                             'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
+            FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l,
+                         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+                  FROM documents)),
+        frequent AS (SELECT k FROM lines WHERE length(k) >= 1 GROUP BY k HAVING count(DISTINCT doc_id) >= 10)
+        SELECT doc_id, count(*) AS n_lines, count(f.k) AS n_dropped,
+               sha256(coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE f.k IS NULL), '')) AS kept_sha256
+        FROM lines LEFT JOIN frequent f ON lines.k = f.k GROUP BY doc_id""",
+}
