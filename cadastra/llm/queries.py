@@ -6,10 +6,22 @@ from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from cadastra.llm.bpe import bpe_encode_decode
+from cadastra.llm.decontaminate import contamination
 from cadastra.llm.langid import held_out, language_id, train_language_id
 from cadastra.llm.linededup import line_dedup
+from cadastra.llm.quality import score_quality
+from cadastra.llm.urlfilter import filter_urls
+
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -41,8 +53,32 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, min_docs=10, min_chars=1, digest=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
+    return out.select("page_id", "host", "path", "rule", "verdict", "url_score")
+
+
+def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each document and test item that it holds."""
+    docs = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    hits = docs.select("doc_id", F.explode(F.arrays_zip("item_ids", "item_distances", "item_ends")).alias("hit"))
+    return hits.select("doc_id", F.col("hit.item_ids").alias("item_id"), F.col("hit.item_distances").alias("distance"), F.col("hit.item_ends").alias("end_word"))
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return score_quality(docs, trusted_ids(spark, sf_dir)).select("doc_id", "lang", "perplexity", "max_perplexity", "kept")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_url_filter": op3_url_filter,
     "op6_line_dedup": op6_line_dedup,
+    "op7_decontamination": op7_decontamination,
+    "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
 }
