@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.bpe import bpe_encode_decode
 from cadastra.llm.decontaminate import contamination
+from cadastra.llm.embeddedup import embedding_dedup
 from cadastra.llm.langid import held_out, language_id, train_language_id
 from cadastra.llm.linededup import line_dedup
 from cadastra.llm.quality import score_quality
@@ -53,6 +54,11 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup(docs, min_docs=10, min_chars=1, digest=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
 
 
+def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = embedding_dedup(table(spark, sf_dir, "embeddings"), threshold=0.98)
+    return out.select("vec_id", "n_links", "component_id", "kept")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", "url_score")
@@ -75,6 +81,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_embedding_dedup": op1_embedding_dedup,
     "op3_url_filter": op3_url_filter,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
@@ -84,6 +91,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_embedding_dedup": """
+        WITH RECURSIVE v AS (
+            SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+            WHERE label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+              AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+        links AS (
+            SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b
+            ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+               AND list_cosine_similarity(a.e, b.e) >= 0.98),
+        reach(a, b) AS (
+            SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+        degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id,
+               vec_id <= coalesce(low.b, vec_id) AS kept
+        FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN degree ON degree.a = vec_id""",
     "op6_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i, l,
