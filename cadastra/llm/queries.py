@@ -14,7 +14,9 @@ from cadastra.llm.embeddedup import embedding_dedup
 from cadastra.llm.langid import held_out, language_id, train_language_id
 from cadastra.llm.linededup import line_dedup
 from cadastra.llm.quality import score_quality
+from cadastra.llm.secrets import common_words, scan_secrets, secret_candidates, train_secret_forest
 from cadastra.llm.urlfilter import filter_urls
+from cadastra.llm.work import staged
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -64,6 +66,24 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("page_id", "host", "path", "rule", "verdict", "url_score")
 
 
+def labelled_findings(candidates: DataFrame) -> DataFrame:
+    """Labels for findings whose nature their form tells: issued key formats and values assigned to a
+    credential's name are secrets; digit strings and plain words with a number are not."""
+    issued = F.col("candidate").rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_[A-Za-z0-9]{36}$")
+    assigned = F.col("before").rlike(r"(?i)(password|passwd|secret|token|api_?key)\W{1,4}$")
+    harmless = F.col("candidate").rlike(r"^[0-9]+$|^[a-z]+[0-9]{1,2}$")
+    label = F.when(issued | assigned, True).when(harmless, False)
+    return candidates.withColumn("is_secret", label).where("is_secret is not null")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for each finding that the forest keeps."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    found = staged(secret_candidates(docs, path="source", dictionary=common_words(docs)), "findings")
+    kept = scan_secrets(found, train_secret_forest(labelled_findings(found))).where("is_secret")
+    return kept.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("secret_sha256"), "score")
+
+
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
@@ -83,6 +103,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op3_url_filter": op3_url_filter,
+    "op4_secret_scan": op4_secret_scan,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
