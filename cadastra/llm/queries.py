@@ -15,6 +15,7 @@ from cadastra.llm.langid import held_out, language_id, train_language_id
 from cadastra.llm.linededup import line_dedup
 from cadastra.llm.quality import score_quality
 from cadastra.llm.secrets import common_words, scan_secrets, secret_candidates, train_secret_forest
+from cadastra.llm.substringdedup import substring_dedup
 from cadastra.llm.urlfilter import filter_urls
 from cadastra.llm.work import staged
 
@@ -61,6 +62,11 @@ def op1_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("vec_id", "n_links", "component_id", "kept")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return substring_dedup(docs, window=50, digest=True).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = filter_urls(table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES)
     return out.select("page_id", "host", "path", "rule", "verdict", "url_score")
@@ -102,6 +108,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_secret_scan": op4_secret_scan,
     "op6_line_dedup": op6_line_dedup,
@@ -129,6 +136,25 @@ ORACLE_SQL: dict[str, str] = {
         SELECT vec_id, coalesce(n, 0)::BIGINT AS n_links, least(vec_id, coalesce(low.b, vec_id)) AS component_id,
                vec_id <= coalesce(low.b, vec_id) AS kept
         FROM embeddings LEFT JOIN low ON low.a = vec_id LEFT JOIN degree ON degree.a = vec_id""",
+    "op2_substring_dedup": r"""
+        WITH words AS (
+            SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) AS i, len(ws) AS n
+            FROM (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents)),
+        windows AS (
+            SELECT doc_id, i, md5(string_agg(w, ' ') OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 49 FOLLOWING)) AS h
+            FROM words QUALIFY i + 49 <= n),
+        firsts AS (SELECT h, min(doc_id) AS first FROM windows GROUP BY h HAVING min(doc_id) < max(doc_id)),
+        hits AS (SELECT doc_id, i FROM windows JOIN firsts USING (h) WHERE doc_id > first),
+        marked AS (
+            SELECT words.doc_id, words.i, w, max(CASE WHEN hits.i IS NOT NULL THEN hits.i END)
+                     OVER (PARTITION BY words.doc_id ORDER BY words.i ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) IS NOT NULL AS gone
+            FROM words LEFT JOIN hits ON words.doc_id = hits.doc_id AND words.i = hits.i),
+        kept AS (
+            SELECT doc_id, count(*) AS n_words, count(*) FILTER (WHERE gone) AS n_removed,
+                   string_agg(w, ' ' ORDER BY i) FILTER (WHERE NOT gone) AS k
+            FROM marked GROUP BY doc_id)
+        SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
+        FROM documents LEFT JOIN kept USING (doc_id)""",
     "op6_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i, l,

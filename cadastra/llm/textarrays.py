@@ -16,7 +16,7 @@ SLICE_BYTES = 1 << 21
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
-_GRAM_INV = pow(_GRAM, -1, 1 << 64)
+_GRAM2 = 0xA0761D6478BD642F | 1
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -99,12 +99,16 @@ class Words:
             self.hashes = mix(np.add.reduceat(terms, at) + lengths.astype(_U))
         else:
             self.hashes = np.zeros(0, _U)
-        self._sums = np.concatenate([np.zeros(1, _U), np.cumsum(self.hashes * powers(_GRAM, len(self.hashes)))])
-
-    def grams(self, begin: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
-        """Hash of the word sequence [begin, end) for each pair of word indexes."""
-        inv = powers(_GRAM_INV, len(self.hashes) + 1)
-        return mix((self._sums[end] - self._sums[begin]) * inv[begin] + (end - begin).astype(_U) * _U(0x2545F4914F6CDD1D) + _U(seed))
+        self._sums: dict[int, np.ndarray] = {}
+
+    def grams(self, begin: np.ndarray, end: np.ndarray, seed: int = 0, second: bool = False) -> np.ndarray:
+        """Hash of the word sequence [begin, end) for each pair of word indexes; ``second`` takes an independent one."""
+        base = _GRAM2 if second else _GRAM
+        if base not in self._sums:
+            terms = (mix(self.hashes) if second else self.hashes) * powers(base, len(self.hashes))
+            self._sums[base] = np.concatenate([np.zeros(1, _U), np.cumsum(terms)])
+        sums, inv = self._sums[base], powers(pow(base, -1, 1 << 64), len(self.hashes) + 1)
+        return mix((sums[end] - sums[begin]) * inv[begin] + (end - begin).astype(_U) * _U(0x2545F4914F6CDD1D) + _U(seed))
 
     def gram_starts(self, k: int) -> tuple[np.ndarray, np.ndarray]:
         """Start word of every k-gram that lies in one document, and how many each document has."""
