@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from cadastra.llm.bpe import bpe_encode_decode
 from cadastra.llm.decontaminate import contamination
 from cadastra.llm.embeddedup import embedding_dedup
+from cadastra.llm.jaccardjoin import jaccard_join
 from cadastra.llm.langid import held_out, language_id, train_language_id
 from cadastra.llm.linededup import line_dedup
 from cadastra.llm.quality import score_quality
@@ -52,6 +53,11 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "held_out", "lang_pred", "score", "lang_rejected")
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return jaccard_join(docs, size=4, num=85, den=100).select("doc_id", "n_shingles", "component_id", "n_links")
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return line_dedup(docs, min_docs=10, min_chars=1, digest=True).select("doc_id", "n_lines", "n_dropped", "kept_sha256")
@@ -111,6 +117,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_substring_dedup": op2_substring_dedup,
     "op3_url_filter": op3_url_filter,
     "op4_secret_scan": op4_secret_scan,
+    "op5_jaccard_join": op5_jaccard_join,
     "op6_line_dedup": op6_line_dedup,
     "op7_decontamination": op7_decontamination,
     "op8_quality": op8_quality,
@@ -155,6 +162,27 @@ ORACLE_SQL: dict[str, str] = {
             FROM marked GROUP BY doc_id)
         SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(k, '')) AS kept_sha256
         FROM documents LEFT JOIN kept USING (doc_id)""",
+    "op5_jaccard_join": r"""
+        WITH RECURSIVE words AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS ws FROM documents),
+        sets AS (
+            SELECT DISTINCT doc_id, CASE WHEN len(ws) < 4 THEN array_to_string(ws, ' ') ELSE array_to_string(ws[i:i + 3], ' ') END AS s
+            FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM words WHERE len(ws) > 0)),
+        sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+        common AS (
+            SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sets a JOIN sets b ON a.s = b.s AND a.doc_id <> b.doc_id
+            GROUP BY a.doc_id, b.doc_id),
+        links AS (
+            SELECT a, b FROM common JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b
+            WHERE 100 * c >= 85 * (x.n + y.n - c)),
+        reach(a, b) AS (SELECT a, b FROM links UNION SELECT reach.a, links.b FROM reach JOIN links ON reach.b = links.a),
+        low AS (SELECT a, min(b) AS b FROM reach GROUP BY a),
+        degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+        SELECT d.doc_id, coalesce(sizes.n, 0) AS n_shingles, least(d.doc_id, coalesce(low.b, d.doc_id)) AS component_id,
+               coalesce(degree.n, 0) AS n_links
+        FROM documents d LEFT JOIN sizes ON sizes.doc_id = d.doc_id LEFT JOIN low ON low.a = d.doc_id
+        LEFT JOIN degree ON degree.a = d.doc_id""",
     "op6_line_dedup": r"""
         WITH lines AS (
             SELECT doc_id, i, l,
