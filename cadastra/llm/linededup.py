@@ -23,6 +23,8 @@ from cadastra.llm.textarrays import mix, slices
 from cadastra.llm.work import staged
 
 SHARD_KEYS, BUCKET_DOCS = 8192, 512
+ARRAYS = ("mph", "prints", "counts", "firsts")
+NO_ID = 2**63 - 1
 _SPACE = b" \t\n\r\x0b\x0c"
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _U = np.uint64
@@ -86,39 +88,47 @@ def _shard_row(table: pa.Table) -> pa.Table:
     prints, counts = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
     prints[at] = (h2 >> _U(32)).astype(np.uint32)
     counts[at] = np.minimum(table.column("n").to_numpy(), 2**32 - 1)
-    return pa.table({"shard": table.column("shard")[:1], "mph": pa.array([mph]), "prints": pa.array([prints.tobytes()]), "counts": pa.array([counts.tobytes()])})
+    firsts = np.zeros(len(keys), "<i8")
+    firsts[at] = table.column("first").to_numpy()
+    data = {"mph": mph, "prints": prints.tobytes(), "counts": counts.tobytes(), "firsts": firsts.tobytes()}
+    return pa.table({"shard": table.column("shard")[:1]} | {k: pa.array([v]) for k, v in data.items()})
 
 
-def line_frequencies(docs: DataFrame, text: str, min_docs: int, min_chars: int, buckets: int) -> DataFrame:
-    """(bucket, frequent array<binary>): the 16-byte hashes of the bucket's lines that at least ``min_docs`` rows hold.
+def line_frequencies(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> DataFrame:
+    """(bucket, frequent array<binary>): of the bucket's lines that at least ``min_docs`` rows hold,
+    the 16-byte hash followed by the 8 bytes of the smallest id that holds it.
 
-    ``docs`` has columns ``__bucket`` and ``text``.
+    ``docs`` has columns ``__bucket``, ``__id`` and ``text``.
     """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, text):
-                seen: dict[tuple[int, bytes], int] = {}
-                for b, t in zip(batch.column("__bucket").to_pylist(), batch.column(text).to_pylist(), strict=True):
+                seen: dict[tuple[int, bytes], tuple[int, int]] = {}
+                for b, d, t in zip(*(batch.column(c).to_pylist() for c in ("__bucket", "__id", text)), strict=True):
+                    d = NO_ID if d is None else d
                     for h in set(line_keys(t or "", min_chars)[1]):
                         if h is not None:
-                            seen[b, h] = seen.get((b, h), 0) + 1
+                            n, first = seen.get((b, h), (0, d))
+                            seen[b, h] = (n + 1, min(first, d))
                 h = np.frombuffer(b"".join(k[1] for k in seen), ">i8").astype("<i8").reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in seen], pa.int64()), pa.array(h[:, 0].copy()), pa.array(h[:, 1].copy()), pa.array(list(seen.values()), pa.int64())], names=["bucket", "h1", "h2", "n"])
+                values = np.array(list(seen.values()), np.int64).reshape(-1, 2)
+                columns = [np.array([k[0] for k in seen], np.int64), h[:, 0], h[:, 1], values[:, 0], values[:, 1]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c)) for c in columns], names=["bucket", "h1", "h2", "n", "first"])
 
-    lines = staged(docs.select("__bucket", F.col(f"`{text}`").alias(text)).mapInArrow(ask, "bucket long, h1 long, h2 long, n long"), "lines")
+    lines = staged(docs.select("__bucket", "__id", F.col(f"`{text}`").alias(text)).mapInArrow(ask, "bucket long, h1 long, h2 long, n long, first long"), "lines")
     shards = max(1, -(-lines.count() // SHARD_KEYS))
     shard = F.pmod("h1", F.lit(shards)).alias("shard")
-    counts = lines.groupBy("h1", "h2").agg(F.sum("n").alias("n"))
-    arrays = counts.select(shard, "h1", "h2", "n").groupBy("shard").applyInArrow(_shard_row, "shard long, mph binary, prints binary, counts binary")
+    counts = lines.groupBy("h1", "h2").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    arrays = counts.select(shard, "h1", "h2", "n", "first").groupBy("shard").applyInArrow(_shard_row, "shard long, " + ", ".join(f"{c} binary" for c in ARRAYS))
     asked = lines.select("bucket", "h1", "h2").distinct().select(shard, "bucket", "h1", "h2")
     none = F.lit(None)
-    stream = arrays.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("bucket"), none.cast("long").alias("h1"), none.cast("long").alias("h2"), "mph", "prints", "counts").unionByName(
-        asked.select("shard", F.lit(1).alias("kind"), "bucket", "h1", "h2", *[none.cast("binary").alias(c) for c in ("mph", "prints", "counts")])
+    stream = arrays.select("shard", F.lit(0).alias("kind"), none.cast("long").alias("bucket"), none.cast("long").alias("h1"), none.cast("long").alias("h2"), *ARRAYS).unionByName(
+        asked.select("shard", F.lit(1).alias("kind"), "bucket", "h1", "h2", *[none.cast("binary").alias(c) for c in ARRAYS])
     )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mph, prints, counts_ = None, None, None, None
+        at, mph, prints, counts_, firsts = None, None, None, None, None
         for batch in batches:
             shard_, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
             for lo in np.flatnonzero(np.append(True, (np.diff(shard_) != 0) | (np.diff(kind) != 0))) if batch.num_rows else []:
@@ -129,43 +139,46 @@ def line_frequencies(docs: DataFrame, text: str, min_docs: int, min_chars: int,
                     mph = Mph(part.column("mph")[0].as_py())
                     prints = np.frombuffer(part.column("prints")[0].as_py(), "<u4")
                     counts_ = np.frombuffer(part.column("counts")[0].as_py(), "<u4")
+                    firsts = np.frombuffer(part.column("firsts")[0].as_py(), "<i8")
                     continue
                 assert at == shard_[lo]
                 h1, h2 = part.column("h1").to_numpy().view(_U), part.column("h2").to_numpy().view(_U)
                 where = mph.index(mix(h1) ^ h2)
                 hit = (where >= 0) & (prints[where] == (h2 >> _U(32)).astype(np.uint32)) & (counts_[where] >= min_docs)
-                yield part.select(["bucket", "h1", "h2"]).filter(pa.array(hit))
+                yield part.select(["bucket", "h1", "h2"]).append_column("first", pa.array(firsts[where])).filter(pa.array(hit))
 
-    found = stream.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(probe, "bucket long, h1 long, h2 long")
-    return found.groupBy("bucket").agg(F.collect_list(F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2")])).alias("frequent"))
+    found = stream.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(probe, "bucket long, h1 long, h2 long, first long")
+    return found.groupBy("bucket").agg(F.collect_list(F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2", "first")])).alias("frequent"))
 
 
-def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, digest: bool = False) -> DataFrame:
+def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, digest: bool = False) -> DataFrame:
     """All columns of ``docs`` plus n_lines long, n_dropped long and kept_text string
     (with ``digest`` kept_sha256 instead of the text).
 
     A line's key is the line without white space at its ends, A-Z lower-cased. All lines whose key
     has at least ``min_chars`` code points and occurs in at least ``min_docs`` rows are dropped, in
-    every row; the others stay, joined by a line feed. Each row counts as one document, repeated
+    every row (with ``keep_first`` in every row but those with the smallest id that holds it); the others
+    stay, joined by a line feed. Each row counts as one document, repeated
     rows and ids too. Null or empty text is one empty line and gives an empty text. Clashing
     column names of ``docs`` are replaced; an empty table gives an empty table.
     """
     buckets = max(1, -(-docs.count() // BUCKET_DOCS))
-    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(doc_id, F.length(text)), F.lit(buckets)))
-    frequent = line_frequencies(dealt, text, min_docs, min_chars, buckets)
+    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(doc_id, F.length(text)), F.lit(buckets))).withColumn("__id", F.col(doc_id).cast("long"))
+    frequent = line_frequencies(dealt, text, min_docs, min_chars)
     joined = dealt.join(frequent.withColumnRenamed("bucket", "__bucket"), "__bucket", "left").withColumnRenamed("frequent", "__frequent")
     result = "kept_sha256" if digest else "kept_text"
 
     def make(batch: pa.RecordBatch) -> dict[str, object]:
         n_lines, n_dropped, kept = [], [], []
-        drops: dict[int, frozenset[bytes]] = {}
+        drops: dict[int, dict[bytes, bytes]] = {}
         frequent_, buckets_ = batch.column("__frequent"), batch.column("__bucket").to_pylist()
-        for i, (b, t) in enumerate(zip(buckets_, batch.column(text).to_pylist(), strict=True)):
+        for i, (b, d, t) in enumerate(zip(buckets_, batch.column("__id").to_pylist(), batch.column(text).to_pylist(), strict=True)):
             if b not in drops:
-                drops[b] = frozenset(frequent_[i].as_py() or ())
+                drops[b] = {x[:16]: x[16:] for x in frequent_[i].as_py() or ()}
             drop = drops[b]
             lines, keys = line_keys(t or "", min_chars)
-            left = [line for line, k in zip(lines, keys, strict=True) if k not in drop]
+            own = d.to_bytes(8, "big", signed=True) if keep_first and d is not None else None
+            left = [line for line, k in zip(lines, keys, strict=True) if k not in drop or drop[k] == own]
             n_lines.append(len(lines))
             n_dropped.append(len(lines) - len(left))
             out = b"\n".join(left)
@@ -173,5 +186,5 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
         return {"n_lines": n_lines, "n_dropped": n_dropped, result: kept}
 
     new = {"n_lines": "long", "n_dropped": "long", result: "string"}
-    return with_columns_by_slice(joined, new, make, text, drop=("__bucket", "__frequent"))
+    return with_columns_by_slice(joined, new, make, text, drop=("__bucket", "__id", "__frequent"))
 
