@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from cadastra.plans import answers, geo, ledger, questions, retrieval, semantic, streams, structure, text  # noqa: F401  each registers its queries
+from cadastra.plans.base import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    """Hybrid retrieval for a batch of questions: keyword candidates, re-ranked, within a token budget."""
+    return QUERIES["hybrid_retrieval"](spark, sf_dir)
