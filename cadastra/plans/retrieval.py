@@ -1 +1,315 @@
-"""Queries."""
+"""Queries of retrieval: channels, expansions, ranking."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadastra.operators import retrieval as R
+from cadastra.operators.questions import understand
+from cadastra.operators.structure import citation_paths, detect_references, resolve_references
+from cadastra.plans.base import query
+from cadastra.plans.structure import _PATHS, _REFS
+
+_TERMS = r"list_distinct(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(question, '[^\pL\pN\s]', ' ', 'g'), '\s+', ' ', 'g'))), ' '), lambda w: length(w) > 1 AND NOT list_contains(['what','are','the','for','with','that','this','from','into','can','how','many','does','zone','uses','use'], w)))"
+_TOKENS = r"list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\pL\pN\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '))"
+_FTS = f"""WITH q AS (SELECT question_id, unnest({_TERMS}) AS term, len({_TERMS}) AS n FROM {{d_questions}}),
+    d AS (SELECT doc_id, unnest({_TOKENS}) AS term FROM {{documents}}),
+    s AS (SELECT question_id, doc_id AS source_fragment_id, count(*) / any_value(n) AS base_score FROM d JOIN q USING (term) GROUP BY question_id, doc_id),
+    fts AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY base_score DESC, source_fragment_id) AS rank FROM s) WHERE rank <= 8)"""
+
+
+def _documents(t):
+    return t.documents.select(F.col("doc_id").alias("source_fragment_id"), "text")
+
+
+@query("fts_terms", _FTS + " SELECT question_id, source_fragment_id, base_score, rank FROM fts")
+def fts_terms(t):
+    return R.keyword_candidates(t.d_questions, _documents(t)).select("question_id", "source_fragment_id", "base_score", "rank")
+
+
+@query(
+    "score_keyword",
+    _PATHS
+    + """, f AS (SELECT d.fragment_id, d.document_id, lower(d.text) AS text, lower(d.citation_label) AS label, lower(p.citation_path) AS path, parse_status FROM d_fragments d JOIN p USING (fragment_id) WHERE depth = 4),
+        r AS (SELECT c_custkey AS question_id, c_custkey % 5 AS document_id, 'priority ' || (c_custkey % 5 + 1) || '-' AS query FROM {customer} WHERE c_custkey % 50 = 0),
+        s AS (SELECT question_id, fragment_id AS source_fragment_id,
+                 CASE WHEN query = path THEN 100 WHEN contains(path, query) THEN 35 WHEN contains(text || ' ' || label || ' ' || path, query) THEN 20 ELSE 0 END
+                 + list_sum(list_transform(list_distinct(['priority', '' || (question_id % 5 + 1)]), lambda w: CASE WHEN contains(path, w) THEN 12 WHEN contains(label, w) THEN 8 WHEN contains(text, w) THEN 4 ELSE 0 END))
+                 + CASE WHEN parse_status = 'parsed' THEN 1 ELSE -2 END AS base_score FROM r JOIN f USING (document_id))
+        SELECT question_id, source_fragment_id, base_score::DOUBLE AS base_score FROM s WHERE base_score > 1""",
+)
+def score_keyword(t):
+    f = citation_paths(t.d_fragments).where("depth = 4")
+    k = F.col("c_custkey")
+    r = t.customer.where(k % 50 == 0).select(k.alias("question_id"), (k % 5).alias("document_id"), F.concat(F.lit("priority "), (k % 5 + 1).cast("string"), F.lit("-")).alias("query"))
+    return R.score_keyword(r, f)
+
+
+@query(
+    "hash_embed",
+    r"""WITH w AS (SELECT item_id, unnest(list_filter(string_split(regexp_replace(lower(text), '\s+', ' ', 'g'), ' '), lambda x: x <> '')) AS w FROM {benchmark}),
+        h AS (SELECT item_id, ('0x' || sha256(w)[1:8])::BIGINT % 64 AS b, CASE WHEN ('0x' || sha256(w)[9:10])::BIGINT % 2 = 0 THEN 1.0 ELSE -1.0 END AS s FROM w),
+        v AS (SELECT item_id, b, sum(s)::DOUBLE AS v FROM h GROUP BY item_id, b), n AS (SELECT item_id, sqrt(sum(v * v)) AS n FROM v GROUP BY item_id)
+        SELECT item_id, list(coalesce(v, 0) / CASE WHEN n = 0 THEN 1 ELSE n END ORDER BY i) AS embedding
+        FROM n CROSS JOIN (SELECT unnest(range(0, 64)) AS i) LEFT JOIN v USING (item_id) GROUP BY item_id HAVING true""".replace("LEFT JOIN v USING (item_id)", "LEFT JOIN v ON v.item_id = n.item_id AND v.b = i").replace("SELECT item_id, list(", "SELECT n.item_id, list(").replace("GROUP BY item_id HAVING true", "GROUP BY n.item_id"),
+)
+def hash_embed(t):
+    return R.hash_embed(t.benchmark, "item_id", "text", 64)
+
+
+@query("embed_incremental", "SELECT doc_id AS fragment_id FROM {documents} WHERE doc_id NOT IN (SELECT vec_id FROM {embeddings} WHERE label % 2 = 0)")
+def embed_incremental(t):
+    vectors = t.embeddings.select(F.col("vec_id").alias("fragment_id"), F.concat(F.lit("m"), (F.col("label") % 2).cast("string")).alias("model"))
+    return R.missing_embeddings(t.documents.select(F.col("doc_id").alias("fragment_id")), vectors, "m0")
+
+
+_VEC = """WITH q AS (SELECT vec_id AS question_id, embedding::DOUBLE[] AS q, label FROM {embeddings} WHERE vec_id % 20 = 0),
+    s AS (SELECT question_id, vec_id AS source_fragment_id, list_dot_product(q, embedding::DOUBLE[]) / (sqrt(list_dot_product(q, q)) * sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[]))) AS base_score
+          FROM {embeddings} e JOIN q ON e.label = q.label),
+    v AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(base_score, 9) DESC, source_fragment_id) AS rank FROM s) WHERE rank <= 8)"""
+
+
+@query("vector_topk", _VEC + " SELECT question_id, source_fragment_id, round(base_score, 6) AS base_score FROM v")
+def vector_topk(t):
+    q = t.embeddings.where("vec_id % 20 = 0").select(F.col("vec_id").alias("question_id"), F.col("embedding").alias("q"), "label")
+    v = t.embeddings.select(F.col("vec_id").alias("source_fragment_id"), F.col("embedding").alias("v"), "label")
+    return R.vector_candidates(q, v).select("question_id", "source_fragment_id", F.round("base_score", 6).alias("base_score"))
+
+
+_CELL_Q = "SELECT c_custkey AS question_id, ['standard', 'red', 'widget'] AS terms, 'R-' || (c_custkey % 5) AS zone FROM {customer} WHERE c_custkey % 30 = 0"
+
+
+@query(
+    "table_cells_rank",
+    f"""WITH q AS ({_CELL_Q}), c AS (SELECT table_id, row_index, unnest(string_split(lower(text), ' ')) AS term FROM {{d_cells}} WHERE row_index > 0),
+        h AS (SELECT question_id, table_id, row_index, 1.0 AS s FROM c JOIN (SELECT question_id, unnest(terms) AS term FROM q) USING (term) WHERE term <> ''
+              UNION ALL SELECT question_id, table_id, row_index, 2.0 FROM c JOIN (SELECT question_id, lower(zone) AS term FROM q) USING (term)),
+        g AS (SELECT question_id, table_id, row_index, sum(s)::DOUBLE AS base_score FROM h GROUP BY ALL)
+        SELECT question_id, table_id, row_index, base_score FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY base_score DESC, table_id, row_index) AS rank FROM g) WHERE rank <= 8""",
+)
+def table_cells_rank(t):
+    k = F.col("c_custkey")
+    q = t.customer.where(k % 30 == 0).select(k.alias("question_id"), F.array(F.lit("standard"), F.lit("red"), F.lit("widget")).alias("terms"), F.concat(F.lit("R-"), (k % 5).cast("string")).alias("zone"))
+    return R.table_candidates(q, t.d_cells).select("question_id", "table_id", "row_index", "base_score")
+
+
+@query(
+    "scope_filter",
+    """SELECT fragment_id FROM {d_fragments} WHERE document_id IN (SELECT r_regionkey FROM {region} WHERE r_name ILIKE 'a%') AND page_start <= 60 AND page_end >= 40 AND starts_with(citation_label, '(')""",
+)
+def scope_filter(t):
+    docs = t.region.select(F.col("r_regionkey").cast("long").alias("document_id"), F.col("r_name").alias("municipality"), F.col("r_regionkey").alias("ingested_at"))
+    return R.scope_filter(t.d_fragments, docs, "a%", "(", (40, 60)).select("fragment_id")
+
+
+@query("scope_latest", "SELECT fragment_id FROM {d_fragments} WHERE document_id = (SELECT max(r_regionkey) FROM {region})")
+def scope_latest(t):
+    docs = t.region.select(F.col("r_regionkey").cast("long").alias("document_id"), F.col("r_name").alias("municipality"), F.col("r_regionkey").alias("ingested_at"))
+    return R.scope_filter(t.d_fragments, docs, pin_latest=True).select("fragment_id")
+
+
+_SEEDS = "SELECT o_custkey % 40 AS question_id, 4000000000000 + o_orderkey AS source_fragment_id, max(o_orderkey % 10 / 10.0)::DOUBLE AS base_score FROM {orders} WHERE o_orderkey % 10 = 3 GROUP BY ALL"
+
+
+def _seeds(t):
+    k = F.col("o_orderkey")
+    return t.orders.where(k % 10 == 3).groupBy((F.col("o_custkey") % 40).alias("question_id"), (k + 4000000000000).alias("source_fragment_id")).agg(F.max(k % 10 / 10.0).cast("double").alias("base_score"))
+
+
+@query(
+    "expand_hierarchy",
+    f"""WITH c AS ({_SEEDS}), n AS (SELECT c.*, f.parent_fragment_id AS p FROM c JOIN {{d_fragments}} f ON f.fragment_id = c.source_fragment_id),
+        a AS (SELECT question_id, p AS id, greatest(base_score - 0.15, 0) AS s FROM n WHERE p IS NOT NULL
+              UNION ALL
+              SELECT question_id, sib, greatest(base_score - 0.25, 0) FROM (
+                SELECT n.question_id, n.base_score, f.fragment_id AS sib, row_number() OVER (PARTITION BY question_id, source_fragment_id ORDER BY f.fragment_id) AS rank
+                FROM n JOIN d_fragments f ON f.parent_fragment_id IS NOT DISTINCT FROM n.p AND f.fragment_id <> n.source_fragment_id) WHERE rank <= 2)
+        SELECT question_id, id AS source_fragment_id, max(s) AS base_score FROM a
+        WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.question_id = a.question_id AND c.source_fragment_id = a.id) GROUP BY question_id, id""",
+)
+def expand_hierarchy(t):
+    return R.expand_hierarchy(_seeds(t), t.d_fragments).select("question_id", "source_fragment_id", "base_score")
+
+
+@query(
+    "expand_xref",
+    f"""WITH r AS ({_REFS}), l AS (SELECT document_id, citation_label, max_by(fragment_id, reading_order) AS target FROM d_fragments GROUP BY ALL),
+        c AS (SELECT r.document_id AS question_id, r.fragment_id AS source_fragment_id FROM r WHERE fragment_id % 100 < 3),
+        t AS (SELECT DISTINCT c.question_id, l.target FROM c JOIN r ON r.fragment_id = c.source_fragment_id JOIN l ON l.document_id = r.document_id AND l.citation_label = r.target)
+        SELECT question_id, target AS source_fragment_id, 0.55::DOUBLE AS base_score FROM t
+        WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.question_id = t.question_id AND c.source_fragment_id = t.target)""",
+)
+def expand_xref(t):
+    leaves = t.d_fragments.where("depth = 5")
+    refs = resolve_references(detect_references(leaves), t.d_fragments)
+    c = leaves.where("fragment_id % 100 < 3").select(F.col("document_id").alias("question_id"), F.col("fragment_id").alias("source_fragment_id"))
+    return R.expand_references(c, refs).select("question_id", "source_fragment_id", "base_score")
+
+
+@query(
+    "expand_graph",
+    """WITH RECURSIVE e AS (SELECT source_id AS a, target_id AS b FROM {d_edges} WHERE edge_type = 'references' UNION SELECT target_id, source_id FROM d_edges WHERE edge_type = 'references'),
+        w(question_id, node_id, depth) AS (
+            SELECT s_nationkey::BIGINT, s_suppkey, 0 FROM {supplier} WHERE s_suppkey % 25 = 7
+            UNION
+            SELECT w.question_id, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node_id WHERE w.depth < 2)
+        SELECT question_id, node_id, min(depth) AS depth, 8 - min(depth) * 0.5::DOUBLE AS score FROM w GROUP BY question_id, node_id""",
+)
+def expand_graph(t):
+    seeds = t.supplier.where("s_suppkey % 25 = 7").select(F.col("s_nationkey").cast("long").alias("question_id"), F.col("s_suppkey").alias("node_id"))
+    return R.expand_graph(seeds, t.d_edges, ("references",), depth=2, max_nodes=1_000_000)
+
+
+@query(
+    "related_tables",
+    """WITH f AS (SELECT fragment_id, document_id, page_start, page_end FROM {d_fragments} WHERE depth = 3), t AS (SELECT p_partkey AS table_id, p_partkey % 5 AS document_id, p_size AS page_start, p_size + 1 AS page_end FROM {part} WHERE p_partkey % 10 = 0)
+       SELECT fragment_id, table_id FROM f JOIN t ON f.document_id = t.document_id AND f.page_start <= t.page_end AND f.page_end >= t.page_start""",
+)
+def related_tables(t):
+    tables = t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("table_id"), (F.col("p_partkey") % 5).alias("document_id"), F.col("p_size").cast("long").alias("page_start"), (F.col("p_size") + 1).cast("long").alias("page_end"))
+    return R.related_tables(t.d_fragments.where("depth = 3"), tables)
+
+
+@query("merge_candidates", "SELECT question_id, source_fragment_id, max(base_score) AS base_score, list_sort(list(DISTINCT retrieval_channel)) AS channels FROM {d_candidates} GROUP BY ALL")
+def merge_candidates(t):
+    return R.merge_candidates(*[t.d_candidates.where(F.col("retrieval_channel") == c) for c in ("text", "vector", "table", "semantic")])
+
+
+@query(
+    "merge_channels",
+    """WITH a AS (SELECT question_id, source_fragment_id, max(base_score) AS t FROM {d_candidates} WHERE retrieval_channel = 'text' GROUP BY ALL),
+        b AS (SELECT question_id, source_fragment_id, max(base_score) AS s FROM d_candidates WHERE retrieval_channel = 'table' GROUP BY ALL)
+        SELECT question_id, source_fragment_id, greatest(coalesce(t, s), coalesce(s, t)) + CASE WHEN t IS NOT NULL AND s IS NOT NULL THEN 10 ELSE 0 END AS base_score FROM a FULL JOIN b USING (question_id, source_fragment_id)""",
+)
+def merge_channels(t):
+    best = lambda c: t.d_candidates.where(F.col("retrieval_channel") == c).groupBy("question_id", "source_fragment_id").agg(F.max("base_score").alias("base_score"))
+    return R.merge_channels(best("text"), best("table"))
+
+
+def _ranked(t):
+    u = understand(t.d_requests)
+    c = t.d_candidates.withColumn("candidate_id", F.xxhash64("source_fragment_id", "text", "retrieval_channel", "base_score"))
+    return R.rerank(c, u)
+
+
+_RERANK = r"""WITH u AS (SELECT question_id, list_distinct(list_filter(string_split(lower(question), ' '), lambda w: w <> '')) AS terms, question FROM {d_requests}),
+    x AS (SELECT c.*, lower(text) AS t, terms, lower(question) AS q FROM {d_candidates} c JOIN u USING (question_id)),
+    r AS (SELECT *, base_score + least(list_sum(list_transform(terms, lambda w: CASE WHEN contains(t, w) THEN 1 ELSE 0 END)) * 0.08, 0.4)
+        + CASE WHEN regexp_matches(q, '\b(define|definition|meaning|means)\b') AND contains(t, 'definition') THEN 0.2 ELSE 0 END
+        + CASE WHEN regexp_matches(q, '\b(height|storey|storeys|stories)\b') AND (contains(t, 'height') OR contains(t, 'storey')) THEN 0.25 ELSE 0 END AS rerank_score FROM x)"""
+
+
+@query("rerank", _RERANK + " SELECT question_id, source_fragment_id, retrieval_channel, round(rerank_score, 6)::DOUBLE AS rerank_score, text FROM r")
+def rerank(t):
+    return _ranked(t).select("question_id", "source_fragment_id", "retrieval_channel", F.round("rerank_score", 6).alias("rerank_score"), "text")
+
+
+@query(
+    "feedback_adjust",
+    """WITH v AS (SELECT 5000000000000 + o_orderkey * 1000 + o_custkey % 7 AS source_fragment_id, CASE WHEN o_orderkey % 2 = 0 THEN 'missing' ELSE 'irrelevant' END AS vote FROM {orders}),
+        n AS (SELECT source_fragment_id, count_if(vote = 'missing') AS m, count_if(vote = 'irrelevant') AS i FROM v GROUP BY 1)
+        SELECT question_id, source_fragment_id, text, round(base_score + coalesce(m, 0) * 0.15 - coalesce(i, 0) * 0.2, 6) AS rerank_score FROM {d_candidates} LEFT JOIN n USING (source_fragment_id)""",
+)
+def feedback_adjust(t):
+    k = F.col("o_orderkey")
+    votes = t.orders.select((k * 1000 + F.col("o_custkey") % 7 + 5000000000000).alias("source_fragment_id"), F.when(k % 2 == 0, "missing").otherwise("irrelevant").alias("vote"))
+    out = R.feedback_adjust(t.d_candidates.withColumn("rerank_score", F.col("base_score")), votes)
+    return out.select("question_id", "source_fragment_id", "text", F.round("rerank_score", 6).alias("rerank_score"))
+
+
+_POOL = "SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY base_score DESC, source_fragment_id, text, retrieval_channel) AS rank FROM {d_candidates}"
+
+
+def _pool(t):
+    """Candidates numbered within their question: the number is their id."""
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("question_id").orderBy(F.desc("base_score"), "source_fragment_id", "text", "retrieval_channel")
+    return t.d_candidates.withColumn("rank", F.row_number().over(w)).withColumn("candidate_id", F.col("rank").cast("long")).withColumn("rerank_score", F.col("base_score"))
+
+
+@query("pool_limit", f"SELECT question_id, rank FROM ({_POOL}) WHERE rank <= 16 OR expansion = 'semantic_section_reference'")
+def pool_limit(t):
+    return R.pool_limit(_pool(t)).select("question_id", F.col("candidate_id").alias("rank"))
+
+
+_BUDGET = f"""WITH RECURSIVE c AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY priority_class, rank) AS k, greatest(1, length(text) // 4) + 30 AS cost FROM ({_POOL})),
+    f(question_id, k, rank, used, kept) AS (
+        SELECT question_id, k, rank, cost, true FROM c WHERE k = 1
+        UNION ALL
+        SELECT c.question_id, c.k, c.rank, CASE WHEN f.used + c.cost <= 3000 THEN f.used + c.cost ELSE f.used END, f.used + c.cost <= 3000 FROM f JOIN c ON c.question_id = f.question_id AND c.k = f.k + 1)"""
+
+
+@query("budget_select", _BUDGET + " SELECT question_id, rank FROM f WHERE kept")
+def budget_select(t):
+    return R.budget_select(_pool(t)).select("question_id", "rank")
+
+
+@query(
+    "assemble_prompt",
+    _BUDGET + ", s AS (SELECT c.* FROM c JOIN f ON f.question_id = c.question_id AND f.rank = c.rank WHERE kept) SELECT question_id, string_agg('[' || rank || '] ' || text, chr(10) ORDER BY rank) AS prompt FROM s GROUP BY question_id",
+)
+def assemble_prompt(t):
+    return R.assemble_prompt(R.budget_select(_pool(t)))
+
+
+@query(
+    "block_window",
+    """WITH w AS (SELECT document_id, reading_order, string_agg(raw_text, ' ') OVER (PARTITION BY document_id ORDER BY reading_order ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS text FROM {d_blocks})
+       SELECT * FROM w WHERE reading_order % 10 = 3""",
+)
+def block_window(t):
+    return R.block_window(t.d_blocks.where("reading_order % 10 = 3"), t.d_blocks)
+
+
+@query(
+    "section_span",
+    """WITH h AS (SELECT DISTINCT document_id, page_number FROM {d_clauses} WHERE fragment_id % 24 < 3),
+        n AS (SELECT *, lead(page_number) OVER (PARTITION BY document_id ORDER BY page_number) AS nxt FROM h)
+        SELECT document_id, page_number, least(coalesce(greatest(nxt - 1, page_number), page_number + 15), page_number + 15) AS last_page FROM n""",
+)
+def section_span(t):
+    return R.section_span(t.d_clauses.where("fragment_id % 24 < 3").select("document_id", "page_number").distinct())
+
+
+@query(
+    "lookup_citation",
+    """WITH l AS (SELECT citation_label, count(DISTINCT document_id) AS documents, min(fragment_id) AS source_fragment_id FROM {d_fragments} GROUP BY 1)
+       SELECT s_suppkey AS question_id, citation_label, source_fragment_id, documents > 1 AS ambiguous FROM {supplier} JOIN l ON citation_label = '(' || (s_suppkey % 12) || ')'""",
+)
+def lookup_citation(t):
+    calls = t.supplier.select(F.col("s_suppkey").alias("question_id"), F.concat(F.lit("("), (F.col("s_suppkey") % 12).cast("string"), F.lit(")")).alias("citation_label"))
+    return R.lookup_citation(calls, t.d_fragments).select("question_id", "citation_label", "source_fragment_id", "ambiguous")
+
+
+@query("compact_match", f"SELECT question_id, greatest(count(*) - 10, 0) AS left_out FROM ({_POOL}) GROUP BY question_id")
+def compact_match(t):
+    return R.compact_matches(_pool(t)).where(F.length("matches") > 2).select("question_id", "left_out")
+
+
+@query(
+    "cached_claims",
+    r"""WITH c AS (SELECT o_orderkey AS claim_id, o_custkey % 97 AS document_id, 'maximum height of lot ' || o_custkey AS claim_text, o_orderdate AS created_at, o_orderkey % 5 / 10.0 AS confidence FROM {orders} WHERE o_orderstatus = 'F'),
+        n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, claim_id) AS r FROM c) WHERE r <= 12),
+        s AS (SELECT question_id, claim_id, confidence, list_sum(list_transform(string_split(lower(question), ' '), lambda w: CASE WHEN contains(claim_text, w) THEN 1 ELSE 0 END)) AS score
+              FROM {d_requests} JOIN n ON document_id = question_id % 97)
+        SELECT question_id, claim_id, score::INT AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, confidence DESC, claim_id) AS rank FROM s) WHERE rank <= 4 AND (score > 0 OR confidence > 0)""",
+)
+def cached_claims(t):
+    k = F.col("o_orderkey")
+    claims = t.orders.select(
+        k.alias("claim_id"), (F.col("o_custkey") % 97).alias("document_id"), F.concat(F.lit("maximum height of lot "), F.col("o_custkey").cast("string")).alias("claim_text"),
+        F.col("o_orderdate").alias("created_at"), (k % 5 / 10.0).alias("confidence"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("open").alias("status"),
+    )
+    return R.cached_claims(t.d_requests.withColumn("document_id", F.col("question_id") % 97), claims).select("question_id", "claim_id", "score", "rank")
+
+
+@query("hybrid_retrieval")
+def hybrid_retrieval(t):
+    """Keyword candidates over all documents and table rows, re-ranked and cut to a token budget."""
+    docs = _documents(t)
+    found = R.keyword_candidates(t.d_questions, docs)
+    merged = R.merge_candidates(found).join(docs, "source_fragment_id").withColumn("retrieval_channel", F.lit("text"))
+    ranked = R.rerank(merged, understand(t.d_questions)).withColumn("candidate_id", F.col("source_fragment_id")).withColumn("expansion", F.lit(None).cast("string"))
+    pool = R.pool_limit(ranked).withColumn("priority_class", F.lit(3))
+    return R.budget_select(pool).select("question_id", "source_fragment_id", "rank", "base_score", "rerank_score", "used_tokens")
