@@ -117,7 +117,7 @@ def table_cell(t: Column) -> Column:
 def table_like(t: Column) -> Column:
     """A pipe or tab, or enough short numeric lines; prose next to citations speaks against it."""
     text = strip_page_prefix(t)
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split(text, "\n"), lambda x: F.trim(x)), lambda x: x != "")
     count = lambda test: F.size(F.filter(lines, test))
     cells, cites = count(table_cell), count(has_citation)
     short, prose = count(lambda x: word_count(x) <= 8), count(lambda x: word_count(x) >= 9)
@@ -206,12 +206,12 @@ def split_at_definitions(blocks: DataFrame) -> DataFrame:
     """Blocks with two or more quoted terms that ``means`` something are split where each starts."""
     starts = F.size(F.regexp_extract_all(F.col("raw_text"), F.lit(r'(?m)^\s*["“][^"\n]{2,80}?["”]\s+means\b'), F.lit(0)))
     pieces = F.when(starts >= 2, F.split("raw_text", r'(?m)(?=^\s*["“][^"\n]{2,80}?["”]\s+means\b)')).otherwise(F.array("raw_text"))
-    return blocks.select("document_id", "reading_order", F.posexplode(F.filter(F.transform(pieces, F.trim), lambda x: x != "")).alias("segment", "text"))
+    return blocks.select("document_id", "reading_order", F.posexplode(F.filter(F.transform(pieces, lambda x: F.trim(x)), lambda x: x != "")).alias("segment", "text"))
 
 
 def split_toc(blocks: DataFrame) -> DataFrame:
     """Blocks whose every line ends in dot leaders and a page become one segment per line."""
-    lines = F.filter(F.transform(F.split("raw_text", "\n"), F.trim), lambda x: x != "")
+    lines = F.filter(F.transform(F.split("raw_text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
     entries = F.when((F.size(lines) > 1) & F.forall(lines, lambda x: x.rlike(TOC_ENTRY)), lines).otherwise(F.array().cast("array<string>"))
     return blocks.select("document_id", "reading_order", F.posexplode(entries).alias("segment", "text"))
 

@@ -1 +1,45 @@
-"""Queries."""
+"""Queries of question understanding and planning."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadastra.operators import questions as Q
+from cadastra.plans.base import query
+
+_ZONE = "CASE WHEN contains(question, 'CEN-2') THEN 'CEN-2' WHEN contains(question, 'HR-1') THEN 'HR-1' WHEN contains(question, 'COR zone') THEN 'COR' WHEN regexp_matches(question, '\\bDD\\b') THEN 'DD' END"
+_STANDARD = "CASE WHEN contains(lower(question), 'maximum height') THEN 'maximum_height' WHEN contains(lower(question), 'minimum lot area') THEN 'minimum_lot_area' WHEN contains(lower(question), 'lot coverage') THEN 'lot_coverage' WHEN contains(lower(question), 'frontage') THEN 'lot_frontage' WHEN contains(lower(question), 'parking') THEN 'parking' WHEN contains(lower(question), 'height') THEN 'maximum_height' END"
+_USE = "CASE WHEN contains(question, 'a restaurant use') THEN 'restaurant use' END"
+
+
+@query("zone_code", f"SELECT question_id, {_ZONE} AS zone FROM {{d_requests}}")
+def zone_code(t):
+    return t.d_requests.select("question_id", Q.zone_code(F.col("question")).alias("zone"))
+
+
+@query("standard_type", f"SELECT question_id, {_STANDARD} AS standard FROM {{d_requests}}")
+def standard_type(t):
+    return t.d_requests.select("question_id", Q.standard_type(F.col("question")).alias("standard"))
+
+
+@query("use_name", f"SELECT question_id, {_USE} AS use_name FROM {{d_requests}}")
+def use_name(t):
+    return t.d_requests.select("question_id", Q.use_name(F.col("question")).alias("use_name"))
+
+
+@query(
+    "understand_question",
+    rf"""SELECT question_id, question, {_ZONE} AS zone, {_STANDARD} AS standard, {_USE} AS use, regexp_matches(lower(question), '\b(define|definition|meaning|means)\b') AS needs_definitions,
+        regexp_extract_all(question, '(?i)\b(?:section|schedule)\s+([0-9]+(?:\.[0-9]+)*)', 1) AS citations,
+        list_filter(['minimum lot area', 'maximum height', 'lot frontage', 'lot coverage'], lambda c: contains(lower(question), c)) AS concepts,
+        list_filter([CASE WHEN regexp_matches(lower(question), '\b(height|storey|storeys|stories)\b') THEN 'height' END, CASE WHEN regexp_matches(lower(question), '\b(lot area|lot frontage|lot coverage)\b') THEN 'lot' END,
+            CASE WHEN regexp_matches(lower(question), '\bparking\b') THEN 'parking' END, CASE WHEN regexp_matches(lower(question), '\b(sign|signs)\b') THEN 'signs' END,
+            CASE WHEN regexp_matches(lower(question), '\b(permitted|uses)\b') THEN 'uses' END], lambda x: x IS NOT NULL) AS topics FROM {{d_requests}}""",
+)
+def understand_question(t):
+    return Q.understand(t.d_requests)
+
+
+@query("retrieval_plan")
+def retrieval_plan(t):
+    return Q.retrieval_plan(t.d_requests)

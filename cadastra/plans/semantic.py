@@ -1 +1,145 @@
-"""Queries."""
+"""Queries of semantic extraction."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from cadastra.operators import semantic as S
+from cadastra.operators.structure import detect_references, resolve_references
+from cadastra.plans.base import query
+
+
+def _one(name, f, column, sql=None):
+    @query(name, sql)
+    def run(t):
+        return t.d_clauses.select("fragment_id", f(F.col("text")).alias(column))
+
+    return run
+
+
+_one("extract_zones", S.extract_zones, "zones")
+_one("extract_uses", S.extract_uses, "uses")
+_one("extract_contexts", S.extract_contexts, "contexts", "SELECT fragment_id, CASE WHEN contains(text, 'rear addition') THEN ['rear additions'] ELSE [] END AS contexts FROM {d_clauses}")
+_one("extract_condition_refs", S.extract_condition_refs, "markers", r"SELECT fragment_id, list_sort(list_distinct(regexp_extract_all(text, '\[\d+\]'))) AS markers FROM {d_clauses}")
+_one("extract_table_refs", S.extract_table_refs, "refs", r"SELECT fragment_id, list_transform(regexp_extract_all(text, 'Table \d+[A-Z]?'), lambda x: 'Table ' || lower(x[7:])) AS refs FROM {d_clauses}".replace("lower(x[7:])", "upper(x[7:7]) || lower(x[8:])"))
+_one("extract_section_refs", S.extract_section_refs, "refs", r"SELECT fragment_id, list_sort(list_distinct(regexp_extract_all(text, '(?i)\b(?:Section|Subsection|Schedule)\s+[A-Za-z0-9.\-()]+\b'))) AS refs FROM {d_clauses}")
+_one("extract_values", S.extract_values, "vals", r"SELECT fragment_id, list_sort(list_distinct(regexp_extract_all(text, '(?i)\b\d+(?:\.\d+)?\s*(?:m2|metres?|meters?|feet|ft|sq\.?\s*ft|square feet)\b'))) AS vals FROM {d_clauses}")
+_one(
+    "extract_standards",
+    S.extract_standards,
+    "standards",
+    """SELECT fragment_id, list_transform(list_sort(list_transform(list_filter(f, lambda a: len(list_filter(f, lambda b: b <> a AND contains(b, a))) = 0), lambda w: {{'n': -length(w), 'w': w}})), lambda s: s.w) AS standards
+       FROM (SELECT fragment_id, list_filter(['lot area', 'minimum lot area', 'lot coverage', 'lot frontage', 'height', 'maximum height', 'building height', 'parking', 'side yard'], lambda w: contains(lower(text), w)) AS f FROM {d_clauses})""".replace("{{", "{ ").replace("}}", " }"),
+)
+
+
+@query("normalize_zone", "SELECT p_partkey, 'HR-' || (p_size % 3) AS zone FROM {part}")
+def normalize_zone(t):
+    raw = F.concat(F.when(F.col("p_partkey") % 2 == 0, "hr ").otherwise("HR"), (F.col("p_size") % 3).cast("string"))
+    return t.part.select("p_partkey", S.normalize_zone(raw).alias("zone"))
+
+
+@query("use_label", "SELECT c_custkey, c_custkey % 3 <> 0 AS is_use FROM {customer}")
+def use_label(t):
+    k = F.col("c_custkey")
+    return t.customer.select("c_custkey", S.use_label(F.when(k % 3 == 0, "Height of a building").when(k % 3 == 1, "Retail  use.").otherwise("Secondary suite;")).alias("is_use"))
+
+
+@query("entity_mentions")
+def entity_mentions(t):
+    return S.entity_mentions(t.d_clauses)
+
+
+@query("entity_dedupe")
+def entity_dedupe(t):
+    return S.entity_dedupe(S.entity_mentions(t.d_clauses))
+
+
+@query("definition_fact", r"""SELECT document_id, fragment_id, regexp_extract(text, '^"([^"]+)"', 1) AS term, regexp_extract(text, ' means (.*)$', 1) AS meaning FROM {d_clauses} WHERE regexp_matches(text, '^"[^"]+" means ')""")
+def definition_fact(t):
+    return S.definition_facts(t.d_clauses)
+
+
+@query("condition_fact", r"SELECT document_id, fragment_id, regexp_extract(text, '(\[\d+\])', 1) AS marker FROM {d_clauses} WHERE regexp_matches(text, '\[\d+\]')")
+def condition_fact(t):
+    return S.condition_facts(t.d_clauses)
+
+
+@query("table_header_row", "SELECT DISTINCT table_id, 0 AS row_index FROM {d_matrix}")
+def table_header_row(t):
+    return S.header_rows(t.d_matrix, ("Use", "DD", "CEN-2", "HR-1")).withColumn("row_index", F.col("row_index").cast("int"))
+
+
+@query("table_profile", "SELECT table_id, 3 AS zones, count_if(col_index = 0 AND row_index > 0) AS uses, 0 AS standards, 'permission' AS kind FROM {d_matrix} GROUP BY table_id")
+def table_profile(t):
+    return S.table_profiles(t.d_matrix)
+
+
+_FACTS = """SELECT b.table_id, b.row_index, b.col_index, lower(r.text) AS row_entity, h.text AS col_entity, b.text AS value,
+        CASE WHEN b.text = 'P' THEN 'permitted' WHEN b.text = 'C' OR starts_with(b.text, '[') THEN 'conditional' ELSE 'unknown' END AS meaning
+    FROM {d_matrix} b JOIN d_matrix h ON h.table_id = b.table_id AND h.col_index = b.col_index AND h.row_index = 0
+    JOIN d_matrix r ON r.table_id = b.table_id AND r.row_index = b.row_index AND r.col_index = 0 WHERE b.row_index > 0 AND b.col_index > 0 AND b.text <> ''"""
+
+
+def _facts(t):
+    return S.matrix_facts(t.d_matrix).withColumn("meaning", S.permission(F.col("value")))
+
+
+@query("permission_facts", _FACTS)
+def permission_facts(t):
+    return _facts(t)
+
+
+@query("dimensional_facts", "SELECT c.table_id, c.row_index, c.col_index, r.text AS row_entity, h.text AS col_entity, c.text AS value FROM {d_cells} c JOIN d_cells h ON h.table_id = c.table_id AND h.col_index = c.col_index AND h.row_index = 0 JOIN d_cells r ON r.table_id = c.table_id AND r.row_index = c.row_index AND r.col_index = 0 WHERE c.row_index > 0 AND c.col_index > 0 AND trim(c.text) <> ''")
+def dimensional_facts(t):
+    return S.matrix_facts(t.d_cells, row_kind="label", col_kind="label")
+
+
+@query("axis_bindings", "SELECT DISTINCT table_id, col_index, text AS entity FROM {d_matrix} WHERE row_index = 0 AND col_index > 0")
+def axis_bindings(t):
+    return t.d_matrix.where("row_index = 0 and col_index > 0").select("table_id", "col_index", S.normalize_zone(F.col("text")).alias("entity"))
+
+
+@query("permission_summary", f"SELECT col_entity, list_sort(list(DISTINCT row_entity)) AS uses FROM ({_FACTS}) WHERE meaning = 'permitted' GROUP BY col_entity")
+def permission_summary(t):
+    return S.permission_summary(_facts(t))
+
+
+@query(
+    "fact_match",
+    f"""WITH f AS ({_FACTS}), q AS (SELECT c_custkey AS question_id, CASE c_custkey % 3 WHEN 0 THEN 'DD' WHEN 1 THEN 'CEN-2' ELSE 'HR-1' END AS zone, 'red widget use' AS use FROM {{customer}} WHERE c_custkey % 25 = 0)
+        SELECT question_id, table_id * 1000000 + row_index * 10 + col_index AS fact_id, 4 AS score FROM q JOIN f ON f.col_entity = q.zone AND f.row_entity = q.use""",
+)
+def fact_match(t):
+    f = _facts(t).withColumn("fact_id", F.col("table_id") * 1000000 + F.col("row_index") * 10 + F.col("col_index"))
+    participants = f.select("fact_id", F.lit("zone").alias("entity_type"), F.col("col_entity").alias("name")).unionByName(f.select("fact_id", F.lit("use").alias("entity_type"), F.col("row_entity").alias("name")))
+    k = F.col("c_custkey")
+    q = t.customer.where(k % 25 == 0)
+    zones = q.select(k.alias("question_id"), F.lit("zone").alias("entity_type"), F.when(k % 3 == 0, "DD").when(k % 3 == 1, "CEN-2").otherwise("HR-1").alias("name"))
+    uses = q.select(k.alias("question_id"), F.lit("use").alias("entity_type"), F.lit("red widget use").alias("name"))
+    return S.fact_match(zones.unionByName(uses), participants)
+
+
+@query("reference_edges")
+def reference_edges(t):
+    leaves = t.d_fragments.where("depth = 5")
+    refs = resolve_references(detect_references(leaves), t.d_fragments)
+    entities = S.entity_dedupe(S.entity_mentions(t.d_fragments))
+    return S.reference_edges(refs, entities)
+
+
+@query("provenance", "SELECT 'fact' AS object_type, fragment_id AS object_id, 'definition_pattern' AS method, '1' AS version FROM {d_clauses} WHERE regexp_matches(text, '^\"[^\"]+\" means ')")
+def provenance(t):
+    return S.provenance(S.definition_facts(t.d_clauses), "fact", "fragment_id", "definition_pattern", "1")
+
+
+@query("semantic_validation", "SELECT 'fact_without_provenance' AS rule, fragment_id AS object_id FROM {d_clauses} WHERE regexp_matches(text, '^\"[^\"]+\" means ') AND fragment_id % 2 = 1")
+def semantic_validation(t):
+    facts = S.definition_facts(t.d_clauses).withColumnRenamed("fragment_id", "fact_id")
+    prov = S.provenance(facts.where("fact_id % 2 = 0"), "fact", "fact_id", "definition_pattern", "1")
+    return S.semantic_findings(t.d_matrix, S.table_profiles(t.d_matrix), facts, prov)
+
+
+@query("dimensional_pairs", "SELECT table_id, row_index, col_index, text, lead(text, 1) OVER w AS next1, lead(text, 2) OVER w AS next2, lead(text, 3) OVER w AS next3 FROM {d_cells} WINDOW w AS (PARTITION BY table_id ORDER BY row_index, col_index)")
+def dimensional_pairs(t):
+    return S.neighbours(t.d_cells)

@@ -168,9 +168,16 @@ def definition_split(t):
     return B.split_at_definitions(_multi_line(t)).select("document_id", "reading_order", F.col("segment").cast("long").alias("segment"), "text")
 
 
-@query("toc_split")
+@query(
+    "toc_split",
+    """SELECT document_id, segment, text FROM (SELECT document_id, text, row_number() OVER (PARTITION BY document_id ORDER BY reading_order, text) - 1 AS segment,
+              count(*) OVER (PARTITION BY document_id) AS n FROM {d_clauses} WHERE fragment_id % 24 = 19) WHERE n > 1""",
+)
 def toc_split(t):
-    return B.split_toc(_multi_line(t)).select("document_id", "reading_order", F.col("segment").cast("long").alias("segment"), "text")
+    entries = t.d_clauses.where("fragment_id % 24 = 19")
+    parts = entries.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("reading_order", "text"))).alias("p"))
+    blocks = parts.select("document_id", F.lit(0).alias("reading_order"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("raw_text"))
+    return B.split_toc(blocks).select("document_id", F.col("segment").cast("long").alias("segment"), "text")
 
 
 @query(

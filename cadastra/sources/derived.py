@@ -57,7 +57,7 @@ _FRAGMENTS = """
         SELECT 2, n_nationkey, n_regionkey, n_regionkey, CAST(n_nationkey AS STRING), 'N', n_name FROM {nation}
         UNION ALL
         SELECT 3, c_custkey, c_nationkey, n_regionkey, concat(CAST(c_nationkey AS STRING), '.', CAST(c_custkey AS STRING)), 'N',
-               concat(c_name, ' in the ', c_mktsegment, ' zone')
+               concat(c_name, ' in the R-', CAST(c_custkey % 5 AS STRING), ' zone')
         FROM {customer} JOIN {nation} ON c_nationkey = n_nationkey
         UNION ALL
         SELECT 4, o_orderkey, o_custkey, n_regionkey, concat('(', CAST(o_orderkey AS STRING), ')'), 'N', concat('Order of priority ', o_orderpriority)
@@ -99,9 +99,10 @@ _MATRIX = """
     SELECT p_size AS table_id, r AS row_index, c AS col_index, text FROM (
         SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r, 0 AS c, concat(p_name, ' use') AS text FROM {part}
         UNION ALL
-        SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey), z,
+        SELECT p_size, r, z,
                CASE (p_partkey + z) % 5 WHEN 0 THEN '' WHEN 1 THEN 'P' WHEN 2 THEN concat('[', CAST(p_partkey % 9 + 1 AS STRING), ']') WHEN 3 THEN 'C' ELSE '' END
-        FROM {part} CROSS JOIN (SELECT 1 AS z UNION ALL SELECT 2 UNION ALL SELECT 3) AS zs
+        FROM (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r FROM {part}) AS numbered
+        CROSS JOIN (SELECT 1 AS z UNION ALL SELECT 2 UNION ALL SELECT 3) AS zs
         UNION ALL
         SELECT DISTINCT p_size, CAST(0 AS BIGINT), z, h FROM {part}
         CROSS JOIN (SELECT 0 AS z, 'Use' AS h UNION ALL SELECT 1, 'DD' UNION ALL SELECT 2, 'CEN-2' UNION ALL SELECT 3, 'HR-1') AS heads
