@@ -88,3 +88,27 @@ def stream_feedback_join(t):
         return L.stream_feedback_join(runs, votes).select("run_id", "feedback_id")
 
     return _run(t, "events", EVENTS, f)
+
+
+def _credit_rows(e):
+    """Credit events out of the event log; a third of the credits start reserved."""
+    kind = F.col("event_type")
+    event = F.when(kind == "click", "reserve").when(kind == "purchase", "consume").when(kind == "error", "refund").otherwise("note")
+    return e.select((F.col("user_id") % 97).alias("credit_id"), "ts", "event_id", event.alias("event"), F.when(F.col("user_id") % 97 % 3 == 0, "reserved").otherwise("available").alias("start_state"))
+
+
+@query("stream_credits")
+def stream_credits(t):
+    out = _run(t, "events", EVENTS, lambda s: L.stream_credits(_credit_rows(_events(s))))
+    return out.groupBy("credit_id").agg(F.max_by("state", "applied").alias("state"), F.max("applied").alias("applied"))
+
+
+@query("stream_credits_batch")
+def stream_credits_batch(t):
+    """The batch fold over the same events, to compare with the stream."""
+    from cadastra.operators.ledger import credit_transitions
+
+    events = _credit_rows(_events(t.events))
+    credits = events.select("credit_id", F.col("start_state").alias("state")).distinct()
+    out = credit_transitions(credits, events.select("credit_id", "ts", "event_id", "event"))
+    return out.select("credit_id", F.col("final_state").alias("state"), "applied")

@@ -53,3 +53,43 @@ def run_available(stream: DataFrame, path: str, checkpoint: str, each: Callable[
     writer = stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True)
     query = writer.foreachBatch(each).start() if each else writer.format("parquet").option("path", path).start()
     query.awaitTermination()
+
+
+CREDIT_MOVES = {("available", "reserve"): "reserved", ("reserved", "consume"): "consumed", ("reserved", "refund"): "available"}
+
+
+def stream_credits(events: DataFrame, late: str = "1 hour", refund_after_ms: int | None = None) -> DataFrame:
+    """Credit state machine over a stream: (credit_id, state, applied) after each batch with news of the credit.
+
+    ``events``: credit_id, ts, event_id, event, start_state. Within a batch a credit's events apply in
+    order of time and id. With ``refund_after_ms`` a credit that stays reserved for that long of event
+    time is refunded when the watermark passes.
+    """
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    def advance(key, frames, state: GroupState):
+        import pandas as pd
+
+        if state.hasTimedOut:
+            now, applied = state.get
+            now, applied = ("available", applied + 1) if now == "reserved" else (now, applied)
+            state.update((now, applied))
+            yield pd.DataFrame({"credit_id": [key[0]], "state": [now], "applied": [applied]})
+            return
+        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+        now, applied = state.get if state.exists else (rows["start_state"].iloc[0], 0)
+        reserved_at = None
+        for event, ts in zip(rows["event"], rows["ts"], strict=True):
+            after = CREDIT_MOVES.get((now, event), now)
+            if after != now:
+                applied += 1
+                reserved_at = ts if after == "reserved" else None
+            now = after
+        state.update((now, applied))
+        if refund_after_ms is not None and reserved_at is not None:
+            due = int(reserved_at.timestamp() * 1000) + refund_after_ms
+            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"credit_id": [key[0]], "state": [now], "applied": [applied]})
+
+    timeout = GroupStateTimeout.EventTimeTimeout if refund_after_ms is not None else GroupStateTimeout.NoTimeout
+    return events.withWatermark("ts", late).groupBy("credit_id").applyInPandasWithState(advance, "credit_id long, state string, applied long", "state string, applied long", "append", timeout)
