@@ -46,7 +46,7 @@ def upgrade_funnel(t):
 
 @query(
     "credit_balance",
-    """SELECT user_id, tier, count_if(state = 'available') AS available, count_if(state = 'reserved') AS reserved, count_if(state = 'consumed') AS consumed
+    """SELECT user_id, tier, count(*) FILTER (WHERE state = 'available') AS available, count(*) FILTER (WHERE state = 'reserved') AS reserved, count(*) FILTER (WHERE state = 'consumed') AS consumed
        FROM (SELECT DISTINCT user_id FROM {d_credits}) CROSS JOIN (SELECT unnest(['quick', 'standard', 'complex']) AS tier) LEFT JOIN d_credits USING (user_id, tier) GROUP BY user_id, tier""",
 )
 def credit_balance(t):
