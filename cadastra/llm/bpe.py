@@ -28,7 +28,8 @@ SPACES = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 #: Letters and numbers below U+0250, for texts that have no character above: the standard library's
 #: matcher is twice as fast as one that knows Unicode properties.
 LATIN = {"L": "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f", "N": "0-9\xb2\xb3\xb9\xbc-\xbe", "S": SPACES}
-CACHE_ENTRIES = 400_000
+#: Pre-tokens whose ids a worker remembers (some 30 MB); a full memory is emptied.
+CACHE_ENTRIES = 120_000
 NO_RANK = 1 << 40
 _BEYOND_LATIN = re.compile("[^\\x00-\u024f]")
 
@@ -172,7 +173,7 @@ class Encoder:
         return b"".join(map(self.table.__getitem__, np.frombuffer(packed, "<u4").tolist())).decode("utf-8", "replace")
 
 
-@functools.lru_cache(maxsize=2)
+@functools.lru_cache(maxsize=1)
 def encoder_for(tokenizer_json: str) -> Encoder:
     """One encoder per worker process and vocabulary; later tasks of the worker reuse its cache."""
     return Encoder(Vocabulary(tokenizer_json))

@@ -18,7 +18,7 @@ from cadastra.llm.quality import score_quality
 from cadastra.llm.secrets import common_words, scan_secrets, secret_candidates, train_secret_forest
 from cadastra.llm.substringdedup import substring_dedup
 from cadastra.llm.urlfilter import filter_urls
-from cadastra.llm.work import staged
+from cadastra.llm.work import small_batches, staged
 
 URL_RULES = [
     ("com", "/", "allow"),
@@ -30,6 +30,7 @@ URL_RULES = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -14,7 +14,7 @@ _ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "st
 
 def with_columns_by_slice(df: DataFrame, new: dict[str, str], make: Callable[[pa.RecordBatch], dict[str, object]], text: str, drop: tuple[str, ...] = ()) -> DataFrame:
     """``df`` without ``drop`` and without columns whose names clash with ``new`` (case-insensitively),
-    plus the columns that ``make`` returns for each slice of about 2 MB of ``text``.
+    plus the columns that ``make`` returns for each slice of ``text`` (see textarrays.slices).
 
     ``new`` maps names to Spark types; ``make`` also sees the dropped columns.
     """

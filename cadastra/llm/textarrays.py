@@ -12,7 +12,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SLICE_BYTES = 1 << 21
+#: Text bytes that are worked on at once: the arrays for a slice take some forty times as much.
+SLICE_BYTES = 1 << 19
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15 | 1
 _GRAM = 0xD6E8FEB86659FD93 | 1
@@ -68,6 +69,7 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
     for lo, hi in zip(cuts, cuts[1:], strict=False):
         if hi > lo:
             yield batch.slice(lo, hi - lo)
+    pa.default_memory_pool().release_unused()  # else a worker keeps its largest batches' memory
 
 
 class Words:

@@ -15,13 +15,14 @@ from cadastra.llm.jaccardjoin import jaccard_join
 from cadastra.llm.linededup import line_dedup
 from cadastra.llm.quality import score_quality
 from cadastra.llm.queries import table, tokenizer_json, trusted_ids
-from cadastra.llm.work import staged
+from cadastra.llm.work import small_batches, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the perplexity limit of their language rejects go; so do those without text."""
+    small_batches(spark)
     return score_quality(docs, trusted_ids(spark, sf_dir)).where("kept").select(*COLUMNS)
 
 
@@ -30,6 +31,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A document of which no text stays goes: all its lines are in documents before it.
     """
+    small_batches(spark)
     out = line_dedup(docs, min_docs=10, min_chars=1, keep_first=True)
     left = out.withColumn("text", F.col("kept_text")).withColumn("n_chars", F.length("kept_text").cast("long"))
     return left.where(F.length("text") > 0).select(*COLUMNS)
@@ -37,6 +39,7 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of documents linked by five-word shingles at 0.8 or more, the first stays."""
+    small_batches(spark)
     groups = jaccard_join(docs.select("doc_id", "text"), size=5, num=4, den=5)
     gone = staged(groups.where("component_id <> doc_id").select("doc_id").distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
@@ -44,11 +47,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item of ``benchmark`` go."""
+    small_batches(spark)
     return contamination(docs, table(spark, sf_dir, "benchmark")).where(F.size("item_ids") == 0).select(*COLUMNS)
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of each document, and digests of the ids and of the text decoded from them."""
+    small_batches(spark)
     out = bpe_encode_decode(docs, tokenizer_json(), keep_decoded=False)
     return out.select("doc_id", "lang", "source", "n_chars", "n_tokens", "ids", "ids_sha256", "decoded_sha256")
 
