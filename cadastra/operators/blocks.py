@@ -179,7 +179,7 @@ def zone_hyphen(t: Column) -> Column:
     return F.regexp_replace(t, r"\b([A-Z]{1,4})-\s+(\d[A-Z]?)\b", "$1-$2")
 
 
-def profile_rules(blocks: DataFrame, boilerplate_pages: int = 6, banner: str = "Regional Centre Land Use By-law |") -> DataFrame:
+def profile_rules(blocks: DataFrame, boilerplate_pages: int = 6, banner: str = "Land Use By-law |") -> DataFrame:
     """Corpus switches: hyphen repair, first pages and banner lines are boilerplate, split rules are not."""
     text = zone_hyphen(normalize_text(F.col("raw_text")))
     split_rule = text.rlike(r"(?i)^(\(\d+(?:\.\d+)?\)|district,\s+any main building)")
