@@ -23,13 +23,17 @@ def citation_paths(fragments: DataFrame, max_depth: int = 8) -> DataFrame:
     """``fragments`` plus citation_path: labels from the root, joined by `` > ``.
 
     One join a level, from the roots down, until no fragment is left; ``max_depth`` bounds a cycle.
+    Levels are kept, so that none is computed again for the next one or for the result.
     """
     f = fragments.select("fragment_id", "parent_fragment_id", "citation_label")
     level = f.where("parent_fragment_id is null").select("fragment_id", F.col("citation_label").alias("citation_path"))
     paths = level
     for _ in range(max_depth - 1):
         up = level.select(F.col("fragment_id").alias("parent_fragment_id"), F.col("citation_path").alias("up"))
-        level = f.join(up, "parent_fragment_id").select("fragment_id", F.when(F.col("citation_label").isNull(), F.col("up")).otherwise(F.concat_ws(" > ", "up", "citation_label")).alias("citation_path"))
+        label = F.when(F.col("citation_label").isNull(), F.col("up")).otherwise(F.concat_ws(" > ", "up", "citation_label"))
+        level = f.join(up, "parent_fragment_id").select("fragment_id", label.alias("citation_path")).persist()
+        if level.isEmpty():
+            break
         paths = paths.unionByName(level)
     return fragments.join(paths, "fragment_id", "left")
 
@@ -41,7 +45,9 @@ def ancestor_chain(fragments: DataFrame, max_depth: int = 8) -> DataFrame:
     found = current
     for depth in range(2, max_depth):
         parents = edges.select(F.col("fragment_id").alias("ancestor"), F.col("parent_fragment_id").alias("next"))
-        current = current.join(parents, "ancestor").where("next is not null").select("fragment_id", F.col("next").alias("ancestor"), F.lit(depth).alias("up"))
+        current = current.join(parents, "ancestor").where("next is not null").select("fragment_id", F.col("next").alias("ancestor"), F.lit(depth).alias("up")).persist()
+        if current.isEmpty():
+            break
         found = found.unionByName(current)
     chains = found.groupBy("fragment_id").agg(F.sort_array(F.collect_list(F.struct("up", "ancestor")), asc=False).alias("c"))
     return chains.select("fragment_id", F.transform("c", lambda x: x["ancestor"]).alias("ancestors"))

@@ -23,7 +23,9 @@ class Tables:
         if name not in DERIVED:
             return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         text = DERIVED[name][0]
-        return self.spark.sql(text, **{n: getattr(self, n) for n in sorted(names_in(text))})
+        made = self.spark.sql(text, **{n: getattr(self, n) for n in sorted(names_in(text))})
+        # The fragment tree is a stored table elsewhere; here it is derived once and read level by level.
+        return made.persist() if name == "d_fragments" else made
 
 
 def names_in(text: str) -> set[str]:

@@ -131,7 +131,7 @@ def xref_resolve(t):
         WHERE NOT EXISTS (SELECT 1 FROM d_fragments f WHERE f.document_id = r.document_id AND f.citation_label = r.target)""",
 )
 def validate_structure(t):
-    f = S.citation_paths(t.d_fragments).persist()
+    f = S.citation_paths(t.d_fragments)
     refs = S.resolve_references(S.detect_references(t.d_fragments.where("depth = 5")), t.d_fragments)
     return S.findings(f, t.d_blocks, t.d_cells, refs)
 
