@@ -117,8 +117,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
     documents link when den * intersection >= num * union. n_links counts the other documents
     linked directly, copies too; component_id is the smallest id reachable by links, its own
     included. Null texts and texts without words have an empty set and link with nothing; nor do
-    rows with a null id, whose component is null. Ids should be unique: rows that repeat an id are
-    each judged on their own text. Clashing columns are replaced; an empty table stays empty.
+    rows with a null id, whose component is null. Ids should be unique: rows that repeat an id all
+    get one result, that of the text with the smallest component. Clashing columns are replaced; an empty table stays empty.
     """
     new = ("n_shingles", "n_links", "component_id")
     others = [c for c in docs.columns if c.lower() not in new and c != text]
@@ -189,7 +189,8 @@ def jaccard_join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", si
         .join(components.withColumnRenamed("id", "doc_id"), "doc_id", "left")
         .select("n", "s1", "s2", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "doc_id").alias("component_id"))
     )
-    result = sets.join(per_class, ["n", "s1", "s2"]).select(F.col("doc_id").alias("__id"), F.col("n").alias("n_shingles"), "n_links", "component_id").dropDuplicates(["__id"])
+    result = sets.join(per_class, ["n", "s1", "s2"]).select(F.col("doc_id").alias("__id"), F.col("n").alias("n_shingles"), "n_links", "component_id")
+    result = result.groupBy("__id").agg(F.min(F.struct(*("component_id", "n_shingles", "n_links"))).alias("r")).select("__id", "r.n_shingles", "r.n_links", "r.component_id")
     own = F.col(doc_id).cast("long")
     zero = F.lit(0).cast("long")
     rows = docs.select(*[F.col(f"`{c}`") for c in others])

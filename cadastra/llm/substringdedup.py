@@ -111,11 +111,12 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     facts = nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("context") == F.max("context")).alias("through"))
     shared = staged(facts.where("first < last").select("node", "first", "through"), "shared-nodes")
     known = nodes.join(shared, "node").groupBy("doc_id", "row").agg(F.collect_list("node").alias("nodes"), F.collect_list("first").alias("firsts"), F.collect_list("through").alias("throughs"))
-    met = keyed.join(known.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "nodes", "firsts", "throughs"), ["__id", "__row"], "left")
+    facts_of = ("__nodes", "__firsts", "__throughs")
+    met = keyed.join(known.toDF("__id", "__row", *facts_of), ["__id", "__row"], "left")
 
-    facts_of = ("nodes", "firsts", "throughs")
     carried = [f for f in keyed.schema.fields if f.name != "__text"]
-    made = "n_words long, n_removed long, __out string, __text string, settled array<int>, at array<int>, h1 array<long>, h2 array<long>"
+    found = ("__out", "__text", "__settled", "__at", "__h1", "__h2")
+    made = "n_words long, n_removed long, __out string, __text string, __settled array<int>, __at array<int>, __h1 array<long>, __h2 array<long>"
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried]) + ", " + made
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,17 +164,17 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
                 rows.append((int(words.counts[d]), None, None, body.decode(), c.astype(np.int32), (verify[v] - first_word).astype(np.int32), h1[v], h2[v]))
         types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.int64())]
         arrays = [batch.column(f.name) for f in carried] + [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]
-        return pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in carried), "n_words", "n_removed", "__out", "__text", "settled", "at", "h1", "h2"])
+        return pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in carried), "n_words", "n_removed", *found])
 
     first_pass = staged(met.mapInArrow(settle, schema), "substring-pass")
     unstage(nodes)
     unstage(shared)
 
-    open_windows = first_pass.where("at is not null").select("__id", "__row", F.explode(F.arrays_zip("at", "h1", "h2")).alias("w"))
-    windows = open_windows.select("__id", "__row", "w.at", "w.h1", "w.h2")
+    unsettled = first_pass.where("__at is not null")
+    windows = unsettled.select("__id", "__row", F.explode(F.arrays_zip("__at", "__h1", "__h2")).alias("w")).select("__id", "__row", "w.__at", "w.__h1", "w.__h2").toDF("__id", "__row", "at", "h1", "h2")
     sources = staged(windows.where("__id is not null").groupBy("h1", "h2").agg(F.min("__id").alias("first"), F.max("__id").alias("last")).where("first < last").select("h1", "h2", "first"), "window-sources")
-    verified = windows.join(sources, ["h1", "h2"]).where("__id > first").groupBy("__id", "__row").agg(F.collect_set("at").alias("verified"))
-    rest = first_pass.where("at is not null").drop("at", "h1", "h2").join(verified, ["__id", "__row"], "left")
+    verified = windows.join(sources, ["h1", "h2"]).where("__id > first").groupBy("__id", "__row").agg(F.collect_set("at").alias("__verified"))
+    rest = unsettled.drop("__at", "__h1", "__h2").join(verified, ["__id", "__row"], "left")
 
     done_schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried if not f.name.startswith("__")]) + f"{', ' if others else ''}n_words long, n_removed long, {result} string"
 
@@ -181,11 +182,11 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         names = [f.name for f in carried if not f.name.startswith("__")]
         for batch in batches:
             rows = []
-            for t, c, v in zip(batch.column("__text").to_pylist(), batch.column("settled").to_pylist(), batch.column("verified").to_pylist(), strict=True):
+            for t, c, v in zip(batch.column("__text").to_pylist(), batch.column("__settled").to_pylist(), batch.column("__verified").to_pylist(), strict=True):
                 count, removed, out = kept_text(t.encode(), np.unique(np.array([*(c or ()), *(v or ())], np.int64)), window)
                 rows.append((count, removed, hashlib.sha256(out).hexdigest() if digest else out.decode()))
             made_ = [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.string()))]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + made_, names=[*names, "n_words", "n_removed", result])
 
-    settled = first_pass.where("at is null").select(*[F.col(f"`{c}`") for c in others], "n_words", "n_removed", F.col("__out").alias(result))
+    settled = first_pass.where("__at is null").select(*[F.col(f"`{c}`") for c in others], "n_words", "n_removed", F.col("__out").alias(result))
     return settled.unionByName(rest.mapInArrow(finish, done_schema))

@@ -89,7 +89,7 @@ def passages(seed, pieces=14, docs=60, vocabulary=400):
 @pytest.mark.parametrize(("seed", "window"), [(1, 20), (2, 20), (3, 14), (4, 5), (5, 50)])
 def test_substring_dedup(spark, seed, window):
     rows = [(i, t, i) for i, t in enumerate(passages(seed))] + [(900, None, 0), (901, " \t\n", 0), (None, passages(seed)[0], 0), (3, passages(seed)[0], 7)]
-    df = spark.createDataFrame(rows, "doc_id long, text string, n_words long")
+    df = spark.createDataFrame([(*r, 1, "y") for r in rows], "doc_id long, text string, n_words long, at int, nodes string")
     got = sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["n_words"], r["n_removed"], r["kept_text"]) for r in substring_dedup(df, window=window).collect())
     first = {}
     for i, t, _ in rows:
