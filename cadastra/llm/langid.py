@@ -69,6 +69,13 @@ def _sparse_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
+def _split_lists(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """The lists of a column as slices of one array."""
+    lists = column.combine_chunks()
+    lists = pa.concat_arrays(lists.chunks) if isinstance(lists, pa.ChunkedArray) else lists
+    return np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
+
+
 def train_language_id(labelled: DataFrame, sample_docs: int = 3000, epochs: int = 8, seed: int = 7) -> dict | None:
     """Fit on a bounded sample of (text, lang), ``sample_docs`` whole texts over all languages.
 
@@ -90,7 +97,7 @@ def train_language_id(labelled: DataFrame, sample_docs: int = 3000, epochs: int
     langs = sorted(sizes)
     y = np.array([langs.index(v) for v in rows.column("lang").to_pylist()], np.int64)
     pick = rows.column("pick").to_numpy()
-    where, weight = rows.column("buckets").to_pylist(), rows.column("weights").to_pylist()
+    where, weight = _split_lists(rows.column("buckets")), _split_lists(rows.column("weights"))
     rng = np.random.default_rng(seed)
     order = np.lexsort((pick, y))  # what the fit sees does not depend on the order of partitions
     embed = rng.normal(0, 0.1, (SIZE, DIM)).astype(np.float32)
