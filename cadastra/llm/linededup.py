@@ -22,7 +22,7 @@ from cadastra.llm.rows import with_columns_by_slice
 from cadastra.llm.textarrays import mix, slices
 from cadastra.llm.work import staged
 
-SHARD_KEYS, BUCKET_DOCS = 8192, 512
+SHARD_KEYS, BUCKET_DOCS = 2048, 512
 ARRAYS = ("mph", "prints", "counts", "firsts")
 NO_ID = 2**63 - 1
 _SPACE = b" \t\n\r\x0b\x0c"
