@@ -1,29 +1,41 @@
 """Quality classifier: interpolated modified Kneser-Ney model of trusted text (operator 8).
 
-Texts become symbols of a fixed alphabet of 64 classes. N-gram counts of trusted documents,
-continuation counts, context totals and lower-order probabilities are tables dealt by context and
-joined to give the probability of every seen n-gram. What the tasks need to score documents is
-then a dense table of 64**3 numbers, whatever the size of the corpus.
+The model is over 5-grams of code points, an open set. N-gram counts of trusted documents,
+continuation counts and context totals are tables dealt by context, which grow with the text.
+Documents are dealt into blocks; the distinct 5-grams of a block meet those tables in joins, and
+only their probabilities go back to the block. Nothing is collected or broadcast.
+
+``train_kneser_ney`` and ``perplexity`` are the same formulas as a dense table over 64 character
+classes; ``score_quality`` does not use them.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.rows import with_columns_by_slice
-from cadastra.llm.textarrays import slices, spans, utf8
+from cadastra.llm.textarrays import mix, slices, spans, utf8
 from cadastra.llm.work import staged
 
 A, ORDER = 64, 3
 FLUSH_BYTES = 8 << 20
 #: Trusted ids up to this number are broadcast (16 MB); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
+#: Order of the open model; a 5-gram is the pair (two symbols, three symbols) of 21 bits a symbol.
+OPEN_ORDER, BITS = 5, 21
+#: Text of a block, whose distinct 5-grams are looked up once.
+BLOCK_BYTES = 16 << 20
+#: Distinct 5-grams that a counting task holds before it hands them on.
+FLUSH_GRAMS = 1 << 20
+#: Symbols of the open model: all code points and the end mark.
+SYMBOLS = 0x110000 + 1
 
 
 def _symbol(point: int) -> int:
@@ -140,11 +152,174 @@ def perplexity(docs: DataFrame, log_p: np.ndarray, text: str = "text") -> DataFr
     return with_columns_by_slice(docs, {"perplexity": "double"}, make, text)
 
 
+def open_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Both parts of every 5-gram of code points of each text between end marks (symbol 0), and
+    where each text's 5-grams begin (length of the text in characters plus one of them)."""
+    raw, _ = utf8(texts)
+    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
+    length = pc.fill_null(pc.utf8_length(texts.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    block = length + OPEN_ORDER
+    begin = np.cumsum(block) - block
+    x = np.zeros(int(block.sum()), np.int64)
+    x[spans(begin + OPEN_ORDER - 1, length)] = points.astype(np.int64) + 1
+    last = spans(begin + OPEN_ORDER - 1, length + 1)
+    hi = x[last - 4] << BITS | x[last - 3]
+    lo = x[last - 2] << 2 * BITS | x[last - 1] << BITS | x[last]
+    return hi, lo, np.cumsum(length + 1) - length - 1
+
+
+def _key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
+    """One number for a 5-gram, to sort and find it by within a block."""
+    return mix(mix(hi.astype(np.uint64)) ^ lo.astype(np.uint64))
+
+
+def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Distinct (key, hi, lo) of all parts in the order of keys, and the sums of their counts."""
+    key, hi, lo, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
+    return key[at], hi[at], lo[at], np.bincount(inverse, n, len(at)).astype(np.int64)
+
+
+def _slice_grams(texts: pa.Array) -> tuple[np.ndarray, ...]:
+    hi, lo, _ = open_grams(texts)
+    return _distinct([(_key(hi, lo), hi, lo, np.ones(len(hi), np.int64))])
+
+
+def _count_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, ...]] = []
+    for whole in batches:
+        for batch in slices(whole, "text"):
+            held.append(_slice_grams(batch.column("text")))
+            if sum(len(p[0]) for p in held) > FLUSH_GRAMS:
+                held = [_distinct(held)]
+                if len(held[0][0]) > FLUSH_GRAMS // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0][1:]], names=["hi", "lo", "n"])
+                    held = []
+    if held:
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _distinct(held)[1:]], names=["hi", "lo", "n"])
+
+
+def _suffix(order: int) -> list[Column]:
+    """Both parts of the n-gram of ``order`` symbols at the end of a longer one."""
+    hi = F.col("hi").bitwiseAND(F.lit((1 << BITS * max(order - 3, 0)) - 1))
+    return [hi.alias("hi"), F.col("lo").bitwiseAND(F.lit((1 << BITS * min(order, 3)) - 1)).alias("lo")]
+
+
+def count_open(trusted: DataFrame) -> dict[int, DataFrame]:
+    """Tables (hi, lo, n) of orders 1 to 5: counts of all 5-grams of ``text``, and continuation counts below."""
+    found = trusted.where("text is not null").select("text").mapInArrow(_count_open, "hi long, lo long, n long")
+    counts = {OPEN_ORDER: staged(found.groupBy("hi", "lo").agg(F.sum("n").alias("n")), "kn-counts")}
+    for order in range(OPEN_ORDER - 1, 0, -1):
+        counts[order] = staged(counts[order + 1].groupBy(*_suffix(order)).agg(F.count(F.lit(1)).alias("n")), "kn-counts")
+    return counts
+
+
+def open_probabilities(counts: dict[int, DataFrame], asked: DataFrame) -> DataFrame:
+    """(hi, lo, log_p double) of distinct 5-grams ``asked`` (hi, lo), seen or not.
+
+    Per order, asked and counted n-grams are dealt by context together, which gives counts and the
+    totals of the context in one place; the lower order's probability joins by suffix.
+    """
+    wanted = {OPEN_ORDER: asked}
+    for order in range(OPEN_ORDER - 1, 0, -1):
+        wanted[order] = wanted[order + 1].select(*_suffix(order)).distinct()
+    lower = None
+    for order in range(1, OPEN_ORDER + 1):
+        d1, d2, d3 = _discounts(counts[order])
+        both = counts[order].withColumn("asked", F.lit(0)).unionByName(wanted[order].select("hi", "lo", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
+        dealt = both.withColumn("context", F.shiftright("lo", BITS)).repartition("hi", "context")
+        grams = dealt.groupBy("hi", "context", "lo").agg(F.sum("n").alias("n"), F.max("asked").alias("asked"))
+        grams = grams.withColumn("d", F.when(F.col("n") == 0, 0.0).when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
+        same = Window.partitionBy("hi", "context")
+        found = grams.select("hi", "lo", "n", "d", "asked", F.sum("n").over(same).alias("total"), F.sum("d").over(same).alias("freed")).where("asked = 1")
+        if lower is None:
+            found = found.withColumn("p_low", F.lit(1 / SYMBOLS))
+        else:
+            near = found.select("*", *[c.alias(f"low_{p}") for c, p in zip(_suffix(order - 1), ("hi", "lo"), strict=True)])
+            found = near.join(lower.select(F.col("hi").alias("low_hi"), F.col("lo").alias("low_lo"), F.col("p").alias("p_low")), ["low_hi", "low_lo"])
+        p = F.when(F.col("total") > 0, (F.col("n") - F.col("d") + F.col("freed") * F.col("p_low")) / F.col("total")).otherwise(F.col("p_low"))
+        lower = found.select("hi", "lo", p.alias("p"))
+    return lower.select("hi", "lo", F.log("p").alias("log_p"))
+
+
+def _packed(batches: list[pa.RecordBatch]) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
+        for batch in batches:
+            writer.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _pack(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """One row (block, rows) for about BLOCK_BYTES of text of a task, the rows compressed."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def row() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([_packed(held)], pa.binary())], names=["block", "rows"])
+
+    for whole in batches:
+        for batch in slices(whole, text):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield row()
+                held, size = [], 0
+    if held:
+        yield row()
+
+
+def _block_grams(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
+    """The distinct 5-grams of each block."""
+    for packs in batches:
+        for block, rows in zip(packs.column("block"), packs.column("rows"), strict=True):
+            held: list[tuple[np.ndarray, ...]] = []
+            for batch in pa.ipc.open_stream(rows.as_buffer()):
+                held.append(_slice_grams(batch.column(text)))
+                if sum(len(p[0]) for p in held) > FLUSH_GRAMS:
+                    held = [_distinct(held)]
+            _, hi, lo, _ = _distinct(held)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), block.as_py())), pa.array(hi), pa.array(lo)], names=["block", "hi", "lo"])
+
+
+def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "text") -> DataFrame:
+    """``docs`` plus perplexity double: per symbol, end mark included; null for null or empty text.
+
+    Rows are written compressed in blocks of their task, which later steps move as a whole. The distinct
+    5-grams of all blocks get their probability once, and go back to the blocks that hold them.
+    """
+    kept = [f for f in docs.schema.fields if f.name.lower() != "perplexity"]
+    names = [f.name for f in kept]
+    blocks = docs.select(*[docs[f"`{c}`"] for c in names]).mapInArrow(lambda batches: _pack(batches, text), "block long, rows binary")
+    blocks = staged(blocks, "kn-blocks")
+    probes = staged(blocks.mapInArrow(lambda batches: _block_grams(batches, text), "block long, hi long, lo long"), "kn-probes")
+    known = open_probabilities(counts, probes.select("hi", "lo").distinct())
+    back = probes.join(known, ["hi", "lo"]).select("block", "hi", "lo", F.col("log_p").cast("float").alias("log_p"))
+
+    def score(block: pa.Table, grams: pa.Table) -> pa.Table:
+        key = _key(grams.column("hi").to_numpy(), grams.column("lo").to_numpy())
+        order = np.argsort(key)
+        key, log_p = key[order], grams.column("log_p").to_numpy()[order].astype(np.float64)
+        out = []
+        for rows in block.column("rows"):
+            for batch in pa.ipc.open_stream(rows.as_buffer()):
+                hi, lo, at = open_grams(batch.column(text))
+                n = np.diff(np.append(at, len(hi)))
+                mean = np.add.reduceat(log_p[np.searchsorted(key, _key(hi, lo))], at) / n
+                got = pa.array(np.exp(-mean), pa.float64(), mask=n <= 1)
+                out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got], names=[*names, "perplexity"]))
+        return pa.Table.from_batches(out)
+
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["perplexity double"])
+    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
+
+
 def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", tail: float = 0.99, reach: float = 3.5) -> DataFrame:
     """All columns of ``docs`` plus perplexity, max_perplexity and kept boolean.
 
-    ``trusted_ids`` (doc_id) names the trusted documents. A language's limit comes from the
-    quantiles of its trusted documents' log perplexity: median + reach * (tail quantile - median).
+    ``trusted_ids`` (doc_id) names the trusted documents. Every fifth by hash (if these are 20 or
+    more) is left out of the counts, since counted texts look better than others; a language's limit
+    comes from the quantiles of the log perplexity of those: median + reach * (tail quantile - median).
     Languages (null too) with fewer than 20 trusted documents take the limit over all of them.
     A document is kept if it has text and does not pass its limit; without any trusted text, all
     documents with text are kept. Clashing columns are replaced; an empty table stays empty.
@@ -152,13 +327,17 @@ def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id
     out = docs.drop(*[c for c in docs.columns if c.lower() in ("max_perplexity", "kept", "perplexity")])
     ids = trusted_ids.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("__trusted")).distinct()
     near = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    trusted = docs.join(near, docs[doc_id] == F.col("__trusted"), "left_semi").select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"))
-    log_p = train_kneser_ney(trusted)
-    if log_p is None:
+    is_left = F.pmod(F.xxhash64(F.col(doc_id)), F.lit(5)) == 0
+    trusted = docs.join(near, docs[doc_id] == F.col("__trusted"), "left_semi").where(F.length(text) > 0).select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang"), is_left.alias("left"))
+    sizes = trusted.agg(F.count(F.lit(1)), F.count_if("left")).first()
+    split = sizes[1] >= 20 and sizes[0] > sizes[1]
+    if not sizes[0]:
         return out.withColumn("perplexity", F.lit(None).cast("double")).withColumn("max_perplexity", F.lit(None).cast("double")).withColumn("kept", F.length(text) > 0).fillna(False, ["kept"])
+    counts = count_open(trusted.where("not left") if split else trusted)
+    mine = open_perplexity(trusted.where("left") if split else trusted, counts)
     # Rounded up to a thousandth, so that the exact quantiles hold some 30,000 different values at most, and
     # come out the same in whatever order the rows come.
-    scored = perplexity(trusted, log_p).where("perplexity is not null").withColumn("x", F.ceil(F.log("perplexity") * 1000) / 1000)
+    scored = mine.where("perplexity is not null").withColumn("x", F.ceil(F.log("perplexity") * 1000) / 1000)
     quantiles = F.percentile("x", F.array(F.lit(0.5), F.lit(tail))).alias("q")
     limit = F.exp(F.col("q")[0] + reach * (F.col("q")[1] - F.col("q")[0]))
     # One row per language and one for all, from one pass over the trusted documents.
@@ -166,7 +345,7 @@ def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id
     overall = limits.where("all = 1").first()
     overall = overall["max"] if overall else None
     own = limits.where("all = 0 and n >= 20").select(F.col("lang").alias("__lang"), F.col("max").alias("__max"))
-    found = perplexity(out, log_p, text)
+    found = open_perplexity(out, counts, text)
     found = found.join(own, found[lang].cast("string").eqNullSafe(F.col("__lang")), "left")
     found = found.withColumn("max_perplexity", F.coalesce("__max", F.lit(overall))).drop("__lang", "__max")
     return found.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("max_perplexity"), F.lit(False)))
