@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.rows import with_columns_by_slice
-from cadastra.llm.textarrays import mix, slices, spans, utf8
+from cadastra.llm.textarrays import Words, mix, slices, spans, utf8
 from cadastra.llm.work import staged
 
 A, ORDER = 64, 3
@@ -314,14 +314,50 @@ def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "
     return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
 
 
-def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", tail: float = 0.99, reach: float = 3.5) -> DataFrame:
+def varied(docs: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` plus varied double: distinct pairs of neighbouring words per pair; null under five words."""
+
+    def make(batch: pa.RecordBatch) -> dict[str, object]:
+        words = Words(batch.column(text), lower=True)
+        starts, n = words.gram_starts(2)
+        doc = np.repeat(np.arange(len(n)), n)
+        pair = mix(words.grams(starts, starts + 2) ^ mix(doc.astype(np.uint64)))
+        _, at = np.unique(pair, return_index=True)
+        return {"varied": pa.array(np.bincount(doc[at], minlength=len(n)) / np.maximum(n, 1), mask=np.asarray(n) < 4)}
+
+    return with_columns_by_slice(docs, {"varied": "double"}, make, text)
+
+
+def toxic_words(trusted: DataFrame, toxic: DataFrame, share: float = 0.02, times: float = 20, least: int = 5) -> list[str]:
+    """Words that mark toxic documents: in ``share`` of a language's toxic texts or more (and ``least`` of
+    them), and ``times`` as often as in the trusted texts of all languages.
+
+    Both have text and lang. All texts are counted; ``share`` bounds how many words a language can have.
+    """
+    both = trusted.select("text", "lang", F.lit(0).alias("toxic")).unionByName(toxic.select("text", "lang", F.lit(1).alias("toxic")))
+    sizes = {r["lang"]: r["n"] for r in toxic.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_trusted = max(trusted.count(), 1)
+    words = both.select("lang", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("w"))
+    found = words.groupBy("w", "lang").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
+    found = found.withColumn("good", F.sum("good").over(Window.partitionBy("w")))
+    size = F.lit(None).cast("long")
+    for lang, n in sizes.items():
+        size = F.when(F.col("lang").eqNullSafe(F.lit(lang)), n).otherwise(size)
+    rate = F.col("bad") / size
+    marks = found.where((F.col("bad") >= least) & (rate >= share) & (rate >= times * (F.col("good") + 0.5) / n_trusted))
+    return sorted(r["w"] for r in marks.select("w").distinct().collect())
+
+
+def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", tail: float = 0.99, toxic_ids: DataFrame | None = None, low: float = 0.001) -> DataFrame:
     """All columns of ``docs`` plus perplexity, max_perplexity and kept boolean.
 
     ``trusted_ids`` (doc_id) names the trusted documents. Every fifth by hash (if these are 20 or
     more) is left out of the counts, since counted texts look better than others; a language's limit
-    comes from the quantiles of the log perplexity of those: median + reach * (tail quantile - median).
+    is the ``tail`` quantile of the perplexity of those.
     Languages (null too) with fewer than 20 trusted documents take the limit over all of them.
-    A document is kept if it has text and does not pass its limit; without any trusted text, all
+    A document is kept if it has text and does not pass its limit, if its pairs of words repeat no more
+    than those of trusted documents (``low`` quantile of ``varied``), and if it has none of the words
+    that mark the documents of ``toxic_ids`` (doc_id). Without any trusted text, all
     documents with text are kept. Clashing columns are replaced; an empty table stays empty.
     """
     out = docs.drop(*[c for c in docs.columns if c.lower() in ("max_perplexity", "kept", "perplexity")])
@@ -338,14 +374,22 @@ def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id
     # Rounded up to a thousandth, so that the exact quantiles hold some 30,000 different values at most, and
     # come out the same in whatever order the rows come.
     scored = mine.where("perplexity is not null").withColumn("x", F.ceil(F.log("perplexity") * 1000) / 1000)
-    quantiles = F.percentile("x", F.array(F.lit(0.5), F.lit(tail))).alias("q")
-    limit = F.exp(F.col("q")[0] + reach * (F.col("q")[1] - F.col("q")[0]))
+    quantiles = F.expr(f"percentile_disc({tail}) within group (order by x)").alias("q")
+    limit = F.exp("q")
     # One row per language and one for all, from one pass over the trusted documents.
     limits = staged(scored.groupingSets([["lang"], []], "lang").agg(F.grouping("lang").alias("all"), F.count(F.lit(1)).alias("n"), quantiles).select("lang", "all", "n", limit.alias("max")), "kn-limits")
     overall = limits.where("all = 1").first()
     overall = overall["max"] if overall else None
     own = limits.where("all = 0 and n >= 20").select(F.col("lang").alias("__lang"), F.col("max").alias("__max"))
-    found = open_perplexity(out, counts, text)
+    found = varied(open_perplexity(out, counts, text), text).withColumnRenamed("varied", "__varied")
     found = found.join(own, found[lang].cast("string").eqNullSafe(F.col("__lang")), "left")
     found = found.withColumn("max_perplexity", F.coalesce("__max", F.lit(overall))).drop("__lang", "__max")
-    return found.withColumn("kept", F.coalesce(F.col("perplexity") <= F.col("max_perplexity"), F.lit(False)))
+    floor = varied(trusted).select((F.floor(F.col("varied") * 1000) / 1000).alias("x")).agg(F.expr(f"percentile_disc({low}) within group (order by x)")).first()[0]
+    good = (F.col("perplexity") <= F.col("max_perplexity")) & (F.coalesce(F.col("__varied"), F.lit(1.0)) >= F.lit(floor or 0.0))
+    if toxic_ids is not None:
+        bad = toxic_ids.select(F.col(doc_id).alias("__trusted")).distinct()
+        bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
+        marks = toxic_words(trusted, docs.join(bad, docs[doc_id] == F.col("__trusted"), "left_semi").select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")))
+        if marks:
+            good &= ~F.lower(text).rlike(r"(?<!\p{L})(" + "|".join(marks) + r")(?!\p{L})")
+    return found.withColumn("kept", F.coalesce(good, F.lit(False))).drop("__varied")

@@ -101,6 +101,10 @@ def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "labels").where("quality = 1 and toxic = 0").select("doc_id")
 
 
+def toxic_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for each document and test item that it holds."""
     docs = contamination(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
@@ -110,7 +114,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return score_quality(docs, trusted_ids(spark, sf_dir)).select("doc_id", "lang", "perplexity", "max_perplexity", "kept")
+    return score_quality(docs, trusted_ids(spark, sf_dir), toxic_ids=toxic_ids(spark, sf_dir)).select("doc_id", "lang", "perplexity", "max_perplexity", "kept")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {

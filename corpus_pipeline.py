@@ -14,16 +14,16 @@ from cadastra.llm.decontaminate import contamination
 from cadastra.llm.jaccardjoin import jaccard_join
 from cadastra.llm.linededup import line_dedup
 from cadastra.llm.quality import score_quality
-from cadastra.llm.queries import table, tokenizer_json, trusted_ids
+from cadastra.llm.queries import table, tokenizer_json, toxic_ids, trusted_ids
 from cadastra.llm.work import small_batches, staged
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the perplexity limit of their language rejects go; so do those without text."""
+    """Documents go that the perplexity limit of their language rejects, that repeat themselves, that hold toxic words or no text."""
     small_batches(spark)
-    return score_quality(docs, trusted_ids(spark, sf_dir)).where("kept").select(*COLUMNS)
+    return score_quality(docs, trusted_ids(spark, sf_dir), toxic_ids=toxic_ids(spark, sf_dir)).where("kept").select(*COLUMNS)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
