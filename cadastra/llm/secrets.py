@@ -112,11 +112,15 @@ def scan_secrets(candidates: DataFrame, model: RandomForestClassificationModel |
     return scored.drop("__vector", "__p").withColumn("is_secret", F.col("score") >= threshold)
 
 
-def common_words(docs: DataFrame, text: str = "text", sample_docs: int = 2000, size: int = 5000) -> frozenset[str]:
-    """A dictionary for the coverage features: the ``size`` most frequent words of three letters or
-    more in a bounded sample of texts, picked by hash."""
-    n = docs.count()
-    picked = docs.where(F.pmod(F.xxhash64(text), F.lit(1 << 20)) < int((1 << 20) * min(1.0, sample_docs / max(n, 1))))
-    words = picked.select(F.explode(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{3,})"), 1)).alias("w"))
-    top = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "w").limit(size)
-    return frozenset(r["w"] for r in top.collect())
+def common_words(docs: DataFrame, text: str = "text", share: float = 0.001) -> frozenset[str]:
+    """A dictionary for the coverage features: every word of three letters or more that ``share`` of the
+    different texts hold, and two of them at least.
+
+    All documents are counted, copies of a text once. ``share`` bounds the dictionary, whatever the
+    number of texts, by their mean number of different words divided by it.
+    """
+    texts = docs.where(F.length(text) > 0).groupBy(F.sha2(text, 256).alias("same")).agg(F.first(text).alias("text"))
+    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))).alias("w"))
+    least = max(2.0, share * docs.where(F.length(text) > 0).select(F.sha2(text, 256)).distinct().count())
+    found = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    return frozenset(r["w"] for r in found.select("w").collect())
