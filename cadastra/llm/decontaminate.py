@@ -7,6 +7,7 @@ hits are verified with Myers' bit-parallel distance over words.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.rows import with_columns_by_slice
 from cadastra.llm.textarrays import Words, utf8
+from cadastra.llm.work import staged
 
 #: Words of test items that one pass over the documents holds in memory; larger benchmarks take more passes.
 PASS_WORDS = 2_000_000
@@ -66,7 +68,7 @@ def myers_end(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class Pieces:
     """The pieces of all test items: sorted hashes per piece length, with item and place."""
 
-    def __init__(self, ids: list[int], texts: list[str], error_rate: float, min_words: int):
+    def __init__(self, ids: list[int], texts: list[str], error_rate: float):
         words = plain_words(pa.array(texts, pa.large_string()))
         self.ids, self.items, self.budgets = ids, [], []
         rows: dict[int, list[tuple[int, int, int]]] = {}
@@ -75,7 +77,7 @@ class Pieces:
             self.items.append(words.hashes[lo : lo + m].tolist())
             budget = int(error_rate * m)
             self.budgets.append(budget)
-            if m < max(min_words, 1):
+            if not m:
                 continue
             cuts = [m * i // (budget + 1) for i in range(budget + 2)]
             for a, b in zip(cuts, cuts[1:], strict=False):
@@ -118,39 +120,45 @@ class Pieces:
         return out
 
 
-def _item_blocks(benchmark: DataFrame, item_id: str, text: str) -> Iterator[tuple[list[int], list[str]]]:
-    """The items in blocks of about PASS_WORDS words."""
+def _item_blocks(benchmark: DataFrame, item_id: str, text: str, pass_words: int) -> Iterator[tuple[list[int], list[str]]]:
+    """The items in blocks of about ``pass_words`` words."""
     rows = benchmark.where(F.col(text).isNotNull()).select(F.col(item_id).cast("long").alias("item_id"), F.col(text).alias("text"))
-    rows = rows.withColumn("block", F.lit(0))
     total = rows.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
-    blocks = -(-total // PASS_WORDS)
+    blocks = -(-total // pass_words)
     for b in range(blocks):
         got = rows.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).orderBy("item_id", "text").collect()
         yield [r["item_id"] for r in got], [r["text"] for r in got]
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.2, min_words: int = 5) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", error_rate: float = 0.2, pass_words: int = PASS_WORDS) -> DataFrame:
     """All columns of ``docs`` plus item_ids array<long>, item_distances array<int>, item_ends array<int>.
 
     An item of m words matches a document that holds a stretch within floor(error_rate * m) word
     edits of it. Words are lower-cased runs of letters and digits (and characters beyond ASCII).
     For each matched item: its id, the smallest distance found and the word (from 0) after the
-    stretch. Items under ``min_words`` words and null items never match; null and empty texts
-    match nothing. Whole texts are searched, so hits may be anywhere and of any number; repeated
-    items or rows give repeated results. An empty benchmark leaves empty arrays. Clashing columns
-    of ``docs`` are replaced.
+    stretch. Items of so few words that no edit is allowed match as exact phrases; items without
+    words never match; null and empty texts match nothing. Whole texts are searched, so hits may
+    be anywhere and of any number; repeated items or rows give repeated results. An empty
+    benchmark leaves empty arrays. Clashing columns of ``docs`` are replaced.
+
+    Items are searched in passes of about ``pass_words`` words, the most that the driver and a
+    worker hold at once; each pass but the first reads the table that the one before it wrote.
     """
     spark = docs.sparkSession
     new = {"item_ids": "array<long>", "item_distances": "array<int>", "item_ends": "array<int>"}
     out = docs.drop(*[c for c in docs.columns if c.lower() in new])
     for c, t in new.items():
         out = out.withColumn(c, F.expr(f"cast(array() as {t})"))
-    for i, (ids, texts) in enumerate(_item_blocks(benchmark, item_id, item_text)):
+    for i, (ids, texts) in enumerate(_item_blocks(benchmark, item_id, item_text, pass_words)):
+        if i:
+            out = staged(out, "decontamination-pass")
+        # The key tells test sets apart in workers that serve several of them in turn.
+        key = hashlib.sha256(repr((ids, texts, error_rate)).encode("utf-8", "surrogatepass")).hexdigest()
         shared = spark.sparkContext.broadcast((ids, texts))
         found = {f"__{c}": t for c, t in new.items()}
 
-        def make(batch: pa.RecordBatch, shared=shared, key=i) -> dict[str, object]:
-            pieces = _pieces(key, shared, error_rate, min_words)
+        def make(batch: pa.RecordBatch, shared=shared, key=key) -> dict[str, object]:
+            pieces = _pieces(key, shared, error_rate)
             hits = [sorted((pieces.ids[k], *v) for k, v in doc.items()) for doc in pieces.matches(batch.column(text))]
             return {f"__{c}": [[h[j] for h in doc] for doc in hits] for j, c in enumerate(new)}
 
@@ -160,13 +168,12 @@ def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return out
 
 
-_built: dict[object, Pieces] = {}
+_built: dict[str, Pieces] = {}
 
 
-def _pieces(key: int, shared, error_rate: float, min_words: int) -> Pieces:
-    """One set of pieces per worker process and broadcast."""
-    name = (shared._jbroadcast.id() if getattr(shared, "_jbroadcast", None) else id(shared), key, error_rate, min_words)
-    if name not in _built:
+def _pieces(key: str, shared, error_rate: float) -> Pieces:
+    """The pieces of the test items with the digest ``key``, built once per worker process."""
+    if key not in _built:
         _built.clear()
-        _built[name] = Pieces(*shared.value, error_rate, min_words)
-    return _built[name]
+        _built[key] = Pieces(*shared.value, error_rate)
+    return _built[key]
