@@ -1,12 +1,9 @@
 """Quality classifier: interpolated modified Kneser-Ney model of trusted text (operator 8).
 
-The model is over 5-grams of code points, an open set. N-gram counts of trusted documents,
+The model is over 4-grams of code points, an open set. N-gram counts of trusted documents,
 continuation counts and context totals are tables dealt by context, which grow with the text.
-Documents are dealt into blocks; the distinct 5-grams of a block meet those tables in joins, and
-only their probabilities go back to the block. Nothing is collected or broadcast.
-
-``train_kneser_ney`` and ``perplexity`` are the same formulas as a dense table over 64 character
-classes; ``score_quality`` does not use them.
+Documents are dealt into blocks; the distinct 4-grams of a block meet those tables in joins, and
+only their probabilities go back to the block. Nothing of the model is collected or broadcast.
 """
 
 from __future__ import annotations
@@ -17,82 +14,28 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.rows import with_columns_by_slice
 from cadastra.llm.textarrays import Words, mix, slices, spans, utf8
-from cadastra.llm.work import staged
+from cadastra.llm.work import stage_path, staged
 
-A, ORDER = 64, 3
-FLUSH_BYTES = 8 << 20
-#: Trusted ids up to this number are broadcast (16 MB); beyond, the join shuffles.
+#: Ids up to this number are broadcast (16 MB); beyond, the join shuffles.
 BROADCAST_IDS = 1_000_000
-#: Order of the open model; a 5-gram is the pair (two symbols, three symbols) of 21 bits a symbol.
-OPEN_ORDER, BITS = 5, 21
-#: Text of a block, whose distinct 5-grams are looked up once.
-BLOCK_BYTES = 16 << 20
-#: Distinct 5-grams that a counting task holds before it hands them on.
+#: Order of the model; an n-gram is the pair (symbols before the last three, last three) of 21 bits a symbol.
+ORDER, BITS = 4, 21
+#: Text of a block, whose distinct n-grams are looked up once, and of a row that carries a part of a block.
+BLOCK_BYTES, PACK_BYTES = 64 << 20, 8 << 20
+#: Files that blocks are dealt into at most.
+MAX_BUCKETS = 4096
+#: Distinct n-grams that a counting task holds before it hands them on.
 FLUSH_GRAMS = 1 << 20
-#: Symbols of the open model: all code points and the end mark.
+#: Symbols of the model: all code points and the end mark.
 SYMBOLS = 0x110000 + 1
 
 
-def _symbol(point: int) -> int:
-    """Class of a code point: 0 is kept for the ends of a text."""
-    c = chr(point)
-    if "a" <= c <= "z":
-        return 1 + point - ord("a")
-    if "0" <= c <= "9":
-        return 28
-    for symbol, chars in {29: "\n", 31: ".", 32: ",", 33: "'’", 34: "-–—", 35: "!?", 36: ";:", 37: "()[]{}\"«»“”", 38: "@/"}.items():
-        if c in chars:
-            return symbol
-    if c.isspace():
-        return 30
-    if c.isalpha():
-        return 40 + point * 7 % 16 if c.islower() else 27
-    return 39 if point < 128 else 63
-
-
-_SYMBOLS = np.array([_symbol(p) if not 0xD800 <= p < 0xE000 else 63 for p in range(0x3000)] + [63], np.int64)
-
-
-def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of all trigrams of each text between end marks, and where each text's codes begin
-    (length of the text in characters plus one of them)."""
-    raw, _ = utf8(texts)
-    points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
-    length = pc.fill_null(pc.utf8_length(texts.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    block = length + ORDER
-    begin = np.cumsum(block) - block
-    x = np.zeros(int(block.sum()), np.int64)
-    x[spans(begin + ORDER - 1, length)] = _SYMBOLS[np.minimum(points, len(_SYMBOLS) - 1)]
-    code = x.copy()
-    for back in range(1, ORDER):
-        code[back:] += x[:-back] * A**back
-    at = np.cumsum(length + 1) - length - 1
-    return code[spans(begin + ORDER - 1, length + 1)], at
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, size = np.zeros(A**ORDER, np.int64), 0
-
-    def rows() -> pa.RecordBatch:
-        k = np.flatnonzero(total)
-        return pa.RecordBatch.from_arrays([pa.array(k), pa.array(total[k])], names=["code", "n"])
-
-    for whole in batches:
-        for batch in slices(whole, "text"):
-            codes, _ = trigrams(batch.column("text"))
-            total += np.bincount(codes, minlength=A**ORDER)
-            size += len(codes)
-            if size > FLUSH_BYTES:
-                yield rows()
-                total[:], size = 0, 0
-    yield rows()
-
-
 def _discounts(counts: DataFrame) -> list[float]:
     """Discounts for counts of 1, 2, and 3 or more, from the numbers of n-grams seen 1 to 4 times."""
     got = counts.agg(*[F.count_if(F.col("n") == i) for i in range(1, 5)]).first()
@@ -103,86 +46,41 @@ def _discounts(counts: DataFrame) -> list[float]:
     return [max(0.0, min(i, i - (i + 1) * y * b / a)) for i, a, b in ((1, n1, n2), (2, n2, n3), (3, n3, n4))]
 
 
-def train_kneser_ney(trusted: DataFrame) -> np.ndarray | None:
-    """Dense natural-log probabilities of the last symbol of every trigram; None without any text.
-
-    ``trusted`` has text; all its rows and whole texts are counted. The highest order uses raw
-    counts, lower orders continuation counts. Per order, n-grams join the totals of their context
-    and the probabilities of their suffix.
-    """
-    counts = {ORDER: staged(trusted.where("text is not null").select("text").mapInArrow(_count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")), "kn-counts")}
-    if counts[ORDER].isEmpty():
-        return None
-    for order in range(ORDER - 1, 0, -1):
-        counts[order] = counts[order + 1].groupBy(F.pmod("code", F.lit(A**order)).alias("code")).agg(F.count(F.lit(1)).alias("n"))
-    lower, dense = None, np.full(1, 1 / A)
-    for order in range(1, ORDER + 1):
-        d1, d2, d3 = _discounts(counts[order])
-        grams = counts[order].withColumn("context", F.floor(F.col("code") / A)).withColumn("d", F.when(F.col("n") == 1, d1).when(F.col("n") == 2, d2).otherwise(d3))
-        totals = grams.groupBy("context").agg(F.sum("n").alias("total"), F.sum("d").alias("freed"))
-        joined = grams.join(totals, "context").withColumn("suffix", F.pmod("code", F.lit(A ** (order - 1))))
-        if lower is None:
-            joined = joined.withColumn("p_low", F.lit(1 / A))
-        else:
-            joined = joined.join(lower.select(F.col("code").alias("suffix"), F.col("p").alias("p_low")), "suffix")
-        lower = joined.select("code", "context", (F.col("freed") / F.col("total")).alias("weight"), ((F.col("n") - F.col("d") + F.col("freed") * F.col("p_low")) / F.col("total")).alias("p"))
-        if order < ORDER:
-            lower = staged(lower, "kn-order")
-        rows = lower.toArrow()  # A**order rows at most
-        # Unseen n-grams fall back to their context's weight times the lower order; unseen contexts to that alone.
-        weight = np.ones(A ** (order - 1))
-        weight[rows.column("context").to_numpy()] = rows.column("weight").to_numpy()
-        suffix = np.arange(A**order) % A ** (order - 1) if order > 1 else np.zeros(A, np.int64)
-        table = np.repeat(weight, A) * (dense[np.arange(A**order) % len(dense)] if order > 1 else dense[suffix])
-        table[rows.column("code").to_numpy()] = rows.column("p").to_numpy()
-        dense = table
-    return np.log(np.maximum(dense, 1e-12))
-
-
-def perplexity(docs: DataFrame, log_p: np.ndarray, text: str = "text") -> DataFrame:
-    """``docs`` plus perplexity double: per symbol, end mark included; null for null or empty text."""
-    shared = docs.sparkSession.sparkContext.broadcast(log_p.astype(np.float32))  # A**ORDER floats
-
-    def make(batch: pa.RecordBatch) -> dict[str, object]:
-        codes, at = trigrams(batch.column(text))
-        n = np.diff(np.append(at, len(codes)))
-        mean = np.add.reduceat(shared.value[codes].astype(np.float64), at) / n
-        return {"perplexity": pa.array(np.exp(-mean), mask=n <= 1)}
-
-    return with_columns_by_slice(docs, {"perplexity": "double"}, make, text)
-
-
 def open_grams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Both parts of every 5-gram of code points of each text between end marks (symbol 0), and
-    where each text's 5-grams begin (length of the text in characters plus one of them)."""
+    """Both parts of every n-gram of code points of each text between end marks (symbol 0), and
+    where each text's n-grams begin (length of the text in characters plus one of them)."""
     raw, _ = utf8(texts)
     points = np.frombuffer(raw.tobytes().decode("utf-8").encode("utf-32-le"), np.uint32)
     length = pc.fill_null(pc.utf8_length(texts.cast(pa.large_string())), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-    block = length + OPEN_ORDER
+    block = length + ORDER
     begin = np.cumsum(block) - block
     x = np.zeros(int(block.sum()), np.int64)
-    x[spans(begin + OPEN_ORDER - 1, length)] = points.astype(np.int64) + 1
-    last = spans(begin + OPEN_ORDER - 1, length + 1)
-    hi = x[last - 4] << BITS | x[last - 3]
+    x[spans(begin + ORDER - 1, length)] = points.astype(np.int64) + 1
+    last = spans(begin + ORDER - 1, length + 1)
+    hi = np.zeros(len(last), np.int64)
+    for back in range(ORDER - 1, 2, -1):
+        hi = hi << BITS | x[last - back]
     lo = x[last - 2] << 2 * BITS | x[last - 1] << BITS | x[last]
     return hi, lo, np.cumsum(length + 1) - length - 1
 
 
 def _key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
-    """One number for a 5-gram, to sort and find it by within a block."""
+    """One number for an n-gram, to find it by within a block."""
     return mix(mix(hi.astype(np.uint64)) ^ lo.astype(np.uint64))
 
 
 def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct (key, hi, lo) of all parts in the order of keys, and the sums of their counts."""
-    key, hi, lo, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-    _, at, inverse = np.unique(key, return_index=True, return_inverse=True)
-    return key[at], hi[at], lo[at], np.bincount(inverse, n, len(at)).astype(np.int64)
+    """Distinct (hi, lo) of all parts in their order, and the sums of their counts."""
+    hi, lo, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+    order = np.lexsort((lo, hi))
+    hi, lo = hi[order], lo[order]
+    at = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))) if len(hi) else np.zeros(0, np.int64)
+    return hi[at], lo[at], np.add.reduceat(n[order], at) if len(at) else n
 
 
 def _slice_grams(texts: pa.Array) -> tuple[np.ndarray, ...]:
     hi, lo, _ = open_grams(texts)
-    return _distinct([(_key(hi, lo), hi, lo, np.ones(len(hi), np.int64))])
+    return _distinct([(hi, lo, np.ones(len(hi), np.int64))])
 
 
 def _count_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,10 +91,10 @@ def _count_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if sum(len(p[0]) for p in held) > FLUSH_GRAMS:
                 held = [_distinct(held)]
                 if len(held[0][0]) > FLUSH_GRAMS // 2:
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0][1:]], names=["hi", "lo", "n"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in held[0]], names=["hi", "lo", "n"])
                     held = []
     if held:
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _distinct(held)[1:]], names=["hi", "lo", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in _distinct(held)], names=["hi", "lo", "n"])
 
 
 def _suffix(order: int) -> list[Column]:
@@ -206,25 +104,25 @@ def _suffix(order: int) -> list[Column]:
 
 
 def count_open(trusted: DataFrame) -> dict[int, DataFrame]:
-    """Tables (hi, lo, n) of orders 1 to 5: counts of all 5-grams of ``text``, and continuation counts below."""
+    """Tables (hi, lo, n) of orders 1 to ORDER: counts of all n-grams of ``text``, and continuation counts below."""
     found = trusted.where("text is not null").select("text").mapInArrow(_count_open, "hi long, lo long, n long")
-    counts = {OPEN_ORDER: staged(found.groupBy("hi", "lo").agg(F.sum("n").alias("n")), "kn-counts")}
-    for order in range(OPEN_ORDER - 1, 0, -1):
+    counts = {ORDER: staged(found.groupBy("hi", "lo").agg(F.sum("n").alias("n")), "kn-counts")}
+    for order in range(ORDER - 1, 0, -1):
         counts[order] = staged(counts[order + 1].groupBy(*_suffix(order)).agg(F.count(F.lit(1)).alias("n")), "kn-counts")
     return counts
 
 
 def open_probabilities(counts: dict[int, DataFrame], asked: DataFrame) -> DataFrame:
-    """(hi, lo, log_p double) of distinct 5-grams ``asked`` (hi, lo), seen or not.
+    """(hi, lo, log_p double) of distinct n-grams ``asked`` (hi, lo), seen or not.
 
     Per order, asked and counted n-grams are dealt by context together, which gives counts and the
     totals of the context in one place; the lower order's probability joins by suffix.
     """
-    wanted = {OPEN_ORDER: asked}
-    for order in range(OPEN_ORDER - 1, 0, -1):
+    wanted = {ORDER: asked}
+    for order in range(ORDER - 1, 0, -1):
         wanted[order] = wanted[order + 1].select(*_suffix(order)).distinct()
     lower = None
-    for order in range(1, OPEN_ORDER + 1):
+    for order in range(1, ORDER + 1):
         d1, d2, d3 = _discounts(counts[order])
         both = counts[order].withColumn("asked", F.lit(0)).unionByName(wanted[order].select("hi", "lo", F.lit(0).cast("long").alias("n"), F.lit(1).alias("asked")))
         dealt = both.withColumn("context", F.shiftright("lo", BITS)).repartition("hi", "context")
@@ -242,57 +140,67 @@ def open_probabilities(counts: dict[int, DataFrame], asked: DataFrame) -> DataFr
     return lower.select("hi", "lo", F.log("p").alias("log_p"))
 
 
-def _packed(batches: list[pa.RecordBatch]) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batches[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as writer:
-        for batch in batches:
-            writer.write_batch(batch)
-    return sink.getvalue().to_pybytes()
-
-
-def _pack(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """One row (block, rows) for about BLOCK_BYTES of text of a task, the rows compressed."""
+def _pack(batches: Iterator[pa.RecordBatch], text: str, blocks: int) -> Iterator[pa.RecordBatch]:
+    """Rows (block, rows) of about PACK_BYTES of text each, the rows compressed; a task's rows go to ``blocks`` blocks in turn."""
     held: list[pa.RecordBatch] = []
-    size = 0
+    size, turn = 0, TaskContext.get().partitionId()
 
     def row() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([uuid.uuid4().int >> 65], pa.int64()), pa.array([_packed(held)], pa.binary())], names=["block", "rows"])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0].schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=3))) as writer:
+            for batch in pa.Table.from_batches(held).combine_chunks().to_batches():
+                writer.write_batch(batch)
+        return pa.RecordBatch.from_arrays([pa.array([turn % blocks], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "rows"])
 
     for whole in batches:
         for batch in slices(whole, text):
             held.append(batch)
             size += batch.nbytes
-            if size >= BLOCK_BYTES:
+            if size >= PACK_BYTES:
                 yield row()
-                held, size = [], 0
+                held, size, turn = [], 0, turn + 7919
     if held:
         yield row()
 
 
-def _block_grams(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """The distinct 5-grams of each block."""
-    for packs in batches:
-        for block, rows in zip(packs.column("block"), packs.column("rows"), strict=True):
-            held: list[tuple[np.ndarray, ...]] = []
-            for batch in pa.ipc.open_stream(rows.as_buffer()):
-                held.append(_slice_grams(batch.column(text)))
-                if sum(len(p[0]) for p in held) > FLUSH_GRAMS:
-                    held = [_distinct(held)]
-            _, hi, lo, _ = _distinct(held)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(hi), block.as_py())), pa.array(hi), pa.array(lo)], names=["block", "hi", "lo"])
+def _unpacked(packs: pa.Table, text: str) -> Iterator[pa.RecordBatch]:
+    for rows in packs.column("rows"):
+        for whole in pa.ipc.open_stream(rows.as_buffer()):
+            yield from slices(whole, text)
+
+
+def _block_grams(packs: pa.Table, text: str) -> pa.Table:
+    """The distinct n-grams of a block."""
+    held: list[tuple[np.ndarray, ...]] = []
+    for batch in _unpacked(packs, text):
+        held.append(_slice_grams(batch.column(text)))
+        if sum(len(p[0]) for p in held) > FLUSH_GRAMS:
+            held = [_distinct(held)]
+    hi, lo, _ = _distinct(held)
+    return pa.table({"block": np.full(len(hi), packs.column("block")[0].as_py()), "hi": hi, "lo": lo})
+
+
+def _dealt(packs: DataFrame, blocks: int) -> DataFrame:
+    """``packs`` (block, rows) written in files by block, so that later steps meet a block's rows without dealing them again."""
+    spark = packs.sparkSession
+    name = f"kn_blocks_{uuid.uuid4().hex}"
+    packs.write.bucketBy(min(blocks, MAX_BUCKETS), "block").option("path", stage_path(spark, "kn-blocks")).saveAsTable(name)
+    return spark.table(name)
 
 
 def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "text") -> DataFrame:
     """``docs`` plus perplexity double: per symbol, end mark included; null for null or empty text.
 
-    Rows are written compressed in blocks of their task, which later steps move as a whole. The distinct
-    5-grams of all blocks get their probability once, and go back to the blocks that hold them.
+    Rows are written compressed, dealt into blocks of about BLOCK_BYTES of text, and not moved again.
+    The distinct n-grams of all blocks get their probability once, and go back to the blocks that
+    hold them.
     """
     kept = [f for f in docs.schema.fields if f.name.lower() != "perplexity"]
     names = [f.name for f in kept]
-    blocks = docs.select(*[docs[f"`{c}`"] for c in names]).mapInArrow(lambda batches: _pack(batches, text), "block long, rows binary")
-    blocks = staged(blocks, "kn-blocks")
-    probes = staged(blocks.mapInArrow(lambda batches: _block_grams(batches, text), "block long, hi long, lo long"), "kn-probes")
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_BYTES))
+    packs = _dealt(docs.select(*[docs[f"`{c}`"] for c in names]).mapInArrow(lambda batches: _pack(batches, text, blocks), "block long, rows binary"), blocks)
+    probes = staged(packs.groupBy("block").applyInArrow(lambda table: _block_grams(table, text), "block long, hi long, lo long"), "kn-probes")
     known = open_probabilities(counts, probes.select("hi", "lo").distinct())
     back = probes.join(known, ["hi", "lo"]).select("block", "hi", "lo", F.col("log_p").cast("float").alias("log_p"))
 
@@ -301,17 +209,16 @@ def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "
         order = np.argsort(key)
         key, log_p = key[order], grams.column("log_p").to_numpy()[order].astype(np.float64)
         out = []
-        for rows in block.column("rows"):
-            for batch in pa.ipc.open_stream(rows.as_buffer()):
-                hi, lo, at = open_grams(batch.column(text))
-                n = np.diff(np.append(at, len(hi)))
-                mean = np.add.reduceat(log_p[np.searchsorted(key, _key(hi, lo))], at) / n
-                got = pa.array(np.exp(-mean), pa.float64(), mask=n <= 1)
-                out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got], names=[*names, "perplexity"]))
+        for batch in _unpacked(block, text):
+            hi, lo, at = open_grams(batch.column(text))
+            n = np.diff(np.append(at, len(hi)))
+            mean = np.add.reduceat(log_p[np.searchsorted(key, _key(hi, lo))], at) / n
+            got = pa.array(np.exp(-mean), pa.float64(), mask=n <= 1)
+            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got], names=[*names, "perplexity"]))
         return pa.Table.from_batches(out)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["perplexity double"])
-    return blocks.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
+    return packs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
 
 
 def varied(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -334,17 +241,16 @@ def toxic_words(trusted: DataFrame, toxic: DataFrame, share: float = 0.02, times
 
     Both have text and lang. All texts are counted; ``share`` bounds how many words a language can have.
     """
-    both = trusted.select("text", "lang", F.lit(0).alias("toxic")).unionByName(toxic.select("text", "lang", F.lit(1).alias("toxic")))
-    sizes = {r["lang"]: r["n"] for r in toxic.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    n_trusted = max(trusted.count(), 1)
-    words = both.select("lang", "toxic", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("w"))
-    found = words.groupBy("w", "lang").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"))
-    found = found.withColumn("good", F.sum("good").over(Window.partitionBy("w")))
-    size = F.lit(None).cast("long")
-    for lang, n in sizes.items():
-        size = F.when(F.col("lang").eqNullSafe(F.lit(lang)), n).otherwise(size)
-    rate = F.col("bad") / size
-    marks = found.where((F.col("bad") >= least) & (rate >= share) & (rate >= times * (F.col("good") + 0.5) / n_trusted))
+    def words(texts: DataFrame) -> DataFrame:
+        return texts.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("w"))
+
+    sizes = toxic.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+    bad = words(toxic).groupBy("w", "lang").agg(F.count(F.lit(1)).alias("bad")).join(sizes, F.col("lang").eqNullSafe(F.col("of"))).drop("of")
+    bad = staged(bad.where((F.col("bad") >= least) & (F.col("bad") >= share * F.col("size"))), "kn-toxic")
+    asked = bad.select("w").distinct()
+    good = words(trusted).join(F.broadcast(asked), "w").groupBy("w").agg(F.count(F.lit(1)).alias("good"))  # mean words of a text / share, per language
+    rate = F.col("bad") / F.col("size")
+    marks = bad.join(good, "w", "left").where(rate >= times * (F.coalesce("good", F.lit(0)) + 0.5) / max(trusted.count(), 1))
     return sorted(r["w"] for r in marks.select("w").distinct().collect())
 
 
