@@ -117,10 +117,13 @@ def common_words(docs: DataFrame, text: str = "text", share: float = 0.001) -> f
     different texts hold, and two of them at least.
 
     All documents are counted, copies of a text once. ``share`` bounds the dictionary, whatever the
-    number of texts, by their mean number of different words divided by it.
+    number of texts, by their mean number of different words divided by it. Texts meet their copies
+    by digests, with their different words instead of themselves.
     """
-    texts = docs.where(F.length(text) > 0).groupBy(F.sha2(text, 256).alias("same")).agg(F.first(text).alias("text"))
-    words = texts.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{3,})"), 1))).alias("w"))
-    least = max(2.0, share * docs.where(F.length(text) > 0).select(F.sha2(text, 256)).distinct().count())
-    found = words.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
+    some = docs.where(F.length(text) > 0)
+    same = [F.xxhash64(text).alias("h1"), F.hash(text).alias("h2"), F.length(text).alias("n")]
+    words = some.select(*same, F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(r"(\p{L}{3,})"), 1)).alias("ws"))
+    once = words.groupBy("h1", "h2", "n").agg(F.first("ws").alias("ws")).select(F.explode("ws").alias("w"))
+    least = max(2.0, share * some.select(*same).distinct().count())
+    found = once.groupBy("w").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
     return frozenset(r["w"] for r in found.select("w").collect())
