@@ -114,8 +114,8 @@ def shingles(t, size):
     return {tuple(w[k : k + size]) for k in range(max(len(w) - size + 1, 1))} if w else set()
 
 
-@pytest.mark.parametrize(("seed", "size", "num", "den"), [(1, 4, 85, 100), (2, 5, 4, 5), (3, 2, 1, 2), (4, 1, 3, 5), (5, 3, 1, 1)])
-def test_jaccard_join(spark, seed, size, num, den):
+@pytest.mark.parametrize(("seed", "size", "num", "den", "dealing"), [(1, 4, 85, 100, {}), (2, 5, 4, 5, {"block": 8}), (3, 2, 1, 2, {"block": 4, "hot_blocks": 3, "bucket_rows": 20}), (4, 1, 3, 5, {"hot_blocks": 1, "block": 8}), (5, 3, 1, 1, {"block": 2})])
+def test_jaccard_join(spark, seed, size, num, den, dealing):
     rng = random.Random(seed)
     base = passages(seed, docs=30)
     texts = list(base)
@@ -128,7 +128,7 @@ def test_jaccard_join(spark, seed, size, num, den):
             texts.append(" ".join(w[: len(w) - rng.randrange(0, 3)]))
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(800, None, 1), (801, " ", 1), (802, "One", 1), (803, "one", 1), (None, texts[0], 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, component_id int")
-    got = {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in jaccard_join(df, size=size, num=num, den=den).collect()}
+    got = {r["doc_id"]: (r["n_shingles"], r["n_links"], r["component_id"]) for r in jaccard_join(df, size=size, num=num, den=den, **dealing).collect()}
     sets = {i: shingles(t, size) for i, t, _ in rows if i is not None}
     links = [(a, b) for a, b in itertools.combinations(sorted(sets), 2) if sets[a] and sets[b] and den * len(sets[a] & sets[b]) >= num * len(sets[a] | sets[b])]
     comp = components(set(sets), links)
