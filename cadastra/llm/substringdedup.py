@@ -1,12 +1,13 @@
 """Substring dedup by a compacted de Bruijn graph of token k-mers (operator 2).
 
 Nodes are word k-mers picked as window minima, so every window of ``window`` words holds one and
-two occurrences of a window hold the same one. The edges of an occurrence are the words up to the
-picked k-mers before and after it (or up to the ends of the document). A node whose occurrences
-all have the same two edges does not branch: whatever holds it holds the whole path through it.
-A join brings each node's facts back to its occurrences, and runs of non-branching nodes compact
-to paths with one first source. Windows on such a path are settled by that; windows at a branching
-node are verified one by one, by their word sequence and source coordinates.
+two occurrences of a window hold the same one. Edges are the longer k-mers from one picked k-mer
+to the next in a document (or to its end). A node whose occurrences all lie on the same two edges
+does not branch: whatever holds it holds the whole path through it. Joins bring to each shared
+occurrence what its node knows, with the coordinates (document, word) of the node's first source;
+runs of nonbranching occurrences with one source and one distance to it compact to paths. A path
+counts if a second hash over its edges equals the one found at its source's coordinates. Windows
+on such paths are settled by that; windows that hold a branching node are compared one by one.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.textarrays import Words, mix, slices
@@ -32,7 +34,9 @@ class Anchors:
     """The picked k-mers of a slice of documents.
 
     at: start word of each; doc: its document; node, context: hashes of the k-mer and of its two
-    edges; windows: start word of every window; least: index of each window's own anchor.
+    edges; check: another hash of both edges; place: start word within the document and that of
+    the next anchor (0: none), in 32 bits each; windows: start word of every window; least: index
+    of each window's own anchor.
     """
 
     def __init__(self, words: Words, window: int):
@@ -40,8 +44,8 @@ class Anchors:
         starts, _ = words.gram_starts(k)
         self.windows, _ = words.gram_starts(window)
         if not len(self.windows):
-            self.at = self.doc = self.least = np.zeros(0, np.int64)
-            self.node = self.context = np.zeros(0, _U)
+            self.at = self.doc = self.least = self.place = np.zeros(0, np.int64)
+            self.node = self.context = self.check = np.zeros(0, _U)
             return
         node = words.grams(starts, starts + k)
         low = np.full(len(words.hashes), _NONE)
@@ -63,23 +67,61 @@ class Anchors:
         edge_in = words.grams(before, self.at) + head.astype(_U)
         edge_out = words.grams(self.at + k, after) + tail.astype(_U)
         self.context = mix(edge_in * _U(0x9E3779B97F4A7C15) ^ mix(edge_out))
+        self.check = words.grams(before, after, second=True)
+        start = self.at - words.first[self.doc]
+        self.place = start << 32 | np.where(tail, 0, np.append(start[1:], 0))
         self.inner = window - k  # an anchor from p to p + inner lies in the window at p
 
 
-def _nodes(window: int):
+def _occurrences(window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text"):
                 a = Anchors(Words(batch.column("text")), window)
                 doc, row = batch.column("doc_id").to_numpy(), batch.column("row").to_numpy()
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (a.node.view(np.int64), a.context.view(np.int64), doc[a.doc], row[a.doc])],
-                    names=["node", "context", "doc_id", "row"],
+                    [pa.array(x) for x in (a.node.view(np.int64), a.context.view(np.int64), a.check.view(np.int64), a.place, doc[a.doc], row[a.doc])],
+                    names=["node", "context", "check", "place", "doc_id", "row"],
                 )
 
     return run
 
 
+#: What a run of anchors is: a path with a source before it, the source of a path itself, or branching nodes.
+COPY, SOURCE, BRANCH = 1, 2, 3
+
+
+def compacted_paths(occurrences: DataFrame) -> DataFrame:
+    """(doc_id, row, runs array<struct<begin int, last int, kind int>>) of occurrences whose node more than one document holds.
+
+    ``occurrences`` has node, context, check, place, doc_id and row. A run is a path or a row of
+    branching nodes; begin and last are the start words of its first and last anchor.
+    """
+    shared = occurrences.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("node")
+    held = staged(occurrences.join(shared, "node", "left_semi"), "shared-occurrences")
+    facts = held.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("source"), (F.min("context") == F.max("context")).alias("through"))
+    known = held.join(facts.where("through").select("node", "source"), "node", "left")
+    known = staged(
+        known.select("doc_id", "row", "place", "check", F.shiftright("place", 32).alias("at"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("next"), F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place")),
+        "known-occurrences",
+    )
+    # Rows that repeat an id may differ at a place: then there is no one source to compare with.
+    sources = held.groupBy(F.col("doc_id").alias("source_id"), F.col("place").alias("source_place")).agg(F.min("check").alias("low"), F.max("check").alias("high"))
+    verified = known.join(sources, ["source_id", "source_place"], "left")
+    same = F.coalesce((F.col("check") == F.col("low")) & (F.col("check") == F.col("high")), F.lit(False))
+    kind = F.when(~same, BRANCH).when(F.col("source_id") < F.col("doc_id"), COPY).otherwise(SOURCE)
+    path = F.when(kind != BRANCH, F.struct("source_id", (F.col("at") - F.shiftright("source_place", 32)).alias("apart")))
+    verified = verified.select("doc_id", "row", "at", "next", kind.alias("kind"), path.alias("path"))
+    order = Window.partitionBy("doc_id", "row").orderBy("at")
+    goes_on = (F.lag("next").over(order) == F.col("at")) & (F.lag("kind").over(order) == F.col("kind")) & F.lag("path").over(order).eqNullSafe(F.col("path"))
+    begun = verified.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
+    runs = begun.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "row", "run").agg(F.min("at").cast("int").alias("begin"), F.max("at").cast("int").alias("last"), F.first("kind").alias("kind"))
+    paths = staged(runs.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("begin", "last", "kind"))).alias("runs")), "paths")
+    unstage(held)
+    unstage(known)
+    return paths
+
+
 def kept_text(text: bytes, window_starts: np.ndarray, window: int) -> tuple[int, int, bytes]:
     """Words, removed words, and the rest joined by one space."""
     words = text.split()
@@ -107,12 +149,10 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     keyed = keyed.withColumn("__row", F.xxhash64("__id", "__text"))
 
     source = keyed.where("__id is not null").select(F.col("__text").alias("text"), F.col("__id").alias("doc_id"), F.col("__row").alias("row"))
-    nodes = staged(source.mapInArrow(_nodes(window), "node long, context long, doc_id long, row long"), "nodes")
-    facts = nodes.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last"), (F.min("context") == F.max("context")).alias("through"))
-    shared = staged(facts.where("first < last").select("node", "first", "through"), "shared-nodes")
-    known = nodes.join(shared, "node").groupBy("doc_id", "row").agg(F.collect_list("node").alias("nodes"), F.collect_list("first").alias("firsts"), F.collect_list("through").alias("throughs"))
-    facts_of = ("__nodes", "__firsts", "__throughs")
-    met = keyed.join(known.toDF("__id", "__row", *facts_of), ["__id", "__row"], "left")
+    occurrences = staged(source.mapInArrow(_occurrences(window), "node long, context long, check long, place long, doc_id long, row long"), "occurrences")
+    paths = compacted_paths(occurrences)
+    unstage(occurrences)
+    met = keyed.join(paths.toDF("__id", "__row", "__runs"), ["__id", "__row"], "left")
 
     carried = [f for f in keyed.schema.fields if f.name != "__text"]
     found = ("__out", "__text", "__settled", "__at", "__h1", "__h2")
@@ -129,25 +169,19 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         words = Words(batch.column("__text"))
         a = Anchors(words, window)
         covered, verify = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        lists = [batch.column(c) for c in facts_of]
-        sizes = np.diff(np.append(0, np.cumsum([len(x) if x is not None else 0 for x in lists[0].to_pylist()]))) if len(a.at) else np.zeros(n, np.int64)
+        runs = batch.column("__runs")
+        sizes = pc.fill_null(pc.list_value_length(runs), 0).to_numpy(zero_copy_only=False)
         if sizes.sum():
-            node, first, through = (x.flatten().to_numpy(zero_copy_only=False) for x in lists)
-            own = np.repeat(np.arange(n), sizes).astype(_U)
-            key = mix(node.view(_U) + own * _U(0xD6E8FEB86659FD93))
-            order = np.argsort(key)
-            wanted = mix(a.node + a.doc.astype(_U) * _U(0xD6E8FEB86659FD93))
-            place = np.minimum(np.searchsorted(key, wanted, sorter=order), len(key) - 1)
-            hit = key[order[place]] == wanted
-            linear = np.where(hit, through[order[place]], True).astype(bool)
-            source = np.where(hit, first[order[place]], np.iinfo(np.int64).max)
-            branches = np.append(0, np.cumsum(~linear))
+            flat = runs.flatten()
+            begin, last, kind = (flat.field(c).to_numpy(zero_copy_only=False) for c in ("begin", "last", "kind"))
+            shift = np.repeat(words.first[:-1], sizes)
+            place = np.searchsorted(begin + shift, a.at, "right") - 1
+            status = np.where((place >= 0) & (a.at <= (last + shift)[place]), kind[place], 0)
+            branches = np.append(0, np.cumsum(status == BRANCH))
             lo, hi = np.searchsorted(a.at, a.windows), np.searchsorted(a.at, a.windows + a.inner, "right")
             plain = branches[lo] == branches[hi]
-            ids = batch.column("__id").fill_null(np.iinfo(np.int64).min).to_numpy()
-            doc = a.doc[a.least]
-            covered = a.windows[hit[a.least] & plain & (source[a.least] < ids[doc])]
-            verify = a.windows[hit[a.least] & ~plain]
+            covered = a.windows[plain & (status[a.least] == COPY)]
+            verify = a.windows[~plain & (status[a.least] != 0)]
         h1 = words.grams(verify, verify + window).view(np.int64)
         h2 = words.grams(verify, verify + window, second=True).view(np.int64)
         cut_c, cut_v = np.searchsorted(covered, words.first), np.searchsorted(verify, words.first)
@@ -167,8 +201,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
         return pa.RecordBatch.from_arrays(arrays, names=[*(f.name for f in carried), "n_words", "n_removed", *found])
 
     first_pass = staged(met.mapInArrow(settle, schema), "substring-pass")
-    unstage(nodes)
-    unstage(shared)
+    unstage(paths)
 
     unsettled = first_pass.where("__at is not null")
     windows = unsettled.select("__id", "__row", F.explode(F.arrays_zip("__at", "__h1", "__h2")).alias("w")).select("__id", "__row", "w.__at", "w.__h1", "w.__h2").toDF("__id", "__row", "at", "h1", "h2")
