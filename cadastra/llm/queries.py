@@ -130,7 +130,52 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
+
+
+def _url_sql() -> str:
+    """The rules, models and cut of op3 in SQL."""
+    host = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    path = r"coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '')"
+    ranked = sorted(URL_RULES, key=lambda r: -len(r[0]) - len(r[1]))
+    cases = [f"WHEN (host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}') THEN " for h, p, _ in ranked]
+    rule = " ".join(c + f"'{h}{p}'" for c, (h, p, _) in zip(cases, ranked, strict=True))
+    ruled = " ".join(c + f"'{v}'" for c, (_, _, v) in zip(cases, ranked, strict=True))
+    orders = []
+    for n in range(1, 6):
+        orders.append(f"c{n} AS (SELECT right(g, {n}) AS g, sum(a) AS a, sum(r) AS r FROM c GROUP BY 1)")
+        orders.append(f"t{n} AS (SELECT left(g, {n - 1}) AS x, sum(a) AS a, sum(r) AS r FROM c{n} GROUP BY 1)")
+        join = f"JOIN p{n - 1} l ON l.g = right(w.g, {n - 1})" if n > 1 else ""
+        count, whole = f"coalesce(c{n}.%s, 0)", f"coalesce(t{n}.%s, 0)"
+        p = f"({count} + 2.0::DOUBLE * l.%s) / ({whole} + 2.0::DOUBLE)" if n > 1 else f"0.99::DOUBLE * {count} / greatest({whole}, 1) + 0.01::DOUBLE / 256"
+        orders.append(
+            f"p{n} AS (SELECT w.g, {p.replace('%s', 'a')} AS a, {p.replace('%s', 'r')} AS r"
+            f" FROM (SELECT DISTINCT right(g, {n}) AS g FROM grams) w LEFT JOIN c{n} ON c{n}.g = w.g LEFT JOIN t{n} ON t{n}.x = left(w.g, {n - 1}) {join})"
+        )
+    return rf"""
+        WITH parsed AS (SELECT page_id, url, {host} AS host, {path} AS path FROM pages),
+        ruled AS (
+            SELECT *, CASE {rule} END AS rule, CASE {ruled} END AS ruled, substr(md5(url), 1, 1) IN ('0', '1', '2') AS held,
+                   CASE WHEN contains(url, '://') THEN
+                       array_to_string(list_filter(string_split(host, '.')[1:len(string_split(host, '.')) - 1], lambda x: x NOT IN ('com', 'example', 'net', 'www')), '.')
+                       || array_to_string(list_filter(string_split(path, '/'), lambda x: x NOT IN ('en', 'es', 'fr')), '/')
+                       || regexp_extract(url, '^.*?://[^?#]*(.*)$', 1, 's') ELSE coalesce(url, '') END AS part
+            FROM parsed),
+        texts AS (
+            SELECT part, count(*) FILTER (WHERE ruled = 'allow' AND NOT held) AS a, count(*) FILTER (WHERE ruled = 'block' AND NOT held) AS r
+            FROM ruled GROUP BY part),
+        grams AS (SELECT part, a, r, substr(repeat(chr(1), 4) || part, i, 5) AS g FROM (SELECT *, unnest(range(1, length(part) + 1)) AS i FROM texts)),
+        c AS (SELECT g, sum(a) AS a, sum(r) AS r FROM grams WHERE a > 0 OR r > 0 GROUP BY g),
+        {", ".join(orders)},
+        scores AS (SELECT part, round(avg(ln(p5.a / p5.r)), 4) AS url_score FROM grams JOIN p5 USING (g) GROUP BY part),
+        scored AS (SELECT ruled.*, coalesce(url_score, 0.0) AS url_score FROM ruled LEFT JOIN scores USING (part)),
+        cut AS (SELECT round(quantile_cont(url_score, 0.05), 6) AS cut FROM scored WHERE ruled = 'allow' AND held)
+        SELECT page_id, host, path, rule, url_score,
+               coalesce(ruled, CASE WHEN coalesce(url, '') = '' OR url_score >= cut OR cut IS NULL THEN 'allow' ELSE 'block' END) AS verdict
+        FROM scored, cut"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op3_url_filter": _url_sql(),
     "op1_embedding_dedup": """
         WITH RECURSIVE v AS (
             SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings

@@ -1,21 +1,25 @@
-"""URL filter: rules first, then a character language-model ratio (operator 3)."""
+"""URL filter: rules first, then a character language-model ratio (operator 3).
+
+Smoothed variable-order Markov models of accepted and rejected urls: the probability of a symbol
+after its four predecessors, each order smoothed by the next lower one. N-gram counts are tables
+that grow with the urls; the distinct 5-grams of all urls join them once.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.rows import with_columns_by_slice
-from cadastra.llm.textarrays import mix, slices, utf8
+from cadastra.llm.work import staged
 
-ORDERS, BITS, STRENGTH = 5, 16, 2.0
-SIZE = 1 << BITS
+ORDER, STRENGTH, SYMBOLS = 5, 2.0, 256
+#: Share of all symbols' probability for each class, so that a symbol that neither has seen speaks for none.
+UNSEEN = 0.01
+#: Stands before each url, so that its first symbols have predecessors too.
+PAD = "\x01" * (ORDER - 1)
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_U = np.uint64
 Rule = tuple[str, str, str]
 
 
@@ -41,117 +45,95 @@ def matching_rule(host: Column, path: Column, rules: Sequence[Rule]) -> tuple[Co
     return rule, verdict
 
 
-def _gram_buckets(texts: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
-    """Per order 1..ORDERS the bucket of the n-gram that ends at each byte; one byte 0 stands before
-    each text, and longer n-grams reach back over it only within the same text."""
-    raw, offsets = utf8(texts)
-    length = np.diff(offsets)
-    out = np.zeros(len(raw) + len(length), _U)
-    begins = offsets[:-1] + np.arange(len(length))
-    at = np.arange(len(raw)) + np.repeat(np.arange(len(length)), length) + 1
-    out[at] = raw.astype(_U) + _U(1)
-    inside = np.arange(len(out)) - np.repeat(begins, length + 1)
-    grams, code = [], out.copy()
-    for n in range(1, ORDERS + 1):
-        if n > 1:
-            back = np.zeros(len(out), _U)
-            back[n - 1 :] = out[: len(out) - n + 1]
-            back[inside < n - 1] = 0
-            code = code + back * _U(pow(257, n - 1))
-        grams.append((mix(code + _U(n << 56)) >> _U(64 - BITS)).astype(np.int64))
-    return grams, np.append(begins, len(out))
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros((2, ORDERS, SIZE), np.int64)
-    for whole in batches:
-        for batch in slices(whole, "url"):
-            accepted = batch.column("accepted").to_numpy(zero_copy_only=False).astype(bool)
-            for k in (0, 1):
-                grams, _ = _gram_buckets(batch.column("url").filter(pa.array(accepted == bool(k))))
-                for n, g in enumerate(grams):
-                    total[k, n] += np.bincount(g, minlength=SIZE)
-    k, n, b = np.nonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(n), pa.array(b), pa.array(total[k, n, b])], names=["k", "n", "b", "c"])
-
-
-def _log_ratio(texts: pa.Array, counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood difference (accepted minus rejected) per byte; 0 for an empty url."""
-    grams, begins = _gram_buckets(texts)
-    length = np.diff(begins)
-    logs = []
-    for k in (0, 1):
-        p = np.full(len(grams[0]), 1 / 256)
-        context = np.full(len(p), counts[k, 0].sum(), np.float64)
-        for n in range(ORDERS):
-            c = counts[k, n][grams[n]]
-            if n:
-                context = np.zeros(len(p))
-                context[1:] = counts[k, n - 1][grams[n - 1]][:-1]
-            p = np.minimum((c + STRENGTH * p) / (context + STRENGTH), 1.0)
-        p[begins[:-1]] = 1.0  # the mark before the text is given
-        logs.append(np.log(p))
-    if not len(length):
-        return np.zeros(0)
-    return np.add.reduceat(logs[1] - logs[0], begins[:-1]) / np.maximum(length - 1, 1)
-
-
-def train_url_model(labelled: DataFrame) -> dict | None:
-    """Variable-order Markov models of accepted and rejected urls, and the calibrated cut.
-
-    ``labelled`` has url string and accepted boolean. All rows are counted, in 2**16 buckets for
-    each of five orders and both classes, whatever the size of the input; every fifth url by hash
-    is left out of the counts and sets the cut: the log-ratio at which the share of accepted urls
-    above it plus the share of rejected urls below it is highest. Null urls or labels are not
-    used; None if either class has no url.
+def unruled_part(url: Column, host: Column, path: Column, rules: Sequence[Rule]) -> Column:
+    """The url without scheme, last host label, and the host labels and path segments that any rule names.
+
+    The models see this part alone. Otherwise they would learn the text of the rules that label
+    their examples. Without ``://`` it is the whole url.
     """
-    rows = labelled.where("url is not null and accepted is not null").select("url", "accepted", (F.pmod(F.xxhash64("url"), F.lit(5)) == 0).alias("left"))
-    parts = rows.where("not left").select("url", "accepted").mapInArrow(_count, "k long, n long, b long, c long")
-    found = parts.groupBy("k", "n", "b").agg(F.sum("c").alias("c")).toArrow()  # 2 * ORDERS * SIZE rows at most
-    counts = np.zeros((2, ORDERS, SIZE), np.float64)
-    k, n, b = (found.column(c).to_numpy() for c in ("k", "n", "b"))
-    counts[k, n, b] = found.column("c").to_numpy()
-    if not counts[0].any() or not counts[1].any():
-        return None
-    model = {"counts": counts.astype(np.float32), "cut": 0.0}
-    bins = _scored(rows.where("left"), model).select("accepted", F.least(F.greatest(F.round(F.col("url_score") * 50), F.lit(-1000)), F.lit(1000)).cast("int").alias("bin"))
-    seen = bins.groupBy("accepted", "bin").agg(F.count(F.lit(1)).alias("n")).collect()  # 4002 rows at most
-    good, bad = np.zeros(2002), np.zeros(2002)
-    for r in seen:
-        (good if r["accepted"] else bad)[r["bin"] + 1000] += r["n"]
-    if good.any() and bad.any():
-        above = np.append(0, np.cumsum(good[::-1]))[::-1][:2002] / good.sum()
-        below = np.append(0, np.cumsum(bad))[:2002] / bad.sum()
-        best = np.flatnonzero(above + below >= (above + below).max() - 1e-12)
-        model["cut"] = float(best.mean() - 1000.5) / 50
-    return model
-
-
-def _scored(df: DataFrame, model: dict, url: str = "url") -> DataFrame:
-    shared = df.sparkSession.sparkContext.broadcast(model["counts"])
-
-    def make(batch: pa.RecordBatch) -> dict[str, object]:
-        return {"url_score": _log_ratio(batch.column(url), shared.value)}
-
-    return with_columns_by_slice(df, {"url_score": "double"}, make, url)
-
-
-def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url") -> DataFrame:
+    labels = sorted({x for h, _, _ in rules for x in h.split(".") if x})
+    segments = sorted({x for _, p, _ in rules for x in p.split("/") if x})
+    inner = F.slice(F.split(host, r"\."), F.lit(1), F.size(F.split(host, r"\.")) - 1)
+    left = F.concat(
+        F.array_join(F.filter(inner, lambda x: ~x.isin(labels)), "."),
+        F.array_join(F.filter(F.split(path, "/"), lambda x: ~x.isin(segments)), "/"),
+        F.regexp_extract(url, r"(?s)^.*?://[^?#]*(.*)$", 1),
+    )
+    return F.when(F.instr(url, "://") > 0, left).otherwise(F.coalesce(url, F.lit("")))
+
+
+def left_out(url: Column) -> Column:
+    """Whether a url is kept out of the counts to set the cut: three of sixteen, by its digest."""
+    return F.substring(F.md5(url.cast("binary")), 1, 1).isin("0", "1", "2")
+
+
+def gram_ratios(counted: DataFrame, asked: DataFrame) -> DataFrame:
+    """(gram, ratio) of distinct 5-grams ``asked`` (gram): log of the accepted over the rejected probability of the last symbol.
+
+    ``counted`` has gram, accepted long and rejected long, the numbers of each 5-gram in both
+    classes. p_1 = (1 - UNSEEN) * count / all + UNSEEN / SYMBOLS, and
+    p_n = (count + STRENGTH * p_(n-1)) / (count of the context + STRENGTH) above.
+    """
+    kinds = ("accepted", "rejected")
+    lower = None
+    for n in range(1, ORDER + 1):
+        counts = counted.groupBy(F.right("gram", F.lit(n)).alias("gram")).agg(*[F.sum(k).alias(k) for k in kinds])
+        totals = counts.groupBy(F.left("gram", F.lit(n - 1)).alias("context")).agg(*[F.sum(k).alias(f"all_{k}") for k in kinds])
+        want = asked.select(F.right("gram", F.lit(n)).alias("gram")).distinct().withColumn("context", F.left("gram", F.lit(n - 1)))
+        found = want.join(counts, "gram", "left").join(totals, "context", "left")
+        if lower is not None:
+            found = found.withColumn("suffix", F.right("gram", F.lit(n - 1))).join(lower.withColumnRenamed("gram", "suffix"), "suffix")
+        count = {k: F.coalesce(k, F.lit(0)) for k in kinds}
+        whole = {k: F.coalesce(f"all_{k}", F.lit(0)) for k in kinds}
+        if n == 1:
+            p = {k: (1 - UNSEEN) * count[k] / F.greatest(whole[k], F.lit(1)) + UNSEEN / SYMBOLS for k in kinds}
+        else:
+            p = {k: (count[k] + STRENGTH * F.col(f"p_{k}")) / (whole[k] + STRENGTH) for k in kinds}
+        lower = found.select("gram", *[p[k].alias(f"p_{k}") for k in kinds])
+    return lower.select("gram", F.log(F.col("p_accepted") / F.col("p_rejected")).alias("ratio"))
+
+
+def url_scores(texts: DataFrame) -> DataFrame:
+    """(part, url_score) of distinct ``texts`` (part, accepted long, rejected long: how often the models learn it).
+
+    The score is the mean ratio over the symbols, to four decimals: a log-likelihood difference
+    normalised by length.
+    """
+    grams = texts.where(F.length("part") > 0).select(
+        "part", "accepted", "rejected", F.explode(F.transform(F.sequence(F.lit(1), F.length("part")), lambda i: F.substring(F.concat(F.lit(PAD), F.col("part")), i, F.lit(ORDER)))).alias("gram")
+    )
+    counted = staged(grams.where("accepted > 0 or rejected > 0").groupBy("gram").agg(F.sum("accepted").alias("accepted"), F.sum("rejected").alias("rejected")), "url-counts")
+    ratios = gram_ratios(counted, grams.select("gram").distinct())
+    return grams.select("part", "gram").join(ratios, "gram").groupBy("part").agg(F.round(F.avg("ratio"), 4).alias("url_score"))
+
+
+def filter_urls(pages: DataFrame, rules: Sequence[Rule], url: str = "url", false_rejects: float = 0.05) -> DataFrame:
     """All columns of ``pages`` plus host, path, rule, url_score double and verdict (allow or block).
 
-    The models learn from the urls that the rules decide. Where no rule fits, the verdict is allow
-    if the length-normalised log-likelihood difference reaches the calibrated cut. Null and empty
-    urls, and all urls where a class has no examples, are allowed. Columns of ``pages`` with the
-    new names are replaced; repeated rows give repeated results; an empty table stays empty.
+    The models learn from the urls that the rules decide, and see the parts that no rule names
+    (``unruled_part``). Where no rule fits, the verdict is allow if the score reaches the cut, the
+    ``false_rejects`` quantile of the accepted urls that were left out of the counts. Null and empty urls, and all urls where a class has no example or none is left out, are
+    allowed; the score of an empty part is 0. Columns of ``pages`` with the new names are replaced;
+    repeated rows count as often and give repeated results; an empty table stays empty.
     """
     new = ("host", "path", "rule", "verdict", "url_score")
     kept = [c for c in pages.columns if c.lower() not in new]
-    parsed = pages.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(url)).alias("host"), url_path(F.col(url)).alias("path"))
-    rule, verdict = matching_rule(F.col("host"), F.col("path"), rules)
-    ruled = parsed.withColumn("rule", rule).withColumn("__ruled", verdict)
-    model = train_url_model(ruled.where("__ruled is not null").select(F.col(url).alias("url"), (F.col("__ruled") == "allow").alias("accepted")))
-    if model is None:
-        return ruled.withColumn("url_score", F.lit(0.0)).withColumn("verdict", F.coalesce("__ruled", F.lit("allow"))).drop("__ruled")
-    empty = F.coalesce(F.length(url), F.lit(0)) == 0
-    by_model = F.when(empty | (F.col("url_score") >= model["cut"]), "allow").otherwise("block")
-    return _scored(ruled, model, url).withColumn("verdict", F.coalesce("__ruled", by_model)).drop("__ruled")
+    link, host, path = F.col(f"`{url}`").cast("string"), F.col("host"), F.col("path")
+    parsed = pages.select(*[F.col(f"`{c}`") for c in kept], url_host(F.col(f"`{url}`").cast("string")).alias("host"), url_path(F.col(f"`{url}`").cast("string")).alias("path"))
+    rule, verdict = matching_rule(host, path, rules)
+    ruled = parsed.withColumn("rule", rule).withColumn("__ruled", verdict).withColumn("__part", unruled_part(link, host, path, rules))
+    taught = F.col("__ruled").isNotNull() & ~left_out(link)
+    texts = ruled.groupBy(F.col("__part").alias("part")).agg(
+        F.count_if(taught & (F.col("__ruled") == "allow")).alias("accepted"), F.count_if(taught & (F.col("__ruled") == "block")).alias("rejected"), F.count_if((F.col("__ruled") == "allow") & left_out(link)).alias("held")
+    )
+    texts = staged(texts, "url-parts")
+    seen = texts.agg(F.sum("accepted"), F.sum("rejected")).first()
+    if not seen[0] or not seen[1]:
+        return ruled.withColumn("url_score", F.lit(0.0)).withColumn("verdict", F.coalesce("__ruled", F.lit("allow"))).drop("__ruled", "__part")
+    scores = staged(texts.join(url_scores(texts), "part", "left").select(F.col("part").alias("__of"), "held", F.coalesce("url_score", F.lit(0.0)).alias("url_score")), "url-scores")
+    # Scores have four decimals, so the quantile holds some ten thousands of different values.
+    cut = scores.where("held > 0").agg(F.round(F.expr(f"percentile(url_score, {false_rejects}, held)"), 6)).first()[0]
+    scored = ruled.join(scores.drop("held"), F.col("__part") == F.col("__of")).drop("__of", "__part")
+    empty = F.coalesce(F.length(link), F.lit(0)) == 0
+    by_model = F.when(empty | (F.col("url_score") >= F.lit(cut)) | F.lit(cut is None), "allow").otherwise("block")
+    return scored.withColumn("verdict", F.coalesce("__ruled", by_model)).drop("__ruled")

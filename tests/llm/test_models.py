@@ -35,13 +35,54 @@ def test_url_rules(spark):
     assert urlfilter.filter_urls(df.limit(0), queries.URL_RULES).count() == 0
 
 
-def test_url_model_tells_classes_apart(spark):
-    pages = [(i, f"http://s{i}.com/{'blog' if i % 2 else 'casino'}/{i}") for i in range(400)]
-    df = spark.createDataFrame(pages, "page_id long, url string")
-    labelled = df.withColumn("accepted", F.col("url").contains("blog"))
-    model = urlfilter.train_url_model(labelled)
-    scored = urlfilter._scored(labelled.where("page_id >= 300"), model).collect()
-    assert np.mean([(r["url_score"] >= model["cut"]) == r["accepted"] for r in scored]) == 1
+def url_ratio(counts, text):
+    """Mean log ratio by the formula; counts: per class a Counter of 5-grams with four marks before each url."""
+
+    def log_p(grams, gram):
+        p = 0.99 * sum(c for g, c in grams.items() if g[4] == gram[4]) / sum(grams.values()) + 0.01 / urlfilter.SYMBOLS
+        for n in range(2, 6):
+            of, same = Counter(), Counter()
+            for g, c in grams.items():
+                of[g[5 - n :]] += c
+                same[g[5 - n : 4]] += c
+            p = (of[gram[5 - n :]] + 2 * p) / (same[gram[5 - n : 4]] + 2)
+        return math.log(p)
+
+    padded = urlfilter.PAD + text
+    return np.mean([log_p(counts[0], padded[i : i + 5]) - log_p(counts[1], padded[i : i + 5]) for i in range(len(text))])
+
+
+def test_url_model_is_the_formula(spark):
+    texts = [("blog/a1", 3, 0), ("blog/b2", 1, 0), ("casino/x", 0, 2), ("casino-é", 0, 1), ("blog/casino", 0, 0), ("?", 0, 0), ("", 1, 1)]
+    got = {r["part"]: r["url_score"] for r in urlfilter.url_scores(spark.createDataFrame(texts, "part string, accepted long, rejected long")).collect()}
+    counts = [Counter(), Counter()]
+    for t, a, r in texts:
+        for i in range(len(t)):
+            for k, c in enumerate((a, r)):
+                counts[k][(urlfilter.PAD + t)[i : i + 5]] += c
+    assert set(got) == {t for t, _, _ in texts if t}
+    for t, score in got.items():
+        assert score == pytest.approx(url_ratio(counts, t), abs=6e-5)
+    assert got["blog/a1"] > 0 > got["casino/x"]
+
+
+def test_url_models_do_not_see_the_rules(spark):
+    urls = ["https://www.blog.example.net/en/x/1.html?q#f", "http://example.com", "no scheme", None]
+    df = spark.createDataFrame([(u,) for u in urls], "url string")
+    part = urlfilter.unruled_part(F.col("url"), urlfilter.url_host(F.col("url")), urlfilter.url_path(F.col("url")), queries.URL_RULES)
+    assert [r["part"] for r in df.select(part.alias("part")).collect()] == ["blog/x/1.html?q#f", "", "no scheme", ""]
+
+
+def test_url_verdicts_of_other_urls(spark):
+    bad = [(i, f"http://casino{i}.example.com/en/{i}", "x") for i in range(60)]
+    good = [(100 + i, f"http://blog{i}.com/post/{i}", "x") for i in range(200)]
+    other = [(900 + i, f"http://casino{i}.org/en/{i}", "x") for i in range(20)] + [(950 + i, f"http://blog{i}.org/post/{i}", "x") for i in range(20)] * 2
+    df = spark.createDataFrame([*bad, *good, *other, (999, "http://" + "a" * 20_000, "x")], "page_id long, url string, url_score string")
+    rows = urlfilter.filter_urls(df, queries.URL_RULES).collect()
+    assert len(rows) == len(bad) + len(good) + len(other) + 1
+    blocked = {r["page_id"] for r in rows if r["verdict"] == "block"}
+    assert {i for i, _, _ in bad} <= blocked and not blocked & {i for i, _, _ in good}
+    assert len(blocked & set(range(900, 920))) >= 18 and len(blocked & set(range(950, 970))) <= 3
 
 
 def test_quality_keeps_clean_and_rejects_junk(spark):
