@@ -12,6 +12,7 @@ import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
@@ -70,12 +71,12 @@ def _key(hi: np.ndarray, lo: np.ndarray) -> np.ndarray:
 
 
 def _distinct(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
-    """Distinct (hi, lo) of all parts in their order, and the sums of their counts."""
+    """Distinct (hi, lo) of all parts, and the sums of their counts."""
     hi, lo, n = (np.concatenate(c) for c in zip(*parts, strict=True))
-    order = np.lexsort((lo, hi))
-    hi, lo = hi[order], lo[order]
-    at = np.flatnonzero(np.append(True, (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))) if len(hi) else np.zeros(0, np.int64)
-    return hi[at], lo[at], np.add.reduceat(n[order], at) if len(at) else n
+    codes, found = pd.factorize(_key(hi, lo))
+    at = np.zeros(len(found), np.int64)
+    at[codes] = np.arange(len(codes))  # any occurrence
+    return hi[at], lo[at], np.bincount(codes, n, len(found)).astype(np.int64)
 
 
 def _slice_grams(texts: pa.Array) -> tuple[np.ndarray, ...]:
@@ -177,6 +178,8 @@ def _block_grams(packs: pa.Table, text: str) -> pa.Table:
         if sum(len(p[0]) for p in held) > FLUSH_GRAMS:
             held = [_distinct(held)]
     hi, lo, _ = _distinct(held)
+    order = np.lexsort((lo, hi))  # packs better
+    hi, lo = hi[order], lo[order]
     return pa.table({"block": np.full(len(hi), packs.column("block")[0].as_py()), "hi": hi, "lo": lo})
 
 
@@ -205,14 +208,13 @@ def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "
     back = probes.join(known, ["hi", "lo"]).select("block", "hi", "lo", F.col("log_p").cast("float").alias("log_p"))
 
     def score(block: pa.Table, grams: pa.Table) -> pa.Table:
-        key = _key(grams.column("hi").to_numpy(), grams.column("lo").to_numpy())
-        order = np.argsort(key)
-        key, log_p = key[order], grams.column("log_p").to_numpy()[order].astype(np.float64)
+        found = pd.Index(_key(grams.column("hi").to_numpy(), grams.column("lo").to_numpy()))
+        log_p = grams.column("log_p").to_numpy().astype(np.float64)
         out = []
         for batch in _unpacked(block, text):
             hi, lo, at = open_grams(batch.column(text))
             n = np.diff(np.append(at, len(hi)))
-            mean = np.add.reduceat(log_p[np.searchsorted(key, _key(hi, lo))], at) / n
+            mean = np.add.reduceat(log_p[found.get_indexer(_key(hi, lo))], at) / n
             got = pa.array(np.exp(-mean), pa.float64(), mask=n <= 1)
             out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got], names=[*names, "perplexity"]))
         return pa.Table.from_batches(out)
@@ -229,8 +231,8 @@ def varied(docs: DataFrame, text: str = "text") -> DataFrame:
         starts, n = words.gram_starts(2)
         doc = np.repeat(np.arange(len(n)), n)
         pair = mix(words.grams(starts, starts + 2) ^ mix(doc.astype(np.uint64)))
-        _, at = np.unique(pair, return_index=True)
-        return {"varied": pa.array(np.bincount(doc[at], minlength=len(n)) / np.maximum(n, 1), mask=np.asarray(n) < 4)}
+        once = ~pd.Series(pair).duplicated().to_numpy()
+        return {"varied": pa.array(np.bincount(doc[once], minlength=len(n)) / np.maximum(n, 1), mask=np.asarray(n) < 4)}
 
     return with_columns_by_slice(docs, {"varied": "double"}, make, text)
 
