@@ -15,6 +15,8 @@ from cadastra.llm.textarrays import slices, utf8
 
 BITS, DIM, ORDERS = 14, 16, (1, 2, 3, 4)
 SIZE = 1 << BITS
+#: Range of the hashes that pick texts, far above any number of texts.
+RANGE = 1 << 53
 _LETTERS = np.arange(256, dtype=np.uint32)
 _LETTERS[: 0x80] = 0x20
 _LETTERS[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
@@ -76,11 +78,16 @@ def _split_lists(column: pa.ChunkedArray) -> list[np.ndarray]:
     return np.split(lists.flatten().to_numpy(), np.cumsum(lists.value_lengths().to_numpy())[:-1])
 
 
+def picked_below(share: float, n: int) -> int:
+    """Hashes below this are picked, of RANGE hashes: ``share`` of ``n`` texts, and never nothing."""
+    return max(1, int(RANGE * min(1.0, share / n)))
+
+
 def train_language_id(labelled: DataFrame, sample_docs: int = 3000, epochs: int = 8, seed: int = 7) -> dict | None:
     """Fit on a bounded sample of (text, lang), ``sample_docs`` whole texts over all languages.
 
-    Each language gives an equal share, picked by a hash of the text; every fifth picked text is
-    left out of the fit and sets the softmax temperature and the rejection threshold (the lowest
+    Each language gives an equal share, picked by a hash of the text, copies of a text once; every
+    fifth picked text is left out of the fit and sets the softmax temperature and the rejection threshold (the lowest
     score from which 99 % of the left-out texts are right). Rows with null text or lang are not
     used; None if no row remains.
     """
@@ -91,8 +98,9 @@ def train_language_id(labelled: DataFrame, sample_docs: int = 3000, epochs: int
     share = sample_docs / len(sizes)
     keep = F.lit(False)
     for lang, n in sizes.items():
-        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(1 << 20)) < int((1 << 20) * min(1.0, share / n))))
-    picked = usable.where(keep).select("text", "lang", F.pmod(F.shiftright("h", 24), F.lit(5)).alias("pick"))
+        keep = keep | ((F.col("lang") == lang) & (F.pmod(F.col("h"), F.lit(RANGE)) < picked_below(share, n)))
+    once = usable.where(keep).groupBy("lang", "h").agg(F.first("text").alias("text"))
+    picked = once.select("text", "lang", F.pmod(F.shiftright("h", 24), F.lit(5)).alias("pick"))
     rows = picked.mapInArrow(_sparse_rows, "lang string, pick long, buckets array<int>, weights array<float>").toArrow()
     langs = sorted(sizes)
     y = np.array([langs.index(v) for v in rows.column("lang").to_pylist()], np.int64)

@@ -42,7 +42,10 @@ def line_keys(text: str, min_chars: int) -> tuple[list[bytes], list[bytes | None
 
 def build_mph(keys: np.ndarray) -> bytes:
     """Minimal perfect hash of distinct uint64 keys: per level its size and bits; keys that share a
-    slot go on to the next level, which is twice as roomy as its keys."""
+    slot go on to the next level, which is twice as roomy as its keys. Raises for keys that repeat,
+    which would share every slot."""
+    if len(np.unique(keys)) < len(keys):
+        raise ValueError("keys of a minimal perfect hash must be distinct")
     out, level = [], 0
     while len(keys):
         size = 2 * len(keys) + 64
@@ -79,12 +82,20 @@ class Mph:
         return found
 
 
+def shard_keys(h1: np.ndarray, h2: np.ndarray, seed: int) -> np.ndarray:
+    """64-bit keys of 128-bit hashes."""
+    return mix(h1 + _U(seed)) ^ h2
+
+
 def _shard_row(table: pa.Table) -> pa.Table:
     h1 = table.column("h1").to_numpy().view(_U)
     h2 = table.column("h2").to_numpy().view(_U)
-    keys = mix(h1) ^ h2
-    mph = build_mph(keys)
-    at = Mph(mph).index(keys)
+    seed = 0
+    while len(np.unique(shard_keys(h1, h2, seed))) < len(h1):  # two of the 128-bit hashes in one 64-bit key
+        seed += 1
+    keys = shard_keys(h1, h2, seed)
+    mph = np.array([seed], "<i8").tobytes() + build_mph(keys)
+    at = Mph(mph[8:]).index(keys)
     prints, counts = np.zeros(len(keys), "<u4"), np.zeros(len(keys), "<u4")
     prints[at] = (h2 >> _U(32)).astype(np.uint32)
     counts[at] = np.minimum(table.column("n").to_numpy(), 2**32 - 1)
@@ -128,7 +139,7 @@ def line_frequencies(docs: DataFrame, text: str, min_docs: int, min_chars: int)
     )
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, mph, prints, counts_, firsts = None, None, None, None, None
+        at, mph, seed, prints, counts_, firsts = None, None, 0, None, None, None
         for batch in batches:
             shard_, kind = batch.column("shard").to_numpy(), batch.column("kind").to_numpy()
             for lo in np.flatnonzero(np.append(True, (np.diff(shard_) != 0) | (np.diff(kind) != 0))) if batch.num_rows else []:
@@ -136,14 +147,15 @@ def line_frequencies(docs: DataFrame, text: str, min_docs: int, min_chars: int)
                 part = batch.slice(lo, int(rest[0]) if len(rest) else batch.num_rows - lo)
                 if kind[lo] == 0:
                     at = shard_[lo]
-                    mph = Mph(part.column("mph")[0].as_py())
+                    data = part.column("mph")[0].as_py()
+                    seed, mph = int(np.frombuffer(data, "<i8", 1)[0]), Mph(data[8:])
                     prints = np.frombuffer(part.column("prints")[0].as_py(), "<u4")
                     counts_ = np.frombuffer(part.column("counts")[0].as_py(), "<u4")
                     firsts = np.frombuffer(part.column("firsts")[0].as_py(), "<i8")
                     continue
                 assert at == shard_[lo]
                 h1, h2 = part.column("h1").to_numpy().view(_U), part.column("h2").to_numpy().view(_U)
-                where = mph.index(mix(h1) ^ h2)
+                where = mph.index(shard_keys(h1, h2, seed))
                 hit = (where >= 0) & (prints[where] == (h2 >> _U(32)).astype(np.uint32)) & (counts_[where] >= min_docs)
                 yield part.select(["bucket", "h1", "h2"]).append_column("first", pa.array(firsts[where])).filter(pa.array(hit))
 

@@ -15,8 +15,12 @@ from pyspark.sql import functions as F
 
 from cadastra.llm.textarrays import slices
 
-#: A candidate: 12 or more characters of a key alphabet, a digit among them.
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9_+/-])(?=[A-Za-z_+/-]{0,200}[0-9])[A-Za-z0-9_+/-]{12,}={0,2}")
+#: A candidate: 12 or more characters of a key alphabet (that hold a digit), or any value that is assigned to a credential's name.
+RUN = re.compile(r"(?<![A-Za-z0-9_+/-])[A-Za-z0-9_+/-]{12,}={0,2}")
+ASSIGNED = re.compile(r"(?:pass(?:word|wd|phrase)?|pwd|secret|token|api[_-]?key|credential)s?[\"']?\s{0,3}[=:]\s{0,3}[\"']?([^\s\"',;]+)", re.IGNORECASE)
+_DIGIT = re.compile("[0-9]")
+#: Range of the hashes that pick labelled findings, far above any number of them.
+RANGE = 1 << 53
 NEAR = 40
 _WORD = re.compile(r"[^\W\d_]{2,}")
 #: Neighbouring words that speak for a credential, and words that speak for another kind of number.
@@ -29,6 +33,21 @@ FEATURES = (
 )
 
 
+def candidate_spans(text: str) -> list[tuple[int, int]]:
+    """Begin and end of all candidates in their order; a run that lies in an assigned value is that value."""
+    values = [m.span(1) for m in ASSIGNED.finditer(text)] if "=" in text or ":" in text else []
+    spans = set(values)
+    ends = iter(sorted(values))
+    value = next(ends, None)
+    for m in RUN.finditer(text):
+        a, b = m.span()
+        while value is not None and value[1] <= a:
+            value = next(ends, None)
+        if (value is None or a < value[0] or b > value[1]) and _DIGIT.search(m.group()):
+            spans.add((a, b))
+    return sorted(spans)
+
+
 def _features(text: str, start: int, end: int, path: str, dictionary: frozenset[str]) -> list[float]:
     s = text[start:end]
     n = len(s)
@@ -69,9 +88,8 @@ def secret_candidates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
             for batch in slices(whole, "text"):
                 rows: list[tuple] = []
                 for d, t, p in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "path")), strict=True):
-                    for m in CANDIDATE.finditer(t or ""):
-                        a, b = m.span()
-                        rows.append((d, a, b, m.group(), t[max(0, a - NEAR) : a], _features(t, a, b, p or "", dictionary)))
+                    for a, b in candidate_spans(t or ""):
+                        rows.append((d, a, b, t[a:b], t[max(0, a - NEAR) : a], _features(t, a, b, p or "", dictionary)))
                 names = ["doc_id", "start", "end", "candidate", "before", "features"]
                 types = [pa.int64(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.list_(pa.float64())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=names)
@@ -83,14 +101,14 @@ def train_secret_forest(labelled: DataFrame, sample_rows: int = 20_000, trees: i
     """A forest from labelled findings (features array<double>, is_secret boolean).
 
     Fitted on a bounded sample: ``sample_rows`` findings at most in expectation, half of each
-    class, picked by a hash of the features. None where a class is missing.
+    class, picked by a hash of the row. None where a class is missing.
     """
     rows = labelled.where("features is not null and is_secret is not null")
     sizes = {r["is_secret"]: r["n"] for r in rows.groupBy("is_secret").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(sizes) < 2:
         return None
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(min(1.0, sample_rows / 2 / n)))])
-    kept = rows.where(F.pmod(F.xxhash64("features"), F.lit(1 << 20)) < share[F.col("is_secret")] * (1 << 20))
+    kept = rows.where(F.pmod(F.xxhash64(*rows.columns), F.lit(RANGE)) < F.ceil(share[F.col("is_secret")] * RANGE))
     weight = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(1.0 / max(min(n, sample_rows / 2), 1)))])
     data = kept.select(array_to_vector("features").alias("features"), F.col("is_secret").cast("double").alias("label"), (weight[F.col("is_secret")] * 1000).alias("weight"))
     if data.select("label").distinct().count() < 2:
