@@ -18,11 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cadastra.llm.rows import with_columns_by_slice
 from cadastra.llm.textarrays import mix, slices
 from cadastra.llm.work import staged
 
-SHARD_KEYS, BUCKET_DOCS = 2048, 512
+SHARD_KEYS, BUCKET_DOCS, BUCKET_BYTES = 2048, 512, 8 << 20
 ARRAYS = ("mph", "prints", "counts", "firsts")
 NO_ID = 2**63 - 1
 _SPACE = b" \t\n\r\x0b\x0c"
@@ -106,8 +105,8 @@ def _shard_row(table: pa.Table) -> pa.Table:
 
 
 def line_frequencies(docs: DataFrame, text: str, min_docs: int, min_chars: int) -> DataFrame:
-    """(bucket, frequent array<binary>): of the bucket's lines that at least ``min_docs`` rows hold,
-    the 16-byte hash followed by the 8 bytes of the smallest id that holds it.
+    """(bucket, line, first): of the bucket's lines that at least ``min_docs`` rows hold, the 16-byte
+    hash and the smallest id that holds it.
 
     ``docs`` has columns ``__bucket``, ``__id`` and ``text``.
     """
@@ -160,7 +159,7 @@ def line_frequencies(docs: DataFrame, text: str, min_docs: int, min_chars: int)
                 yield part.select(["bucket", "h1", "h2"]).append_column("first", pa.array(firsts[where])).filter(pa.array(hit))
 
     found = stream.repartition("shard").sortWithinPartitions("shard", "kind").mapInArrow(probe, "bucket long, h1 long, h2 long, first long")
-    return found.groupBy("bucket").agg(F.collect_list(F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2", "first")])).alias("frequent"))
+    return found.select("bucket", F.concat(*[F.unhex(F.lpad(F.hex(h), 16, "0")) for h in ("h1", "h2")]).alias("line"), "first")
 
 
 def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, digest: bool = False) -> DataFrame:
@@ -174,29 +173,33 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", min_
     rows and ids too. Null or empty text is one empty line and gives an empty text. Clashing
     column names of ``docs`` are replaced; an empty table gives an empty table.
     """
-    buckets = max(1, -(-docs.count() // BUCKET_DOCS))
-    dealt = docs.withColumn("__bucket", F.pmod(F.xxhash64(doc_id, F.length(text)), F.lit(buckets))).withColumn("__id", F.col(doc_id).cast("long"))
+    given = [f for f in docs.schema.fields if f.name.lower() not in ("n_lines", "n_dropped", "kept_sha256" if digest else "kept_text")]
+    size = docs.agg(F.count(F.lit(1)), F.sum(F.octet_length(text))).first()
+    buckets = max(1, -(-size[0] // BUCKET_DOCS), -(-(size[1] or 0) // BUCKET_BYTES))
+    dealt = docs.select(*[docs[f"`{f.name}`"] for f in given], F.pmod(F.xxhash64(doc_id, F.length(text)), F.lit(buckets)).alias("__bucket"), F.col(doc_id).cast("long").alias("__id"))
     frequent = line_frequencies(dealt, text, min_docs, min_chars)
-    joined = dealt.join(frequent.withColumnRenamed("bucket", "__bucket"), "__bucket", "left").withColumnRenamed("frequent", "__frequent")
     result = "kept_sha256" if digest else "kept_text"
+    names = [f.name for f in given]
 
-    def make(batch: pa.RecordBatch) -> dict[str, object]:
-        n_lines, n_dropped, kept = [], [], []
-        drops: dict[int, dict[bytes, bytes]] = {}
-        frequent_, buckets_ = batch.column("__frequent"), batch.column("__bucket").to_pylist()
-        for i, (b, d, t) in enumerate(zip(buckets_, batch.column("__id").to_pylist(), batch.column(text).to_pylist(), strict=True)):
-            if b not in drops:
-                drops[b] = {x[:16]: x[16:] for x in frequent_[i].as_py() or ()}
-            drop = drops[b]
-            lines, keys = line_keys(t or "", min_chars)
-            own = d.to_bytes(8, "big", signed=True) if keep_first and d is not None else None
-            left = [line for line, k in zip(lines, keys, strict=True) if k not in drop or drop[k] == own]
-            n_lines.append(len(lines))
-            n_dropped.append(len(lines) - len(left))
-            out = b"\n".join(left)
-            kept.append(hashlib.sha256(out).hexdigest() if digest else out.decode())
-        return {"n_lines": n_lines, "n_dropped": n_dropped, result: kept}
-
-    new = {"n_lines": "long", "n_dropped": "long", result: "string"}
-    return with_columns_by_slice(joined, new, make, text, drop=("__bucket", "__id", "__frequent"))
-
+    def drop_lines(rows: pa.Table, found: pa.Table) -> pa.Table:
+        """The documents of a bucket without the frequent lines that the bucket's probes found."""
+        drop = dict(zip(found.column("line").to_pylist(), found.column("first").to_pylist(), strict=True))
+        out = []
+        for whole in rows.to_batches():
+            for batch in slices(whole, text):
+                n_lines, n_dropped, kept = [], [], []
+                for d, t in zip(batch.column("__id").to_pylist(), batch.column(text).to_pylist(), strict=True):
+                    lines, keys = line_keys(t or "", min_chars)
+                    own = d if keep_first else None
+                    left = [line for line, k in zip(lines, keys, strict=True) if k not in drop or (own is not None and drop[k] == own)]
+                    n_lines.append(len(lines))
+                    n_dropped.append(len(lines) - len(left))
+                    body = b"\n".join(left)
+                    kept.append(hashlib.sha256(body).hexdigest() if digest else body.decode())
+                made = [pa.array(n_lines, pa.int64()), pa.array(n_dropped, pa.int64()), pa.array(kept, pa.string())]
+                out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), *made], names=[*names, "n_lines", "n_dropped", result]))
+        return pa.Table.from_batches(out)
+
+    types = {"n_lines": "long", "n_dropped": "long", result: "string"}
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in given] + [f"`{c}` {t}" for c, t in types.items()])
+    return dealt.groupBy("__bucket").cogroup(frequent.groupBy("bucket")).applyInArrow(drop_lines, schema)

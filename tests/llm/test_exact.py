@@ -56,10 +56,11 @@ def vectors():
     return rows + [(400 + i, rows[1][1], 1) for i in range(30)] + [(None, rows[1][1], 1), (1, rows[1][1], 1)]
 
 
-def test_embedding_dedup(spark):
+@pytest.mark.parametrize("block", [8, 2048])
+def test_embedding_dedup(spark, block):
     rows = vectors()
     df = spark.createDataFrame([(*r, "x") for r in rows], "vec_id long, embedding array<float>, label int, n_links string")
-    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup(df).collect()}
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup(df, block=block).collect()}
     assert embedding_dedup(df).count() == len(rows)
     good = {i: (np.array(v, float), lab) for i, v, lab in rows if i is not None and v and lab is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     links = [(a, b) for a, b in itertools.combinations(sorted(good), 2) if good[a][1] == good[b][1] and len(good[a][0]) == len(good[b][0]) and good[a][0] @ good[b][0] / np.linalg.norm(good[a][0]) / np.linalg.norm(good[b][0]) >= 0.98]
