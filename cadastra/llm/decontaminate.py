@@ -12,29 +12,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.llm.rows import with_columns_by_slice
-from cadastra.llm.textarrays import Words, utf8
+from cadastra.llm.textarrays import plain_words
 from cadastra.llm.work import staged
 
 #: Words of test items that one pass over the documents holds in memory; larger benchmarks take more passes.
 PASS_WORDS = 2_000_000
 FILTER_BITS = 22
 _U = np.uint64
-_PLAIN = np.full(256, 0x20, np.uint8)
-_PLAIN[0x80:] = np.arange(0x80, 256)
-for _chars in (b"abcdefghijklmnopqrstuvwxyz", b"0123456789"):
-    _PLAIN[list(_chars)] = list(_chars)
-
-
-def plain_words(texts: pa.Array) -> Words:
-    """Words of lower-cased texts; every ASCII character but letters and digits parts words."""
-    raw, offsets = utf8(pc.utf8_lower(texts.cast(pa.large_string())))
-    data = pa.py_buffer(_PLAIN[raw].tobytes())
-    return Words(pa.Array.from_buffers(pa.large_string(), len(offsets) - 1, [None, pa.py_buffer(offsets.astype("<i8").tobytes()), data]))
 
 
 def myers_end(pattern: list[int], text: list[int]) -> tuple[int, int]:

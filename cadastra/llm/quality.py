@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.llm.rows import with_columns_by_slice
-from cadastra.llm.textarrays import Words, mix, slices, spans, utf8
+from cadastra.llm.textarrays import mix, plain_words, slices, spans, utf8
 from cadastra.llm.work import stage_path, staged
 
 #: Ids up to this number are broadcast (16 MB); beyond, the join shuffles.
@@ -223,18 +223,21 @@ def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "
     return packs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
 
 
-def varied(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` plus varied double: distinct pairs of neighbouring words per pair; null under five words."""
+def word_facts(docs: DataFrame, text: str = "text", marks: list[str] | None = None) -> DataFrame:
+    """``docs`` plus varied double (distinct pairs of neighbouring words per pair; null under five
+    words) and marked boolean (whether one of the words ``marks`` is among its words)."""
+    wanted = plain_words(pa.array(marks or [], pa.string())).hashes
 
     def make(batch: pa.RecordBatch) -> dict[str, object]:
-        words = Words(batch.column(text), lower=True)
+        words = plain_words(batch.column(text))
         starts, n = words.gram_starts(2)
         doc = np.repeat(np.arange(len(n)), n)
         pair = mix(words.grams(starts, starts + 2) ^ mix(doc.astype(np.uint64)))
         once = ~pd.Series(pair).duplicated().to_numpy()
-        return {"varied": pa.array(np.bincount(doc[once], minlength=len(n)) / np.maximum(n, 1), mask=np.asarray(n) < 4)}
+        owner = np.repeat(np.arange(len(n)), words.counts)[np.isin(words.hashes, wanted)]
+        return {"varied": pa.array(np.bincount(doc[once], minlength=len(n)) / np.maximum(n, 1), mask=np.asarray(n) < 4), "marked": np.bincount(owner, minlength=len(n)) > 0}
 
-    return with_columns_by_slice(docs, {"varied": "double"}, make, text)
+    return with_columns_by_slice(docs, {"varied": "double", "marked": "boolean"}, make, text)
 
 
 def toxic_words(trusted: DataFrame, toxic: DataFrame, share: float = 0.02, times: float = 20, least: int = 5) -> list[str]:
@@ -244,7 +247,7 @@ def toxic_words(trusted: DataFrame, toxic: DataFrame, share: float = 0.02, times
     Both have text and lang. All texts are counted; ``share`` bounds how many words a language can have.
     """
     def words(texts: DataFrame) -> DataFrame:
-        return texts.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1))).alias("w"))
+        return texts.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), 1))).alias("w"))
 
     sizes = toxic.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("size"))
     bad = words(toxic).groupBy("w", "lang").agg(F.count(F.lit(1)).alias("bad")).join(sizes, F.col("lang").eqNullSafe(F.col("of"))).drop("of")
@@ -264,7 +267,7 @@ def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id
     is the ``tail`` quantile of the perplexity of those.
     Languages (null too) with fewer than 20 trusted documents take the limit over all of them.
     A document is kept if it has text and does not pass its limit, if its pairs of words repeat no more
-    than those of trusted documents (``low`` quantile of ``varied``), and if it has none of the words
+    than those of trusted documents (``low`` quantile of ``word_facts``), and if it has none of the words
     that mark the documents of ``toxic_ids`` (doc_id). Without any trusted text, all
     documents with text are kept. Clashing columns are replaced; an empty table stays empty.
     """
@@ -289,15 +292,15 @@ def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id
     overall = limits.where("all = 1").first()
     overall = overall["max"] if overall else None
     own = limits.where("all = 0 and n >= 20").select(F.col("lang").alias("__lang"), F.col("max").alias("__max"))
-    found = varied(open_perplexity(out, counts, text), text).withColumnRenamed("varied", "__varied")
-    found = found.join(own, found[lang].cast("string").eqNullSafe(F.col("__lang")), "left")
-    found = found.withColumn("max_perplexity", F.coalesce("__max", F.lit(overall))).drop("__lang", "__max")
-    floor = varied(trusted).select((F.floor(F.col("varied") * 1000) / 1000).alias("x")).agg(F.expr(f"percentile_disc({low}) within group (order by x)")).first()[0]
-    good = (F.col("perplexity") <= F.col("max_perplexity")) & (F.coalesce(F.col("__varied"), F.lit(1.0)) >= F.lit(floor or 0.0))
+    floor = word_facts(trusted).select((F.floor(F.col("varied") * 1000) / 1000).alias("x")).agg(F.expr(f"percentile_disc({low}) within group (order by x)")).first()[0]
+    marks: list[str] = []
     if toxic_ids is not None:
         bad = toxic_ids.select(F.col(doc_id).alias("__trusted")).distinct()
         bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
         marks = toxic_words(trusted, docs.join(bad, docs[doc_id] == F.col("__trusted"), "left_semi").select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")))
-        if marks:
-            good &= ~F.lower(text).rlike(r"(?<!\p{L})(" + "|".join(marks) + r")(?!\p{L})")
-    return found.withColumn("kept", F.coalesce(good, F.lit(False))).drop("__varied")
+    found = word_facts(open_perplexity(out.withColumnsRenamed({c: f"__own_{c}" for c in out.columns if c.lower() in ("varied", "marked")}), counts, text), text, marks)
+    found = found.withColumnsRenamed({"varied": "__varied", "marked": "__marked"} | {f"__own_{c}": c for c in out.columns if c.lower() in ("varied", "marked")})
+    found = found.join(own, found[lang].cast("string").eqNullSafe(F.col("__lang")), "left")
+    found = found.withColumn("max_perplexity", F.coalesce("__max", F.lit(overall))).drop("__lang", "__max")
+    good = (F.col("perplexity") <= F.col("max_perplexity")) & (F.coalesce(F.col("__varied"), F.lit(1.0)) >= F.lit(floor or 0.0)) & ~F.col("__marked")
+    return found.withColumn("kept", F.coalesce(good, F.lit(False))).drop("__varied", "__marked")
