@@ -11,7 +11,7 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.operators.questions import query_terms
+from cadastra.operators.questions import has_any, normalized, query_terms
 
 #: Terms of a question set that are broadcast to the documents; a larger set joins by shuffle.
 BROADCAST_ROWS = 200_000
@@ -198,27 +198,39 @@ def merge_channels(text: DataFrame, spatial: DataFrame, bonus: float = 10.0) ->
     return both.select("question_id", "source_fragment_id", score.alias("base_score"))
 
 
+# What a text about a dimension says, and which concepts ask for one.
+DIMENSION_CONCEPTS = ("minimum lot area", "maximum height", "lot frontage", "lot coverage")
+DIMENSION_MARKERS = ("minimum lot area", "lot area minimum", "maximum height", "height maximum", "minimum frontage", "lot frontage minimum", "maximum coverage", "lot coverage maximum")
+
+
 def rerank(candidates: DataFrame, understanding: DataFrame) -> DataFrame:
-    """Base score plus term overlap (0.08 each, 0.4 at most), definition, zone, use, height, dimension and reference bonuses.
+    """``candidates`` with the understanding of their question and rerank_score.
 
-    ``understanding`` has one row per question: question, topics, concepts, zone, use, needs_definitions.
+    The base score, 0.08 for each different word of the question in label and text (0.4 at most),
+    and bonuses for definitions, zones, uses, heights, dimensions, pairs of table cells and
+    references. ``understanding`` is what ``questions.understand`` gives; a column ``citation_label``
+    or ``pattern`` of ``candidates`` is used where there is one.
     """
-    text = F.lower(F.concat_ws(" ", F.col("text")))
-    terms = F.array_distinct(F.filter(F.split(F.lower("question"), r"\s+"), lambda w: w != ""))
-    overlap = F.aggregate(terms, F.lit(0), lambda s, w: s + F.when(text.contains(w), 1).otherwise(0))
-    has = lambda c: F.coalesce(c, F.lit(False))
-    any_of = lambda words: functools.reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    score = (
-        F.col("base_score")
-        + F.least(overlap * 0.08, F.lit(0.4))
-        + F.when(has(F.col("needs_definitions")) & text.contains("definition"), 0.2).otherwise(0.0)
-        + F.when(has(text.contains(F.lower("zone"))), 0.15).otherwise(0.0)
-        + F.when(has(text.contains(F.lower("use"))), 0.15).otherwise(0.0)
-        + F.when(F.array_contains("topics", "height") & any_of(("height", "storey", "story", "stories")), 0.25).otherwise(0.0)
-        + F.when((F.size("concepts") > 0) & any_of(("minimum lot area", "lot area minimum", "maximum height", "height maximum", "minimum frontage", "lot frontage minimum", "maximum coverage", "lot coverage maximum")), 0.3).otherwise(0.0)
-        + F.when(F.col("retrieval_channel") == "cross_reference", 0.1).otherwise(0.0)
+    label = F.coalesce(F.col("citation_label"), F.lit("")) if "citation_label" in candidates.columns else F.lit("")
+    read = candidates.withColumn("__text", F.lower(F.concat(label, F.lit(" "), F.coalesce("text", F.lit("")))))
+    asked = understanding.withColumn("__terms", F.array_distinct(F.filter(F.split(normalized(F.col("question")), " "), lambda w: w != "")))
+    asked = asked.withColumn("__zones", F.transform("zones", F.lower)).withColumn("__dimension", F.arrays_overlap("concepts", F.array(*[F.lit(c) for c in DIMENSION_CONCEPTS])))
+    text = F.col("__text")
+    overlap = F.size(F.filter("__terms", lambda w: text.contains(w)))
+    pair = (F.col("retrieval_channel") == "table") & (F.col("pattern") == "dimensional_pair") if "pattern" in candidates.columns else F.lit(False)
+    bonuses = (
+        (F.col("needs_definitions") & text.contains("definition"), 0.2),
+        (F.exists("__zones", lambda z: text.contains(z)), 0.15),
+        (F.exists("uses", lambda u: text.contains(u)), 0.15),
+        (F.array_contains("topics", "height") & has_any(text, ("height", "storey", "storeys", "story", "stories")), 0.25),
+        (F.col("__dimension") & has_any(text, DIMENSION_MARKERS), 0.3),
+        (pair, 0.35),
+        (F.col("retrieval_channel") == "cross_reference", 0.1),
     )
-    return candidates.join(understanding, "question_id").withColumn("rerank_score", score)
+    score = F.col("base_score") + F.least(overlap * 0.08, F.lit(0.4))
+    for when, bonus in bonuses:
+        score = score + F.when(when, bonus).otherwise(0.0)
+    return read.join(asked, "question_id").withColumn("rerank_score", score).drop("__text", "__terms", "__zones", "__dimension")
 
 
 def feedback_adjust(candidates: DataFrame, feedback: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Zone codes, patterns and vocabularies of the extractors.
-KNOWN_ZONES = ("CDD-1", "CDD-2", "CEN-1", "CEN-2", "CH-1", "CH-2", "CLI", "COR", "DD", "DH", "DND", "ER-1", "ER-2", "ER-3", "HR-1", "HR-2", "HRI", "INS", "LI", "PCF", "RPK", "UC-1", "UC-2", "WA")
+KNOWN_ZONES = ("CEN-2", "CEN-1", "CDD-2", "CDD-1", "HR-2", "HR-1", "ER-3", "ER-2", "ER-1", "CH-2", "CH-1", "UC-2", "UC-1", "DD", "DH", "COR", "CLI", "LI", "HRI", "INS", "DND", "PCF", "RPK", "WA")
 ZONE = r"(?i)\b[A-Z]{1,4}-?\s?\d[A-Z]?(?:-?\s?[A-Z])?\b|\b(?:DD|DH|COR|CLI|LI|HRI|INS|DND|PCF|RPK|WA)\b"
 USE = r"\b([A-Z][A-Za-z0-9,'()/& -]{1,120}?(?:\s+use|\s+dwelling|\s+facility|\s+establishment|\s+suite|\s+unit))\b"
 MARKER = r"[\x{2460}-\x{24FF}\x{3251}-\x{325F}]|\[\d+\]"
@@ -16,7 +16,11 @@ TABLE_REF = r"(?i)\bTable\s+\d+[A-Z]?\b"
 SECTION_REF = r"(?i)\b(?:Section|Subsection|Schedule)\s+[A-Za-z0-9.\-()]+\b"
 VALUE = r"(?i)\b\d+(?:\.\d+)?\s*(?:m2|m²|metres?|meters?|feet|ft|sq\.?\s*ft|square feet|%)\b"
 CONTEXT = r"(?i)\b(rear additions?|internal conversions?|interior conversions?|additions?|conversions?)\b"
-STANDARDS = ("lot area", "minimum lot area", "lot coverage", "lot frontage", "height", "maximum height", "building height", "parking", "side yard")
+STANDARDS = (
+    "minimum lot area", "lot area", "lot frontage", "minimum lot frontage", "minimum rear yard", "front yard setback", "side yard setback", "minimum side yard", "minimum side yard for additions",
+    "rear yard setback", "building height", "maximum height", "maximum footprint of addition", "additions and structural changes", "dwelling units", "lot coverage", "parking spaces", "open space",
+)
+USE_ALIASES = {"restaurant": "restaurant use", "single detached dwelling": "single-unit dwelling use", "single unit dwelling": "single-unit dwelling use"}
 NOT_USES = ("land use", "permitted use")
 
 
@@ -28,7 +32,7 @@ def normalize_zone(raw: Column) -> Column:
     """Upper case without spaces, hyphens put in, a leading L or I read into a known code taken off."""
     upper = F.regexp_replace(F.upper(raw), r"\s+", "")
     compact = F.replace(upper, F.lit("-"), F.lit(""))
-    hyphened = F.regexp_replace(F.regexp_replace(upper, r"^([A-Z]{1,4})(\d[A-Z]?)([A-Z])$", "$1-$2-$3"), r"^([A-Z]{1,4})(\d[A-Z]?)$", "$1-$2")
+    hyphened = F.regexp_replace(F.regexp_replace(upper, r"^([A-Z]{1,4})(\d[A-Z]?)$", "$1-$2"), r"^([A-Z]{1,4})(\d[A-Z])([A-Z])$", "$1-$2-$3")
     out = F.when(upper.contains("-"), upper).otherwise(hyphened)
     for code in KNOWN_ZONES:
         bare = code.replace("-", "")
@@ -43,8 +47,13 @@ def extract_zones(t: Column) -> Column:
 
 
 def normalize_use(t: Column) -> Column:
+    """Lower-cased name of a use without outer punctuation, aliases by their canonical name."""
     bare = F.regexp_replace(F.regexp_replace(F.trim(t), r"^[.,;:]+|[.,;:]+$", ""), r"\s+", " ")
-    return F.replace(F.lower(bare), F.lit(" - "), F.lit("-"))
+    name = F.replace(F.lower(bare), F.lit(" - "), F.lit("-"))
+    out = name
+    for alias, canonical in USE_ALIASES.items():
+        out = F.when(name == alias, canonical).otherwise(out)
+    return out
 
 
 def extract_uses(t: Column) -> Column:

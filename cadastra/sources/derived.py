@@ -118,9 +118,31 @@ DERIVED: dict[str, tuple[str, str]] = {
     "d_outline": _same(_OUTLINE),
     "d_cells": _same(_CELLS),
     "d_matrix": _same(_MATRIX),
-    "d_questions": (
-        "SELECT item_id AS question_id, array_join(slice(split(regexp_replace(text, '\\\\s+', ' '), ' '), 1, 8), ' ') AS question FROM {benchmark}",
-        "SELECT item_id AS question_id, array_to_string(string_split(regexp_replace(text, '\\s+', ' ', 'g'), ' ')[1:8], ' ') AS question FROM {benchmark}",
+    "d_questions": _same("SELECT item_id AS question_id, text AS question FROM {benchmark}"),
+    "d_inquiries": _same(
+        """SELECT c_custkey AS question_id,
+                  CASE c_custkey % 20
+                    WHEN 0 THEN concat('What is the maximum building height in the R', CAST(c_custkey % 7 AS STRING), 'A zone?')
+                    WHEN 1 THEN concat('Is a temporary use permitted under subsection ', CAST(c_custkey % 50 AS STRING), '.2(a) in R-1?')
+                    WHEN 2 THEN 'What is the sideyard setback the R2 zone ?'
+                    WHEN 3 THEN concat('Can I operate a pet  grooming use in lHR-1 near parcel ', CAST(c_custkey AS STRING))
+                    WHEN 4 THEN 'How many stories are allowed for an office use in the CEN 2 zone, except on corners?'
+                    WHEN 5 THEN 'Is a backyard suite allowed behind a single-unit dwelling in the South End?'
+                    WHEN 6 THEN concat('Define landscaped open space and see Section ', CAST(c_custkey % 90 AS STRING))
+                    WHEN 7 THEN 'What is a daycare?'
+                    WHEN 8 THEN concat('How many parking stalls does a restaurant use require in C-2A under Schedule B', CAST(c_custkey % 9 AS STRING), '?')
+                    WHEN 9 THEN 'Can a townhouse have a rear addition in ER-3 if conditions [4] and [12] apply?'
+                    WHEN 10 THEN 'What population density, in persons per acre, is the limit?'
+                    WHEN 11 THEN concat('See clause ', CAST(c_custkey % 40 AS STRING), '-', CAST(c_custkey % 3 AS STRING), ' subject to the table')
+                    WHEN 12 THEN concat('Minimum lot area and lot frontage, ', CAST(c_custkey % 700 AS STRING), ' m2, where no zone is named')
+                    WHEN 13 THEN 'Does the accessory structure need a permit? An accessory building  too'
+                    WHEN 14 THEN 'What condition applies to a retail use or a very large motor vehicle repair use within DD?'
+                    WHEN 15 THEN 'I want to build a shipping container home; flankage yard in CH1'
+                    WHEN 16 THEN 'Interior conversion of an apartment house: dwelling units and day care, schedule A'
+                    WHEN 17 THEN concat('Who owns lot ', CAST(c_custkey AS STRING), '?')
+                    WHEN 18 THEN 'maximum coverage of the yard in the UC-1 ZONE; parking at the rear'
+                    ELSE 'what is' END AS question
+           FROM {customer}"""
     ),
     "d_requests": _same(
         """SELECT c_custkey AS question_id,
