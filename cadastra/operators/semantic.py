@@ -22,6 +22,7 @@ STANDARDS = (
 )
 USE_ALIASES = {"restaurant": "restaurant use", "single detached dwelling": "single-unit dwelling use", "single unit dwelling": "single-unit dwelling use"}
 NOT_USES = ("land use", "permitted use")
+PERMITTED = ("●", "\uf098", "•", "■", "x", "X")
 
 
 def _all(t: Column, pattern: str, group: int = 0) -> Column:
@@ -93,7 +94,7 @@ def extract_values(t: Column) -> Column:
 
 def extract_contexts(t: Column) -> Column:
     """Development contexts in their plural form; interior counts as internal."""
-    plural = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(x), r"\s+", " "), r"s?$", "s"), "^interior", "internal")
+    plural = lambda x: F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(x), r"\s+", " "), r"([^s])$", "$1s"), "^interior", "internal")
     return F.array_sort(F.array_distinct(F.transform(_all(t, CONTEXT, 1), plural)))
 
 
@@ -105,7 +106,11 @@ EXTRACTORS = {
 
 def entity_mentions(fragments: DataFrame) -> DataFrame:
     """(document_id, fragment_id, entity_type, name): all extractors in one pass over the fragments."""
-    structs = [F.transform(f(F.col("text")), lambda v, k=kind: F.struct(F.lit(k).alias("entity_type"), v.alias("name"))) for kind, f in EXTRACTORS.items()]
+
+    def named(kind: str, names: Column) -> Column:
+        return F.transform(names, lambda v: F.struct(F.lit(kind).alias("entity_type"), v.alias("name")))
+
+    structs = [named(kind, f(F.col("text"))) for kind, f in EXTRACTORS.items()]
     return fragments.select("document_id", "fragment_id", F.explode(F.concat(*structs)).alias("m")).select("document_id", "fragment_id", "m.entity_type", "m.name")
 
 
@@ -117,48 +122,158 @@ def entity_dedupe(mentions: DataFrame) -> DataFrame:
 
 
 def definition_facts(fragments: DataFrame) -> DataFrame:
-    """Quoted or capitalised terms that ``means`` something at the start of a fragment."""
-    pattern = r"^\s*[\"“]([^\"”]{2,80})[\"”]\s+means\s+(.*)$"
-    return fragments.where(F.col("text").rlike(pattern)).select("document_id", "fragment_id", F.regexp_extract("text", pattern, 1).alias("term"), F.regexp_extract("text", pattern, 2).alias("meaning"))
+    """(document_id, fragment_id, term, meaning): fragments that begin with a capitalised term, in quotes or not, that ``means`` something.
+
+    The term is the canonical name; it is the fact's only participant (role defined_term).
+    """
+    pattern = r"(?s)^\s*[\"“]?([A-Z][A-Za-z0-9 /'()-]{1,80}?)[\"”]?\s+means\s+(.+)$"
+    found = fragments.where(F.col("text").rlike(pattern))
+    term = normalize_use(F.regexp_extract("text", pattern, 1))
+    return found.select("document_id", "fragment_id", term.alias("term"), F.trim(F.regexp_extract("text", pattern, 2)).alias("meaning")).where("term <> ''")
 
 
 def condition_facts(fragments: DataFrame) -> DataFrame:
-    """(document_id, fragment_id, marker): condition definitions, one for each marker of a fragment."""
-    return fragments.select("document_id", "fragment_id", F.explode(extract_condition_refs(F.col("text"))).alias("marker"))
+    """(document_id, fragment_id, marker, section_refs): condition definitions, one for each marker of a fragment.
+
+    Participants are the marker (role condition) and the sections that the fragment names (role
+    section_ref, each also the end of a ``references`` edge).
+    """
+    return fragments.select("document_id", "fragment_id", F.explode(extract_condition_refs(F.col("text"))).alias("marker"), extract_section_refs(F.col("text")).alias("section_refs"))
+
+
+def _read_cells(cells: DataFrame) -> DataFrame:
+    """``cells`` with the cleaned label, its first zone, standard and context, and whether it is its row's first cell."""
+    label = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " "))
+    first = F.col("col_index") == F.min("col_index").over(Window.partitionBy("table_id", "row_index"))
+    read = cells.select("table_id", "row_index", "col_index", label.alias("label"), first.alias("is_first"))
+    names = {"zone": extract_zones, "standard": extract_standards, "context": extract_contexts}
+    return read.select("*", *[F.get(f(F.col("label")), F.lit(0)).alias(k) for k, f in names.items()])
+
+
+def _read_rows(read: DataFrame) -> DataFrame:
+    """(table_id, row_index, hits, n, row_label, zone_share): the cells of each row that name something, and its first cell."""
+    named = F.col("zone").isNotNull() | F.col("standard").isNotNull() | F.col("context").isNotNull()
+    return read.groupBy("table_id", "row_index").agg(
+        F.count_if(named).alias("hits"),
+        F.count(F.lit(1)).alias("n"),
+        F.max(F.when(F.col("is_first"), F.col("label"))).alias("row_label"),
+        (F.count_if(~F.col("is_first") & F.col("zone").isNotNull()) / F.greatest(F.count_if(~F.col("is_first")), F.lit(1))).alias("zone_share"),
+    )
+
+
+def header_rows(cells: DataFrame) -> DataFrame:
+    """(table_id, header_row): the row with most cells that name a zone, standard or context; the first of equal ones."""
+    return _read_rows(_read_cells(cells)).groupBy("table_id").agg(F.max_by("row_index", F.struct("hits", (-F.col("row_index")).alias("o"))).alias("header_row"))
+
 
+#: What a kind of table binds: row axis, column axis, value, confidence of the profile and of its facts, and their relation.
+TABLE_KINDS = {
+    "permission_matrix": ("use", "zone", "permission_marker", 0.9, 0.88, "permission"),
+    "parking_matrix": ("use", "standard", "requirement", 0.75, 0.84, "parking_standard"),
+    "requirement_matrix": ("standard", "development_context", "requirement", 0.78, 0.8, "requirement"),
+    "dimensional_matrix": ("zone", "standard", "numeric_or_text", 0.8, 0.82, "dimensional_standard"),
+    "key_value_table": ("key", "value", "text", 0.55, None, None),
+    "unknown": (None, None, None, 0.4, None, None),
+}
 
-def header_rows(cells: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """(table_id, row_index): the row with most label hits, the first of equal ones."""
-    hits = cells.groupBy("table_id", "row_index").agg(F.count_if(F.col("text").isin(*labels)).alias("n"))
-    return hits.groupBy("table_id").agg(F.max_by("row_index", F.struct("n", (-F.col("row_index")).alias("o"))).alias("row_index"))
 
+def table_profiles(cells: DataFrame, captions: DataFrame | None = None) -> DataFrame:
+    """(table_id, kind, header_row, row_axis, col_axis, value_type, confidence): what a table speaks of.
 
-def table_profiles(cells: DataFrame) -> DataFrame:
-    """Densities of zones, uses and standards among labels, and the kind of table they speak for."""
-    label = (F.col("row_index") == 0) | (F.col("col_index") == 0)
-    zone, use = F.size(extract_zones(F.col("text"))) > 0, use_label(F.col("text"))
-    counts = cells.where(label).groupBy("table_id").agg(F.count_if(zone).alias("zones"), F.count_if(use).alias("uses"), F.count_if(F.size(extract_standards(F.col("text"))) > 0).alias("standards"))
-    kind = F.when((F.col("zones") >= 2) & (F.col("uses") >= 1), "permission").when((F.col("zones") >= 1) & (F.col("standards") >= 1), "dimensional").when(F.col("standards") >= 2, "requirement").otherwise("unknown")
-    return counts.withColumn("kind", kind)
+    Densities of zones, uses, standards and contexts among the header row and the row labels decide,
+    and ``captions`` (table_id, caption) where given.
+    """
+    read = _read_cells(cells)
+    rows = _read_rows(read)
+    heads = rows.groupBy("table_id").agg(F.max_by("row_index", F.struct("hits", (-F.col("row_index")).alias("o"))).alias("header_row"), F.count(F.lit(1)).alias("rows"), F.max("n").alias("widest"))
+    labels = read.join(heads, "table_id")
+    header, row_label = F.col("row_index") == F.col("header_row"), F.col("is_first") & (F.col("row_index") > 0)
+    both = header.cast("int") + row_label.cast("int")  # a label that is both counts twice
+
+    def share(column: str) -> Column:
+        return F.sum(F.when(F.col(column).isNotNull(), both).otherwise(0)) / F.greatest(F.sum(both), F.lit(1))
+
+    facts = labels.groupBy("table_id", "header_row", "rows", "widest").agg(
+        (F.count_if(header & F.col("zone").isNotNull()) / F.greatest(F.count_if(header), F.lit(1))).alias("zones"),
+        (F.count_if(row_label & use_label(F.col("label"))) / F.greatest(F.count_if(row_label), F.lit(1))).alias("uses"),
+        share("standard").alias("standards"),
+        share("context").alias("contexts"),
+        F.coalesce(F.bool_or((header | row_label) & F.lower("label").contains("parking")), F.lit(False)).alias("parking"),
+        F.coalesce(F.bool_or(row_label & F.col("zone").isNotNull()), F.lit(False)).alias("zone_rows"),
+    )
+    if captions is not None:
+        facts = facts.join(captions.select("table_id", F.lower("caption").alias("caption")), "table_id", "left")
+    caption = F.coalesce(F.col("caption"), F.lit("")) if captions is not None else F.lit("")
+    parking = F.col("parking") | caption.contains("parking")
+    kind = (
+        F.when((caption.contains("permitted uses by zone") | ((F.col("zones") >= 0.4) & (F.col("uses") >= 0.35))) & ~parking, "permission_matrix")
+        .when(parking & ((F.col("zones") >= 0.2) | (F.col("standards") >= 0.2)), "parking_matrix")
+        .when((F.col("standards") >= 0.2) & (F.col("contexts") >= 0.1), "requirement_matrix")
+        .when((F.col("standards") >= 0.2) & ((F.col("zones") >= 0.2) | F.col("zone_rows")), "dimensional_matrix")
+        .when((F.col("rows") <= 8) & (F.col("widest") <= 2), "key_value_table")
+        .otherwise("unknown")
+    )
+    out = facts.select("table_id", kind.alias("kind"), "header_row")
+    for i, name in enumerate(("row_axis", "col_axis", "value_type", "confidence")):
+        value = F.lit(None).cast("double" if name == "confidence" else "string")
+        for k, v in TABLE_KINDS.items():
+            value = F.when(F.col("kind") == k, F.lit(v[i])).otherwise(value)
+        out = out.withColumn(name, value)
+    return out
 
 
-def matrix_facts(cells: DataFrame, row_kind: str = "use", col_kind: str = "zone") -> DataFrame:
-    """Facts of a matrix: row label × column header × cell; blank cells give none, repeated header rows are skipped.
+def matrix_facts(cells: DataFrame, profiles: DataFrame) -> DataFrame:
+    """Facts of permission, parking, dimensional and requirement tables: row label × header × cell.
 
-    One operator for permission, dimensional, parking and requirement tables: only the axes differ.
+    (table_id, row_index, col_index, relation_type, row_entity, row_contexts, col_entity, value,
+    markers, confidence). Blank cells, repeated header rows of zone tables, and rows and columns
+    whose label names nothing that the kind of table binds give none.
     """
-    heads = cells.where("row_index = 0 and col_index > 0").select("table_id", "col_index", F.col("text").alias("col_label"))
-    rows = cells.where("row_index > 0 and col_index = 0").select("table_id", "row_index", F.col("text").alias("row_label"))
-    body = cells.where("row_index > 0 and col_index > 0").where(F.trim("text") != "")
-    joined = body.join(heads, ["table_id", "col_index"]).join(rows, ["table_id", "row_index"]).where("text <> col_label")
-    row = normalize_use(F.col("row_label")) if row_kind == "use" else F.col("row_label")
-    col = normalize_zone(F.col("col_label")) if col_kind == "zone" else F.col("col_label")
-    return joined.select("table_id", "row_index", "col_index", row.alias("row_entity"), col.alias("col_entity"), F.col("text").alias("value"))
+    read = _read_cells(cells)
+    known = profiles.where(F.col("kind").isin(*[k for k, v in TABLE_KINDS.items() if v[5]])).select("table_id", "kind", "header_row")
+    placed = read.join(known, "table_id")
+    by_zone = F.col("kind").isin("permission_matrix", "parking_matrix")
+    col_entity = F.when(by_zone, F.col("zone")).when(F.col("kind") == "dimensional_matrix", F.col("standard")).otherwise(F.coalesce("context", F.when(F.col("label") != "", F.lower("label"))))
+    heads = placed.where("row_index = header_row and not is_first").select("table_id", "col_index", col_entity.alias("col_entity")).where("col_entity is not null")
+    rows = _read_rows(placed).join(known, "table_id").where("row_index <> header_row").where(~by_zone | (F.col("n") <= 2) | (F.col("zone_share") < 0.5))
+    contexts, label = extract_contexts(F.col("row_label")), F.col("row_label")
+    row_entity = (
+        F.when(by_zone, F.when(use_label(label), normalize_use(label)))
+        .when(F.col("kind") == "dimensional_matrix", F.get(extract_zones(label), F.lit(0)))
+        .otherwise(F.coalesce(F.get(extract_standards(label), F.lit(0)), F.get(contexts, F.lit(0))))
+    )
+    named = rows.select("table_id", "kind", "row_index", row_entity.alias("row_entity"), F.when(F.col("kind") == "requirement_matrix", contexts).otherwise(F.array().cast("array<string>")).alias("row_contexts")).where("row_entity is not null")
+    body = read.where("not is_first and label <> ''").select("table_id", "row_index", "col_index", F.col("label").alias("value"))
+    relation, confidence = F.lit(None).cast("string"), F.lit(None).cast("double")
+    for k, v in TABLE_KINDS.items():
+        relation, confidence = F.when(F.col("kind") == k, F.lit(v[5])).otherwise(relation), F.when(F.col("kind") == k, F.lit(v[4])).otherwise(confidence)
+    marked = F.when(F.col("kind").isin("permission_matrix", "requirement_matrix"), extract_condition_refs(F.col("value"))).otherwise(F.array().cast("array<string>"))
+    return (
+        body.join(named, ["table_id", "row_index"])
+        .join(heads, ["table_id", "col_index"])
+        .select("table_id", "row_index", "col_index", relation.alias("relation_type"), "row_entity", "row_contexts", "col_entity", "value", marked.alias("markers"), confidence.alias("confidence"))
+    )
+
+
+#: Roles of a fact's row and column entity, and of the standard that all parking facts share.
+FACT_ROLES = {"permission": ("use", "zone"), "parking_standard": ("use", "zone"), "dimensional_standard": ("zone", "standard"), "requirement": ("standard", "development_context")}
+
+
+def fact_participants(facts: DataFrame) -> DataFrame:
+    """(table_id, row_index, col_index, role, name): the entities that take part in each fact, each once in a role."""
+    roles = []
+    for relation, (row, col) in FACT_ROLES.items():
+        mine = F.col("relation_type") == relation
+        roles += [F.when(mine, F.struct(F.lit(row).alias("role"), F.col("row_entity").alias("name"))), F.when(mine, F.struct(F.lit(col).alias("role"), F.col("col_entity").alias("name")))]
+    roles.append(F.when(F.col("relation_type") == "parking_standard", F.struct(F.lit("standard").alias("role"), F.lit("parking spaces").alias("name"))))
+    more = F.concat(F.transform("row_contexts", lambda c: F.struct(F.lit("development_context").alias("role"), c.alias("name"))), F.transform("markers", lambda m: F.struct(F.lit("condition").alias("role"), m.alias("name"))))
+    taking_part = F.array_distinct(F.concat(F.array_compact(F.array(*roles)), more))
+    return facts.select("table_id", "row_index", "col_index", F.explode(taking_part).alias("p")).select("table_id", "row_index", "col_index", "p.role", "p.name")
 
 
 def permission(value: Column) -> Column:
     """Meaning of a permission cell."""
-    return F.when(value.isin("P", "●", "■"), "permitted").when(F.size(extract_condition_refs(value)) > 0, "conditional").when(value == "C", "conditional").otherwise("unknown")
+    return F.when(value.isin(*PERMITTED), "permitted").when(F.size(extract_condition_refs(value)) > 0, "conditional").otherwise("unknown")
 
 
 def reference_edges(refs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -181,19 +296,23 @@ def semantic_findings(tables: DataFrame, profiles: DataFrame, facts: DataFrame,
     return a.unionByName(b)
 
 
-def fact_match(requests: DataFrame, participants: DataFrame) -> DataFrame:
-    """Facts that cover every entity a question asks for (relational division): (question_id, fact_id, score).
+def fact_match(requests: DataFrame, participants: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts that cover every kind of entity a question asks for (relational division): (question_id, fact_id, score).
 
-    ``requests``: question_id, entity_type, name; ``participants``: fact_id, entity_type, name.
+    ``requests``: question_id, relation_types, entity_type, name; ``participants``: fact_id,
+    entity_type, name; ``facts``: fact_id, relation_type, confidence. The score is 2 for each covered
+    entity, 1 where the fact's relation is asked for, and its confidence.
     """
-    asked = requests.groupBy("question_id").agg(F.count_distinct("entity_type").alias("need"))
+    asked = requests.groupBy("question_id").agg(F.count_distinct("entity_type").alias("need"), F.first("relation_types").alias("relation_types"))
     hits = participants.join(requests, ["entity_type", "name"]).groupBy("question_id", "fact_id").agg(F.count_distinct("entity_type").alias("have"))
-    return hits.join(asked, "question_id").where("have = need").select("question_id", "fact_id", (F.col("have") * 2).alias("score"))
+    covered = hits.join(asked, "question_id").where("have = need").join(facts, "fact_id")
+    bonus = F.when(F.array_contains("relation_types", F.col("relation_type")), 1).otherwise(0)
+    return covered.select("question_id", "fact_id", (F.col("have") * 2 + bonus + F.coalesce("confidence", F.lit(0.0))).alias("score"))
 
 
 def permission_summary(facts: DataFrame) -> DataFrame:
-    """All uses that a zone permits, as one sorted list."""
-    return facts.where("meaning = 'permitted'").groupBy("col_entity").agg(F.array_sort(F.collect_set("row_entity")).alias("uses"))
+    """(table_id, col_entity, uses): the uses that a zone permits in a table, as one sorted list."""
+    return facts.where("meaning = 'permitted'").groupBy("table_id", "col_entity").agg(F.array_sort(F.collect_set("row_entity")).alias("uses"))
 
 
 def neighbours(cells: DataFrame) -> DataFrame:

@@ -41,7 +41,7 @@ def oracle(text: str) -> str:
             body = DERIVED[name][1]
             for n in sorted(names_in(body)):
                 add(n)
-            parts[name] = f"{name} AS ({re.sub(r'\{(\w+)\}', r'\1', body)})"
+            parts[name] = f"{name} AS MATERIALIZED ({re.sub(r'\{(\w+)\}', r'\1', body)})"
 
     for n in sorted(names_in(text)):
         add(n)
