@@ -2,55 +2,64 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cadastra.sources.lineage import cut
+
 
-def hierarchy_parent(outline: DataFrame, keys: tuple[str, ...] = ("document_id",), levels: int = 6) -> DataFrame:
+def hierarchy_parent(outline: DataFrame, keys: tuple[str, ...] = ("document_id",)) -> DataFrame:
     """``outline`` (keys, idx, level) plus parent_idx: the nearest row before with a smaller level.
 
     For each level the last index that had it is one running window; the parent is the latest of
-    those under the row's own level. All windows share one sort.
+    those under the row's own level. All windows share one sort, over as many levels as there are.
     """
     w = Window.partitionBy(*keys).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)
-    last = {k: F.max(F.when(F.col("level") == k, F.col("idx"))).over(w) for k in range(1, levels + 1)}
+    levels = [r[0] for r in outline.select("level").where("level is not null").distinct().orderBy("level").collect()]  # as many as outlines are deep
+    last = {k: F.max(F.when(F.col("level") == k, F.col("idx"))).over(w) for k in levels}
     with_last = outline.select("*", *[c.alias(f"__last{k}") for k, c in last.items()])
-    parent = F.greatest(*[F.when(F.col("level") > k, F.col(f"__last{k}")) for k in last], F.lit(None).cast("long"))
+    none = F.lit(None).cast("long")
+    parent = F.greatest(*[F.when(F.col("level") > k, F.col(f"__last{k}")) for k in last], none, none)
     return with_last.withColumn("parent_idx", parent).drop(*[f"__last{k}" for k in last])
 
 
-def citation_paths(fragments: DataFrame, max_depth: int = 8) -> DataFrame:
+def _climb(fragments: DataFrame, carried: Column) -> DataFrame:
+    """(fragment_id, up, held): ``carried``, an array, of all fragments from the root down to each one, up null.
+
+    Pointers double: each round joins what a fragment holds to what the ancestor at its pointer
+    holds, so trees of any depth take as many rounds as its logarithm. Fragments that hang on a
+    cycle keep a pointer; those whose root is missing are left out.
+    """
+    state = fragments.select("fragment_id", F.col("parent_fragment_id").alias("up"), carried.alias("held"))
+    state, left = cut(state), None
+    while True:
+        open_ = state.where("up is not null")
+        n = open_.count()
+        # A round ends at least one open fragment, unless all that are open hang on cycles.
+        if n == 0 or n == left:
+            return state
+        left = n
+        above = state.select(F.col("fragment_id").alias("up"), F.col("up").alias("next"), F.col("held").alias("more"))
+        joined = open_.join(above, "up").select("fragment_id", F.col("next").alias("up"), F.concat("more", "held").alias("held"))
+        state = cut(state.where("up is null").unionByName(joined))
+
+
+def citation_paths(fragments: DataFrame) -> DataFrame:
     """``fragments`` plus citation_path: labels from the root, joined by `` > ``.
 
-    One join a level, from the roots down, until no fragment is left; ``max_depth`` bounds a cycle.
-    Levels are kept, so that none is computed again for the next one or for the result.
+    Null labels are passed over. Fragments on or under a cycle, or under a missing parent, have no path.
     """
-    f = fragments.select("fragment_id", "parent_fragment_id", "citation_label")
-    level = f.where("parent_fragment_id is null").select("fragment_id", F.col("citation_label").alias("citation_path"))
-    paths = level
-    for _ in range(max_depth - 1):
-        up = level.select(F.col("fragment_id").alias("parent_fragment_id"), F.col("citation_path").alias("up"))
-        label = F.when(F.col("citation_label").isNull(), F.col("up")).otherwise(F.concat_ws(" > ", "up", "citation_label"))
-        level = f.join(up, "parent_fragment_id").select("fragment_id", label.alias("citation_path")).persist()
-        if level.isEmpty():
-            break
-        paths = paths.unionByName(level)
+    label = F.when(F.col("citation_label").isNull(), F.array().cast("array<string>")).otherwise(F.array("citation_label"))
+    paths = _climb(fragments, label).where("up is null and size(held) > 0").select("fragment_id", F.array_join("held", " > ").alias("citation_path"))
     return fragments.join(paths, "fragment_id", "left")
 
 
-def ancestor_chain(fragments: DataFrame, max_depth: int = 8) -> DataFrame:
-    """(fragment_id, ancestors): ids of all ancestors, the root first."""
-    edges = fragments.select("fragment_id", "parent_fragment_id")
-    current = edges.where("parent_fragment_id is not null").select("fragment_id", F.col("parent_fragment_id").alias("ancestor"), F.lit(1).alias("up"))
-    found = current
-    for depth in range(2, max_depth):
-        parents = edges.select(F.col("fragment_id").alias("ancestor"), F.col("parent_fragment_id").alias("next"))
-        current = current.join(parents, "ancestor").where("next is not null").select("fragment_id", F.col("next").alias("ancestor"), F.lit(depth).alias("up")).persist()
-        if current.isEmpty():
-            break
-        found = found.unionByName(current)
-    chains = found.groupBy("fragment_id").agg(F.sort_array(F.collect_list(F.struct("up", "ancestor")), asc=False).alias("c"))
-    return chains.select("fragment_id", F.transform("c", lambda x: x["ancestor"]).alias("ancestors"))
+def ancestor_chain(fragments: DataFrame) -> DataFrame:
+    """(fragment_id, ancestors): ids of all ancestors of fragments that have some, the root first."""
+    chains = _climb(fragments, F.array("fragment_id")).where("up is null and size(held) > 1")
+    return chains.select("fragment_id", F.slice("held", F.lit(1), F.size("held") - 1).alias("ancestors"))
 
 
 def downgrade_duplicate_paths(fragments: DataFrame) -> DataFrame:
@@ -133,42 +142,58 @@ def resolve_references(refs: DataFrame, fragments: DataFrame) -> DataFrame:
     return joined.withColumn("status", F.when(hit, "resolved").otherwise("unresolved")).withColumn("confidence", F.when(hit, 0.85).otherwise(0.65))
 
 
-def findings(fragments: DataFrame, blocks: DataFrame, cells: DataFrame, refs: DataFrame) -> DataFrame:
-    """(rule, severity, object_id): one small query a rule, put together."""
+# Fragments that may stand at a root, and blocks that no fragment needs to hold.
+ROOT_TYPES = ("part", "schedule", "appendix", "section", "heading", "prose")
+LOOSE_BLOCKS = ("table_region", "header", "footer")
+
+
+def _unaccounted(blocks: DataFrame) -> DataFrame:
+    """Blocks that a fragment or table should hold and none does."""
+    return blocks.where(~F.col("is_boilerplate") & ~F.col("block_type").isin(*LOOSE_BLOCKS) & ~F.col("accounted"))
+
+
+def findings(fragments: DataFrame, blocks: DataFrame, tables: DataFrame, cells: DataFrame, refs: DataFrame, page_counts: DataFrame | None = None) -> DataFrame:
+    """(rule, severity, object_id): one small query a rule, put together.
+
+    ``fragments`` has citation_path; ``blocks``: block_id, block_type, is_boilerplate, accounted
+    (whether a fragment or table holds it); ``refs``: ref_id, raw, status, target_fragment_id;
+    ``page_counts``: document_id, page_count.
+    """
     ids = fragments.select(F.col("fragment_id").alias("parent_fragment_id"))
     paths = fragments.where("citation_path is not null").groupBy("document_id", "citation_path").agg(F.count(F.lit(1)).alias("n"), F.min("fragment_id").alias("fragment_id"))
     rules = [
+        ("unaccounted_block", "error", _unaccounted(blocks).select("block_id")),
         ("missing_parent", "error", fragments.where("parent_fragment_id is not null").join(ids, "parent_fragment_id", "left_anti").select("fragment_id")),
-        ("odd_root", "warning", fragments.where("parent_fragment_id is null and fragment_type not in ('part','section','schedule','appendix','heading','prose')").select("fragment_id")),
+        ("odd_root", "warning", fragments.where(F.col("parent_fragment_id").isNull() & ~F.col("fragment_type").isin(*ROOT_TYPES)).select("fragment_id")),
         ("page_range", "error", fragments.where("page_end < page_start").select("fragment_id")),
-        ("duplicate_path", "warning", paths.where("n > 1").select("fragment_id")),
-        ("untargeted_reference", "warning", refs.where("status <> 'resolved'").select("fragment_id")),
-        ("blank_cell_table", "warning", cells.groupBy("table_id").agg(F.max(F.length(F.trim("text"))).alias("longest")).where("longest = 0").select(F.col("table_id").alias("fragment_id"))),
-        ("empty_block", "warning", blocks.where(~F.col("raw_text").rlike(r"\S")).select(F.col("document_id").alias("fragment_id"))),
+        ("duplicate_path", "error", paths.where("n > 1").select("fragment_id")),
+        ("cycle", "error", cycles(fragments).select("fragment_id")),
+        ("orphan_cell", "error", cells.join(tables.select("table_id"), "table_id", "left_anti").select("table_id")),
+        ("table_without_cells", "warning", tables.join(cells.select("table_id").distinct(), "table_id", "left_anti").select("table_id")),
+        ("blank_reference", "error", refs.where(~F.col("raw").rlike(r"\S")).select("ref_id")),
+        ("reference_without_target", "error", refs.where("status = 'resolved' and target_fragment_id is null").select("ref_id")),
     ]
-    out = None
-    for rule, severity, rows in rules:
-        part = rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col("fragment_id").cast("long").alias("object_id"))
-        out = part if out is None else out.unionByName(part)
-    return out
+    if page_counts is not None:
+        beyond = fragments.join(page_counts, "document_id").where("page_start < 1 or page_end > page_count")
+        rules.append(("beyond_pages", "error", beyond.select("fragment_id")))
+    parts = [rows.select(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.col(rows.columns[0]).cast("long").alias("object_id")) for rule, severity, rows in rules]
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
-def cycles(fragments: DataFrame, max_depth: int = 16) -> DataFrame:
-    """Fragments from which walking up the parents comes back to them.
+def cycles(fragments: DataFrame) -> DataFrame:
+    """Fragments from which walking up the parents comes back to them, however long the way.
 
-    The walk doubles its step each round, so ``max_depth`` steps take log2 rounds; a node on a
-    cycle of length L is its own ancestor at every multiple of L.
+    Pointers double until their steps are as many as the fragments that still have one. Then each
+    pointer ends on a cycle, and every fragment of a cycle is such an end.
     """
-    edges = fragments.where("parent_fragment_id is not null").select(F.col("fragment_id").alias("a"), F.col("parent_fragment_id").alias("b"))
-    reach, hop = edges, edges
-    steps = 1
-    while steps < max_depth:
-        hop2 = hop.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        longer = reach.join(hop2, "b").select("a", F.col("c").alias("b"))
-        reach = reach.unionByName(longer).distinct()
-        hop = hop.join(hop2, "b").select("a", F.col("c").alias("b"))
-        steps *= 2
-    return reach.where("a = b").select(F.col("a").alias("fragment_id")).distinct()
+    parents = fragments.where("parent_fragment_id is not null").select("fragment_id", F.col("parent_fragment_id").alias("up"))
+    state, steps = cut(parents), 1
+    n = state.count()
+    while steps < n:
+        above = state.select(F.col("fragment_id").alias("up"), F.col("up").alias("next"))
+        state = cut(state.join(above, "up").select("fragment_id", F.col("next").alias("up")))
+        n, steps = state.count(), steps * 2
+    return state.join(parents.select(F.col("fragment_id").alias("up")).distinct(), "up", "left_semi").select(F.col("up").alias("fragment_id")).distinct()
 
 
 def ingest_status(runs: DataFrame) -> DataFrame:
@@ -180,26 +205,34 @@ def ingest_status(runs: DataFrame) -> DataFrame:
 RISK_WEIGHTS = {"uncertain": 3, "odd_roots": 2, "duplicates": 4, "tables": 2, "unresolved": 1, "unaccounted": 5}
 
 
-def page_risk(fragments: DataFrame, refs: DataFrame, blocks: DataFrame) -> DataFrame:
-    """(document_id, page, score, reasons): weighted counts of what may be wrong on each page.
+def page_risk(fragments: DataFrame, refs: DataFrame, blocks: DataFrame, tables: DataFrame) -> DataFrame:
+    """(document_id, page, score, reasons): weighted counts of what may be wrong on each page that holds anything.
 
-    Fragments count on all their pages; ``refs`` has (fragment_id, status), ``blocks`` has
-    (document_id, page, fallback boolean).
+    Fragments count on all their pages, with their unresolved references; ``fragments`` has a
+    boolean duplicate, ``refs`` (fragment_id, status), ``blocks`` (document_id, page, block_type,
+    is_boilerplate, accounted, fallback), ``tables`` (document_id, page).
     """
-    on_pages = fragments.select("document_id", "fragment_id", "parse_status", "parent_fragment_id", "fragment_type", F.explode(F.sequence("page_start", "page_end")).alias("page"))
-    odd = F.col("parent_fragment_id").isNull() & ~F.col("fragment_type").isin("part", "section", "schedule", "appendix", "heading", "prose")
-    by_fragment = on_pages.groupBy("document_id", "page").agg(F.count_if(F.col("parse_status") == "uncertain").alias("uncertain"), F.count_if(odd).alias("odd_roots"))
+    place = ["document_id", "page"]
+    on_pages = fragments.select("document_id", "fragment_id", "parse_status", "parent_fragment_id", "fragment_type", "duplicate", F.explode(F.sequence("page_start", "page_end")).alias("page"))
+    odd = F.col("parent_fragment_id").isNull() & ~F.col("fragment_type").isin(*ROOT_TYPES)
     open_refs = refs.where("status <> 'resolved'").groupBy("fragment_id").agg(F.count(F.lit(1)).alias("n"))
-    by_ref = on_pages.join(open_refs, "fragment_id").groupBy("document_id", "page").agg(F.sum("n").alias("unresolved"))
-    by_block = blocks.groupBy("document_id", "page").agg(F.count_if("fallback").alias("fallback"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    joined = by_fragment.join(by_ref, ["document_id", "page"], "left").join(by_block, ["document_id", "page"], "left")
-    fallback = F.when(zero("fallback") > 0, F.greatest(F.lit(1), F.floor(zero("fallback") / 2))).otherwise(0)
-    score = sum((zero(c) * RISK_WEIGHTS[c] for c in ("uncertain", "odd_roots", "unresolved")), fallback)
-    texts = {"uncertain": "uncertain fragments", "odd_roots": "unusual root fragments", "unresolved": "unresolved cross-references", "fallback": "fallback-sensitive blocks"}
-    reasons = F.array_compact(F.array(*[F.when(zero(c) > 0, F.concat(zero(c).cast("string"), F.lit(f" {said}"))) for c, said in texts.items()]))
+    by_fragment = on_pages.join(open_refs, "fragment_id", "left").groupBy(*place).agg(
+        F.count_if(F.col("parse_status") == "uncertain").alias("uncertain"), F.count_if(odd).alias("odd_roots"), F.count_if("duplicate").alias("duplicates"), F.sum("n").alias("unresolved")
+    )
+    lost = ~F.col("is_boilerplate") & ~F.col("block_type").isin(*LOOSE_BLOCKS) & ~F.col("accounted")
+    by_block = blocks.groupBy(*place).agg(F.count_if("fallback").alias("fallback"), F.count_if(lost).alias("unaccounted"))
+    by_table = tables.groupBy(*place).agg(F.count(F.lit(1)).alias("tables"))
+    joined = by_fragment.join(by_block, place, "full").join(by_table, place, "full")
+    texts = {
+        "uncertain": "uncertain fragments", "odd_roots": "unusual root fragments", "duplicates": "duplicate citation path downgrades", "tables": "tables present",
+        "unresolved": "unresolved cross-references", "fallback": "fallback-sensitive blocks", "unaccounted": "unaccounted non-boilerplate blocks",
+    }
+    counts = joined.fillna(0, list(texts))
+    fallback = F.when(F.col("fallback") > 0, F.greatest(F.lit(1), F.floor(F.col("fallback") / 2))).otherwise(0)
+    score = sum((F.col(c) * weight for c, weight in RISK_WEIGHTS.items()), fallback)
+    reasons = F.array_compact(F.array(*[F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(f" {said}"))) for c, said in texts.items()]))
     reasons = F.when(F.size(reasons) == 0, F.array(F.lit("low structural risk"))).otherwise(reasons)
-    return joined.select("document_id", "page", score.cast("long").alias("score"), reasons.alias("reasons"))
+    return counts.select(*place, score.cast("long").alias("score"), reasons.alias("reasons"))
 
 
 def audit_sample(risk: DataFrame, n: int = 5) -> DataFrame:

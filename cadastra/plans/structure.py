@@ -120,20 +120,36 @@ def xref_resolve(t):
     return S.resolve_references(S.detect_references(leaves), t.d_fragments)
 
 
+_FAULTY_REFS = """SELECT l_orderkey * 10 + l_linenumber AS ref_id, CASE WHEN l_partkey % 50 = 0 THEN ' ' ELSE concat('section ', CAST(l_suppkey AS STRING)) END AS raw,
+    CASE WHEN l_partkey % 3 = 0 THEN 'resolved' ELSE 'unresolved' END AS status, CASE WHEN l_partkey % 7 > 0 THEN l_suppkey END AS target_fragment_id FROM {lineitem}"""
+
+
 @query(
     "validate_structure",
-    _PATHS
-    + rf""", r AS ({_REFS.replace("{d_fragments}", "d_fragments")}),
-        d AS (SELECT document_id, citation_path, count(*) AS n, min(f.fragment_id) AS fragment_id FROM d_fragments f JOIN p USING (fragment_id) GROUP BY document_id, citation_path)
-        SELECT 'duplicate_path' AS rule, 'warning' AS severity, fragment_id AS object_id FROM d WHERE n > 1
-        UNION ALL
-        SELECT 'untargeted_reference', 'warning', fragment_id FROM r
-        WHERE NOT EXISTS (SELECT 1 FROM d_fragments f WHERE f.document_id = r.document_id AND f.citation_label = r.target)""",
+    f"""WITH RECURSIVE f AS MATERIALIZED (SELECT * FROM {{d_faulty}}), p(fragment_id, citation_path) AS (
+        SELECT fragment_id, citation_label FROM f WHERE parent_fragment_id IS NULL
+        UNION ALL SELECT f.fragment_id, p.citation_path || ' > ' || f.citation_label FROM f JOIN p ON f.parent_fragment_id = p.fragment_id),
+        w(start, cur, n) AS (SELECT fragment_id, parent_fragment_id, 1 FROM f WHERE depth < 4 AND parent_fragment_id IS NOT NULL
+            UNION ALL SELECT start, parent_fragment_id, n + 1 FROM w JOIN f ON f.fragment_id = w.cur WHERE parent_fragment_id IS NOT NULL AND n < 6 AND cur <> start),
+        d AS (SELECT document_id, citation_path, count(*) AS n, min(f.fragment_id) AS fragment_id FROM f JOIN p USING (fragment_id) GROUP BY document_id, citation_path),
+        r AS ({_FAULTY_REFS.replace('STRING', 'VARCHAR')}), t AS (SELECT p_size AS table_id FROM {{part}} WHERE p_size > 2 UNION SELECT 60), c AS (SELECT table_id FROM {{d_tables}})
+        SELECT 'unaccounted_block' AS rule, 'error' AS severity, block_id AS object_id FROM {{d_parts}} WHERE NOT is_boilerplate AND block_type <> 'table_region' AND NOT accounted
+        UNION ALL SELECT 'missing_parent', 'error', fragment_id FROM f WHERE parent_fragment_id = 0
+        UNION ALL SELECT 'odd_root', 'warning', fragment_id FROM f WHERE parent_fragment_id IS NULL AND fragment_type NOT IN ('part', 'section')
+        UNION ALL SELECT 'page_range', 'error', fragment_id FROM f WHERE page_end < page_start
+        UNION ALL SELECT 'duplicate_path', 'error', fragment_id FROM d WHERE n > 1
+        UNION ALL SELECT DISTINCT 'cycle', 'error', start FROM w WHERE cur = start
+        UNION ALL SELECT 'orphan_cell', 'error', table_id FROM c WHERE table_id NOT IN (SELECT table_id FROM t)
+        UNION ALL SELECT 'table_without_cells', 'warning', table_id FROM t WHERE table_id NOT IN (SELECT table_id FROM c)
+        UNION ALL SELECT 'blank_reference', 'error', ref_id FROM r WHERE raw = ' '
+        UNION ALL SELECT 'reference_without_target', 'error', ref_id FROM r WHERE status = 'resolved' AND target_fragment_id IS NULL
+        UNION ALL SELECT 'beyond_pages', 'error', fragment_id FROM f WHERE page_start < 1 OR page_end > 200""",
 )
 def validate_structure(t):
-    f = S.citation_paths(t.d_fragments)
-    refs = S.resolve_references(S.detect_references(t.d_fragments.where("depth = 5")), t.d_fragments)
-    return S.findings(f, t.d_blocks, t.d_cells, refs)
+    refs = t.spark.sql(_FAULTY_REFS, lineitem=t.lineitem)
+    tables = t.part.where("p_size > 2").select(F.col("p_size").alias("table_id")).union(t.spark.sql("SELECT 60")).distinct()
+    counts = t.region.select(F.col("r_regionkey").cast("long").alias("document_id"), F.lit(200).alias("page_count"))
+    return S.findings(S.citation_paths(t.d_faulty), t.d_parts, tables, t.d_tables, refs, counts)
 
 
 @query("tree_cycle_check", "SELECT fragment_id FROM (SELECT o_orderkey AS fragment_id FROM {orders} WHERE o_orderkey % 7 < 3)")
@@ -156,22 +172,28 @@ def ingest_status(t):
     return S.ingest_status(runs)
 
 
-_RISK = rf"""WITH r AS ({_REFS}),
+_RISK = rf"""{_PATHS}, r AS ({_REFS.replace("{d_fragments}", "d_fragments")}),
+    k AS (SELECT f.fragment_id, count(*) OVER (PARTITION BY f.document_id, p.citation_path) > 1 AS duplicate FROM d_fragments f JOIN p ON f.fragment_id = p.fragment_id),
     o AS (SELECT fragment_id, count(*) AS n FROM r WHERE NOT EXISTS (SELECT 1 FROM d_fragments f WHERE f.document_id = r.document_id AND f.citation_label = r.target) GROUP BY fragment_id),
-    g AS (SELECT f.*, unnest(range(page_start, page_end + 1)) AS page FROM d_fragments f),
-    a AS (SELECT g.document_id, page, count_if(parse_status = 'uncertain') AS uncertain, sum(n)::BIGINT AS unresolved FROM g LEFT JOIN o ON o.fragment_id = g.fragment_id GROUP BY g.document_id, page),
-    b AS (SELECT document_id, page_number AS page, count_if(contains(raw_text, '|')) AS fallback FROM {{d_blocks}} GROUP BY document_id, page_number),
-    s AS (SELECT a.document_id, a.page, uncertain, coalesce(unresolved, 0) AS unresolved, coalesce(fallback, 0) AS fallback FROM a LEFT JOIN b ON a.document_id = b.document_id AND a.page = b.page),
-    risk AS (SELECT document_id, page, 3 * uncertain + unresolved + CASE WHEN fallback > 0 THEN greatest(1, fallback // 2) ELSE 0 END AS score,
-             CASE WHEN uncertain + unresolved + fallback = 0 THEN ['low structural risk'] ELSE list_filter([
-                CASE WHEN uncertain > 0 THEN uncertain || ' uncertain fragments' END, CASE WHEN unresolved > 0 THEN unresolved || ' unresolved cross-references' END,
-                CASE WHEN fallback > 0 THEN fallback || ' fallback-sensitive blocks' END], lambda x: x IS NOT NULL) END AS reasons FROM s)"""
+    g AS (SELECT f.*, duplicate, unnest(range(page_start, page_end + 1)) AS page FROM d_fragments f JOIN k USING (fragment_id)),
+    a AS (SELECT g.document_id, page, count_if(parse_status = 'uncertain' OR duplicate) AS uncertain, count_if(duplicate) AS duplicates, sum(n)::BIGINT AS unresolved FROM g LEFT JOIN o ON o.fragment_id = g.fragment_id GROUP BY g.document_id, page),
+    b AS (SELECT document_id, page, count_if(block_type IN ('table_region', 'footnote')) AS fallback, count_if(NOT is_boilerplate AND block_type <> 'table_region' AND NOT accounted) AS unaccounted FROM {{d_parts}} GROUP BY document_id, page),
+    m AS (SELECT table_id % 5 AS document_id, table_id % 40 + 1 AS page, count(DISTINCT table_id) AS tables FROM {{d_tables}} GROUP BY ALL),
+    s AS (SELECT document_id, page, coalesce(uncertain, 0) AS uncertain, coalesce(duplicates, 0) AS duplicates, coalesce(tables, 0) AS tables, coalesce(unresolved, 0) AS unresolved, coalesce(fallback, 0) AS fallback, coalesce(unaccounted, 0) AS unaccounted
+        FROM a FULL JOIN b USING (document_id, page) FULL JOIN m USING (document_id, page)),
+    risk AS (SELECT document_id, page, 3 * uncertain + 4 * duplicates + 2 * tables + unresolved + 5 * unaccounted + CASE WHEN fallback > 0 THEN greatest(1, fallback // 2) ELSE 0 END AS score,
+             CASE WHEN uncertain + duplicates + tables + unresolved + fallback + unaccounted = 0 THEN ['low structural risk'] ELSE list_filter([
+                CASE WHEN uncertain > 0 THEN uncertain || ' uncertain fragments' END, CASE WHEN duplicates > 0 THEN duplicates || ' duplicate citation path downgrades' END,
+                CASE WHEN tables > 0 THEN tables || ' tables present' END, CASE WHEN unresolved > 0 THEN unresolved || ' unresolved cross-references' END,
+                CASE WHEN fallback > 0 THEN fallback || ' fallback-sensitive blocks' END, CASE WHEN unaccounted > 0 THEN unaccounted || ' unaccounted non-boilerplate blocks' END], lambda x: x IS NOT NULL) END AS reasons FROM s)"""
 
 
 def _risk(t):
     refs = S.resolve_references(S.detect_references(t.d_fragments.where("depth = 5")), t.d_fragments)
-    blocks = t.d_blocks.select("document_id", F.col("page_number").alias("page"), F.col("raw_text").contains("|").alias("fallback"))
-    return S.page_risk(t.d_fragments, refs, blocks)
+    downgraded = S.downgrade_duplicate_paths(S.citation_paths(t.d_fragments).withColumn("confidence", F.lit(0.9)))
+    blocks = t.d_parts.withColumn("fallback", F.col("block_type").isin("table_region", "footnote"))
+    tables = t.d_tables.select("table_id").distinct().select((F.col("table_id") % 5).cast("long").alias("document_id"), (F.col("table_id") % 40 + 1).cast("long").alias("page"))
+    return S.page_risk(downgraded.withColumn("duplicate", F.col("duplicate_citation_path").isNotNull()), refs, blocks, tables)
 
 
 @query("page_risk", _RISK + " SELECT document_id, page, CAST(score AS BIGINT) AS score, reasons FROM risk")
@@ -199,13 +221,13 @@ def page_snapshot(t):
 
 @query(
     "table_page_ranges",
-    """WITH r AS (SELECT document_id, page_start AS s, page_end AS e FROM {d_fragments} WHERE depth = 4 AND reading_order % 9 = 0),
+    """WITH r AS (SELECT document_id, page_start AS s, page_end AS e FROM {d_fragments} WHERE depth = 4),
         m AS (SELECT *, max(e) OVER (PARTITION BY document_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
         i AS (SELECT *, sum(CASE WHEN s > coalesce(before + 1, -1) THEN 1 ELSE 0 END) OVER (PARTITION BY document_id ORDER BY s, e ROWS UNBOUNDED PRECEDING) AS island FROM m)
         SELECT document_id, min(s) AS "start", max(e) AS "end" FROM i GROUP BY document_id, island""",
 )
 def table_page_ranges(t):
-    r = t.d_fragments.where("depth = 4 and reading_order % 9 = 0").select("document_id", F.col("page_start").alias("start"), F.col("page_end").alias("end"))
+    r = t.d_fragments.where("depth = 4").select("document_id", F.col("page_start").alias("start"), F.col("page_end").alias("end"))
     return S.merge_ranges(r)
 
 

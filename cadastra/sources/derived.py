@@ -69,6 +69,14 @@ _FRAGMENTS = """
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {customer} ON o_custkey = c_custkey JOIN {nation} ON c_nationkey = n_nationkey
     ) AS parts"""
 
+# The fragment tree with faults: a cycle at the top of document 0, missing parents, ranges of pages that end before they begin.
+_FAULTY = """
+    SELECT fragment_id,
+           CASE WHEN fragment_id = 1000000000000 THEN (SELECT min(fragment_id) FROM {d_fragments} WHERE depth = 2 AND document_id = 0)
+             WHEN fragment_id % 997 = 5 THEN 0 WHEN fragment_id % 991 = 7 THEN NULL ELSE parent_fragment_id END AS parent_fragment_id,
+           document_id, depth, citation_label, page_start, CASE WHEN fragment_id % 983 = 3 THEN page_start - 1 ELSE page_end END AS page_end, fragment_type, parse_status
+    FROM {d_fragments}"""
+
 _OUTLINE = """
     SELECT document_id, row_number() OVER (PARTITION BY document_id ORDER BY k, ln, p, s, e, q) AS idx, level, label
     FROM (
@@ -141,6 +149,13 @@ DERIVED: dict[str, tuple[str, str]] = {
     "d_clauses": _same(_CLAUSE),
     "d_fragments": _same(_FRAGMENTS),
     "d_outline": _same(_OUTLINE),
+    "d_faulty": _same(_FAULTY),
+    "d_parts": _same(
+        """SELECT document_id, document_id * 1000000 + reading_order AS block_id, page_number AS page,
+                  CASE WHEN raw_text LIKE '%|%' THEN 'table_region' WHEN reading_order % 17 = 1 THEN 'footnote' ELSE 'paragraph' END AS block_type,
+                  reading_order % 40 = 0 AS is_boilerplate, reading_order % 9 <> 4 AS accounted
+           FROM {d_blocks}"""
+    ),
     "d_cells": _same(_CELLS),
     "d_matrix": _same(_MATRIX),
     "d_tables": _same(_TABLES),
