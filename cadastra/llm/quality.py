@@ -28,11 +28,11 @@ BROADCAST_IDS = 1_000_000
 #: Order of the model; an n-gram is the pair (symbols before the last three, last three) of 21 bits a symbol.
 ORDER, BITS = 4, 21
 #: Text of a block, whose distinct n-grams are looked up once, and of a row that carries a part of a block.
-BLOCK_BYTES, PACK_BYTES = 64 << 20, 8 << 20
+BLOCK_BYTES, PACK_BYTES = 16 << 20, 4 << 20
 #: Files that blocks are dealt into at most.
 MAX_BUCKETS = 4096
 #: Distinct n-grams that a counting task holds before it hands them on.
-FLUSH_GRAMS = 1 << 20
+FLUSH_GRAMS = 1 << 18
 #: Symbols of the model: all code points and the end mark.
 SYMBOLS = 0x110000 + 1
 
