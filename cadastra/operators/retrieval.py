@@ -11,10 +11,12 @@ import functools
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.operators.questions import has_any, normalized, query_terms
+from cadastra.operators.questions import has_any, normalized, query_terms, semantic_request, understand, zone_code
+from cadastra.operators.semantic import fact_match
+from cadastra.sources.lineage import cut
 
-#: Terms of a question set that are broadcast to the documents; a larger set joins by shuffle.
-BROADCAST_ROWS = 200_000
+#: Rows and bytes (as JSON) of a side that is broadcast; a larger one joins by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
 
 
 def top_k(df: DataFrame, k: int, by: str = "question_id", score: str = "base_score", tie: str = "source_fragment_id") -> DataFrame:
@@ -44,7 +46,8 @@ def keyword_candidates(questions: DataFrame, fragments: DataFrame, k: int = 8) -
 
 def _small(df: DataFrame) -> DataFrame:
     """A broadcast hint behind a look at the size; Spark decides where it is larger."""
-    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+    rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()
+    return F.broadcast(df) if rows <= BROADCAST_ROWS and (size or 0) <= BROADCAST_BYTES else df
 
 
 def score_keyword(requests: DataFrame, fragments: DataFrame) -> DataFrame:
@@ -137,7 +140,9 @@ def expand_hierarchy(candidates: DataFrame, fragments: DataFrame, siblings: int
     f = fragments.select("fragment_id", "parent_fragment_id")
     near = candidates.select("question_id", F.col("source_fragment_id").alias("fragment_id"), "base_score").join(f, "fragment_id")
     parents = near.where("parent_fragment_id is not null").select("question_id", F.col("parent_fragment_id").alias("source_fragment_id"), F.greatest(F.col("base_score") - 0.15, F.lit(0.0)).alias("base_score"), F.lit("parent").alias("expansion"))
-    kin = f.select(F.col("fragment_id").alias("sibling"), F.col("parent_fragment_id").alias("p"))
+    # One child more than are wanted, since a fragment is not its own sibling: large families never meet whole.
+    eldest = f.withColumn("place", F.row_number().over(Window.partitionBy("parent_fragment_id").orderBy("fragment_id"))).where(F.col("place") <= siblings + 1)
+    kin = eldest.select(F.col("fragment_id").alias("sibling"), F.col("parent_fragment_id").alias("p"))
     pairs = near.join(kin, near["parent_fragment_id"].eqNullSafe(kin["p"])).where("sibling <> fragment_id")
     w = Window.partitionBy("question_id", "fragment_id").orderBy("sibling")
     close = pairs.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= siblings)
@@ -314,3 +319,51 @@ def cached_claims(questions: DataFrame, claims: DataFrame, m: int = 4) -> DataFr
     pairs = questions.join(newest, "document_id").withColumn("score", score)
     best = Window.partitionBy("question_id").orderBy(F.desc("score"), F.desc("confidence"), "claim_id")
     return pairs.withColumn("rank", F.row_number().over(best)).where((F.col("rank") <= m) & ((F.col("score") > 0) | (F.coalesce("confidence", F.lit(0.0)) > 0)))
+
+
+#: What a candidate of each source type costs in the order of the budget: lower goes first.
+PRIORITIES = {"fact": 0, "table": 1, "fragment": 2}
+
+
+def hybrid_search(questions: DataFrame, fragments: DataFrame, cells: DataFrame, facts: DataFrame, participants: DataFrame, refs: DataFrame, votes: DataFrame, k: int = 8, budget: int = 3000, dims: int = 64) -> DataFrame:
+    """Candidates of each question that fit its token budget, with source_type, source_id, scores, rank and used_tokens.
+
+    Channels: keywords and hashed vectors over ``fragments`` (fragment_id, document_id,
+    parent_fragment_id, text), rows of table ``cells``, and ``facts`` (fact_id, relation_type,
+    row_entity, col_entity, value, confidence) whose ``participants`` (fact_id, role, name) cover what
+    the question asks for. Fragments found bring their parents, siblings and the targets of their
+    ``refs``. All are re-ranked, adjusted by ``votes`` (source_fragment_id, vote) on fragments, cut to
+    the pool and to the budget. Only texts of candidates are joined.
+    """
+    texts = fragments.select(F.col("fragment_id").alias("source_fragment_id"), "text")
+    asked = questions.select("question_id", F.col("question").alias("text"))
+    vectors = hash_embed(texts, "source_fragment_id", "text", dims).withColumnRenamed("embedding", "v").withColumn("label", F.lit(0))
+    wanted = hash_embed(asked, "question_id", "text", dims).withColumnRenamed("embedding", "q").withColumn("label", F.lit(0))
+    seeds = merge_candidates(keyword_candidates(questions, texts, k), vector_candidates(wanted, vectors, k).where("base_score > 0"))
+    seeds = cut(seeds)
+    added = [expand_hierarchy(seeds, fragments), expand_references(seeds, refs)]
+    expanded = functools.reduce(DataFrame.unionByName, added).groupBy("question_id", "source_fragment_id").agg(F.max("base_score").alias("base_score"), F.max_by("expansion", F.struct("base_score", "expansion")).alias("expansion"))
+    prose = seeds.select("question_id", "source_fragment_id", "base_score", F.lit(None).cast("string").alias("expansion"), F.lit("text").alias("retrieval_channel")).unionByName(
+        expanded.withColumn("retrieval_channel", F.when(F.col("expansion") == "cross_reference", "cross_reference").otherwise("hierarchy"))
+    )
+    prose = prose.join(texts, "source_fragment_id").select("question_id", F.lit("fragment").alias("source_type"), F.col("source_fragment_id").alias("source_id"), "retrieval_channel", "base_score", "expansion", "text")
+
+    terms = questions.select("question_id", F.array_distinct(query_terms(F.col("question"))).alias("terms"), zone_code(F.col("question")).alias("zone"))
+    lines = cells.groupBy("table_id", "row_index").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("col_index", "text"))), lambda c: c["text"]), " | ").alias("text"))
+    rows = table_candidates(terms, cells, k).join(lines, ["table_id", "row_index"])
+    none = F.lit(None).cast("string").alias("expansion")
+    rows = rows.select("question_id", F.lit("table").alias("source_type"), (F.col("table_id") * 1000000 + F.col("row_index") * 10).cast("long").alias("source_id"), F.lit("table").alias("retrieval_channel"), "base_score", none, "text")
+
+    request = semantic_request(questions).select("question_id", "relation_types", F.explode("entities").alias("e")).select("question_id", "relation_types", F.col("e.type").alias("entity_type"), "e.name")
+    of_type = F.when(F.col("role") == "condition", "condition_ref").otherwise(F.col("role"))
+    matched = top_k(fact_match(request, participants.select("fact_id", of_type.alias("entity_type"), "name"), facts).withColumnRenamed("score", "base_score"), k, tie="fact_id")
+    said = F.concat_ws(" ", "row_entity", F.lit("in"), "col_entity", F.lit("is"), "value")
+    known = matched.join(facts, "fact_id").select("question_id", F.lit("fact").alias("source_type"), F.col("fact_id").cast("long").alias("source_id"), F.lit("semantic").alias("retrieval_channel"), "base_score", none, said.alias("text"))
+
+    candidates = prose.unionByName(rows).unionByName(known)
+    candidates = candidates.withColumn("candidate_id", F.xxhash64("source_type", "source_id")).withColumn("source_fragment_id", F.when(F.col("source_type") == "fragment", F.col("source_id")))
+    ranked = feedback_adjust(rerank(candidates, understand(questions)), votes)
+    priority = F.lit(len(PRIORITIES))
+    for kind, place in PRIORITIES.items():
+        priority = F.when(F.col("source_type") == kind, place).otherwise(priority)
+    return budget_select(pool_limit(cut(ranked), k).withColumn("priority_class", priority), budget)

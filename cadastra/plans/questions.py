@@ -85,13 +85,13 @@ STANDARD = f"""CASE WHEN contains({_T}, 'backyard suite') THEN NULL WHEN contain
     WHEN contains({_T}, 'parking') THEN 'parking' WHEN contains({_T}, 'open space') THEN 'open_space' WHEN {holds(_T, ('density', 'persons per acre', 'dwelling units'))} THEN 'density'
     {_ALIASES} WHEN {holds(_T, ('setback', 'yard'))} THEN 'setback' END"""
 
-_N = r"trim(regexp_replace(lower(question), '\s+', ' ', 'g'))"
-UNDERSTOOD = rf"""question_id, question, {named(_N, Q.TOPICS)} AS topics,
-    list_concat(list_concat({named(_N, {w: (w,) for w in Q.LEGAL_TERMS})}, {named(_N, Q.DIMENSIONS)}), CASE WHEN {holds(_N, Q.STORY_WORDS)} THEN ['maximum height'] ELSE [] END) AS concepts,
-    {named(_N, Q.SECTION_TYPES)} AS section_types,
+NORMAL = r"trim(regexp_replace(lower(question), '\s+', ' ', 'g'))"
+UNDERSTOOD = rf"""question_id, question, {named(NORMAL, Q.TOPICS)} AS topics,
+    list_concat(list_concat({named(NORMAL, {w: (w,) for w in Q.LEGAL_TERMS})}, {named(NORMAL, Q.DIMENSIONS)}), CASE WHEN {holds(NORMAL, Q.STORY_WORDS)} THEN ['maximum height'] ELSE [] END) AS concepts,
+    {named(NORMAL, Q.SECTION_TYPES)} AS section_types,
     list_transform(regexp_extract_all(upper(question), '{Q.ZONE_WORD}', 1), lambda z: replace(z, '-', '')) AS zones,
-    regexp_extract_all({_N}, '{Q.USE_WORD}', 1) AS uses, regexp_extract_all(question, '{Q.CITATION}', 1) AS citations,
-    {holds(_N, Q.TOPICS['definition'])} OR starts_with({_N}, 'what is') AS needs_definitions"""
+    regexp_extract_all({NORMAL}, '{Q.USE_WORD}', 1) AS uses, regexp_extract_all(question, '{Q.CITATION}', 1) AS citations,
+    {holds(NORMAL, Q.TOPICS['definition'])} OR starts_with({NORMAL}, 'what is') AS needs_definitions"""
 
 _LOW = "lower(question)"
 _ASKS = holds(_LOW, Q.PERMISSION_WORDS)

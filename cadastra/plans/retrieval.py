@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.operators import retrieval as R
 from cadastra.operators.questions import understand
+from cadastra.operators.semantic import fact_participants, matrix_facts, table_profiles
 from cadastra.operators.structure import citation_paths, detect_references, resolve_references
 from cadastra.plans.base import query
+from cadastra.plans.questions import NORMAL, UNDERSTOOD, holds, listed
 from cadastra.plans.structure import _PATHS, _REFS
+from cadastra.sources.lineage import cut
 
 _TERMS = r"list_distinct(list_filter(string_split(lower(trim(regexp_replace(regexp_replace(question, '[^\pL\pN\s]', ' ', 'g'), '\s+', ' ', 'g'))), ' '), lambda w: length(w) > 1 AND NOT list_contains(['what','are','the','for','with','that','this','from','into','can','how','many','does','zone','uses','use'], w)))"
 _TOKENS = r"list_distinct(string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\pL\pN\s]', ' ', 'g'), '\s+', ' ', 'g')), ' '))"
@@ -31,7 +35,7 @@ def fts_terms(t):
     "score_keyword",
     _PATHS
     + """, f AS (SELECT d.fragment_id, d.document_id, lower(d.text) AS text, lower(d.citation_label) AS label, lower(p.citation_path) AS path, parse_status FROM d_fragments d JOIN p USING (fragment_id) WHERE depth = 4),
-        r AS (SELECT c_custkey AS question_id, c_custkey % 5 AS document_id, 'priority ' || (c_custkey % 5 + 1) || '-' AS query FROM {customer} WHERE c_custkey % 50 = 0),
+        r AS (SELECT c_custkey AS question_id, c_custkey % 5 AS document_id, 'priority ' || (c_custkey % 5 + 1) || '-' AS query FROM {customer} WHERE c_custkey % 20 = 0),
         s AS (SELECT question_id, fragment_id AS source_fragment_id,
                  CASE WHEN query = path THEN 100 WHEN contains(path, query) THEN 35 WHEN contains(text || ' ' || label || ' ' || path, query) THEN 20 ELSE 0 END
                  + list_sum(list_transform(list_distinct(['priority', '' || (question_id % 5 + 1)]), lambda w: CASE WHEN contains(path, w) THEN 12 WHEN contains(label, w) THEN 8 WHEN contains(text, w) THEN 4 ELSE 0 END))
@@ -41,7 +45,7 @@ def fts_terms(t):
 def score_keyword(t):
     f = citation_paths(t.d_fragments).where("depth = 4")
     k = F.col("c_custkey")
-    r = t.customer.where(k % 50 == 0).select(k.alias("question_id"), (k % 5).alias("document_id"), F.concat(F.lit("priority "), (k % 5 + 1).cast("string"), F.lit("-")).alias("query"))
+    r = t.customer.where(k % 20 == 0).select(k.alias("question_id"), (k % 5).alias("document_id"), F.concat(F.lit("priority "), (k % 5 + 1).cast("string"), F.lit("-")).alias("query"))
     return R.score_keyword(r, f)
 
 
@@ -76,7 +80,7 @@ def vector_topk(t):
     return R.vector_candidates(q, v).select("question_id", "source_fragment_id", F.round("base_score", 6).alias("base_score"))
 
 
-_CELL_Q = "SELECT c_custkey AS question_id, ['standard', 'red', 'widget'] AS terms, 'R-' || (c_custkey % 5) AS zone FROM {customer} WHERE c_custkey % 30 = 0"
+_CELL_Q = "SELECT c_custkey AS question_id, ['standard', 'red', 'widget'] AS terms, 'R-' || (c_custkey % 5) AS zone FROM {customer} WHERE c_custkey % 20 = 0"
 
 
 @query(
@@ -89,7 +93,7 @@ _CELL_Q = "SELECT c_custkey AS question_id, ['standard', 'red', 'widget'] AS ter
 )
 def table_cells_rank(t):
     k = F.col("c_custkey")
-    q = t.customer.where(k % 30 == 0).select(k.alias("question_id"), F.array(F.lit("standard"), F.lit("red"), F.lit("widget")).alias("terms"), F.concat(F.lit("R-"), (k % 5).cast("string")).alias("zone"))
+    q = t.customer.where(k % 20 == 0).select(k.alias("question_id"), F.array(F.lit("standard"), F.lit("red"), F.lit("widget")).alias("terms"), F.concat(F.lit("R-"), (k % 5).cast("string")).alias("zone"))
     return R.table_candidates(q, t.d_cells).select("question_id", "table_id", "row_index", "base_score")
 
 
@@ -134,7 +138,7 @@ def expand_hierarchy(t):
 @query(
     "expand_xref",
     f"""WITH r AS ({_REFS}), l AS (SELECT document_id, citation_label, max_by(fragment_id, reading_order) AS target FROM d_fragments GROUP BY ALL),
-        c AS (SELECT r.document_id AS question_id, r.fragment_id AS source_fragment_id FROM r WHERE fragment_id % 100 < 3),
+        c AS (SELECT r.document_id AS question_id, r.fragment_id AS source_fragment_id FROM r WHERE fragment_id % 20 < 10),
         t AS (SELECT DISTINCT c.question_id, l.target FROM c JOIN r ON r.fragment_id = c.source_fragment_id JOIN l ON l.document_id = r.document_id AND l.citation_label = r.target)
         SELECT question_id, target AS source_fragment_id, 0.55::DOUBLE AS base_score FROM t
         WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.question_id = t.question_id AND c.source_fragment_id = t.target)""",
@@ -142,31 +146,31 @@ def expand_hierarchy(t):
 def expand_xref(t):
     leaves = t.d_fragments.where("depth = 5")
     refs = resolve_references(detect_references(leaves), t.d_fragments)
-    c = leaves.where("fragment_id % 100 < 3").select(F.col("document_id").alias("question_id"), F.col("fragment_id").alias("source_fragment_id"))
+    c = leaves.where("fragment_id % 20 < 10").select(F.col("document_id").alias("question_id"), F.col("fragment_id").alias("source_fragment_id"))
     return R.expand_references(c, refs).select("question_id", "source_fragment_id", "base_score")
 
 
 @query(
     "expand_graph",
-    """WITH RECURSIVE e AS (SELECT source_id AS a, target_id AS b FROM {d_edges} WHERE edge_type = 'references' UNION SELECT target_id, source_id FROM d_edges WHERE edge_type = 'references'),
+    """WITH RECURSIVE e AS (SELECT source_id AS a, target_id AS b FROM {d_edges} UNION SELECT target_id, source_id FROM d_edges),
         w(question_id, node_id, depth) AS (
-            SELECT s_nationkey::BIGINT, s_suppkey, 0 FROM {supplier} WHERE s_suppkey % 25 = 7
+            SELECT s_nationkey::BIGINT, s_suppkey, 0 FROM {supplier} WHERE s_suppkey % 20 = 0
             UNION
-            SELECT w.question_id, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node_id WHERE w.depth < 2)
+            SELECT w.question_id, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node_id WHERE w.depth < 5)
         SELECT question_id, node_id, min(depth) AS depth, 8 - min(depth) * 0.5::DOUBLE AS score FROM w GROUP BY question_id, node_id""",
 )
 def expand_graph(t):
-    seeds = t.supplier.where("s_suppkey % 25 = 7").select(F.col("s_nationkey").cast("long").alias("question_id"), F.col("s_suppkey").alias("node_id"))
-    return R.expand_graph(seeds, t.d_edges, ("references",), depth=2, max_nodes=1_000_000)
+    seeds = t.supplier.where("s_suppkey % 20 = 0").select(F.col("s_nationkey").cast("long").alias("question_id"), F.col("s_suppkey").alias("node_id"))
+    return R.expand_graph(seeds, t.d_edges, max_nodes=1_000_000)
 
 
 @query(
     "related_tables",
-    """WITH f AS (SELECT fragment_id, document_id, page_start, page_end FROM {d_fragments} WHERE depth = 3), t AS (SELECT p_partkey AS table_id, p_partkey % 5 AS document_id, p_size AS page_start, p_size + 1 AS page_end FROM {part} WHERE p_partkey % 10 = 0)
+    """WITH f AS (SELECT fragment_id, document_id, page_start, page_end FROM {d_fragments} WHERE depth = 3), t AS (SELECT p_partkey AS table_id, p_partkey % 5 AS document_id, p_size AS page_start, p_size + 1 AS page_end FROM {part})
        SELECT fragment_id, table_id FROM f JOIN t ON f.document_id = t.document_id AND f.page_start <= t.page_end AND f.page_end >= t.page_start""",
 )
 def related_tables(t):
-    tables = t.part.where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("table_id"), (F.col("p_partkey") % 5).alias("document_id"), F.col("p_size").cast("long").alias("page_start"), (F.col("p_size") + 1).cast("long").alias("page_end"))
+    tables = t.part.select(F.col("p_partkey").alias("table_id"), (F.col("p_partkey") % 5).alias("document_id"), F.col("p_size").cast("long").alias("page_start"), (F.col("p_size") + 1).cast("long").alias("page_end"))
     return R.related_tables(t.d_fragments.where("depth = 3"), tables)
 
 
@@ -187,16 +191,19 @@ def merge_channels(t):
 
 
 def _ranked(t):
-    u = understand(t.d_requests)
     c = t.d_candidates.withColumn("candidate_id", F.xxhash64("source_fragment_id", "text", "retrieval_channel", "base_score"))
-    return R.rerank(c, u)
+    return R.rerank(c.withColumn("pattern", F.when(F.col("expansion").isNull() & (F.col("priority_class") == 1), "dimensional_pair")), understand(t.d_inquiries))
 
 
-_RERANK = r"""WITH u AS (SELECT question_id, list_distinct(list_filter(string_split(lower(question), ' '), lambda w: w <> '')) AS terms, question FROM {d_requests}),
-    x AS (SELECT c.*, lower(text) AS t, terms, lower(question) AS q FROM {d_candidates} c JOIN u USING (question_id)),
-    r AS (SELECT *, base_score + least(list_sum(list_transform(terms, lambda w: CASE WHEN contains(t, w) THEN 1 ELSE 0 END)) * 0.08, 0.4)
-        + CASE WHEN regexp_matches(q, '\b(define|definition|meaning|means)\b') AND contains(t, 'definition') THEN 0.2 ELSE 0 END
-        + CASE WHEN regexp_matches(q, '\b(height|storey|storeys|stories)\b') AND (contains(t, 'height') OR contains(t, 'storey')) THEN 0.25 ELSE 0 END AS rerank_score FROM x)"""
+_RERANK = rf"""WITH u AS (SELECT {UNDERSTOOD}, list_distinct(list_filter(string_split({NORMAL}, ' '), lambda w: w <> '')) AS terms FROM {{d_inquiries}}),
+    x AS (SELECT c.*, ' ' || lower(text) AS t, u.* FROM {{d_candidates}} c JOIN u USING (question_id)),
+    r AS (SELECT *, base_score + least(len(list_filter(terms, lambda w: contains(t, w))) * 0.08, 0.4)
+        + CASE WHEN needs_definitions AND contains(t, 'definition') THEN 0.2 ELSE 0 END
+        + CASE WHEN len(list_filter(zones, lambda z: contains(t, lower(z)))) > 0 THEN 0.15 ELSE 0 END
+        + CASE WHEN len(list_filter(uses, lambda z: contains(t, z))) > 0 THEN 0.15 ELSE 0 END
+        + CASE WHEN list_contains(topics, 'height') AND {holds('t', ('height', 'storey', 'story', 'stories'))} THEN 0.25 ELSE 0 END
+        + CASE WHEN list_has_any(concepts, [{listed(R.DIMENSION_CONCEPTS)}]) AND {holds('t', R.DIMENSION_MARKERS)} THEN 0.3 ELSE 0 END
+        + CASE WHEN retrieval_channel = 'table' AND expansion IS NULL AND priority_class = 1 THEN 0.35 ELSE 0 END AS rerank_score FROM x)"""
 
 
 @query("rerank", _RERANK + " SELECT question_id, source_fragment_id, retrieval_channel, round(rerank_score, 6)::DOUBLE AS rerank_score, text FROM r")
@@ -222,8 +229,6 @@ _POOL = "SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY base_sco
 
 def _pool(t):
     """Candidates numbered within their question: the number is their id."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy("question_id").orderBy(F.desc("base_score"), "source_fragment_id", "text", "retrieval_channel")
     return t.d_candidates.withColumn("rank", F.row_number().over(w)).withColumn("candidate_id", F.col("rank").cast("long")).withColumn("rerank_score", F.col("base_score"))
 
@@ -306,10 +311,21 @@ def cached_claims(t):
 
 @query("hybrid_retrieval")
 def hybrid_retrieval(t):
-    """Keyword candidates over all documents and table rows, re-ranked and cut to a token budget."""
-    docs = _documents(t)
-    found = R.keyword_candidates(t.d_questions, docs)
-    merged = R.merge_candidates(found).join(docs, "source_fragment_id").withColumn("retrieval_channel", F.lit("text"))
-    ranked = R.rerank(merged, understand(t.d_questions)).withColumn("candidate_id", F.col("source_fragment_id")).withColumn("expansion", F.lit(None).cast("string"))
-    pool = R.pool_limit(ranked).withColumn("priority_class", F.lit(3))
-    return R.budget_select(pool).select("question_id", "source_fragment_id", "rank", "base_score", "rerank_score", "used_tokens")
+    """Evidence for questions: text, vector, table and fact channels, expansions, ranking, votes, pool and budget.
+
+    The questions are those with an id divisible by 20; all clauses, tables, facts and references are searched.
+    """
+    k = F.col("o_orderkey")
+    asked = t.d_inquiries.where("question_id % 20 = 0")
+    clauses = t.d_clauses.select("fragment_id", "document_id", "text", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"))
+    # The first clause of each page is the parent of the others on it.
+    first = Window.partitionBy("document_id", "page_start")
+    clauses = clauses.withColumn("first", F.min("fragment_id").over(first)).withColumn("parent_fragment_id", F.when(F.col("first") != F.col("fragment_id"), F.col("first"))).drop("first")
+    labelled = clauses.withColumn("citation_label", F.regexp_extract("text", r"^(\d+(?:\.\d+)?) ", 1)).withColumn("reading_order", F.col("fragment_id"))
+    refs = resolve_references(detect_references(clauses), labelled.withColumn("citation_label", F.nullif("citation_label", F.lit(""))))
+    cells = cut(t.d_tables)
+    facts = cut(matrix_facts(cells, table_profiles(cells)))
+    key = (F.col("table_id") * 1000000 + F.col("row_index") * 10 + F.col("col_index")).alias("fact_id")
+    votes = t.orders.where(k % 5 == 0).select(k.alias("source_fragment_id"), F.when(k % 2 == 0, "missing").otherwise("irrelevant").alias("vote"))
+    found = R.hybrid_search(cut(asked), cut(clauses), cells, facts.select(key, "*"), fact_participants(facts).select(key, "role", "name"), refs, votes)
+    return found.select("question_id", "source_type", "source_id", "rank", "base_score", "rerank_score", "used_tokens")

@@ -11,5 +11,5 @@ __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Hybrid retrieval for a batch of questions: keyword candidates, re-ranked, within a token budget."""
+    """Hybrid retrieval for a batch of questions: four channels, expanded, re-ranked, within a token budget."""
     return QUERIES["hybrid_retrieval"](spark, sf_dir)

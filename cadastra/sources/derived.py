@@ -241,10 +241,11 @@ DERIVED: dict[str, tuple[str, str]] = {
            FROM {conversations}"""
     ),
     "d_candidates": _same(
-        """SELECT l_orderkey % 300 AS question_id, 5000000000000 + l_orderkey * 1000 + l_linenumber AS source_fragment_id,
+        """SELECT l_partkey AS question_id, 5000000000000 + l_orderkey * 1000 + l_linenumber AS source_fragment_id,
                   CASE l_suppkey % 4 WHEN 0 THEN 'text' WHEN 1 THEN 'vector' WHEN 2 THEN 'table' ELSE 'semantic' END AS retrieval_channel,
                   l_discount * 10 AS base_score, l_suppkey % 5 AS priority_class,
-                  concat('Subject to section ', CAST(l_suppkey AS STRING), ' height storey definition ', CAST(l_partkey AS STRING), repeat(' lot', CAST(l_quantity AS INT))) AS text,
+                  concat('Subject to section ', CAST(l_suppkey AS STRING), ' height storey definition ', CAST(l_partkey AS STRING), CASE l_suppkey % 5 WHEN 0 THEN ' minimum lot area' WHEN 1 THEN ' parking in R2' ELSE '' END,
+                         repeat(' lot', CAST(l_quantity AS INT))) AS text,
                   CASE WHEN l_partkey % 11 = 0 THEN 'semantic_section_reference' END AS expansion
            FROM {lineitem}"""
     ),
