@@ -13,7 +13,9 @@ NUMERIC_CELL = r"(?i)^(?:\d+(?:\.\d+)?%?|\d+\s*(?:m2|m²|ft2|ft²)|[ivxlcdm]+\)|
 TOC_ENTRY = r"[.\x{2026}]{2,}\s*\d+\s*$"
 PAGE_NUMBER = r"(?i)^(?:-?[ivxlcdm]+-?|\d+)$"
 VALUE_HEAD = r"^\(?\s*(\d[\d,./]*)\s*(.*)$"
-UNIT_HEADS = ("square metres", "square metre", "square feet", "square foot", "percent", "metres", "sq. ft", "metre", "sq ft", "sq.ft", "foot", "feet", "m2", "m²", "ft", "%", "m")
+UNIT_HEADS = ("%", "percent", "ft", "foot", "feet", "m", "m2", "m²", "metre", "metres", "sq ft", "sq. ft", "sq.ft", "square foot", "square feet", "square metre", "square metres")
+BANNER = "Regional Centre Land Use By-law |"
+SPLIT_RULE = r"(?i)^(\(\d+(?:\.\d+)?\)|district,\s+any main building|setback as specified on Schedule 18\.?|not exceed the maximum required building height specified on Schedule 15\.?)"
 VALUE_TAILS = ("except", "central", "on-site", "onsite", "(")
 CITATIONS = {
     "part": r"(?i)^\s*part\s+([A-Z]|\d+)\b(?:\s*[-:]\s*)?(.*)$",
@@ -63,7 +65,7 @@ def requirement_value(t: Column) -> Column:
     rest = F.rtrim(F.regexp_replace(F.lower(F.trim(F.regexp_extract(norm, VALUE_HEAD, 2))), r"\.+$", ""))
     tail = F.lit(None).cast("string")
     for unit in sorted(UNIT_HEADS, key=len):
-        tail = F.when(rest.startswith(unit), F.regexp_replace(F.substring(rest, len(unit) + 1, 1_000_000), r"^[ .;,:]+", "")).otherwise(tail)
+        tail = F.when(rest.startswith(unit), F.regexp_replace(F.right(rest, F.length(rest) - len(unit)), r"^[ .;,:]+", "")).otherwise(tail)
     allowed = tail == ""
     for head in VALUE_TAILS:
         allowed = allowed | tail.startswith(head)
@@ -179,10 +181,10 @@ def zone_hyphen(t: Column) -> Column:
     return F.regexp_replace(t, r"\b([A-Z]{1,4})-\s+(\d[A-Z]?)\b", "$1-$2")
 
 
-def profile_rules(blocks: DataFrame, boilerplate_pages: int = 6, banner: str = "Land Use By-law |") -> DataFrame:
+def profile_rules(blocks: DataFrame, boilerplate_pages: int = 6, banner: str = BANNER) -> DataFrame:
     """Corpus switches: hyphen repair, first pages and banner lines are boilerplate, split rules are not."""
     text = zone_hyphen(normalize_text(F.col("raw_text")))
-    split_rule = text.rlike(r"(?i)^(\(\d+(?:\.\d+)?\)|district,\s+any main building)")
+    split_rule = text.rlike(SPLIT_RULE)
     front = (F.col("page_number") <= boilerplate_pages) | text.startswith(banner)
     return blocks.select(
         *blocks.columns,

@@ -27,9 +27,9 @@ def coerce_value(c: Column, kind: str) -> Column:
         return text.try_cast("bigint")
     if kind == "bool":
         low = F.lower(text)
-        return F.when(low.isin("true", "yes", "y", "1", "t"), True).when(low.isin("false", "no", "n", "0", "f"), False)
+        return F.when(low.isin("true", "yes", "y", "1"), True).when(low.isin("false", "no", "n", "0"), False)
     if kind == "date":
-        return F.substring(text, 1, 10).try_cast("date")
+        return F.when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), text.try_cast("date"))
     if kind == "rfc2822_date":
         return F.try_to_timestamp(F.regexp_replace(text, r"^[A-Za-z]{3},\s*|\s+(GMT|UTC|[+-]\d{4})$", ""), F.lit("d MMM yyyy HH:mm:ss")).cast("date")
     if kind == "epoch_ms_date":
@@ -197,7 +197,11 @@ def reference_key(kind: Column, parcel: Column, number: Column, street: Column,
     )
 
 
-CIVIC = r"\b(\d{1,5})\s+((?:[A-Z][\w.'-]*\s+){0,3}[A-Z][\w.'-]*)\s+(Street|St|Avenue|Ave|Road|Rd|Drive|Dr|Lane|Court|Crescent)\b"
+# Patterns of civic addresses and parcel ids.
+CIVIC = (
+    r"(?i)\b(\d{1,5})\s+([A-Z][A-Za-z'.-]+(?:\s+[A-Z][A-Za-z'.-]+){0,3})"
+    r"\s+(St(?:reet)?|Ave(?:nue)?|Rd|Road|Blvd|Boulevard|Dr(?:ive)?|Ln|Lane|Way|Cres(?:cent)?|Pl(?:ace)?|Ct|Court|Hwy|Highway|Pkwy|Parkway|Terr(?:ace)?)\b\.?"
+)
 PARCEL = r"(?i)\bPID[:\s]+(\d{6,12})\b"
 
 
@@ -206,7 +210,7 @@ def extract_locations(questions: DataFrame) -> DataFrame:
     pid = questions.select("question_id", F.explode(F.regexp_extract_all("question", F.lit(PARCEL), F.lit(1))).alias("value"))
     ids = pid.select("question_id", F.lit("parcel_id").alias("kind"), F.col("value").alias("parcel_id"), F.lit(None).cast("string").alias("civic_number"), F.lit(None).cast("string").alias("street"), F.lit(1.0).alias("confidence"))
     raw = questions.select("question_id", F.explode(F.regexp_extract_all("question", F.lit(CIVIC), F.lit(0))).alias("raw"))
-    civic = raw.select("question_id", F.lit("civic_address").alias("kind"), F.lit(None).cast("string").alias("parcel_id"), F.regexp_extract("raw", r"^(\d+)", 1).alias("civic_number"), F.regexp_extract("raw", r"^\d+\s+(.*)$", 1).alias("street"), F.lit(0.9).alias("confidence"))
+    civic = raw.select("question_id", F.lit("civic_address").alias("kind"), F.lit(None).cast("string").alias("parcel_id"), F.regexp_extract("raw", r"^(\d+)", 1).alias("civic_number"), F.regexp_replace(F.regexp_extract("raw", r"^\d+\s+(.*)$", 1), r"\.$", "").alias("street"), F.lit(0.9).alias("confidence"))
     return ids.unionByName(civic)
 
 

@@ -7,8 +7,11 @@ expansion maps candidates to candidates. Ties always break on ids.
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from cadastra.operators.questions import has_any, normalized, query_terms, semantic_request, understand, zone_code
@@ -17,6 +20,8 @@ from cadastra.sources.lineage import cut
 
 #: Rows and bytes (as JSON) of a side that is broadcast; a larger one joins by shuffle.
 BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Query vectors that one pass over all vectors holds.
+QUERY_BLOCK = 4096
 
 
 def top_k(df: DataFrame, k: int, by: str = "question_id", score: str = "base_score", tie: str = "source_fragment_id") -> DataFrame:
@@ -84,21 +89,50 @@ def missing_embeddings(fragments: DataFrame, vectors: DataFrame, model: str, rep
     return fragments if replace else fragments.join(vectors.where(F.col("model") == model).select("fragment_id"), "fragment_id", "left_anti")
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
-
-
 def vector_candidates(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
     """Exact cosine of each query with the vectors of its label, the ``k`` best; a zero norm counts as 1.
 
     ``queries`` (question_id, q, label) and ``vectors`` (source_fragment_id, v, label) meet on the
-    label; norms are computed once a row, and the group limit keeps k rows a task before the sort.
+    label; null vectors and those of another length than a query's meet nothing. Queries go in
+    blocks of QUERY_BLOCK to all tasks, which multiply matrices batch by batch and hand on each
+    query's best rows; further blocks are further passes over the vectors. Ranks look at nine
+    decimals, so that ties do not depend on the order of sums.
     """
-    norm = lambda c: F.when(dot(c, c) == 0, 1.0).otherwise(F.sqrt(dot(c, c)))
-    left = queries.withColumn("qn", norm(F.col("q")))
-    right = vectors.withColumn("vn", norm(F.col("v")))
-    scored = right.join(_small(left), "label").select("question_id", "source_fragment_id", (dot(F.col("q"), F.col("v")) / (F.col("qn") * F.col("vn"))).alias("base_score"))
-    return top_k(scored, k).withColumn("retrieval_channel", F.lit("vector"))
+    asked = queries.where("question_id is not null and q is not null and label is not null").select("question_id", F.col("q").cast("array<double>").alias("q"), F.col("label").cast("string").alias("label"))
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    rows = vectors.where("v is not null and label is not null").select(F.col("source_fragment_id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v"), F.col("label").cast("string").alias("label"))
+    found = None
+    for block in range(blocks):
+        mine = asked.where(F.pmod(F.xxhash64("question_id"), F.lit(blocks)) == block).collect()  # QUERY_BLOCK rows, give or take
+        part = rows.mapInPandas(_best_products(mine, k), "question_id long, source_fragment_id long, base_score double")
+        found = part if found is None else found.unionByName(part)
+    return top_k(found.withColumn("__score", F.round("base_score", 9)), k, score="__score").drop("__score").withColumn("retrieval_channel", F.lit("vector"))
+
+
+def _best_products(queries: list[Row], k: int):
+    """For batches of (id, v, label): each query's rows that may be among its ``k`` best, ties with the last of them too."""
+    groups: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
+    for key in {(r["label"], len(r["q"])) for r in queries}:
+        mine = [r for r in queries if (r["label"], len(r["q"])) == key]
+        q = np.array([r["q"] for r in mine], float).reshape(len(mine), -1)
+        norm = np.linalg.norm(q, axis=1)
+        groups[key] = np.array([r["question_id"] for r in mine], np.int64), q / np.where(norm == 0, 1.0, norm)[:, None]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            sizes = frame["v"].map(len)
+            for (label, size), (ids, q) in groups.items():
+                part = frame[(frame["label"] == label) & (sizes == size)]
+                if not len(part) or not size:
+                    continue
+                v = np.stack(part["v"].to_numpy())
+                norm = np.linalg.norm(v, axis=1)
+                score = q @ (v / np.where(norm == 0, 1.0, norm)[:, None]).T
+                least = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else score.min(1)
+                at, row = np.nonzero(score >= least[:, None] - 2e-9)
+                yield pd.DataFrame({"question_id": ids[at], "source_fragment_id": part["id"].to_numpy()[row], "base_score": score[at, row]})
+
+    return run
 
 
 def table_candidates(questions: DataFrame, cells: DataFrame, k: int = 8) -> DataFrame:

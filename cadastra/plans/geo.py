@@ -124,12 +124,12 @@ def canonical_map(t):
 
 @query(
     "coerce_value",
-    "SELECT o_orderkey, try_cast(o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '.5' ELSE '' END AS DOUBLE) AS f, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS i, o_orderdate::DATE AS d, (TIMESTAMP '1970-01-01' + to_milliseconds(o_orderkey * 86400000))::DATE AS e FROM {orders}",
+    "SELECT o_orderkey, try_cast(o_orderkey || CASE WHEN o_orderkey % 3 = 0 THEN '.5' ELSE '' END AS DOUBLE) AS f, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderkey END AS i, CASE WHEN o_orderkey % 4 > 0 THEN o_orderdate::DATE END AS d, CASE o_orderkey % 3 WHEN 0 THEN true WHEN 1 THEN false END AS b, (TIMESTAMP '1970-01-01' + to_milliseconds(o_orderkey * 86400000))::DATE AS e FROM {orders}",
 )
 def coerce_value(t):
     k = F.col("o_orderkey")
     text = F.concat(k.cast("string"), F.when(k % 3 == 0, ".5").otherwise(""))
-    return t.orders.select("o_orderkey", G.coerce_value(text, "float").alias("f"), G.coerce_value(text, "int").alias("i"), G.coerce_value(F.col("o_orderdate").cast("string"), "date").alias("d"), G.coerce_value((k * 86400000).cast("string"), "epoch_ms_date").alias("e"))
+    return t.orders.select("o_orderkey", G.coerce_value(text, "float").alias("f"), G.coerce_value(text, "int").alias("i"), G.coerce_value(F.concat(F.col("o_orderdate").cast("date").cast("string"), F.when(k % 4 == 0, "xyz").otherwise("")), "date").alias("d"), G.coerce_value(F.when(k % 3 == 0, " Yes").when(k % 3 == 1, "n").otherwise("t"), "bool").alias("b"), G.coerce_value((k * 86400000).cast("string"), "epoch_ms_date").alias("e"))
 
 
 _STREET = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(trim(regexp_replace(lower(street), '\s+', ' ', 'g')), ' street$', ' st'), ' st\.$', ' st'), ' avenue$', ' ave'), ' road$', ' rd'), ' cres\.$', ' cres')"""
@@ -170,12 +170,12 @@ def resolve_location(t):
 
 @query(
     "extract_locations",
-    r"""SELECT question_id, 'parcel_id' AS kind, regexp_extract(question, 'PID (\d+)', 1) AS parcel_id, NULL AS civic_number, NULL AS street, 1.0::DOUBLE AS confidence FROM {d_requests} WHERE contains(question, 'PID ')
-        UNION ALL SELECT question_id, 'civic_address', NULL, regexp_extract(question, '(\d+) (Barrington Street|Spring Garden Road)', 1), regexp_extract(question, '(\d+) (Barrington Street|Spring Garden Road)', 2), 0.9::DOUBLE
-        FROM d_requests WHERE regexp_matches(question, '\d+ (Barrington Street|Spring Garden Road)')""",
+    rf"""SELECT question_id, 'parcel_id' AS kind, unnest(regexp_extract_all(question, '{G.PARCEL}', 1)) AS parcel_id, NULL AS civic_number, NULL AS street, 1.0::DOUBLE AS confidence FROM {{d_inquiries}}
+        UNION ALL SELECT question_id, 'civic_address', NULL, regexp_extract(raw, '^(\d+)', 1), regexp_replace(regexp_extract(raw, '^\d+\s+(.*)$', 1), '\.$', ''), 0.9::DOUBLE
+        FROM (SELECT question_id, unnest(regexp_extract_all(question, '{G.CIVIC.replace(chr(39), chr(39) * 2)}')) AS raw FROM d_inquiries)""",
 )
 def extract_locations(t):
-    return G.extract_locations(t.d_requests)
+    return G.extract_locations(t.d_inquiries)
 
 
 @query(

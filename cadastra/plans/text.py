@@ -131,9 +131,10 @@ def boilerplate(t):
 @query(
     "profile_rules",
     r"""WITH k AS (SELECT fragment_id, page_number, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\b([A-Z][A-Z]?[A-Z]?[A-Z]?)-\s+(\d[A-Z]?)\b', '\1-\2', 'g') AS n FROM {d_clauses}),
-        s AS (SELECT *, regexp_matches(n, '(?i)^(\(\d+(?:\.\d+)?\)|district,\s+any main building)') AS rule FROM k)
-        SELECT fragment_id, n AS normalized_text, page_number <= 6 AND NOT rule AS is_boilerplate,
-               CASE WHEN rule THEN CASE WHEN starts_with(n, '(') THEN 'list_item' ELSE 'paragraph' END WHEN page_number <= 6 THEN 'footer' END AS block_type FROM s""",
+        s AS (SELECT *, regexp_matches(n, '(?i)^(\(\d+(?:\.\d+)?\)|district,\s+any main building|setback as specified on Schedule 18\.?|not exceed the maximum required building height specified on Schedule 15\.?)') AS rule,
+            starts_with(n, 'Regional Centre Land Use By-law |') AS banner FROM k)
+        SELECT fragment_id, n AS normalized_text, banner OR (page_number <= 6 AND NOT rule) AS is_boilerplate,
+               CASE WHEN banner THEN 'footer' WHEN rule THEN CASE WHEN starts_with(n, '(') THEN 'list_item' ELSE 'paragraph' END WHEN page_number <= 6 THEN 'footer' END AS block_type FROM s""",
 )
 def profile_rules(t):
     return B.profile_rules(t.d_clauses.withColumnRenamed("text", "raw_text")).select("fragment_id", "normalized_text", "is_boilerplate", "block_type")

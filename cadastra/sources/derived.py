@@ -34,7 +34,8 @@ _CLAUSE = """
              WHEN 14 THEN concat(CAST(o_orderkey % 90 AS STRING), ' square metres')
              WHEN 15 THEN concat(CAST(o_orderkey % 90 AS STRING), ' ft, except on corner lots')
              WHEN 16 THEN concat('Restaurant use | ', CAST(o_orderkey % 90 AS STRING), ' | yes')
-             WHEN 17 THEN 'GENERAL PROVISIONS FOR ZONES'
+             WHEN 17 THEN CASE o_orderkey % 5 WHEN 0 THEN 'Regional Centre Land Use By-law | Part V' WHEN 1 THEN 'setback as specified on schedule 18' WHEN 2 THEN 'not exceed the maximum required building height specified on Schedule 15.'
+               WHEN 3 THEN 'district, any  main building shall' ELSE 'GENERAL PROVISIONS FOR ZONES' END
              WHEN 18 THEN 'PAGE Regional Plan Area'
              WHEN 19 THEN concat('Lot coverage ..... ', CAST(o_orderkey % 90 AS STRING))
              WHEN 20 THEN concat('* notwithstanding Table ', CAST(o_orderkey % 30 AS STRING), 'A a dwelling unit in the CEN-2 zone may have a rear addition')
@@ -180,7 +181,8 @@ DERIVED: dict[str, tuple[str, str]] = {
                     WHEN 14 THEN 'What condition applies to a retail use or a very large motor vehicle repair use within DD?'
                     WHEN 15 THEN 'I want to build a shipping container home; flankage yard in CH1'
                     WHEN 16 THEN 'Interior conversion of an apartment house: dwelling units and day care, schedule A'
-                    WHEN 17 THEN concat('Who owns lot ', CAST(c_custkey AS STRING), '?')
+                    WHEN 17 THEN concat('Who owns lot ', CAST(c_custkey AS STRING), ', pid: 0', CAST(c_custkey + 1234567 AS STRING), ', at ', CAST(c_custkey AS STRING), ' o''brien hill ',
+                      CASE c_custkey % 7 WHEN 0 THEN 'Blvd' WHEN 1 THEN 'way' WHEN 2 THEN 'PLACE' WHEN 3 THEN 'Hwy.' WHEN 4 THEN 'Parkway' WHEN 5 THEN 'Terr' ELSE 'Cres' END, ' or 12 Long Pond Ct?')
                     WHEN 18 THEN 'maximum coverage of the yard in the UC-1 ZONE; parking at the rear'
                     ELSE 'what is' END AS question
            FROM {customer}"""
