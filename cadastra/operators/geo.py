@@ -177,6 +177,16 @@ def dataset_link(datasets: DataFrame, documents: DataFrame, fragments: DataFrame
     return joined.select("dataset_id", "document_id", F.when(F.col("n") == 1, F.col("fragment_id")).alias("fragment_id"), status.alias("status"))
 
 
+def dataset_orphans(datasets: DataFrame) -> DataFrame:
+    """Datasets (linked_fragment_id, role) without a fragment that have no role of their own."""
+    return datasets.where("linked_fragment_id is null and role is null")
+
+
+def relink(datasets: DataFrame, documents: DataFrame, fragments: DataFrame) -> DataFrame:
+    """What ``dataset_link`` gives for the orphans among ``datasets`` now, after documents or fragments came."""
+    return dataset_link(dataset_orphans(datasets), documents, fragments)
+
+
 def normalize_street(c: Column) -> Column:
     """Lower-cased, white space collapsed, the suffix in its short form."""
     text = F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"\s+", " "))

@@ -255,20 +255,51 @@ def matrix_facts(cells: DataFrame, profiles: DataFrame) -> DataFrame:
     )
 
 
-#: Roles of a fact's row and column entity, and of the standard that all parking facts share.
-FACT_ROLES = {"permission": ("use", "zone"), "parking_standard": ("use", "zone"), "dimensional_standard": ("zone", "standard"), "requirement": ("standard", "development_context")}
+def _taking_part() -> Column:
+    """Participants of a fact in their order, each once in a role: subject, scope, shared standard, contexts, conditions."""
+    row, col = F.col("row_entity"), F.col("col_entity")
+
+    def as_role(role: str, name: Column) -> Column:
+        return F.struct(F.lit(role).alias("role"), name.alias("name"))
+
+    relation = F.col("relation_type")
+    main = (
+        F.when(relation == "permission", F.array(as_role("use", row), as_role("zone", col)))
+        .when(relation == "parking_standard", F.array(as_role("use", row), as_role("zone", col), as_role("standard", F.lit("parking spaces"))))
+        .when(relation == "dimensional_standard", F.array(as_role("standard", col), as_role("zone", row)))
+        .otherwise(F.array(as_role("standard", row), as_role("development_context", col)))
+    )
+    contexts = F.transform("row_contexts", lambda c: as_role("development_context", c))
+    return F.array_distinct(F.concat(main, contexts, F.transform("markers", lambda m: as_role("condition", m))))
 
 
 def fact_participants(facts: DataFrame) -> DataFrame:
     """(table_id, row_index, col_index, role, name): the entities that take part in each fact, each once in a role."""
-    roles = []
-    for relation, (row, col) in FACT_ROLES.items():
-        mine = F.col("relation_type") == relation
-        roles += [F.when(mine, F.struct(F.lit(row).alias("role"), F.col("row_entity").alias("name"))), F.when(mine, F.struct(F.lit(col).alias("role"), F.col("col_entity").alias("name")))]
-    roles.append(F.when(F.col("relation_type") == "parking_standard", F.struct(F.lit("standard").alias("role"), F.lit("parking spaces").alias("name"))))
-    more = F.concat(F.transform("row_contexts", lambda c: F.struct(F.lit("development_context").alias("role"), c.alias("name"))), F.transform("markers", lambda m: F.struct(F.lit("condition").alias("role"), m.alias("name"))))
-    taking_part = F.array_distinct(F.concat(F.array_compact(F.array(*roles)), more))
-    return facts.select("table_id", "row_index", "col_index", F.explode(taking_part).alias("p")).select("table_id", "row_index", "col_index", "p.role", "p.name")
+    return facts.select("table_id", "row_index", "col_index", F.explode(_taking_part()).alias("p")).select("table_id", "row_index", "col_index", "p.role", "p.name")
+
+
+def fact_evidence(facts: DataFrame, cells: DataFrame, captions: DataFrame, definitions: DataFrame) -> DataFrame:
+    """(table_id, row_index, col_index, base_score, text): each fact as a text that says where it is from.
+
+    Its relation and participants, value, table caption, source cell, and what the document says of
+    its conditions. ``facts`` has document_id, ``captions`` (table_id, caption), ``definitions``
+    (document_id, fragment_id, marker, text). The score is 20 and the fact's confidence.
+    """
+    place = ["table_id", "row_index", "col_index"]
+    said = definitions.groupBy("document_id", "marker").agg(F.sort_array(F.collect_list(F.struct("fragment_id", "text"))).alias("d"))
+    asked = facts.select(*place, "document_id", F.explode("markers").alias("marker")).join(said, ["document_id", "marker"])
+    known = asked.select(*place, F.explode("d").alias("d")).groupBy(*place).agg(F.array_sort(F.collect_set("d")).alias("d"))
+    found = facts.join(cells.select(*place, F.col("text").alias("cell")), place).join(captions, "table_id", "left").join(known, place, "left")
+    parts = F.array_join(F.transform(_taking_part(), lambda p: F.concat(p["role"], F.lit(": "), p["name"])), "; ")
+    text = F.concat_ws(
+        " | ",
+        F.concat(F.lit("Semantic fact ("), "relation_type", F.lit("): "), parts),
+        F.concat(F.lit("value: "), "value"),
+        F.concat(F.lit("source table: "), F.nullif("caption", F.lit(""))),
+        F.concat(F.lit("source cell row "), F.col("row_index").cast("string"), F.lit(", column "), F.col("col_index").cast("string"), F.lit(": "), "cell"),
+        F.transform("d", lambda d: F.concat(F.lit("condition definition: "), d["text"])),
+    )
+    return found.select(*place, (F.col("confidence") + 20).alias("base_score"), text.alias("text"))
 
 
 def permission(value: Column) -> Column:
@@ -304,7 +335,16 @@ def fact_match(requests: DataFrame, participants: DataFrame, facts: DataFrame) -
     entity, 1 where the fact's relation is asked for, and its confidence.
     """
     asked = requests.groupBy("question_id").agg(F.count_distinct("entity_type").alias("need"), F.first("relation_types").alias("relation_types"))
-    hits = participants.join(requests, ["entity_type", "name"]).groupBy("question_id", "fact_id").agg(F.count_distinct("entity_type").alias("have"))
+
+    def keyed(df: DataFrame, name: str) -> DataFrame:
+        bare = F.replace(F.lower("name"), F.lit("-"), F.lit(""))
+        return df.withColumn("__key", F.regexp_replace(bare, "s+$", "")).withColumn(name, F.lower("name")).drop("name")
+
+    # Names meet without hyphens and a final s; one of the two may differ, not both.
+    plain, other = F.col("__name"), F.col("__asked")
+    same = (F.replace(plain, F.lit("-"), F.lit("")) == F.replace(other, F.lit("-"), F.lit(""))) | (F.regexp_replace(plain, "s+$", "") == F.regexp_replace(other, "s+$", ""))
+    met = keyed(participants, "__name").join(keyed(requests, "__asked"), ["entity_type", "__key"]).where(same)
+    hits = met.groupBy("question_id", "fact_id").agg(F.count_distinct("entity_type").alias("have"))
     covered = hits.join(asked, "question_id").where("have = need").join(facts, "fact_id")
     bonus = F.when(F.array_contains("relation_types", F.col("relation_type")), 1).otherwise(0)
     return covered.select("question_id", "fact_id", (F.col("have") * 2 + bonus + F.coalesce("confidence", F.lit(0.0))).alias("score"))

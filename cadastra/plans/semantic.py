@@ -152,6 +152,28 @@ def axis_bindings(t):
     return t.d_matrix.where("row_index = 0 and col_index > 0").select("table_id", "col_index", S.normalize_zone(F.col("text")).alias("entity"))
 
 
+_PARTS = """list_concat(list_concat(CASE relation_type WHEN 'permission' THEN ['use: ' || row_entity, 'zone: ' || col_entity] WHEN 'parking_standard' THEN ['use: ' || row_entity, 'zone: ' || col_entity, 'standard: parking spaces']
+    WHEN 'dimensional_standard' THEN ['standard: ' || col_entity, 'zone: ' || row_entity] ELSE ['standard: ' || row_entity, 'development_context: ' || col_entity] END,
+    list_transform(list_filter(row_contexts, lambda c: c <> col_entity), lambda c: 'development_context: ' || c)), list_transform(markers, lambda m: 'condition: ' || m))"""
+
+
+@query(
+    "fact_evidence",
+    f"""WITH {_FACTS}, defs AS (SELECT document_id, fragment_id, text, unnest({_MARKERS}) AS marker FROM {{d_clauses}}),
+        said AS (SELECT table_id, row_index, col_index, list(DISTINCT {{'f': fragment_id, 't': text}}) AS d
+            FROM (SELECT table_id, row_index, col_index, unnest(markers) AS marker FROM facts) m JOIN defs ON defs.marker = m.marker AND document_id = table_id % 97 GROUP BY ALL)
+        SELECT table_id, row_index, col_index, (20 + confidence)::DOUBLE AS base_score,
+            concat_ws(' | ', 'Semantic fact (' || relation_type || '): ' || array_to_string({_PARTS}, '; '), 'value: ' || value, CASE WHEN table_id % 2 = 0 THEN 'source table: Table ' || table_id END,
+                'source cell row ' || row_index || ', column ' || col_index || ': ' || t.text, CASE WHEN d IS NOT NULL THEN array_to_string(list_transform(list_sort(d), lambda x: 'condition definition: ' || x.t), ' | ') END) AS text
+        FROM facts JOIN d_tables t USING (table_id, row_index, col_index) LEFT JOIN said USING (table_id, row_index, col_index)""",
+)
+def fact_evidence(t):
+    facts = _facts(t).withColumn("document_id", F.col("table_id").cast("long") % 97)
+    captions = t.d_tables.where("table_id % 2 = 0").select("table_id", F.concat(F.lit("Table "), F.col("table_id").cast("string")).alias("caption")).distinct()
+    definitions = S.condition_facts(t.d_clauses).join(t.d_clauses.select("fragment_id", "text"), "fragment_id")
+    return S.fact_evidence(facts, t.d_tables, captions, definitions)
+
+
 @query(
     "permission_summary",
     f"WITH {_FACTS} SELECT table_id, col_entity, list_sort(list(DISTINCT row_entity)) AS uses FROM facts WHERE relation_type = 'permission' AND {_MEANING} = 'permitted' GROUP BY table_id, col_entity",
