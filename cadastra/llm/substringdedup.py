@@ -99,26 +99,21 @@ def compacted_paths(occurrences: DataFrame) -> DataFrame:
     """
     shared = occurrences.groupBy("node").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("node")
     held = staged(occurrences.join(shared, "node", "left_semi"), "shared-occurrences")
-    facts = held.groupBy("node").agg(F.min(F.struct("doc_id", "place")).alias("source"), (F.min("context") == F.max("context")).alias("through"))
-    known = held.join(facts.where("through").select("node", "source"), "node", "left")
-    known = staged(
-        known.select("doc_id", "row", "place", "check", F.shiftright("place", 32).alias("at"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("next"), F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place")),
-        "known-occurrences",
+    # The source comes with the hash that was found at its coordinates.
+    facts = held.groupBy("node").agg(F.min(F.struct("doc_id", "place", "check")).alias("source"), (F.min("context") == F.max("context")).alias("through"))
+    known = held.join(facts.where("through").select("node", "source"), "node", "left").select(
+        "doc_id", "row", "check", F.shiftright("place", 32).alias("at"), F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("next"), F.col("source.doc_id").alias("source_id"), F.col("source.place").alias("source_place"), F.col("source.check").alias("source_check")
     )
-    # Rows that repeat an id may differ at a place: then there is no one source to compare with.
-    sources = held.groupBy(F.col("doc_id").alias("source_id"), F.col("place").alias("source_place")).agg(F.min("check").alias("low"), F.max("check").alias("high"))
-    verified = known.join(sources, ["source_id", "source_place"], "left")
-    same = F.coalesce((F.col("check") == F.col("low")) & (F.col("check") == F.col("high")), F.lit(False))
+    same = F.coalesce(F.col("check") == F.col("source_check"), F.lit(False))
     kind = F.when(~same, BRANCH).when(F.col("source_id") < F.col("doc_id"), COPY).otherwise(SOURCE)
     path = F.when(kind != BRANCH, F.struct("source_id", (F.col("at") - F.shiftright("source_place", 32)).alias("apart")))
-    verified = verified.select("doc_id", "row", "at", "next", kind.alias("kind"), path.alias("path"))
+    verified = known.select("doc_id", "row", "at", "next", kind.alias("kind"), path.alias("path"))
     order = Window.partitionBy("doc_id", "row").orderBy("at")
     goes_on = (F.lag("next").over(order) == F.col("at")) & (F.lag("kind").over(order) == F.col("kind")) & F.lag("path").over(order).eqNullSafe(F.col("path"))
     begun = verified.withColumn("new", F.when(F.coalesce(goes_on, F.lit(False)), 0).otherwise(1))
     runs = begun.withColumn("run", F.sum("new").over(order)).groupBy("doc_id", "row", "run").agg(F.min("at").cast("int").alias("begin"), F.max("at").cast("int").alias("last"), F.first("kind").alias("kind"))
     paths = staged(runs.groupBy("doc_id", "row").agg(F.sort_array(F.collect_list(F.struct("begin", "last", "kind"))).alias("runs")), "paths")
     unstage(held)
-    unstage(known)
     return paths
 
 
