@@ -105,8 +105,16 @@ def citation(t: Column) -> Column:
     )
 
 
+#: What any rule of the grammar fits, as one pattern; a fraction is no number.
+ANY_CITATION = (
+    r"(?i)^(?:(?:part|schedule|appendix)\s+(?:[A-Z]|\d+)\b|\d+(?:\.\d+){0,5}(?:\([A-Za-z0-9]+\))+\s|\(\d+(?:\.\d+){0,5}\)\s"
+    r"|(?!\d+(?:\.\d+){0,5}/)\d+(?:\.\d+){0,5}\b|\([ivxlcdm]{2,}\)\s|\([a-z]{1,3}\)\s)"
+)
+
+
 def has_citation(t: Column) -> Column:
-    return citation(t).isNotNull()
+    """Whether ``citation`` is not null."""
+    return normalize_text(t).rlike(ANY_CITATION)
 
 
 def table_cell(t: Column) -> Column:
@@ -158,13 +166,15 @@ def classify_block(t: Column, y0: Column | None = None, y1: Column | None = None
 
 
 def boilerplate(blocks: DataFrame, threshold: int = 2) -> DataFrame:
-    """``blocks`` (document_id, page_number, raw_text) plus is_boilerplate: short text that repeats in its document.
+    """``blocks`` (document_id, page_number, raw_text) plus is_boilerplate: short text that repeats in its
+    document; its block_type becomes footer (null without one before).
 
     The counts are one aggregate per document and text, joined back; nothing is gathered per document.
     """
-    key = F.lower(normalize_text(F.col("raw_text")))
-    eligible = (key != "") & (F.length(key) <= 120) & ~F.col("raw_text").rlike(LIST_ITEM) & ~has_citation(F.col("raw_text"))
-    marked = blocks.withColumn("key", F.when(eligible, key))
+    read = blocks.withColumn("__key", F.lower(normalize_text(F.col("raw_text"))))
+    key = F.col("__key")
+    eligible = (key != "") & (F.length(key) <= 120) & ~F.col("raw_text").rlike(LIST_ITEM) & ~key.rlike(ANY_CITATION)
+    marked = read.withColumn("key", F.when(eligible, key)).drop("__key")
     counts = marked.where("key is not null").groupBy("document_id", "key").agg(F.count(F.lit(1)).alias("n"))
     pages = blocks.groupBy("document_id").agg(F.count_distinct("page_number").alias("pages"))
     need = F.least(F.col("pages"), F.lit(threshold))
@@ -172,6 +182,7 @@ def boilerplate(blocks: DataFrame, threshold: int = 2) -> DataFrame:
         marked.join(pages, "document_id")
         .join(counts, ["document_id", "key"], "left")
         .withColumn("is_boilerplate", F.coalesce((need >= 2) & (F.col("n") >= need), F.lit(False)))
+        .withColumn("block_type", F.when(F.col("is_boilerplate"), "footer").otherwise(F.col("block_type") if "block_type" in blocks.columns else F.lit(None)))
         .drop("key", "n", "pages")
     )
 

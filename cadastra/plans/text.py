@@ -121,11 +121,12 @@ def detect_table_like(t):
                      AND NOT regexp_matches(key, '^(part|schedule|appendix)\s+([a-z]|\d+)\b|^\d+\b|^\(\d+(\.\d+)*\)\s|^\([ivxlcdm][ivxlcdm]+\)\s|^\([a-z][a-z]?[a-z]?\)\s') AS ok FROM k),
         c AS (SELECT document_id, key, count(*) AS n FROM e WHERE ok GROUP BY document_id, key),
         p AS (SELECT document_id, count(DISTINCT page_number) AS pages FROM k GROUP BY document_id)
-        SELECT e.document_id, reading_order, coalesce(ok AND least(pages, 2) >= 2 AND n >= least(pages, 2), false) AS is_boilerplate
+        SELECT e.document_id, reading_order, coalesce(ok AND least(pages, 2) >= 2 AND n >= least(pages, 2), false) AS is_boilerplate,
+            CASE WHEN coalesce(ok AND least(pages, 2) >= 2 AND n >= least(pages, 2), false) THEN 'footer' END AS block_type
         FROM e JOIN p USING (document_id) LEFT JOIN c ON c.document_id = e.document_id AND c.key = e.key AND ok""",
 )
 def boilerplate(t):
-    return B.boilerplate(t.d_blocks).select("document_id", "reading_order", "is_boilerplate")
+    return B.boilerplate(t.d_blocks).select("document_id", "reading_order", "is_boilerplate", "block_type")
 
 
 @query(

@@ -42,7 +42,7 @@ def test_references_take_ranges(spark):
 
 def test_zones(spark):
     assert one(spark, S.extract_zones, "lHR-1 and HR 2 at 400 m2 in DD") == ["DD", "HR-1", "HR-2"]
-    assert one(spark, S.extract_standards, "the minimum lot area and parking") == ["minimum lot area", "parking"]
+    assert one(spark, S.extract_standards, "the minimum lot area and parking spaces, no parking") == ["minimum lot area", "parking spaces"]
     assert one(spark, S.extract_condition_refs, "\u25cf \u2461 [3]") == ["[3]", "\u2461"]
 
 
@@ -79,3 +79,10 @@ def test_text_files(spark, tmp_path):
     files.replace_partitions(rows, str(tmp_path / "t"))
     files.replace_partitions(rows.where("document_id = 1").withColumn("v", F.lit("z")), str(tmp_path / "t"))
     assert {(r["document_id"], r["v"]) for r in spark.read.parquet(str(tmp_path / "t")).collect()} == {(1, "z"), (2, "y")}
+
+
+def test_any_citation_is_a_citation(spark):
+    lines = ["Part IV: x", "Part 4: x", "schedule b", "12", "1.2.3.4 t", "(iv) x y", "(a) x", "1/2 of it", "1.5/2", "plain", "(1.2) x", "(1.2)", "3(a)(i) x", "3(a)", "12a", "12) b", "(abcd) x", "(ab) x", "", " 7  x", "Partly 4", "part of it", "appendix C - d", "1.2.3.4.5.6.7.8 x"]
+    df = spark.createDataFrame([(x,) for x in lines], "t string")
+    got = df.select("t", B.citation(df.t).isNotNull().alias("a"), B.has_citation(df.t).alias("b")).collect()
+    assert [(r["t"], r["a"]) for r in got] == [(r["t"], r["b"]) for r in got]
