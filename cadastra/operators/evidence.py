@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.operators.geo import spatial_match
 
+from cadastra.operators.questions import query_terms
+from cadastra.operators.retrieval import _small, text_tokens, top_k
+
 
 def zone_pages(zones: DataFrame, blocks: DataFrame) -> DataFrame:
     """(document_id, zone, tier, page_number): pages about a zone from the best tier that has any.
@@ -167,19 +172,14 @@ def coverage_verdicts(expected: DataFrame, hits: DataFrame) -> DataFrame:
     return j.select("address_id", F.when(F.size(said) == 0, "PASS").otherwise(F.array_join(said, " ; ")).alias("verdict"))
 
 
-def search_context(calls: DataFrame, fragments: DataFrame, rules: DataFrame, k: int = 8) -> DataFrame:
+def search_context(calls: DataFrame, fragments: DataFrame, rules: Sequence[tuple[str, float]], k: int = 8) -> DataFrame:
     """Share of a call's terms, plus the points of scoring rules that fit the fragment, the ``k`` best.
 
-    Rules are data: (pattern, points). They are applied once per fragment that has a term.
+    Rules are a configuration of (pattern, points). They are applied once per fragment that has a term.
     """
-    from cadastra.operators.questions import query_terms
-    from cadastra.operators.retrieval import _small, text_tokens, top_k
-
     terms = calls.select("question_id", F.array_distinct(query_terms(F.col("question"))).alias("t"))
     asked = terms.select("question_id", F.size("t").alias("n"), F.explode("t").alias("term"))
     hits = text_tokens(fragments, "fragment_id", "text").join(_small(asked), "term").groupBy("question_id", "source_fragment_id").agg((F.count(F.lit(1)) / F.first("n")).alias("share"))
-    points = F.lit(0.0)
-    for r in rules.collect():  # a rule table is a short configuration
-        points = points + F.when(F.col("text").rlike(r["pattern"]), r["points"]).otherwise(0.0)
+    points = sum((F.when(F.col("text").rlike(pattern), value).otherwise(0.0) for pattern, value in rules), F.lit(0.0))
     scored = hits.join(fragments.select(F.col("fragment_id").alias("source_fragment_id"), points.alias("points")), "source_fragment_id")
     return top_k(scored.withColumn("base_score", F.col("share") + F.col("points")), k)

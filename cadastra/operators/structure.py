@@ -119,18 +119,25 @@ REFERENCES = (
 )
 
 
+def _references(text: Column, pattern: str, kind: str) -> Column:
+    """What one pattern finds in a text: array<struct<raw, target>>."""
+    alone = pattern.replace(r"(?!\s+to\s+\d)", "")
+
+    def found(raw: Column) -> Column:
+        first = F.regexp_extract(raw, alone, 1)
+        target = {"range": F.concat_ws(" to ", first, F.regexp_extract(raw, pattern, 2)), "schedule": F.concat(F.lit("Schedule "), F.upper(first))}.get(kind, first)
+        return F.struct(raw.alias("raw"), target.alias("target"))
+
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), found)
+
+
 def detect_references(fragments: DataFrame) -> DataFrame:
-    """(document_id, fragment_id, raw, target), each once per fragment; a range names both ends."""
-    found = []
-    for pattern, kind in REFERENCES:
-        raw = fragments.select("document_id", "fragment_id", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("raw"))
-        first = F.regexp_extract("raw", pattern.replace(r"(?!\s+to\s+\d)", ""), 1)
-        target = {"range": F.concat_ws(" to ", first, F.regexp_extract("raw", pattern, 2)), "schedule": F.concat(F.lit("Schedule "), F.upper(first))}.get(kind, first)
-        found.append(raw.select("document_id", "fragment_id", "raw", target.alias("target")))
-    out = found[0]
-    for more in found[1:]:
-        out = out.unionByName(more)
-    return out.dropDuplicates(["fragment_id", "raw", "target"])
+    """(document_id, fragment_id, raw, target), each once per row; a range names both ends.
+
+    All patterns look at a text in one pass.
+    """
+    found = F.array_distinct(F.concat(*[_references(F.col("text"), pattern, kind) for pattern, kind in REFERENCES]))
+    return fragments.select("document_id", "fragment_id", F.explode(found).alias("r")).select("document_id", "fragment_id", "r.raw", "r.target")
 
 
 def resolve_references(refs: DataFrame, fragments: DataFrame) -> DataFrame:

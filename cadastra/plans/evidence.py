@@ -10,7 +10,8 @@ from cadastra.operators import semantic as S
 from cadastra.operators.structure import ancestor_chain, detect_references
 from cadastra.plans.base import query
 from cadastra.plans.geo import _LINK, _linked
-from cadastra.plans.retrieval import _seeds
+from cadastra.plans.retrieval import _SEEDS, _TERMS, _TOKENS, _seeds
+from cadastra.plans.structure import _REFS
 
 
 def _blocks(t):
@@ -18,23 +19,30 @@ def _blocks(t):
     return t.d_clauses.select("document_id", "page_number", text.alias("text"))
 
 
-@query(
-    "zone_pages",
-    r"""WITH b AS (SELECT document_id, page_number, CASE fragment_id % 24 WHEN 17 THEN 'HR-1 ZONE' WHEN 18 THEN 'BUILT FORM AND SITING REQUIREMENTS WITHIN THE COR ZONE' ELSE upper(text) END AS t FROM {d_clauses}),
+_ZONE_PAGES = r"""b AS (SELECT document_id, page_number, CASE fragment_id % 24 WHEN 17 THEN 'HR-1 ZONE' WHEN 18 THEN 'BUILT FORM AND SITING REQUIREMENTS WITHIN THE COR ZONE' ELSE upper(text) END AS t FROM {d_clauses}),
         n AS (SELECT DISTINCT document_id, z AS zone, CASE WHEN t = z || ' ZONE' THEN 1 WHEN contains(t, 'BUILT FORM AND SITING') THEN 2 ELSE 3 END AS tier, page_number
-              FROM b, (SELECT unnest(['HR-1', 'COR', 'CEN-2', 'DD']) AS z) WHERE regexp_matches(t, '\b' || z || '\b'))
-        SELECT document_id, zone, tier, page_number FROM n WHERE tier = (SELECT min(tier) FROM n m WHERE m.document_id = n.document_id AND m.zone = n.zone)""",
-)
-def zone_pages(t):
+              FROM b, (SELECT unnest(['HR-1', 'COR', 'CEN-2', 'DD']) AS z) WHERE regexp_matches(t, '\b' || z || '\b')),
+        z AS (SELECT document_id, zone, tier, page_number FROM n WHERE tier = (SELECT min(tier) FROM n m WHERE m.document_id = n.document_id AND m.zone = n.zone))"""
+
+
+def _zone_pages(t):
     zones = t.spark.createDataFrame([(z,) for z in ("HR-1", "COR", "CEN-2", "DD")], "zone string")
     return E.zone_pages(zones, _blocks(t))
 
 
-@query("zone_context")
+@query("zone_pages", f"WITH {_ZONE_PAGES} SELECT * FROM z")
+def zone_pages(t):
+    return _zone_pages(t)
+
+
+@query(
+    "zone_context",
+    f"""WITH {_ZONE_PAGES}, top AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id, zone ORDER BY page_number) AS r FROM z) WHERE r <= 3),
+        near AS (SELECT DISTINCT document_id, zone, unnest(range(page_number, page_number + 3)) AS page_number FROM top)
+        SELECT document_id, zone, fragment_id AS source_fragment_id FROM near JOIN d_clauses USING (document_id, page_number)""",
+)
 def zone_context(t):
-    zones = t.spark.createDataFrame([(z,) for z in ("HR-1", "COR", "CEN-2", "DD")], "zone string")
-    near = E.near_pages(E.zone_pages(zones, _blocks(t)))
-    return near.join(t.d_clauses, ["document_id", "page_number"]).select("document_id", "zone", F.col("fragment_id").alias("source_fragment_id"))
+    return E.near_pages(_zone_pages(t)).join(t.d_clauses, ["document_id", "page_number"]).select("document_id", "zone", F.col("fragment_id").alias("source_fragment_id"))
 
 
 @query(
@@ -133,17 +141,31 @@ def response_notes(t):
     return E.response_notes(t.d_requests.select("*", (k % 3 == 0).alias("has_slot"), (k % 2 == 0).alias("resolved"), F.lit(None).cast("string").alias("detail")))
 
 
-@query("linked_datasets")
+@query(
+    "linked_datasets",
+    _LINK + f""", c AS ({_SEEDS}), m AS (SELECT fragment_id, count(*) AS n FROM s WHERE fragment_id IS NOT NULL GROUP BY 1)
+        SELECT question_id, source_fragment_id, coalesce(n, 0)::INT AS n_datasets FROM c LEFT JOIN m ON fragment_id = source_fragment_id""",
+)
 def linked_datasets(t):
     data = _linked(t).withColumn("dataset", F.when(F.col("dataset_id") % 2 == 0, "BUILDING").otherwise("MACHINERY"))
     return E.linked_datasets(_seeds(t), data, G.dataset_summary(t.d_parcels)).select("question_id", "source_fragment_id", F.size("datasets").alias("n_datasets"))
 
 
-@query("build_match")
+def _leaf_seeds(t):
+    """The seeds, and for each supplier a leaf of the tree."""
+    leaf = F.min(F.col("l_orderkey") * 1000 + 1 + 5000000000000).alias("source_fragment_id")
+    return _seeds(t).unionByName(t.lineitem.groupBy(F.col("l_suppkey").alias("question_id")).agg(leaf, F.lit(1.0).alias("base_score")))
+
+
+@query(
+    "build_match",
+    f"""WITH c AS ({_SEEDS} UNION ALL SELECT l_suppkey, min(5000000000000 + l_orderkey * 1000 + 1), 1.0 FROM {{lineitem}} GROUP BY l_suppkey), r AS ({_REFS}), g AS (SELECT fragment_id, list_sort(list(DISTINCT target)) AS refs FROM r GROUP BY 1)
+        SELECT question_id, source_fragment_id, citation_label, depth - 1 AS depth, refs AS "references" FROM c JOIN d_fragments f ON f.fragment_id = source_fragment_id LEFT JOIN g USING (fragment_id)""",
+)
 def build_match(t):
     refs = detect_references(t.d_fragments.where("depth = 5"))
-    out = E.build_match(_seeds(t), t.d_fragments, ancestor_chain(t.d_fragments), refs)
-    return out.select("question_id", "source_fragment_id", "citation_label", F.size("ancestors").alias("depth"))
+    out = E.build_match(_leaf_seeds(t), t.d_fragments, ancestor_chain(t.d_fragments), refs)
+    return out.select("question_id", "source_fragment_id", "citation_label", F.size("ancestors").alias("depth"), "references")
 
 
 @query(
@@ -163,10 +185,19 @@ def coverage_checks(t):
     return E.coverage_verdicts(t.customer.select(k.alias("address_id"), (k % 4 == 0).alias("heritage")), zones.unionByName(heights).unionByName(heritage))
 
 
-@query("search_context")
+_RULES = (("(?i)maximum building height", 1.0), ("(?i)^schedule", 0.5))
+
+
+@query(
+    "search_context",
+    f"""WITH q AS (SELECT question_id, unnest({_TERMS}) AS term, len({_TERMS}) AS n FROM {{d_requests}}),
+        d AS (SELECT fragment_id, unnest({_TOKENS}) AS term FROM {{d_clauses}}),
+        h AS (SELECT question_id, fragment_id, count(*) / any_value(n) AS share FROM d JOIN q USING (term) GROUP BY question_id, fragment_id),
+        s AS (SELECT question_id, fragment_id AS source_fragment_id, share + {" + ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN {v}::DOUBLE ELSE 0 END" for p, v in _RULES)} AS base_score FROM h JOIN d_clauses USING (fragment_id))
+        SELECT question_id, source_fragment_id, base_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY base_score DESC, source_fragment_id) AS rank FROM s) WHERE rank <= 8""",
+)
 def search_context(t):
-    rules = t.spark.createDataFrame([(r"(?i)maximum building height", 1.0), (r"(?i)^schedule", 0.5)], "pattern string, points double")
-    return E.search_context(t.d_requests, t.d_clauses, rules).select("question_id", "source_fragment_id", "base_score", "rank")
+    return E.search_context(t.d_requests, t.d_clauses, _RULES).select("question_id", "source_fragment_id", "base_score", "rank")
 
 
 @query("trace_lookup", "SELECT run_id, count(*) AS n, max(base_score) AS best FROM (SELECT question_id AS run_id, base_score FROM {d_candidates}) WHERE run_id IN (SELECT s_suppkey FROM {supplier}) GROUP BY run_id")
