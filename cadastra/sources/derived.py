@@ -117,29 +117,30 @@ _MATRIX = """
         CROSS JOIN (SELECT 0 AS z, 'Use' AS h UNION ALL SELECT 1, 'DD' UNION ALL SELECT 2, 'CEN-2' UNION ALL SELECT 3, 'HR-1') AS heads
     ) AS m"""
 
-# One table for each size of a part, of five kinds by turns.
-_TABLES = """
-    SELECT p_size AS table_id, CAST(r AS BIGINT) AS row_index, c AS col_index, text FROM (
-        SELECT p_size, r, 0 AS c,
-               CASE p_size % 5 WHEN 0 THEN concat(p_name, ' use') WHEN 1 THEN concat(p_name, '  facility') WHEN 2 THEN concat('R-', CAST(p_partkey % 9 AS STRING))
+# One table for each size of a part, of five kinds by turns; those of dimensions are cut into tables of four rows.
+_NUMBERED = """(SELECT p_partkey, p_name, p_size AS kind, r, CASE WHEN p_size % 5 = 2 THEN CAST(p_size + 100 * floor((r - 1) / 4) AS BIGINT) ELSE CAST(p_size AS BIGINT) END AS table_id
+                 FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r FROM {part}) AS parts) AS numbered"""
+_TABLES = f"""
+    SELECT table_id, CAST(r AS BIGINT) AS row_index, c AS col_index, text FROM (
+        SELECT table_id, r, 0 AS c,
+               CASE kind % 5 WHEN 0 THEN concat(p_name, ' use') WHEN 1 THEN concat(p_name, '  facility') WHEN 2 THEN concat('R-', CAST(p_partkey % 9 AS STRING))
                  WHEN 3 THEN CASE p_partkey % 3 WHEN 0 THEN 'Minimum side yard for additions' WHEN 1 THEN 'Lot coverage' ELSE 'Other matters' END
                  ELSE concat('Key ', CAST(p_partkey AS STRING)) END AS text
-        FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r FROM {part}) AS numbered WHERE p_size % 5 < 4 OR r <= 6
+        FROM {_NUMBERED} WHERE kind % 5 < 4 OR r <= 6
         UNION ALL
-        SELECT p_size, r, z,
-               CASE WHEN r % 11 = 0 AND p_size % 5 < 2 THEN concat('HR-', CAST(z AS STRING)) WHEN (p_partkey + z) % 5 = 0 THEN ' '
-                 WHEN p_size % 5 = 0 THEN CASE (p_partkey + z) % 4 WHEN 0 THEN 'X' WHEN 1 THEN concat('[', CAST(p_partkey % 9 + 1 AS STRING), '] [12]') WHEN 2 THEN 'C' ELSE 'x' END
-                 WHEN p_size % 5 = 1 THEN concat('1 space per ', CAST(p_partkey % 90 AS STRING), ' m2')
-                 WHEN p_size % 5 = 2 THEN concat(CAST(p_partkey % 400 AS STRING), ' metres') ELSE concat(CAST(p_partkey % 40 AS STRING), '% [', CAST(z AS STRING), ']') END
-        FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r FROM {part}) AS numbered
-        CROSS JOIN (SELECT 1 AS z UNION ALL SELECT 2 UNION ALL SELECT 3) AS zs WHERE p_size % 5 < 4 OR (z = 1 AND r <= 6)
+        SELECT table_id, r, z,
+               CASE WHEN r % 11 = 0 AND kind % 5 < 2 THEN concat('HR-', CAST(z AS STRING)) WHEN (p_partkey + z) % 5 = 0 THEN ' '
+                 WHEN kind % 5 = 0 THEN CASE (p_partkey + z) % 4 WHEN 0 THEN 'X' WHEN 1 THEN concat('[', CAST(p_partkey % 9 + 1 AS STRING), '] [12]') WHEN 2 THEN 'C' ELSE 'x' END
+                 WHEN kind % 5 = 1 THEN concat('1 space per ', CAST(p_partkey % 90 AS STRING), ' m2')
+                 WHEN kind % 5 = 2 THEN concat(CAST(p_partkey % 400 AS STRING), ' metres') ELSE concat(CAST(p_partkey % 40 AS STRING), '% [', CAST(z AS STRING), ']') END
+        FROM {_NUMBERED} CROSS JOIN (SELECT 1 AS z UNION ALL SELECT 2 UNION ALL SELECT 3) AS zs WHERE kind % 5 < 4 OR (z = 1 AND r <= 6)
         UNION ALL
-        SELECT DISTINCT p_size, CAST(0 AS BIGINT), z,
-               CASE p_size % 5 WHEN 0 THEN zone WHEN 1 THEN CASE z WHEN 0 THEN 'Parking' ELSE zone END
+        SELECT DISTINCT table_id, CAST(0 AS BIGINT), z,
+               CASE kind % 5 WHEN 0 THEN zone WHEN 1 THEN CASE z WHEN 0 THEN 'Parking' ELSE zone END
                  WHEN 2 THEN CASE z WHEN 0 THEN 'Zone' WHEN 1 THEN 'Minimum Lot Area' WHEN 2 THEN 'Building Height' ELSE 'Notes' END
                  WHEN 3 THEN CASE z WHEN 0 THEN 'Standard' WHEN 1 THEN 'Rear additions' WHEN 2 THEN 'Interior conversion' ELSE 'All  others' END
                  ELSE CASE z WHEN 0 THEN 'Key' ELSE 'Value' END END
-        FROM {part} CROSS JOIN (SELECT 0 AS z, 'Use' AS zone UNION ALL SELECT 1, 'DD' UNION ALL SELECT 2, 'lHR-2' UNION ALL SELECT 3, 'CEN 2') AS heads WHERE p_size % 5 < 4 OR z <= 1
+        FROM {_NUMBERED} CROSS JOIN (SELECT 0 AS z, 'Use' AS zone UNION ALL SELECT 1, 'DD' UNION ALL SELECT 2, 'lHR-2' UNION ALL SELECT 3, 'CEN 2') AS heads WHERE kind % 5 < 4 OR z <= 1
     ) AS t"""
 
 DERIVED: dict[str, tuple[str, str]] = {
