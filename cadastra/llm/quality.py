@@ -240,23 +240,27 @@ def word_facts(docs: DataFrame, text: str = "text", marks: list[str] | None = No
     return with_columns_by_slice(docs, {"varied": "double", "marked": "boolean"}, make, text)
 
 
-def toxic_words(trusted: DataFrame, toxic: DataFrame, share: float = 0.02, times: float = 20, least: int = 5) -> list[str]:
-    """Words that mark toxic documents: in ``share`` of a language's toxic texts or more (and ``least`` of
-    them), and ``times`` as often as in the trusted texts of all languages.
+def toxic_words(trusted: DataFrame, toxic: DataFrame, share: float = 0.1, times: float = 50, least: int = 5) -> list[str]:
+    """Words that mark toxic documents: in ``share`` of a language's different toxic texts or more (and
+    ``least`` of them), and ``times`` as often as in the trusted texts of that language.
 
-    Both have text and lang. All texts are counted; ``share`` bounds how many words a language can have.
+    Both have text and lang. All texts are counted, copies of a toxic text once; ``share`` bounds how
+    many words a language can have.
     """
-    def words(texts: DataFrame) -> DataFrame:
-        return texts.select("lang", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), 1))).alias("w"))
-
-    sizes = toxic.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("size"))
-    bad = words(toxic).groupBy("w", "lang").agg(F.count(F.lit(1)).alias("bad")).join(sizes, F.col("lang").eqNullSafe(F.col("of"))).drop("of")
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"([0-9a-z\x{80}-\x{10FFFF}]+)"), 1))
+    same = [F.xxhash64("text").alias("h1"), F.hash("text").alias("h2"), F.length("text").alias("n")]
+    once = staged(toxic.select("lang", *same, words.alias("ws")).groupBy("lang", "h1", "h2", "n").agg(F.first("ws").alias("ws")), "kn-toxic-texts")
+    sizes = once.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("size"))
+    trusted_sizes = trusted.groupBy(F.col("lang").alias("of")).agg(F.count(F.lit(1)).alias("trusted"))
+    bad = once.select("lang", F.explode("ws").alias("w")).groupBy("w", "lang").agg(F.count(F.lit(1)).alias("bad")).join(sizes, F.col("lang").eqNullSafe(F.col("of"))).drop("of")
     bad = staged(bad.where((F.col("bad") >= least) & (F.col("bad") >= share * F.col("size"))), "kn-toxic")
-    asked = bad.select("w").distinct()
-    good = words(trusted).join(F.broadcast(asked), "w").groupBy("w").agg(F.count(F.lit(1)).alias("good"))  # mean words of a text / share, per language
-    rate = F.col("bad") / F.col("size")
-    marks = bad.join(good, "w", "left").where(rate >= times * (F.coalesce("good", F.lit(0)) + 0.5) / max(trusted.count(), 1))
-    return sorted(r["w"] for r in marks.select("w").distinct().collect())
+    asked = F.broadcast(bad.select("w").distinct())  # mean words of a text / share, per language
+    good = trusted.select(F.col("lang").alias("of"), F.explode(words).alias("w")).join(asked, "w").groupBy("w", "of").agg(F.count(F.lit(1)).alias("good"))
+    good = good.withColumnRenamed("w", "word")
+    known = bad.join(good, (F.col("w") == F.col("word")) & F.col("lang").eqNullSafe(F.col("of")), "left").drop("of")
+    known = known.join(trusted_sizes, F.col("lang").eqNullSafe(F.col("of")), "left")
+    usual = (F.coalesce("good", F.lit(0)) + 0.5) / F.greatest(F.coalesce("trusted", F.lit(1)), F.lit(1))
+    return sorted(r["w"] for r in known.where(F.col("bad") / F.col("size") >= times * usual).select("w").distinct().collect())
 
 
 def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id", text: str = "text", lang: str = "lang", tail: float = 0.99, toxic_ids: DataFrame | None = None, low: float = 0.001) -> DataFrame:
