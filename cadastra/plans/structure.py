@@ -103,7 +103,26 @@ _REFS = r"""
     FROM {d_fragments} WHERE depth = 5"""
 
 
-@query("xref_detect")
+_NUMBER = r"\d+(?:\.\d+){0,5}"
+_SECTION = r"(?i)\b(?:section|sections|subsection|subsections)\s+"
+
+
+def _found(pattern: str, target: str, unless: str = "a^") -> str:
+    return f"list_transform(list_filter(regexp_extract_all(text, '{pattern}'), lambda x: NOT regexp_matches(x, '{unless}')), lambda x: {{'raw': x, 'target': {target}}})"
+
+
+_DETECTED = ", ".join(
+    (
+        _found(rf"{_SECTION}{_NUMBER}\s+to\s+{_NUMBER}\s+inclusive\b", rf"regexp_replace(x, '^\D+({_NUMBER})\s+to\s+({_NUMBER}).*$', '\1 to \2')"),
+        # Without a look ahead: a number that `to` and another number follow is no single section.
+        _found(rf"{_SECTION}{_NUMBER}\b(?:\s+to\s+\d)?", rf"regexp_extract(x, '{_NUMBER}')", r"\sto\s+\d$"),
+        _found(r"(?i)\bSchedule\s+(?:[A-Z]|\d+)\b", r"'Schedule ' || upper(regexp_extract(x, '\s([A-Za-z]|\d+)$', 1))"),
+        _found(rf"(?i)\b(?:provided\s+in|provided\s+by|subject\s+to|except\s+as\s+provided\s+in)\s+{_NUMBER}\b", rf"regexp_extract(x, '{_NUMBER}')"),
+    )
+)
+
+
+@query("xref_detect", f"SELECT DISTINCT document_id, fragment_id, r.raw AS raw, r.target AS target FROM (SELECT document_id, fragment_id, unnest(flatten([{_DETECTED}])) AS r FROM {{d_clauses}})")
 def xref_detect(t):
     return S.detect_references(t.d_clauses)
 

@@ -165,7 +165,13 @@ def citation_split(t):
     return B.split_at_citations(_multi_line(t))
 
 
-@query("definition_split")
+@query(
+    "definition_split",
+    rf"""WITH b AS ({_LINES}), n AS (SELECT *, len(regexp_extract_all(raw_text, '(?m)^\s*["“][^"\n]{{{{2,80}}}}?["”]\s+means\b')) AS starts FROM b),
+        p AS (SELECT document_id, reading_order, list_filter(list_transform(CASE WHEN starts < 2 THEN [raw_text] ELSE
+            string_split(regexp_replace(raw_text, '(?m)(^\s*["“][^"\n]{{{{2,80}}}}?["”]\s+means\b)', chr(1) || '\1', 'g'), chr(1)) END, lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') AS parts FROM n)
+        SELECT document_id, reading_order, unnest(range(0, len(parts))) AS segment, unnest(parts) AS text FROM p""".replace("{{", "{").replace("}}", "}"),
+)
 def definition_split(t):
     return B.split_at_definitions(_multi_line(t)).select("document_id", "reading_order", F.col("segment").cast("long").alias("segment"), "text")
 
@@ -193,7 +199,13 @@ def pipe_tables(t):
     return B.pipe_cells(t.d_blocks)
 
 
-@query("caption_pick")
+@query(
+    "caption_pick",
+    r"""WITH l AS (SELECT document_id, page_number, reading_order, regexp_replace(text, '^Restaurant use \| (\d+).*$', 'Table \1: Uses') AS t FROM {d_clauses}),
+        n AS (SELECT *, lead(t) OVER (PARTITION BY document_id, page_number ORDER BY reading_order) AS nxt FROM l),
+        c AS (SELECT *, row_number() OVER (PARTITION BY document_id, page_number ORDER BY reading_order) AS r FROM n WHERE regexp_matches(t, '^\s*Table\s+\d+\s*:'))
+        SELECT document_id, page_number, concat_ws(' ', trim(t), CASE WHEN NOT regexp_matches(nxt, '^\s*Table\s+\d+\s*:') THEN trim(nxt) END) AS caption FROM c WHERE r = 1""",
+)
 def caption_pick(t):
     lines = t.d_clauses.select("document_id", "page_number", "reading_order", F.regexp_replace("text", r"^Restaurant use \| (\d+).*$", "Table $1: Uses").alias("raw_text"))
     return B.captions(lines)
