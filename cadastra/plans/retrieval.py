@@ -327,5 +327,7 @@ def hybrid_retrieval(t):
     facts = cut(matrix_facts(cells, table_profiles(cells)))
     key = (F.col("table_id") * 1000000 + F.col("row_index") * 10 + F.col("col_index")).alias("fact_id")
     votes = t.orders.where(k % 5 == 0).select(k.alias("source_fragment_id"), F.when(k % 2 == 0, "missing").otherwise("irrelevant").alias("vote"))
-    found = R.hybrid_search(cut(asked), cut(clauses), cells, facts.select(key, "*"), fact_participants(facts).select(key, "role", "name"), refs, votes)
+    # Spread over all cores: one clause meets many questions.
+    spread = cut(clauses.repartition(t.spark.sparkContext.defaultParallelism, "fragment_id"))
+    found = R.hybrid_search(cut(asked), spread, cells, facts.select(key, "*"), fact_participants(facts).select(key, "role", "name"), refs, votes)
     return found.select("question_id", "source_type", "source_id", "rank", "base_score", "rerank_score", "used_tokens")
