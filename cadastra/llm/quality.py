@@ -9,7 +9,7 @@ only their probabilities go back to the block. Nothing of the model is collected
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cadastra.llm.rows import with_columns_by_slice
+from cadastra.llm.rows import ARROW, with_columns_by_slice
 from cadastra.llm.textarrays import mix, plain_words, slices, spans, utf8
 from cadastra.llm.work import stage_path, staged
 
@@ -191,14 +191,20 @@ def _dealt(packs: DataFrame, blocks: int) -> DataFrame:
     return spark.table(name)
 
 
-def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "text") -> DataFrame:
+#: Types of further columns, and what makes them of a batch.
+More = tuple[dict[str, str], Callable[[pa.RecordBatch], dict[str, object]]]
+
+
+def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "text", more: More = ({}, lambda batch: {})) -> DataFrame:
     """``docs`` plus perplexity double: per symbol, end mark included; null for null or empty text.
+    ``more`` adds columns in the same pass, so that texts go through one Python worker only.
 
     Rows are written compressed, dealt into blocks of about BLOCK_BYTES of text, and not moved again.
     The distinct n-grams of all blocks get their probability once, and go back to the blocks that
     hold them.
     """
-    kept = [f for f in docs.schema.fields if f.name.lower() != "perplexity"]
+    types, make = more
+    kept = [f for f in docs.schema.fields if f.name.lower() not in ("perplexity", *types)]
     names = [f.name for f in kept]
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
@@ -216,17 +222,19 @@ def open_perplexity(docs: DataFrame, counts: dict[int, DataFrame], text: str = "
             n = np.diff(np.append(at, len(hi)))
             mean = np.add.reduceat(log_p[found.get_indexer(_key(hi, lo))], at) / n
             got = pa.array(np.exp(-mean), pa.float64(), mask=n <= 1)
-            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got], names=[*names, "perplexity"]))
+            made = make(batch)
+            found_more = [pa.array(made[c], ARROW[t]) for c, t in types.items()]
+            out.append(pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), got, *found_more], names=[*names, "perplexity", *types]))
         return pa.Table.from_batches(out)
 
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["perplexity double"])
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["perplexity double"] + [f"{c} {t}" for c, t in types.items()])
     return packs.groupBy("block").cogroup(back.groupBy("block")).applyInArrow(score, schema)
 
 
-def word_facts(docs: DataFrame, text: str = "text", marks: list[str] | None = None) -> DataFrame:
-    """``docs`` plus varied double (distinct pairs of neighbouring words per pair; null under five
-    words) and marked boolean (whether one of the words ``marks`` is among its words)."""
-    wanted = plain_words(pa.array(marks or [], pa.string())).hashes
+def word_facts(text: str, marks: Sequence[str] = (), prefix: str = "") -> More:
+    """Columns varied double (distinct pairs of neighbouring words per pair; null under five words) and
+    marked boolean (whether one of the words ``marks`` is among the words)."""
+    wanted = plain_words(pa.array(marks, pa.string())).hashes
 
     def make(batch: pa.RecordBatch) -> dict[str, object]:
         words = plain_words(batch.column(text))
@@ -235,9 +243,10 @@ def word_facts(docs: DataFrame, text: str = "text", marks: list[str] | None = No
         pair = mix(words.grams(starts, starts + 2) ^ mix(doc.astype(np.uint64)))
         once = ~pd.Series(pair).duplicated().to_numpy()
         owner = np.repeat(np.arange(len(n)), words.counts)[np.isin(words.hashes, wanted)]
-        return {"varied": pa.array(np.bincount(doc[once], minlength=len(n)) / np.maximum(n, 1), mask=np.asarray(n) < 4), "marked": np.bincount(owner, minlength=len(n)) > 0}
+        varied = pa.array(np.bincount(doc[once], minlength=len(n)) / np.maximum(n, 1), mask=np.asarray(n) < 4)
+        return {f"{prefix}varied": varied, f"{prefix}marked": np.bincount(owner, minlength=len(n)) > 0}
 
-    return with_columns_by_slice(docs, {"varied": "double", "marked": "boolean"}, make, text)
+    return {f"{prefix}varied": "double", f"{prefix}marked": "boolean"}, make
 
 
 def toxic_words(trusted: DataFrame, toxic: DataFrame, share: float = 0.1, times: float = 50, least: int = 5) -> list[str]:
@@ -296,14 +305,14 @@ def score_quality(docs: DataFrame, trusted_ids: DataFrame, doc_id: str = "doc_id
     overall = limits.where("all = 1").first()
     overall = overall["max"] if overall else None
     own = limits.where("all = 0 and n >= 20").select(F.col("lang").alias("__lang"), F.col("max").alias("__max"))
-    floor = word_facts(trusted).select((F.floor(F.col("varied") * 1000) / 1000).alias("x")).agg(F.expr(f"percentile_disc({low}) within group (order by x)")).first()[0]
+    kinds, facts = word_facts("text")
+    floor = with_columns_by_slice(trusted, kinds, facts, "text").select((F.floor(F.col("varied") * 1000) / 1000).alias("x")).agg(F.expr(f"percentile_disc({low}) within group (order by x)")).first()[0]
     marks: list[str] = []
     if toxic_ids is not None:
         bad = toxic_ids.select(F.col(doc_id).alias("__trusted")).distinct()
         bad = F.broadcast(bad) if bad.count() <= BROADCAST_IDS else bad
         marks = toxic_words(trusted, docs.join(bad, docs[doc_id] == F.col("__trusted"), "left_semi").select(F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")))
-    found = word_facts(open_perplexity(out.withColumnsRenamed({c: f"__own_{c}" for c in out.columns if c.lower() in ("varied", "marked")}), counts, text), text, marks)
-    found = found.withColumnsRenamed({"varied": "__varied", "marked": "__marked"} | {f"__own_{c}": c for c in out.columns if c.lower() in ("varied", "marked")})
+    found = open_perplexity(out, counts, text, word_facts(text, marks, "__"))
     found = found.join(own, found[lang].cast("string").eqNullSafe(F.col("__lang")), "left")
     found = found.withColumn("max_perplexity", F.coalesce("__max", F.lit(overall))).drop("__lang", "__max")
     good = (F.col("perplexity") <= F.col("max_perplexity")) & (F.coalesce(F.col("__varied"), F.lit(1.0)) >= F.lit(floor or 0.0)) & ~F.col("__marked")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 
 from cadastra.llm.textarrays import slices
 
-_ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
+ARROW = {"long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "string": pa.string(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64()), "binary": pa.binary()}
 
 
 def with_columns_by_slice(df: DataFrame, new: dict[str, str], make: Callable[[pa.RecordBatch], dict[str, object]], text: str, drop: tuple[str, ...] = ()) -> DataFrame:
@@ -22,7 +22,7 @@ def with_columns_by_slice(df: DataFrame, new: dict[str, str], make: Callable[[pa
     given = [f for f in df.schema.fields if f.name.lower() not in names]
     kept = [f for f in given if f.name not in drop]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [f"`{c}` {t}" for c, t in new.items()])
-    types = {c: _ARROW[t] for c, t in new.items()}
+    types = {c: ARROW[t] for c, t in new.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
