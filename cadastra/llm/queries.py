@@ -14,6 +14,7 @@ from cadastra.llm.embeddedup import embedding_dedup
 from cadastra.llm.jaccardjoin import jaccard_join
 from cadastra.llm.langid import held_out, language_id, train_language_id
 from cadastra.llm.linededup import line_dedup
+from cadastra.llm.merkle import leaf_hash, merkle_manifest, proof_text
 from cadastra.llm.quality import score_quality
 from cadastra.llm.secrets import common_words, scan_secrets, secret_candidates, train_secret_forest
 from cadastra.llm.substringdedup import substring_dedup
@@ -117,6 +118,18 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, trusted_ids(spark, sf_dir), toxic_ids=toxic_ids(spark, sf_dir)).select("doc_id", "lang", "perplexity", "max_perplexity", "kept")
 
 
+LEAF = ("doc_id", "source", "lang", "n_chars", "text")
+
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every leaf with its proof, folded anew from what a checker has: a third of the texts come to it in lower case."""
+    docs = table(spark, sf_dir, "documents").select(*LEAF)
+    lower = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 0, leaf_hash(*[lower if c == "text" else F.col(c) for c in LEAF]))
+    out = merkle_manifest(docs, LEAF, tampered=tampered)
+    return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -128,10 +141,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op11_merkle_manifest": op11_merkle_manifest,
 }
 
 
-
 def _url_sql() -> str:
     """The rules, models and cut of op3 in SQL."""
     host = r"translate(coalesce(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -174,7 +187,64 @@ def _url_sql() -> str:
         FROM scored, cut"""
 
 
+#: The 256 remainders of a byte-wise CRC-32, from its polynomial.
+_CRC_TABLE = "SELECT list_transform(range(256), lambda n: list_reduce([n] || range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS tab"
+
+
+def _crc32(text: str) -> str:
+    """CRC-32 of a text's UTF-8 bytes in SQL; ``tab`` is a column of _CRC_TABLE in scope."""
+    bytes_ = f"list_transform(range(1, 2 * octet_length(encode({text})), 2), lambda i: ('0x' || substr(hex(encode({text})), i, 2))::BIGINT)"
+    return f"xor(4294967295, list_reduce([4294967295::BIGINT] || {bytes_}, lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])))"
+
+
+def _field(column: str) -> str:
+    return f"coalesce(octet_length(encode({column}::VARCHAR)) || ':' || {column}, '-')"
+
+
+_MERKLE = f"""
+        WITH RECURSIVE crc AS ({_CRC_TABLE}),
+        leaves AS (
+            SELECT doc_id, coalesce('=' || lang, '') AS grp, sha256({" || ".join(_field(c) for c in LEAF)}) AS leaf,
+                   CASE WHEN {_crc32("doc_id::VARCHAR")} % 3 = 0 THEN sha256({" || ".join(_field(c) for c in LEAF[:-1])} ||
+                       {_field("translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')")}) END AS tampered
+            FROM documents, crc),
+        placed AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id, leaf) - 1 AS i FROM leaves),
+        nodes(grp, level, i, hash, n) AS (
+            SELECT grp, 0, i, leaf, count(*) OVER (PARTITION BY grp) FROM placed
+            UNION ALL
+            SELECT grp, level + 1, i // 8, sha256(string_agg(hash, '' ORDER BY i)), (any_value(n) + 7) // 8
+            FROM nodes WHERE n > 1 GROUP BY grp, level, i // 8),
+        subroots AS (SELECT grp, hash, row_number() OVER (ORDER BY grp) - 1 AS i FROM nodes WHERE n = 1),
+        tops(level, i, hash, n) AS (
+            SELECT 0, i, hash, count(*) OVER () FROM subroots
+            UNION ALL
+            SELECT level + 1, i // 8, sha256(string_agg(hash, '' ORDER BY i)), (any_value(n) + 7) // 8
+            FROM tops WHERE n > 1 GROUP BY level, i // 8),
+        runs AS (
+            SELECT grp, level, i // 8 AS run, list(hash ORDER BY i) AS hs FROM nodes WHERE n > 1 GROUP BY ALL
+            UNION ALL
+            SELECT s.grp, h.level + t.level, t.run, t.hs
+            FROM (SELECT level, i // 8 AS run, list(hash ORDER BY i) AS hs FROM tops WHERE n > 1 GROUP BY ALL) t
+            JOIN (SELECT grp, i FROM subroots) s ON s.i // (8 ** (t.level + 1))::BIGINT = t.run
+            JOIN (SELECT grp, max(level) AS level FROM nodes GROUP BY grp) h ON h.grp = s.grp),
+        heights AS (SELECT grp, max(level) AS height FROM nodes GROUP BY grp),
+        folds(doc_id, leaf, grp, level, i, top, folded, proof) AS (
+            SELECT doc_id, leaf, p.grp, 0, p.i, s.i, coalesce(tampered, leaf), ''
+            FROM placed p JOIN subroots s ON s.grp = p.grp
+            UNION ALL
+            SELECT doc_id, leaf, f.grp, f.level + 1, CASE WHEN f.level < height THEN f.i // 8 ELSE 0 END, CASE WHEN f.level < height THEN top ELSE top // 8 END,
+                   sha256(array_to_string(hs[:k], '') || folded || array_to_string(hs[k + 2:], '')),
+                   proof || array_to_string(hs[:k], '') || array_to_string(hs[k + 2:], '')
+            FROM (SELECT f.*, height, CASE WHEN f.level < height THEN f.i ELSE top END % 8 AS k, CASE WHEN f.level < height THEN f.i ELSE top END // 8 AS run
+                  FROM folds f JOIN heights h ON h.grp = f.grp) f
+            JOIN runs r ON r.grp = f.grp AND r.level = f.level AND r.run = f.run)
+        SELECT doc_id, leaf, s.hash AS subroot, root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = root AS verified
+        FROM folds f JOIN subroots s ON s.grp = f.grp, (SELECT hash AS root FROM tops WHERE n = 1) t
+        QUALIFY row_number() OVER (PARTITION BY f.grp, doc_id, leaf ORDER BY level DESC) = 1"""
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_merkle_manifest": _MERKLE,
     "op3_url_filter": _url_sql(),
     "op1_embedding_dedup": """
         WITH RECURSIVE v AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,26 @@ def unstage(df: DataFrame) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+def ranked(df: DataFrame, group: list[str], order: list[str], name: str) -> DataFrame:
+    """``df`` with n long (rows of its group) and rank long (place in the group by ``order``, from 0).
+
+    Rows are dealt by ranges of group and order, so that a group of any size is spread; a row's place
+    is its place in its part plus the rows of its group in the parts before. Windows run over the
+    counts only, one row for each part and group in it.
+    """
+    rows = df.repartitionByRange(*group, *order).sortWithinPartitions(*group, *order)
+    at = F.monotonically_increasing_id()
+    rows = staged(rows.withColumn("__part", F.shiftright(at, 33)).withColumn("__at", at), name)
+    counts = rows.groupBy("__part", *group).agg(F.count(F.lit(1)).alias("__count"), F.min("__at").alias("__first"))
+    before = Window.partitionBy(*group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = counts.withColumn("__before", F.coalesce(F.sum("__count").over(before), F.lit(0))).withColumn("n", F.sum("__count").over(Window.partitionBy(*group)))
+    parts = staged(parts.select(F.col("__part").alias("__p"), *[F.col(c).alias(f"__g_{c}") for c in group], "__first", "__before", "n"), f"{name}-parts")
+    same = F.col("__part") == F.col("__p")
+    for c in group:
+        same = same & F.col(c).eqNullSafe(F.col(f"__g_{c}"))
+    return rows.join(parts, same).select(*df.columns, "n", (F.col("__at") - F.col("__first") + F.col("__before")).alias("rank"))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``edges`` (a long, b long) -> (id, component): smallest id reachable, for every id on an edge.
 
