@@ -18,6 +18,7 @@ from cadastra.llm.merkle import leaf_hash, merkle_manifest, proof_text
 from cadastra.llm.quality import score_quality
 from cadastra.llm.secrets import common_words, scan_secrets, secret_candidates, train_secret_forest
 from cadastra.llm.substringdedup import substring_dedup
+from cadastra.llm.topk import top_k_products
 from cadastra.llm.urlfilter import filter_urls
 from cadastra.llm.work import small_batches, staged
 
@@ -130,6 +131,10 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_embedding_dedup": op1_embedding_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -142,6 +147,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op13_top_k": op13_top_k,
 }
 
 
@@ -245,6 +251,15 @@ _MERKLE = f"""
 
 ORACLE_SQL: dict[str, str] = {
     "op11_merkle_manifest": _MERKLE,
+    "op13_top_k": """
+        WITH v AS (
+            SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+        scored AS (
+            SELECT a.vec_id AS query_id, b.vec_id, list_inner_product(a.e, b.e)::BIGINT AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e))
+        SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score
+        FROM scored QUALIFY rank <= 10""",
     "op3_url_filter": _url_sql(),
     "op1_embedding_dedup": """
         WITH RECURSIVE v AS (
