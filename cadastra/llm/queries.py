@@ -17,6 +17,7 @@ from cadastra.llm.linededup import line_dedup
 from cadastra.llm.merkle import leaf_hash, merkle_manifest, proof_text
 from cadastra.llm.quality import score_quality
 from cadastra.llm.secrets import common_words, scan_secrets, secret_candidates, train_secret_forest
+from cadastra.llm.spelling import spelling_groups, word_counts
 from cadastra.llm.substringdedup import substring_dedup
 from cadastra.llm.topk import top_k_products
 from cadastra.llm.urlfilter import filter_urls
@@ -131,6 +132,11 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "leaf", "subroot", "root", F.sha2(proof_text(F.col("proof")).cast("binary"), 256).alias("proof_sha256"), "folded_root", "verified")
 
 
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return spelling_groups(word_counts(docs, min_length=7, min_count=2, spoil=31), factor=10)
+
+
 def op13_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k_products(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
 
@@ -147,6 +153,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
     "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_spelling_variants": op12_spelling_variants,
     "op13_top_k": op13_top_k,
 }
 
@@ -249,8 +256,36 @@ _MERKLE = f"""
         QUALIFY row_number() OVER (PARTITION BY f.grp, doc_id, leaf ORDER BY level DESC) = 1"""
 
 
+#: Pairs at one edit meet on the word with one place left open (a replaced letter) or without one letter.
+_SPELLING = f"""
+        WITH RECURSIVE crc AS MATERIALIZED ({_CRC_TABLE}),
+        runs AS (
+            SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n
+            FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')) AS run FROM documents) GROUP BY ALL),
+        hashed AS (SELECT run, n, {_crc32("(doc_id || ':' || run)")} AS h FROM runs, crc WHERE length(run) >= 7),
+        words AS MATERIALIZED (
+            SELECT CASE WHEN h % 31 = 0 THEN left(run, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, sum(n)::BIGINT AS n
+            FROM hashed GROUP BY 1 HAVING sum(n) >= 2 AND length(word) >= 7),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        cuts AS (SELECT word, n, i, left(word, i - 1) AS a, substr(word, i + 1) AS b FROM places),
+        pairs AS (
+            SELECT x.word, y.word AS other, y.n FROM cuts x JOIN cuts y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.word <> y.word
+            UNION SELECT x.word, y.word, y.n FROM cuts x JOIN words y ON x.a || x.b = y.word
+            UNION SELECT y.word, x.word, x.n FROM cuts x JOIN words y ON x.a || x.b = y.word),
+        best AS (SELECT word, count(*) AS n_near, max(n) AS most FROM pairs GROUP BY word),
+        named AS (SELECT p.word, n_near, most, min(other) AS other FROM pairs p JOIN best b ON b.word = p.word AND b.most = p.n GROUP BY ALL),
+        forms AS (
+            SELECT w.word, n, coalesce(n_near, 0) AS n_near, CASE WHEN most >= 10 * n THEN other END AS form, CASE WHEN most >= 10 * n THEN most END AS form_n
+            FROM words w LEFT JOIN named b ON b.word = w.word),
+        walk(word, root, step) AS (
+            SELECT word, word, 0 FROM forms
+            UNION ALL SELECT walk.word, form, step + 1 FROM walk JOIN forms ON forms.word = root WHERE form IS NOT NULL)
+        SELECT f.word, form, root, n, n_near, form_n FROM forms f JOIN (SELECT word, arg_max(root, step) AS root FROM walk GROUP BY word) r ON r.word = f.word"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op11_merkle_manifest": _MERKLE,
+    "op12_spelling_variants": _SPELLING,
     "op13_top_k": """
         WITH v AS (
             SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
