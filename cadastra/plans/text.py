@@ -63,28 +63,19 @@ def requirement_value(t):
     return t.d_clauses.select("fragment_id", B.requirement_value(F.col("text")).alias("is_value"))
 
 
-_RULES = {
-    "part": r"(?i)^\s*part\s+([A-Z]|\d+)\b(?:\s*[-:]\s*)?(.*)$",
-    "schedule": r"(?i)^\s*schedule\s+([A-Z]|\d+)\b(?:\s*[-:]\s*)?(.*)$",
-    "appendix": r"(?i)^\s*appendix\s+([A-Z]|\d+)\b(?:\s*[-:]\s*)?(.*)$",
-    "np": r"^\s*(\d+(?:\.\d+)*(?:\([A-Za-z0-9]+\))+)\s+(.*)$",
-    "pn": r"^\s*\((\d+(?:\.\d+)*)\)\s+(.*)$",
-    "nu": r"^\s*(\d+(?:\.\d+)*)\b(?:[.)])?\s*(.*)$",
-    "sc": r"(?i)^\s*\(([ivxlcdm][ivxlcdm]+)\)\s+(.*)$",
-    "cl": r"(?i)^\s*(\([a-z][a-z]?[a-z]?\))\s+(.*)$",
-}
+_RULES = {"part": "part", "schedule": "schedule", "appendix": "appendix", "np": "numeric_paren", "pn": "paren_numeric", "nu": "numeric", "sc": "subclause", "cl": "clause"}
 
 
 def _m(rule: str) -> str:
-    return f"regexp_matches(n, '{_RULES[rule]}')"
+    return f"regexp_matches(n, '{B.CITATIONS[_RULES[rule]]}')"
 
 
 def _x(rule: str, group: int) -> str:
-    return f"regexp_extract(n, '{_RULES[rule]}', {group})"
+    return f"regexp_extract(n, '{B.CITATIONS[_RULES[rule]]}', {group})"
 
 
 _DEPTH = f"(length({_x('nu', 1)}) - length(replace({_x('nu', 1)}, '.', '')) + 1)"
-_NU = f"({_m('nu')} AND NOT regexp_matches(n, '^\\d+(?:\\.\\d+)*/'))"
+_NU = f"({_m('nu')} AND NOT regexp_matches(n, '^\\d+(?:\\.\\d+){{0,5}}/'))"
 CITATION_SQL = f"""
     SELECT *, CASE WHEN {_m("part")} THEN 'part' WHEN {_m("schedule")} THEN 'schedule' WHEN {_m("appendix")} THEN 'appendix' WHEN {_m("np")} THEN 'section'
                 WHEN {_m("pn")} THEN 'subsection' WHEN {_NU} THEN CASE WHEN {_DEPTH} = 1 THEN 'section' ELSE 'subsection' END
@@ -131,7 +122,7 @@ def boilerplate(t):
 
 @query(
     "profile_rules",
-    r"""WITH k AS (SELECT fragment_id, page_number, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\b([A-Z][A-Z]?[A-Z]?[A-Z]?)-\s+(\d[A-Z]?)\b', '\1-\2', 'g') AS n FROM {d_clauses}),
+    r"""WITH k AS (SELECT fragment_id, page_number, regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '\b([A-Z]{1,4})-\s+(\d[A-Z]?)\b', '\1-\2', 'g') AS n FROM {d_clauses}),
         s AS (SELECT *, regexp_matches(n, '(?i)^(\(\d+(?:\.\d+)?\)|district,\s+any main building|setback as specified on Schedule 18\.?|not exceed the maximum required building height specified on Schedule 15\.?)') AS rule,
             starts_with(n, 'Regional Centre Land Use By-law |') AS banner FROM k)
         SELECT fragment_id, n AS normalized_text, banner OR (page_number <= 6 AND NOT rule) AS is_boilerplate,
@@ -178,16 +169,45 @@ def definition_split(t):
 
 @query(
     "toc_split",
-    """SELECT document_id, segment, text FROM (SELECT document_id, text, row_number() OVER (PARTITION BY document_id ORDER BY reading_order, text) - 1 AS segment,
+    """SELECT document_id, segment, text FROM (SELECT document_id, CASE WHEN fragment_id % 5 = 2 THEN concat('ZM-', fragment_id % 40, chr(10)) ELSE '' END || text AS text,
+              row_number() OVER (PARTITION BY document_id ORDER BY reading_order, text) - 1 AS segment,
               count(*) OVER (PARTITION BY document_id) AS n FROM {d_clauses} WHERE fragment_id % 24 = 19) WHERE n > 1""",
 )
 def toc_split(t):
-    entries = t.d_clauses.where("fragment_id % 24 = 19")
+    """Contents of all documents; a fifth of the entries has its code on a line of its own before it."""
+    code = F.when(F.col("fragment_id") % 5 == 2, F.concat(F.lit("ZM-"), (F.col("fragment_id") % 40).cast("string"), F.lit("\n"))).otherwise("")
+    entries = t.d_clauses.where("fragment_id % 24 = 19").withColumn("text", F.concat(code, "text"))
     parts = entries.groupBy("document_id").agg(F.sort_array(F.collect_list(F.struct("reading_order", "text"))).alias("p"))
     blocks = parts.select("document_id", F.lit(0).alias("reading_order"), F.array_join(F.transform("p", lambda x: x["text"]), "\n").alias("raw_text"))
     return B.split_toc(blocks).select("document_id", F.col("segment").cast("long").alias("segment"), "text")
 
 
+#: Without the look-ahead that the pattern itself has, which DuckDB does not know.
+_COMPOUND = r"^(\d+[A-Z]*(?:\([0-9A-Za-z]+\))*[A-Z]?)(?:\s+(.*))?$"
+_APART = B.SPLIT_COMPOUND
+
+
+@query(
+    "compound_label",
+    rf"""WITH l AS (SELECT fragment_id, (o.o_custkey % 300) || CASE fragment_id % 9 WHEN 0 THEN '' WHEN 1 THEN 'DB(1)' WHEN 2 THEN '(3)(a)' WHEN 3 THEN '(2)(iv)' WHEN 4 THEN ' I' WHEN 5 THEN ' AB of' WHEN 6 THEN 'R'
+                WHEN 7 THEN '(3)A' ELSE ' A' END || CASE WHEN fragment_id % 2 = 0 THEN ' Yards' ELSE ' yards' END AS n FROM {{d_clauses}} c JOIN orders o ON o.o_orderkey = c.fragment_id),
+        j AS (SELECT *, regexp_matches(n, '{_APART}') AND (length(regexp_extract(n, '{_APART}', 2)) >= 2 OR regexp_matches(regexp_extract(n, '{_APART}', 3), '^[A-Z]')) AS joins FROM l),
+        c AS (SELECT fragment_id, n, CASE WHEN joins THEN regexp_extract(n, '{_APART}', 1) || regexp_extract(n, '{_APART}', 2) WHEN regexp_matches(n, '{_COMPOUND}') THEN regexp_extract(n, '{_COMPOUND}', 1) END AS label FROM j),
+        k AS (SELECT fragment_id, label, regexp_extract_all(label, '\(([0-9A-Za-z]+)\)', 1) AS tokens FROM c WHERE label IS NOT NULL AND NOT regexp_matches(label, '^\d+$'))
+        SELECT fragment_id, label, CAST(2 + len(tokens) + CASE WHEN regexp_matches(label, '\)[A-Z]$') THEN 1 ELSE 0 END AS INT) AS level,
+               CASE WHEN regexp_matches(tokens[-1], '^[a-z]$') THEN 'clause' WHEN regexp_matches(tokens[-1], '(?i)^[ivxlcdm]+$') THEN 'subclause'
+                 WHEN len(tokens) = 0 THEN 'section' ELSE 'subsection' END AS kind FROM k""",
+)
+def compound_label(t):
+    """Labels in which letters and parentheses follow a number; bare numbers give no row."""
+    forms = ["", "DB(1)", "(3)(a)", "(2)(iv)", " I", " AB of", "R", "(3)A", " A"]
+    form = F.element_at(F.array(*[F.lit(f) for f in forms]), (F.col("fragment_id") % 9 + 1).cast("int"))
+    title = F.when(F.col("fragment_id") % 2 == 0, " Yards").otherwise(" yards")
+    numbers = t.orders.select(F.col("o_orderkey").alias("fragment_id"), (F.col("o_custkey") % 300).cast("string").alias("number"))
+    text = F.concat("number", form, title)
+    return numbers.withColumn("c", B.compound_citation(B.normalize_text(text))).where("c is not null").select("fragment_id", "c.label", "c.level", F.col("c.type").alias("kind"))
+
+
 @query(
     "pipe_tables",
     r"""WITH r AS (SELECT document_id, reading_order, unnest(string_split(raw_text, ';')) AS r, generate_subscripts(string_split(raw_text, ';'), 1) - 1 AS row_index

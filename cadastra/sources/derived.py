@@ -89,6 +89,28 @@ _OUTLINE = """
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
     ) AS rows"""
 
+# One by-law for each customer, one page for each order: sections, clauses, roman items, definitions, contents, values and prose in the order of the lines.
+_BYLAWS = """
+    SELECT o_custkey AS document_id, l_orderkey AS page_number, l_orderkey * 1000 + rn AS reading_order,
+           CASE WHEN rn = 1 AND l_orderkey % 6 = 0 THEN concat('Part ', CAST(l_orderkey % 12 AS STRING), ' Zones')
+             WHEN rn = 1 AND l_orderkey % 6 = 1 THEN 'DEFINITIONS' WHEN rn = 2 AND l_orderkey % 6 = 1 THEN 'In this by-law:'
+             WHEN rn = 1 THEN concat(CAST(l_orderkey % 400 AS STRING), ' Permitted Uses')
+             ELSE CASE (l_partkey + 5 * rn) % 17
+               WHEN 0 THEN concat('(', chr(CAST(97 + rn % 8 AS INT)), ') one unit on a lot of ', CAST(l_partkey AS STRING), ' m2;')
+               WHEN 1 THEN concat('(', chr(CAST(97 + rn % 8 AS INT)), ') FOR R-', CAST(l_partkey % 9 AS STRING), ' USES')
+               WHEN 2 THEN '(i) the width of the lot; and' WHEN 3 THEN '(ii) the depth of the lot.'
+               WHEN 4 THEN concat('"Lot ', CAST(l_partkey % 90 AS STRING), '" means a parcel that is:')
+               WHEN 5 THEN concat(CAST(l_partkey % 60 AS STRING), ' metres') WHEN 6 THEN 'The height of a wall is'
+               WHEN 7 THEN concat(CAST(l_orderkey % 400 AS STRING), '.', CAST(rn AS STRING), ' Side Yards')
+               WHEN 8 THEN concat('(', CAST(rn AS STRING), ') No building may be higher than its neighbours.')
+               WHEN 9 THEN concat('* signs of type ', CAST(l_partkey % 30 AS STRING)) WHEN 10 THEN concat('[', CAST(rn AS STRING), '] applies to corner lots only')
+               WHEN 11 THEN concat('Schedule B\n', 'Homes of all kinds\n', 'Schedule C\n', 'Shops of ', CAST(l_partkey % 9 AS STRING), ' kinds')
+               WHEN 12 THEN concat('ZM-1\n', 'Access to water ..... ', CAST(l_partkey % 300 AS STRING), '\n', 'Front yards ..... 9') WHEN 13 THEN 'PARKING OF VEHICLES'
+               WHEN 14 THEN 'use | stalls' WHEN 15 THEN concat(CAST(l_orderkey % 400 AS STRING), '(', CAST(rn AS STRING), ') Main buildings')
+               ELSE 'a building stands behind the line that the map shows for it.' END END AS raw_text
+    FROM (SELECT o_custkey, l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn
+          FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) AS numbered"""
+
 _CELLS = """
     SELECT table_id, CAST(r AS BIGINT) AS row_index, col_index, text FROM (
         SELECT CAST(substr(p_brand, 7) AS BIGINT) AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, 0 AS col_index,
@@ -152,6 +174,7 @@ DERIVED: dict[str, tuple[str, str]] = {
     "d_fragments": _same(_FRAGMENTS),
     "d_outline": _same(_OUTLINE),
     "d_faulty": _same(_FAULTY),
+    "d_bylaws": (_BYLAWS, _BYLAWS.replace("\\n'", "' || chr(10)").replace("|| chr(10),", "|| chr(10),")),
     "d_parts": _same(
         """SELECT document_id, document_id * 1000000 + reading_order AS block_id, page_number AS page,
                   CASE WHEN raw_text LIKE '%|%' THEN 'table_region' WHEN reading_order % 17 = 1 THEN 'footnote' ELSE 'paragraph' END AS block_type,
