@@ -111,6 +111,35 @@ _BYLAWS = """
     FROM (SELECT o_custkey, l_orderkey, l_partkey, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn
           FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey) AS numbered"""
 
+# Zoning by-laws, one for each customer and a page for each order: headings of zones in three forms, rules, uses and parking.
+_ZONING = """
+    SELECT o_custkey AS document_id, page_number, page_number * 10 + rn AS reading_order, l_orderkey * 1000 + rn AS fragment_id,
+           CASE WHEN rn > 1 THEN l_orderkey * 1000 + 1 END AS parent_fragment_id,
+           CASE WHEN rn = 1 THEN CASE l_orderkey % 5
+               WHEN 0 THEN concat(zone, ' ZONE') WHEN 1 THEN concat('Built form and siting requirements within the ', zone, ' zone') WHEN 2 THEN 'YARD AND HEIGHT RULES'
+               WHEN 3 THEN concat('Requirements of the ', zone, ' zone') ELSE concat('Where any building stands in ', zone, ' it shall comply with the following requirements') END
+             ELSE CASE (l_partkey + 3 * rn) % 15
+               WHEN 0 THEN concat('The front yard shall be ', CAST(l_partkey % 9 AS STRING), '.5 metres') WHEN 1 THEN concat('Minimum required front or flanking setback: ', CAST(l_partkey % 7 AS STRING), ' metres')
+               WHEN 2 THEN concat('Maximum height of ', CAST(l_partkey % 60 AS STRING), ' feet below an angular plane') WHEN 3 THEN 'No building may exceed the maximum required building height specified on Schedule 15'
+               WHEN 4 THEN concat('An office use has one parking space for each ', CAST(l_partkey % 900 AS STRING), ' square feet') WHEN 5 THEN concat('A restaurant use in the ', zone, ' zone needs parking accommodation')
+               WHEN 6 THEN 'An accessory building may be located in the rear yard' WHEN 7 THEN concat('The maximum size of its footprint is ', CAST(l_partkey % 90 AS STRING), '.0 square metres')
+               WHEN 8 THEN concat('Side-yard of a townhouse dwelling use: none, and 3.0 metres elsewhere in ', zone) WHEN 9 THEN concat('lot coverage maximum ', CAST(l_partkey % 60 AS STRING), '%')
+               WHEN 10 THEN concat('Population density of ', CAST(l_partkey % 300 AS STRING), ' persons per acre in the South End') WHEN 11 THEN 'Landscaped open space for homes with two or more bedrooms'
+               WHEN 12 THEN concat('Lot frontage ', CAST(l_partkey % 50 AS STRING), ' feet') WHEN 13 THEN 'The official street line is on the map' ELSE 'General residential matters' END END AS text
+    FROM (SELECT o_custkey, l_orderkey, l_partkey, page_number, CASE l_orderkey % 7 WHEN 0 THEN 'R-1' WHEN 1 THEN 'HR-2' WHEN 2 THEN 'C-2A' WHEN 3 THEN 'ER3' WHEN 4 THEN 'R-2' WHEN 5 THEN 'HR-1' ELSE 'R1' END AS zone,
+                 row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS rn
+          FROM {lineitem} JOIN (SELECT *, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS BIGINT) AS page_number FROM {orders}) AS paged ON l_orderkey = o_orderkey) AS numbered"""
+
+_ZONING_TABLES = """
+    SELECT document_id, fragment_id + 500 AS table_id, page_number AS page_start,
+           CASE fragment_id % 8
+             WHEN 0 THEN concat('Lot Frontage | Lot Area ; ', CAST(reading_order AS STRING), ' feet | 4000 square feet') WHEN 1 THEN 'Side Yard | Lot Coverage ; see map | see map'
+             WHEN 2 THEN concat('Size of building | Height ; ', CAST(reading_order AS STRING), ' | vertical angle') WHEN 3 THEN 'Parking lots and parking structures existing | yes'
+             WHEN 4 THEN 'Special parking | office use ; 1 space per unit | required to provide' WHEN 5 THEN 'Accessory buildings | deleted'
+             WHEN 6 THEN concat('Distance from lot line | rear yard ; ', CAST(reading_order AS STRING), ' metres | south end') ELSE 'Dwelling units | persons per acre ; landscaped open space | 120 square feet' END AS text
+    FROM (SELECT document_id, page_number, reading_order, CAST(floor(fragment_id / 1000) AS BIGINT) * 7 + fragment_id % 1000 AS fragment_id FROM {d_zoning} WHERE parent_fragment_id IS NOT NULL) AS lines
+    WHERE fragment_id % 3 = 0"""
+
 _CELLS = """
     SELECT table_id, CAST(r AS BIGINT) AS row_index, col_index, text FROM (
         SELECT CAST(substr(p_brand, 7) AS BIGINT) AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, 0 AS col_index,
@@ -181,6 +210,17 @@ DERIVED: dict[str, tuple[str, str]] = {
                   reading_order % 40 = 0 AS is_boilerplate, reading_order % 9 <> 4 AS accounted
            FROM {d_blocks}"""
     ),
+    "d_zoning": _same(_ZONING),
+    "d_zoning_tables": _same(_ZONING_TABLES),
+    "d_standard_calls": _same(
+        """SELECT c_custkey AS question_id, CASE WHEN c_custkey % 3 = 0 THEN c_custkey - c_custkey % 3 + 1 ELSE c_custkey END AS document_id,
+                  CASE c_custkey % 8 WHEN 0 THEN 'R-1' WHEN 1 THEN 'HR-2' WHEN 2 THEN 'C-2A' WHEN 3 THEN 'ER-3' WHEN 4 THEN 'R-2' WHEN 5 THEN 'HR-1' WHEN 6 THEN 'CEN-2' END AS zone,
+                  CASE c_custkey % 14 WHEN 0 THEN 'front_yard' WHEN 1 THEN 'side_yard' WHEN 2 THEN 'rear_yard' WHEN 3 THEN 'flankage_yard' WHEN 4 THEN 'building_height' WHEN 5 THEN 'lot_frontage' WHEN 6 THEN 'lot_area'
+                    WHEN 7 THEN 'lot_coverage' WHEN 8 THEN 'open_space' WHEN 9 THEN 'density' WHEN 10 THEN 'parking' WHEN 11 THEN 'accessory_structure' WHEN 12 THEN 'setback' END AS standard_type,
+                  CASE WHEN c_custkey % 14 = 10 THEN CASE c_custkey % 2 WHEN 0 THEN 'Office use' ELSE 'restaurant use' END WHEN c_custkey % 11 = 0 THEN 'office use' END AS use_type,
+                  CASE WHEN c_custkey % 5 = 0 THEN 'South End' END AS area_context
+           FROM {customer}"""
+    ),
     "d_cells": _same(_CELLS),
     "d_matrix": _same(_MATRIX),
     "d_tables": _same(_TABLES),
