@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cadastra.operators import geo as G
+from cadastra.operators import shapes
 from cadastra.plans.base import query
 
 
@@ -50,6 +51,62 @@ def lot_metrics(t):
     return m.select("feature_id", *[F.round(c, 2 if c == "area_m2" else 4).alias(c) for c in ("width_m", "height_m", "area_m2", "perimeter_m")])
 
 
+def _point(x, y):
+    return F.struct(F.col(x) if isinstance(x, str) else x, F.col(y) if isinstance(y, str) else y).cast("struct<x:double,y:double>")
+
+
+#: An L of three quarters of a lot's box with a square hole, as rectangles (the hole counts against it); a lot of three has an island in the hole.
+_ELL = """SELECT feature_id, x0 + u[1] * 0.001 AS x0, y0 + u[2] * 0.001 AS y0, x0 + u[3] * 0.001 AS x1, y0 + u[4] * 0.001 AS y1, u[5] AS sign FROM (
+        SELECT feature_id, x0, y0, unnest([[0, 0, 1, 0.5, 1], [0, 0.5, 0.5, 1, 1], [0.1, 0.1, 0.4, 0.4, -1]] || CASE WHEN feature_id % 3 = 0 THEN [[0.2, 0.2, 0.3, 0.3, 1]] ELSE [] END) AS u FROM {d_parcels})"""
+
+
+@query(
+    "polygon_match",
+    f"""WITH e AS ({_ELL}), l AS (SELECT feature_id AS location_id, x0 - 0.0004 AS x0, y0 - 0.0013 AS y0, x1 + 0.0007 AS x1, y1 + 0.0002 AS y1 FROM d_parcels WHERE feature_id % 5 = 0),
+        o AS (SELECT location_id, feature_id, sum(sign * greatest(least(l.x1, e.x1) - greatest(l.x0, e.x0), 0) * greatest(least(l.y1, e.y1) - greatest(l.y0, e.y0), 0)) AS overlap
+              FROM l JOIN e ON l.x0 < e.x1 AND l.x1 > e.x0 AND l.y0 < e.y1 AND l.y1 > e.y0 GROUP BY location_id, feature_id)
+        SELECT location_id, feature_id, round(overlap * 1e6, 6) AS overlap, false AS contains_input FROM o WHERE overlap > 1e-12""",
+)
+def polygon_match(t):
+    """Boxes around every fifth lot against all L-shaped lots with holes and islands."""
+    p = t.d_parcels
+    at = lambda u, v: _point(F.col("x0") + u * 0.001, F.col("y0") + v * 0.001)
+    square = lambda a, b: F.array(at(a, a), at(b, a), at(b, b), at(a, b))
+    ell = F.array(at(0, 0), at(1, 0), at(1, 0.5), at(0.5, 0.5), at(0.5, 1), at(0, 1))
+    rings = F.when(F.col("feature_id") % 3 == 0, F.array(ell, square(0.1, 0.4), square(0.2, 0.3))).otherwise(F.array(ell, square(0.1, 0.4)))
+    x0, y0, x1, y1 = F.col("x0") - 0.0004, F.col("y0") - 0.0013, F.col("x1") + 0.0007, F.col("y1") + 0.0002
+    box = F.array(F.array(_point(x0, y0), _point(x1, y0), _point(x1, y1), _point(x0, y1)))
+    locations = p.where("feature_id % 5 = 0").select(F.col("feature_id").alias("location_id"), F.lit("polygon").alias("kind"), box.alias("parts"))
+    out = shapes.shape_match(locations, p.select("feature_id", rings.alias("parts")))
+    return out.where("overlap > 1e-12").select("location_id", "feature_id", F.round(F.col("overlap") * 1e6, 6).alias("overlap"), "contains_input")
+
+
+@query(
+    "lot_frontage",
+    """WITH p AS (SELECT feature_id, (x0 + x1) / 2 AS lon0, (y0 + y1) / 2 AS lat0, x0, y0, x1, y1, 111320.0 * cos(radians((y0 + y1) / 2)) AS k FROM {d_parcels}),
+        e AS (SELECT feature_id, edge, edge % 2 AS upright, k, lon0, lat0, CASE WHEN edge % 2 = 0 THEN (x0 - lon0) * k ELSE (y0 - lat0) * 111320.0 END AS a, CASE WHEN edge % 2 = 0 THEN (x1 - lon0) * k ELSE (y1 - lat0) * 111320.0 END AS b,
+                    CASE edge WHEN 0 THEN (y0 - lat0) * 111320.0 WHEN 2 THEN (y1 - lat0) * 111320.0 WHEN 1 THEN (x1 - lon0) * k ELSE (x0 - lon0) * k END AS c FROM p, (SELECT unnest([0, 1, 2, 3]) AS edge)),
+        m AS (SELECT e.feature_id, edge, a, b, c, upright, (CASE WHEN upright = 0 THEN (s.x0 - lon0) * k ELSE (s.y0 - lat0) * 111320.0 END) AS s0, (CASE WHEN upright = 0 THEN (s.x1 - lon0) * k ELSE (s.y1 - lat0) * 111320.0 END) AS s1,
+                    (CASE WHEN upright = 0 THEN (s.y0 - lat0) * 111320.0 ELSE (s.x0 - lon0) * k END) AS o0, (CASE WHEN upright = 0 THEN (s.y1 - lat0) * 111320.0 ELSE (s.x1 - lon0) * k END) AS o1
+              FROM e JOIN {d_streets} s ON abs(e.lat0 - (s.y0 + s.y1) / 2) < 0.01 AND abs(e.lon0 - (s.x0 + s.x1) / 2) < 0.01),
+        d AS (SELECT *, greatest(o0 - c, c - o1, 0) AS off FROM m),
+        i AS (SELECT feature_id, edge, a, b, greatest(a, s0 - sqrt(64 - off * off)) AS t0, least(b, s1 + sqrt(64 - off * off)) AS t1 FROM d WHERE off <= 8 AND s0 - sqrt(greatest(64 - off * off, 0)) < b AND s1 + sqrt(greatest(64 - off * off, 0)) > a),
+        f AS (SELECT *, CASE WHEN t0 > max(t1) OVER (PARTITION BY feature_id, edge ORDER BY t0, t1 ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 1 ELSE 0 END AS fresh FROM i WHERE t0 < t1),
+        n AS (SELECT *, sum(fresh) OVER (PARTITION BY feature_id, edge ORDER BY t0, t1) AS piece FROM f),
+        g AS (SELECT feature_id, edge, piece, max(t1) - min(t0) AS len FROM n GROUP BY ALL),
+        h AS (SELECT feature_id, sum(len) AS frontage, count(DISTINCT edge % 2) FILTER (WHERE len >= 8.8) AS ways FROM g GROUP BY feature_id)
+        SELECT p.feature_id, round((x1 - x0) * k * (y1 - y0) * 111320.0, 2) AS area_m2, round(2 * ((x1 - x0) * k + (y1 - y0) * 111320.0), 4) AS perimeter_m, round(coalesce(frontage, 0), 4) AS frontage_m,
+               round(CASE WHEN frontage > 1 THEN (x1 - x0) * k * (y1 - y0) * 111320.0 / frontage END, 3) AS depth_m, coalesce(ways = 2, false) AS corner FROM p LEFT JOIN h USING (feature_id)""",
+)
+def lot_frontage(t):
+    """Frontage, depth and corners of all lots along streets that run east or north; curved ones are in the tests."""
+    ring = F.array(_point("x0", "y0"), _point("x1", "y0"), _point("x1", "y1"), _point("x0", "y1"))
+    streets = t.d_streets.select("line_id", F.array(_point("x0", "y0"), _point("x1", "y1")).alias("points"))
+    out = shapes.lot_frontage(t.d_parcels.select("feature_id", ring.alias("ring")), streets)
+    places = {"area_m2": 2, "perimeter_m": 4, "frontage_m": 4, "depth_m": 3}
+    return out.select("feature_id", *[F.round(c, n).alias(c) for c, n in places.items()], "corner")
+
+
 @query("feature_bbox", "SELECT feature_id, x0, y0, x1, y1 FROM {d_parcels}")
 def feature_bbox(t):
     corner = lambda x, y: F.struct(F.col(x).alias("x"), F.col(y).alias("y"))

@@ -113,7 +113,7 @@ _BYLAWS = """
 
 # Zoning by-laws, one for each customer and a page for each order: headings of zones in three forms, rules, uses and parking.
 _ZONING = """
-    SELECT o_custkey AS document_id, page_number, page_number * 10 + rn AS reading_order, l_orderkey * 1000 + rn AS fragment_id,
+    SELECT o_custkey AS document_id, page_number, page_number * 100 + rn AS reading_order, l_orderkey * 1000 + rn AS fragment_id,
            CASE WHEN rn > 1 THEN l_orderkey * 1000 + 1 END AS parent_fragment_id,
            CASE WHEN rn = 1 THEN CASE l_orderkey % 5
                WHEN 0 THEN concat(zone, ' ZONE') WHEN 1 THEN concat('Built form and siting requirements within the ', zone, ' zone') WHEN 2 THEN 'YARD AND HEIGHT RULES'
@@ -271,6 +271,13 @@ DERIVED: dict[str, tuple[str, str]] = {
                   -63.6 + (c_custkey % 40) * 0.001 + 0.001 AS x1, 44.6 + CAST(floor(c_custkey / 40) AS BIGINT) * 0.001 + 0.001 AS y1
            FROM {customer}"""
     ),
+    "d_streets": _same(
+        """SELECT s_suppkey AS line_id, CASE WHEN s_suppkey % 2 = 0 THEN -63.6 + (s_suppkey % 37) * 0.0003 ELSE -63.6 + (s_suppkey % 40) * 0.001 END AS x0,
+                  CASE WHEN s_suppkey % 2 = 0 THEN 44.6 + s_suppkey * 0.0001 ELSE 44.6 + (s_suppkey % 11) * 0.0007 END AS y0,
+                  CASE WHEN s_suppkey % 2 = 0 THEN -63.6 + (s_suppkey % 37) * 0.0003 + 0.0052 ELSE -63.6 + (s_suppkey % 40) * 0.001 END AS x1,
+                  CASE WHEN s_suppkey % 2 = 0 THEN 44.6 + s_suppkey * 0.0001 ELSE 44.6 + (s_suppkey % 11) * 0.0007 + 0.0041 END AS y1
+           FROM {supplier}"""
+    ),
     "d_addresses": _same(
         """SELECT event_id AS address_id, user_id AS civic_number,
                   concat(CASE event_id % 6 WHEN 0 THEN 'Barrington' WHEN 1 THEN 'Spring Garden' WHEN 2 THEN 'Quinpool' WHEN 3 THEN 'Agricola' WHEN 4 THEN 'South Park' ELSE 'Gottingen' END,
