@@ -201,21 +201,89 @@ def expand_references(candidates: DataFrame, refs: DataFrame, score: float = 0.5
 def expand_graph(seeds: DataFrame, edges: DataFrame, edge_types: tuple[str, ...] = ("references", "conditioned_by"), depth: int = 5, max_nodes: int = 100) -> DataFrame:
     """(question_id, node_id, depth, score): nodes within ``depth`` edges of each question's seeds.
 
-    One join a level with the frontier, an anti-join with what was seen; a cap of ``max_nodes`` a
-    question and level by id is part of the operator. Score is max(8 - depth / 2, 0.5).
+    A level is one join of the frontier with the edges, written before the next one, so that the plan
+    grows by one level at a time; what a question has seen drops out by an anti-join. A cap of
+    ``max_nodes`` a question and level by id is part of the operator. Score is max(8 - depth / 2, 0.5).
     """
     walk = edges.where(F.col("edge_type").isin(*edge_types)).select("source_id", "target_id")
-    both = walk.unionByName(walk.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct()
-    seen = frontier = seeds.select("question_id", "node_id", F.lit(0).alias("depth"))
+    both = cut(walk.unionByName(walk.select(F.col("target_id").alias("source_id"), F.col("source_id").alias("target_id"))).distinct())
+    frontier = cut(seeds.select("question_id", "node_id", F.lit(0).alias("depth")).distinct())
+    seen = frontier
     for d in range(1, depth + 1):
         found = frontier.select("question_id", F.col("node_id").alias("source_id")).join(both, "source_id").select("question_id", F.col("target_id").alias("node_id")).distinct()
         fresh = found.join(seen.select("question_id", "node_id"), ["question_id", "node_id"], "left_anti")
         w = Window.partitionBy("question_id").orderBy("node_id")
-        frontier = fresh.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_nodes).select("question_id", "node_id", F.lit(d).alias("depth"))
+        frontier = cut(fresh.withColumn("r", F.row_number().over(w)).where(F.col("r") <= max_nodes).select("question_id", "node_id", F.lit(d).alias("depth")))
         seen = seen.unionByName(frontier)
     return seen.withColumn("score", F.greatest(8 - F.col("depth") * 0.5, F.lit(0.5)))
 
 
+# Which participants and facts a walk looks at first.
+ROLE_ORDER = ("section_ref", "condition", "defined_term")
+FACT_ORDER = ("condition_definition", "definition", "requirement")
+
+
+def _place(kind: Column, order: tuple[str, ...]) -> Column:
+    out = F.lit(10)
+    for k, name in enumerate(order):
+        out = F.when(kind == name, k).otherwise(out)
+    return out
+
+
+def walk_facts(seeds: DataFrame, participants: DataFrame, facts: DataFrame, edges: DataFrame, sources: DataFrame, sections: DataFrame, depth: int = 4, max_fragments: int = 25, max_nodes: int = 200) -> DataFrame:
+    """(question_id, fragment_id, rank, depth, expansion, score): fragments that a two-sided walk from each
+    question's facts reaches, ``max_fragments`` at most.
+
+    Facts lead to their participants and along their edges, entities to the facts they take part in and
+    along theirs, both up to ``depth``. ``seeds``: question_id, fact_id; ``participants``: fact_id, entity_id,
+    role; ``facts``: fact_id, relation_type; ``edges``: source_kind, source_id, target_kind, target_id,
+    edge_type; ``sources``: fact_id, fragment_id (where a fact was read); ``sections``: entity_id, fragment_id
+    (what a section reference names).
+
+    Nodes of a level stand in order: ``references`` edges first, then other edges, then participants by role
+    and facts by relation, then ids; a question keeps the first ``max_nodes`` of a level. A fact gives its
+    sections (depth + 1) before its sources (depth); the first way to a fragment counts. Levels are written
+    one by one; a question that has its fragments takes no part in further ones. Score is max(8 - depth / 2, 0.5).
+    """
+    node = ["question_id", "kind", "id"]
+    roles = participants.select("fact_id", "entity_id", _place(F.col("role"), ROLE_ORDER).alias("role_place"))
+    known = participants.join(facts, "fact_id").select("entity_id", "fact_id", _place(F.col("relation_type"), FACT_ORDER).alias("fact_place"))
+    hops = cut(
+        roles.select(F.lit("fact").alias("from_kind"), F.col("fact_id").alias("from_id"), F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), F.lit(2).alias("way"), F.col("role_place").alias("place"))
+        .unionByName(known.select(F.lit("entity").alias("from_kind"), F.col("entity_id").alias("from_id"), F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), F.lit(2).alias("way"), F.col("fact_place").alias("place")))
+        .unionByName(edges.select(F.col("source_kind").alias("from_kind"), F.col("source_id").alias("from_id"), F.col("target_kind").alias("kind"), F.col("target_id").alias("id"), F.when(F.col("edge_type") == "references", 0).otherwise(1).alias("way"), F.lit(0).alias("place")))
+        .groupBy("from_kind", "from_id", "kind", "id")
+        .agg(F.min(F.struct("way", "place")).alias("p"))
+        .select("from_kind", "from_id", "kind", "id", "p.*")
+    )
+    named = participants.where("role = 'section_ref'").join(sections, "entity_id")
+    given = cut(
+        named.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), "fragment_id", F.lit(1).alias("later"), F.lit("semantic_section_reference").alias("expansion"))
+        .unionByName(sources.select(F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), "fragment_id", F.lit(0).alias("later"), F.lit("semantic_fact_source").alias("expansion")))
+        .unionByName(sections.select(F.lit("entity").alias("kind"), F.col("entity_id").alias("id"), "fragment_id", F.lit(0).alias("later"), F.lit("semantic_section_reference").alias("expansion")))
+        .distinct()
+    )
+    frontier = cut(seeds.select("question_id", F.lit("fact").alias("kind"), F.col("fact_id").alias("id"), F.lit(0).alias("nth")).distinct())
+    seen, held = frontier.select(*node), None
+    for d in range(depth + 1):
+        # Facts at the last level only end the walk; section references at it still count.
+        level = frontier if d < depth else frontier.where("kind = 'entity'")
+        reached = level.join(given, ["kind", "id"]).select("question_id", "fragment_id", F.struct(F.lit(d).alias("level"), F.col("nth"), (1 - F.col("later")).alias("source"), F.col("kind"), F.col("id")).alias("order"), (F.lit(d) + F.col("later")).alias("depth"), "expansion")
+        held = cut(reached if held is None else held.unionByName(reached))
+        held_best = held.groupBy("question_id", "fragment_id").agg(F.min(F.struct("order", "depth", "expansion")).alias("b"))
+        if d == depth:
+            break
+        done = held_best.groupBy("question_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= max_fragments).select("question_id")
+        open_ = frontier.join(done, "question_id", "left_anti")
+        moves = open_.select("question_id", F.col("kind").alias("from_kind"), F.col("id").alias("from_id")).join(hops, ["from_kind", "from_id"])
+        fresh = moves.groupBy(*node).agg(F.min(F.struct("way", "place")).alias("p")).select(*node, "p.*").join(seen, node, "left_anti")
+        w = Window.partitionBy("question_id").orderBy("way", "place", "kind", "id")
+        frontier = cut(fresh.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= max_nodes).select(*node, "nth"))
+        seen = seen.unionByName(frontier.select(*node))
+    ranked = held_best.select("question_id", "fragment_id", "b.*").withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy("order", "fragment_id"))).where(F.col("rank") <= max_fragments)
+    return ranked.select("question_id", "fragment_id", "rank", "depth", "expansion", F.greatest(8 - F.col("depth") * 0.5, F.lit(0.5)).alias("score"))
+
+
 def related_tables(fragments: DataFrame, tables: DataFrame) -> DataFrame:
     """(fragment_id, table_id) of tables in the document that share a page: an equi-join on exploded pages."""
     pages = lambda df, key: df.select("document_id", key, F.explode(F.sequence("page_start", "page_end")).alias("page"))

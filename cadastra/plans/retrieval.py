@@ -150,18 +150,76 @@ def expand_xref(t):
     return R.expand_references(c, refs).select("question_id", "source_fragment_id", "base_score")
 
 
+def _levels(depth: int, cap: int) -> str:
+    """The levels of a walk one by one: fresh nodes in the order of their ids, ``cap`` a question."""
+    out = ["l0 AS (SELECT s_nationkey::BIGINT AS question_id, s_suppkey AS node_id, 0 AS depth FROM {supplier} WHERE s_suppkey % 20 = 0)", "s0 AS (SELECT * FROM l0)"]
+    for d in range(1, depth + 1):
+        out.append(
+            f"l{d} AS (SELECT question_id, node_id, {d} AS depth FROM (SELECT DISTINCT question_id, b AS node_id FROM l{d - 1} JOIN e ON e.a = node_id) n"
+            f" WHERE NOT EXISTS (SELECT 1 FROM s{d - 1} s WHERE s.question_id = n.question_id AND s.node_id = n.node_id) QUALIFY row_number() OVER (PARTITION BY question_id ORDER BY node_id) <= {cap})"
+        )
+        out.append(f"s{d} AS (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM l{d})")
+    return ", ".join(out)
+
+
 @query(
     "expand_graph",
-    """WITH RECURSIVE e AS (SELECT source_id AS a, target_id AS b FROM {d_edges} UNION SELECT target_id, source_id FROM d_edges),
-        w(question_id, node_id, depth) AS (
-            SELECT s_nationkey::BIGINT, s_suppkey, 0 FROM {supplier} WHERE s_suppkey % 20 = 0
-            UNION
-            SELECT w.question_id, e.b, w.depth + 1 FROM w JOIN e ON e.a = w.node_id WHERE w.depth < 5)
-        SELECT question_id, node_id, min(depth) AS depth, 8 - min(depth) * 0.5::DOUBLE AS score FROM w GROUP BY question_id, node_id""",
+    f"WITH e AS (SELECT source_id AS a, target_id AS b FROM {{d_edges}} UNION SELECT target_id, source_id FROM d_edges), {_levels(5, 100)} SELECT question_id, node_id, depth, 8 - depth * 0.5::DOUBLE AS score FROM s5",
 )
 def expand_graph(t):
     seeds = t.supplier.where("s_suppkey % 20 = 0").select(F.col("s_nationkey").cast("long").alias("question_id"), F.col("s_suppkey").alias("node_id"))
-    return R.expand_graph(seeds, t.d_edges, max_nodes=1_000_000)
+    return R.expand_graph(seeds, t.d_edges)
+
+
+def _fact_levels(depth: int, nodes: int, fragments: int) -> str:
+    out = ["l0 AS (SELECT o_orderkey AS question_id, 'fact' AS kind, o_orderkey AS id, 0 AS nth FROM {orders} WHERE o_orderkey % 20 = 0)", "s0 AS (SELECT * FROM l0)"]
+    for d in range(depth + 1):
+        last = " AND l.kind = 'entity'" if d == depth else ""
+        before = f"SELECT * FROM h{d - 1} UNION ALL " if d else ""
+        out.append(f"h{d} AS MATERIALIZED ({before}SELECT question_id, fragment_id, {d} AS level, nth, 1 - later AS src, l.kind, l.id, {d} + later AS depth, expansion FROM l{d} l JOIN given g ON g.kind = l.kind AND g.id = l.id{last})")
+        if d < depth:
+            out.append(
+                f"n{d} AS (SELECT question_id, p.kind, p.id, min((p.way, p.place)) AS w FROM l{d} l JOIN hops p ON p.from_kind = l.kind AND p.from_id = l.id"
+                f" WHERE question_id NOT IN (SELECT question_id FROM h{d} GROUP BY question_id HAVING count(DISTINCT fragment_id) >= {fragments}) GROUP BY question_id, p.kind, p.id)"
+            )
+            out.append(
+                f"l{d + 1} AS MATERIALIZED (SELECT question_id, kind, id, row_number() OVER (PARTITION BY question_id ORDER BY w, kind, id) AS nth FROM n{d} n"
+                f" WHERE NOT EXISTS (SELECT 1 FROM s{d} s WHERE s.question_id = n.question_id AND s.kind = n.kind AND s.id = n.id) QUALIFY nth <= {nodes})"
+            )
+            out.append(f"s{d + 1} AS (SELECT * FROM s{d} UNION ALL SELECT * FROM l{d + 1})")
+    return ", ".join(out)
+
+
+@query(
+    "walk_facts",
+    f"""WITH part_ AS (SELECT DISTINCT l_orderkey AS fact_id, l_partkey AS entity_id, CASE l_linenumber WHEN 1 THEN 'section_ref' WHEN 2 THEN 'condition' WHEN 3 THEN 'defined_term' ELSE 'zone' END AS role FROM {{lineitem}}),
+        fact AS (SELECT o_orderkey AS fact_id, CASE o_custkey % 4 WHEN 0 THEN 'condition_definition' WHEN 1 THEN 'definition' WHEN 2 THEN 'requirement' ELSE 'permission' END AS relation_type FROM orders),
+        edge AS (SELECT o_orderkey AS a, o_orderkey + 1 + o_custkey % 7 AS b, CASE o_custkey % 3 WHEN 0 THEN 'references' ELSE 'conditioned_by' END AS edge_type FROM orders WHERE o_orderkey % 3 <> 1),
+        sect AS (SELECT p_partkey AS entity_id, 7000000 + p_partkey * 10 + u AS fragment_id FROM {{part}}, (SELECT unnest([1, 2]) AS u) WHERE p_partkey % 4 = 0),
+        hops AS MATERIALIZED (SELECT from_kind, from_id, kind, id, min(w).way AS way, min(w).place AS place FROM (
+            SELECT 'fact' AS from_kind, fact_id AS from_id, 'entity' AS kind, entity_id AS id, {{'way': 2, 'place': CASE role WHEN 'section_ref' THEN 0 WHEN 'condition' THEN 1 WHEN 'defined_term' THEN 2 ELSE 10 END}} AS w FROM part_
+            UNION ALL SELECT 'entity', entity_id, 'fact', fact_id, {{'way': 2, 'place': CASE relation_type WHEN 'condition_definition' THEN 0 WHEN 'definition' THEN 1 WHEN 'requirement' THEN 2 ELSE 10 END}} FROM part_ JOIN fact USING (fact_id)
+            UNION ALL SELECT 'fact', a, 'fact', b, {{'way': CASE edge_type WHEN 'references' THEN 0 ELSE 1 END, 'place': 0}} FROM edge) GROUP BY ALL),
+        given AS MATERIALIZED (SELECT DISTINCT 'fact' AS kind, fact_id AS id, fragment_id, 1 AS later, 'semantic_section_reference' AS expansion FROM part_ JOIN sect USING (entity_id) WHERE role = 'section_ref'
+            UNION ALL SELECT 'fact', o_orderkey, o_orderkey, 0, 'semantic_fact_source' FROM orders UNION ALL SELECT 'entity', entity_id, fragment_id, 0, 'semantic_section_reference' FROM sect),
+        {_fact_levels(4, 200, 25)},
+        b AS (SELECT *, row_number() OVER (PARTITION BY question_id, fragment_id ORDER BY level, nth, src, kind, id, depth, expansion) AS r FROM h4),
+        k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY level, nth, src, kind, id, fragment_id) AS rank FROM b WHERE r = 1)
+        SELECT question_id, fragment_id, rank::INT AS rank, depth, expansion, greatest(8 - depth * 0.5, 0.5)::DOUBLE AS score FROM k WHERE rank <= 25""".replace("{{'", "{'"),
+)
+def walk_facts(t):
+    """Fragments around every twentieth order as a fact: parts are its participants, neighbouring orders its edges."""
+    role = F.when(F.col("l_linenumber") == 1, "section_ref").when(F.col("l_linenumber") == 2, "condition").when(F.col("l_linenumber") == 3, "defined_term").otherwise("zone")
+    participants = t.lineitem.select(F.col("l_orderkey").alias("fact_id"), F.col("l_partkey").alias("entity_id"), role.alias("role")).distinct()
+    c = F.col("o_custkey")
+    relation = F.when(c % 4 == 0, "condition_definition").when(c % 4 == 1, "definition").when(c % 4 == 2, "requirement").otherwise("permission")
+    facts = t.orders.select(F.col("o_orderkey").alias("fact_id"), relation.alias("relation_type"))
+    edges = t.orders.where("o_orderkey % 3 <> 1").select(
+        F.lit("fact").alias("source_kind"), F.col("o_orderkey").alias("source_id"), F.lit("fact").alias("target_kind"), (F.col("o_orderkey") + 1 + c % 7).alias("target_id"), F.when(c % 3 == 0, "references").otherwise("conditioned_by").alias("edge_type")
+    )
+    sections = t.part.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("entity_id"), F.explode(F.array(F.lit(1), F.lit(2))).alias("u")).select("entity_id", (7000000 + F.col("entity_id") * 10 + F.col("u")).alias("fragment_id"))
+    seeds = t.orders.where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("question_id"), F.col("o_orderkey").alias("fact_id"))
+    return R.walk_facts(seeds, participants, facts, edges, t.orders.select(F.col("o_orderkey").alias("fact_id"), F.col("o_orderkey").alias("fragment_id")), sections)
 
 
 @query(
