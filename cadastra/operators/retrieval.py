@@ -427,7 +427,7 @@ def cached_claims(questions: DataFrame, claims: DataFrame, m: int = 4) -> DataFr
 PRIORITIES = {"fact": 0, "table": 1, "fragment": 2}
 
 
-def hybrid_search(questions: DataFrame, fragments: DataFrame, cells: DataFrame, facts: DataFrame, participants: DataFrame, refs: DataFrame, votes: DataFrame, k: int = 8, budget: int = 3000, dims: int = 64) -> DataFrame:
+def hybrid_search(questions: DataFrame, fragments: DataFrame, cells: DataFrame, facts: DataFrame, participants: DataFrame, refs: DataFrame, votes: DataFrame, k: int = 8, budget: int = 3000, dims: int = 64, vectors: DataFrame | None = None) -> DataFrame:
     """Candidates of each question that fit its token budget, with source_type, source_id, scores, rank and used_tokens.
 
     Channels: keywords and hashed vectors over ``fragments`` (fragment_id, document_id,
@@ -435,13 +435,15 @@ def hybrid_search(questions: DataFrame, fragments: DataFrame, cells: DataFrame,
     row_entity, col_entity, value, confidence) whose ``participants`` (fact_id, role, name) cover what
     the question asks for. Fragments found bring their parents, siblings and the targets of their
     ``refs``. All are re-ranked, adjusted by ``votes`` (source_fragment_id, vote) on fragments, cut to
-    the pool and to the budget. Only texts of candidates are joined.
+    the pool and to the budget. Only texts of candidates are joined. ``vectors`` (fragment_id, embedding)
+    are the stored vectors of the fragments (see missing_embeddings); without them all are made here.
     """
     texts = fragments.select(F.col("fragment_id").alias("source_fragment_id"), "text")
     asked = questions.select("question_id", F.col("question").alias("text"))
-    vectors = hash_embed(texts, "source_fragment_id", "text", dims).withColumnRenamed("embedding", "v").withColumn("label", F.lit(0))
+    stored = hash_embed(fragments, "fragment_id", "text", dims) if vectors is None else vectors
+    known_vectors = stored.select(F.col("fragment_id").alias("source_fragment_id"), F.col("embedding").alias("v"), F.lit(0).alias("label"))
     wanted = hash_embed(asked, "question_id", "text", dims).withColumnRenamed("embedding", "q").withColumn("label", F.lit(0))
-    seeds = merge_candidates(keyword_candidates(questions, texts, k), vector_candidates(wanted, vectors, k).where("base_score > 0"))
+    seeds = merge_candidates(keyword_candidates(questions, texts, k), vector_candidates(wanted, known_vectors, k).where("base_score > 0"))
     seeds = cut(seeds)
     added = [expand_hierarchy(seeds, fragments), expand_references(seeds, refs)]
     expanded = functools.reduce(DataFrame.unionByName, added).groupBy("question_id", "source_fragment_id").agg(F.max("base_score").alias("base_score"), F.max_by("expansion", F.struct("base_score", "expansion")).alias("expansion"))

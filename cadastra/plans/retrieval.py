@@ -374,7 +374,7 @@ def hybrid_retrieval(t):
     The questions are those with an id divisible by 20; all clauses, tables, facts and references are searched.
     """
     k = F.col("o_orderkey")
-    asked = t.d_inquiries.where("question_id % 20 = 0")
+    asked = t.d_evidence_questions.where("question_id % 20 = 0")
     clauses = t.d_clauses.select("fragment_id", "document_id", "text", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"))
     # The first clause of each page is the parent of the others on it.
     first = Window.partitionBy("document_id", "page_start")
@@ -387,5 +387,6 @@ def hybrid_retrieval(t):
     votes = t.orders.where(k % 5 == 0).select(k.alias("source_fragment_id"), F.when(k % 2 == 0, "missing").otherwise("irrelevant").alias("vote"))
     # Spread over all cores: one clause meets many questions.
     spread = cut(clauses.repartition(t.spark.sparkContext.defaultParallelism, "fragment_id"))
-    found = R.hybrid_search(cut(asked), spread, cells, facts.select(key, "*"), fact_participants(facts).select(key, "role", "name"), refs, votes)
-    return found.select("question_id", "source_type", "source_id", "rank", "base_score", "rerank_score", "used_tokens")
+    vectors = cut(R.hash_embed(spread.select("fragment_id", "text"), "fragment_id", "text"))  # stored once, searched by all questions
+    found = R.hybrid_search(cut(asked), spread, cells, facts.select(key, "*"), fact_participants(facts).select(key, "role", "name"), refs, votes, vectors=vectors)
+    return found.select("question_id", "source_type", "source_id", "retrieval_channel", "expansion", "rank", "base_score", "rerank_score", "used_tokens")

@@ -251,6 +251,21 @@ DERIVED: dict[str, tuple[str, str]] = {
                     ELSE 'what is' END AS question
            FROM {customer}"""
     ),
+    # The template does not hang on the id's remainder by 20, which picks those that are asked.
+    "d_evidence_questions": _same(
+        """SELECT c_custkey AS question_id,
+                  CASE CAST(floor(c_custkey / 20) AS BIGINT) % 9
+                    WHEN 0 THEN concat('What is the minimum lot area in the R-', CAST(c_custkey % 9 AS STRING), ' zone?')
+                    WHEN 1 THEN concat('Is a ', p_name, ' use permitted in the HR-2 zone?')
+                    WHEN 2 THEN concat('How many parking spaces does a ', p_name, ' facility require in CEN-2?')
+                    WHEN 3 THEN concat('What is the building height in the R-', CAST(c_custkey % 7 AS STRING), ' zone under section ', CAST(c_custkey % 300 AS STRING), '?')
+                    WHEN 4 THEN concat('Define Lot ', CAST(c_custkey % 40 AS STRING), ' and its frontage')
+                    WHEN 5 THEN 'What is the lot coverage for rear additions?'
+                    WHEN 6 THEN concat('Is a ', p_name, ' use permitted in DD if condition [', CAST(c_custkey % 9 + 1 AS STRING), '] applies?')
+                    WHEN 7 THEN concat('What does section ', CAST(c_custkey % 300 AS STRING), '.', CAST(c_custkey % 7 AS STRING), ' say about schedule b of this By-law?')
+                    ELSE concat('Every owner near ', CAST(c_custkey % 40 AS STRING), ' rue de l''eglise lane: what is the side yard for an interior conversion?') END AS question
+           FROM {customer} JOIN {part} ON p_partkey = c_custkey"""
+    ),
     "d_requests": _same(
         """SELECT c_custkey AS question_id,
                   CASE c_custkey % 8
