@@ -255,15 +255,18 @@ def zone_hyphen(t: Column) -> Column:
 
 
 def profile_rules(blocks: DataFrame, boilerplate_pages: int = 6, banner: str = BANNER) -> DataFrame:
-    """Corpus switches: hyphen repair, first pages and banner lines are boilerplate, split rules are not."""
+    """Corpus switches: hyphen repair, first pages and banner lines are boilerplate, split rules are not.
+
+    ``blocks`` have page_number, raw_text, block_type and is_boilerplate; what no rule names keeps both.
+    """
     text = zone_hyphen(normalize_text(F.col("raw_text")))
     split_rule = text.rlike(SPLIT_RULE)
     front = (F.col("page_number") <= boilerplate_pages) | text.startswith(banner)
     return blocks.select(
-        *blocks.columns,
+        *[c for c in blocks.columns if c not in ("block_type", "is_boilerplate")],
         text.alias("normalized_text"),
-        (text.startswith(banner) | (front & ~split_rule)).alias("is_boilerplate"),
-        F.when(text.startswith(banner), "footer").when(split_rule, F.when(text.startswith("("), "list_item").otherwise("paragraph")).when(front, "footer").alias("block_type"),
+        F.when(text.startswith(banner), True).when(split_rule, False).when(front, True).otherwise(F.col("is_boilerplate")).alias("is_boilerplate"),
+        F.when(text.startswith(banner), "footer").when(split_rule, F.when(text.startswith("("), "list_item").otherwise("paragraph")).when(front, "footer").otherwise(F.col("block_type")).alias("block_type"),
     )
 
 

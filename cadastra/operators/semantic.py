@@ -121,15 +121,19 @@ def entity_dedupe(mentions: DataFrame) -> DataFrame:
     )
 
 
+# Fixed value: what a definition at the start of a fragment looks like.
+DEFINITION = r"^\s*([A-Z][A-Za-z0-9 /'()-]{1,80}?)\s+means\s+([^\n]+)"
+
+
 def definition_facts(fragments: DataFrame) -> DataFrame:
-    """(document_id, fragment_id, term, meaning): fragments that begin with a capitalised term, in quotes or not, that ``means`` something.
+    """(document_id, fragment_id, term, meaning): fragments that begin with a capitalised term that ``means`` something.
 
-    The term is the canonical name; it is the fact's only participant (role defined_term).
+    A term in quotes is none; the meaning ends with its line. The term is the canonical name; it is the
+    fact's only participant (role defined_term).
     """
-    pattern = r"(?s)^\s*[\"“]?([A-Z][A-Za-z0-9 /'()-]{1,80}?)[\"”]?\s+means\s+(.+)$"
-    found = fragments.where(F.col("text").rlike(pattern))
-    term = normalize_use(F.regexp_extract("text", pattern, 1))
-    return found.select("document_id", "fragment_id", term.alias("term"), F.trim(F.regexp_extract("text", pattern, 2)).alias("meaning")).where("term <> ''")
+    found = fragments.where(F.col("text").rlike(DEFINITION))
+    term = normalize_use(F.regexp_extract("text", DEFINITION, 1))
+    return found.select("document_id", "fragment_id", term.alias("term"), F.trim(F.regexp_extract("text", DEFINITION, 2)).alias("meaning")).where("term <> ''")
 
 
 def condition_facts(fragments: DataFrame) -> DataFrame:

@@ -63,9 +63,13 @@ def entity_dedupe(t):
     return S.entity_dedupe(S.entity_mentions(t.d_clauses)).drop("entity_id")
 
 
-@query("definition_fact", rf"""SELECT document_id, fragment_id, {normal_use("regexp_extract(text, '^\"([^\"]+)\"', 1)")} AS term, regexp_extract(text, ' means (.*)$', 1) AS meaning FROM {{d_clauses}} WHERE regexp_matches(text, '^"[^"]+" means ')""")
+_DEFINED = f"regexp_matches(text, '{S.DEFINITION.replace(chr(39), chr(39) * 2)}')"
+_PART = lambda n: f"regexp_extract(text, '{S.DEFINITION.replace(chr(39), chr(39) * 2)}', {n})"
+
+
+@query("definition_fact", f"SELECT document_id, fragment_id, {normal_use(_PART(1))} AS term, trim({_PART(2)}) AS meaning FROM {{d_definitions}} WHERE {_DEFINED}")
 def definition_fact(t):
-    return S.definition_facts(t.d_clauses)
+    return S.definition_facts(t.d_definitions)
 
 
 @query("condition_fact", f"SELECT document_id, fragment_id, unnest({_MARKERS}) AS marker, {_SECTION_REFS} AS section_refs FROM {{d_clauses}}")
@@ -215,14 +219,14 @@ def reference_edges(t):
     return S.reference_edges(refs, entities)
 
 
-@query("provenance", "SELECT 'fact' AS object_type, fragment_id AS object_id, 'definition_pattern' AS method, '1' AS version FROM {d_clauses} WHERE regexp_matches(text, '^\"[^\"]+\" means ')")
+@query("provenance", "SELECT 'fact' AS object_type, fragment_id AS object_id, 'definition_pattern' AS method, '1' AS version FROM {d_definitions} WHERE " + _DEFINED)
 def provenance(t):
-    return S.provenance(S.definition_facts(t.d_clauses), "fact", "fragment_id", "definition_pattern", "1")
+    return S.provenance(S.definition_facts(t.d_definitions), "fact", "fragment_id", "definition_pattern", "1")
 
 
-@query("semantic_validation", "SELECT 'fact_without_provenance' AS rule, fragment_id AS object_id FROM {d_clauses} WHERE regexp_matches(text, '^\"[^\"]+\" means ') AND fragment_id % 2 = 1")
+@query("semantic_validation", "SELECT 'fact_without_provenance' AS rule, fragment_id AS object_id FROM {d_definitions} WHERE fragment_id % 2 = 1 AND " + _DEFINED)
 def semantic_validation(t):
-    facts = S.definition_facts(t.d_clauses).withColumnRenamed("fragment_id", "fact_id")
+    facts = S.definition_facts(t.d_definitions).withColumnRenamed("fragment_id", "fact_id")
     prov = S.provenance(facts.where("fact_id % 2 = 0"), "fact", "fact_id", "definition_pattern", "1")
     return S.semantic_findings(t.d_tables, S.table_profiles(t.d_tables), facts, prov)
 

@@ -200,6 +200,11 @@ DERIVED: dict[str, tuple[str, str]] = {
         f"SELECT {_BLOCK} FROM (SELECT doc_id AS document_id, unnest(string_split(text, chr(10))) AS raw_text, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS i FROM {{documents}}) WHERE regexp_matches(raw_text, '\\S')",
     ),
     "d_clauses": _same(_CLAUSE),
+    # Clauses with definitions of four forms: in quotes, in small letters, over two lines, and plain.
+    "d_definitions": _same(
+        """SELECT document_id, fragment_id, CASE WHEN fragment_id % 24 <> 13 THEN text WHEN fragment_id % 5 = 0 THEN text WHEN fragment_id % 5 = 1 THEN concat(replace(text, '"', ''), chr(10), 'and whatever stands on it')
+                  WHEN fragment_id % 5 = 2 THEN lower(replace(text, '"', '')) ELSE replace(text, '"', '') END AS text FROM {d_clauses}"""
+    ),
     "d_fragments": _same(_FRAGMENTS),
     "d_outline": _same(_OUTLINE),
     "d_faulty": _same(_FAULTY),

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cadastra.sources.lineage import cut
+
 #: Media types by suffix.
 MEDIA_TYPES = {".pdf": "application/pdf", ".txt": "text/plain", ".text": "text/plain", ".md": "text/markdown", ".json": "application/json", ".geojson": "application/geo+json", ".html": "text/html"}
 
@@ -34,10 +36,13 @@ def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     return files.join(known.select("sha256"), "sha256", "left_anti")
 
 
-def read_geojson(spark: SparkSession, path: str, expected_crs: int = 4326) -> DataFrame:
-    """One row per feature of GeoJSON collections: idx, properties map, geometry string; another CRS is an error."""
+def read_geojson(spark: SparkSession, path: str, expected_crs: int = 4326, lines: bool = False) -> DataFrame:
+    """One row per feature of GeoJSON collections: idx, properties map, geometry string; another CRS is an error.
+
+    A file holds one collection, or with ``lines`` one on each line.
+    """
     schema = "type string, crs struct<properties: struct<name: string>>, features array<struct<properties: map<string,string>, geometry: string>>"
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", schema).alias("c"))
+    whole = spark.read.text(path, wholetext=not lines).select(F.from_json("value", schema).alias("c"))
     crs = crs_code(F.col("c.crs.properties.name"))
     checked = whole.withColumn(
         "features",
@@ -53,15 +58,15 @@ def crs_code(name: Column) -> Column:
     return F.when(name.isNull() | name.rlike("(?i)CRS84"), 4326).otherwise(F.try_to_number(F.regexp_extract(name, r"(\d+)\s*$", 1), F.lit("999999")).cast("int"))
 
 
-def clean_features(raw: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
-    """(features, warnings): rows without geometry or key go, of equal keys the first by idx stays."""
+def clean_features(raw: DataFrame, key: str, within: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """(features, warnings): rows without geometry or key go, of equal keys (``within`` the columns named) the first by idx stays."""
     from pyspark.sql import Window
 
     k = F.nullif(F.trim(F.col(f"properties.{key}")), F.lit(""))
-    ranked = raw.withColumn("feature_key", k).withColumn("rank", F.row_number().over(Window.partitionBy("feature_key").orderBy("idx")))
+    ranked = raw.withColumn("feature_key", k).withColumn("rank", F.row_number().over(Window.partitionBy(*within, "feature_key").orderBy("idx")))
     reason = F.when(F.col("geometry").isNull(), "no geometry").when(F.col("feature_key").isNull(), "no key").when(F.col("rank") > 1, "duplicate key")
     judged = ranked.withColumn("warning", reason)
-    return judged.where("warning is null").drop("rank", "warning"), judged.where("warning is not null").select("idx", "feature_key", "warning")
+    return judged.where("warning is null").drop("rank", "warning"), judged.where("warning is not null").select(*within, "idx", "feature_key", "warning")
 
 
 def append_trace(df: DataFrame, path: str, partition: str = "run_date") -> None:
@@ -72,3 +77,32 @@ def append_trace(df: DataFrame, path: str, partition: str = "run_date") -> None:
 def replace_partitions(df: DataFrame, path: str, partition: str = "document_id") -> None:
     """Overwrites just the partitions that ``df`` holds, so that enrichment can run again."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+
+
+def append_runs(df: DataFrame, path: str, partition: str = "run_date", run: str = "run_id") -> None:
+    """Appends the runs of ``df`` that the log at ``path`` does not hold yet, so that a job that runs again adds nothing twice.
+
+    Only the run ids of the log are read, of the dates that ``df`` has.
+    """
+    spark = df.sparkSession
+    log = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if log.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(log):
+        held = spark.read.parquet(path).select(partition, run).join(df.select(partition).distinct(), partition, "left_semi").select(run).distinct()
+        df = cut(df.join(held, run, "left_anti"))
+    append_trace(df, path, partition)
+
+
+def replace_documents(df: DataFrame, path: str, document_id: str = "document_id", buckets: int = 64) -> None:
+    """Puts the rows of ``df`` in place of all rows that the table at ``path`` has of its documents.
+
+    The table is partitioned by a hash bucket of the document. Only buckets with a document of ``df`` are
+    written anew, with what they hold of other documents; a run that is repeated changes nothing.
+    """
+    spark = df.sparkSession
+    new = df.withColumn("bucket", F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int"))
+    table = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if table.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(table):
+        touched = new.select("bucket").distinct()  # ``buckets`` rows at most
+        others = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").join(new.select(document_id).distinct(), document_id, "left_anti")
+        new = cut(new.unionByName(others))  # before its own files are replaced
+    replace_partitions(new.repartition("bucket"), path, "bucket")

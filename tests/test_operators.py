@@ -86,3 +86,33 @@ def test_any_citation_is_a_citation(spark):
     df = spark.createDataFrame([(x,) for x in lines], "t string")
     got = df.select("t", B.citation(df.t).isNotNull().alias("a"), B.has_citation(df.t).alias("b")).collect()
     assert [(r["t"], r["a"]) for r in got] == [(r["t"], r["b"]) for r in got]
+
+
+def test_block_types_by_branch(spark):
+    """One block for each branch of the cascade, in its order, with and without a place on the page."""
+    cases = [
+        ("  \n ", None, None, "unknown"), ("Front yards ..... 12", None, None, "heading"), ("12 metres", 0.0, 5.0, "paragraph"), ("xiv", 0.0, 5.0, "header"), ("- 7", 0.0, 5.0, "list_item"), ("17", 95.0, 99.0, "footer"), ("17", 50.0, 60.0, "heading"),
+        ("use\tstalls", 50.0, 60.0, "table_region"), ("Use\nminimum\n12 m2", None, None, "table_region"), ("[3]applies to corner lots only", None, None, "footnote"), ("4 spaces are needed for each unit", None, None, "footnote"), ("(iv) any lobby", None, None, "list_item"),
+        ("12.1 Side yards", None, None, "heading"), ("12.1 " + "Side yards of a house " * 9, None, None, "list_item"), ("Side Yards", None, None, "heading"), ("the  minimum", None, None, "table_region"), ("RULES FOR ALL ZONES: PART ONE", None, None, "heading"),
+        ("this runs on at the top of a page.", 1.0, 5.0, "header"), ("this runs on at the end of a page.", 95.0, 99.0, "footer"), ("this runs on, in the middle of it.", 40.0, 50.0, "paragraph"),
+    ]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, y0 double, y1 double, kind string")
+    got = df.select("i", "kind", B.classify_block(F.col("t"), F.col("y0"), F.col("y1"), F.lit(100.0)).alias("found")).collect()
+    assert [(cases[r["i"]][0], r["found"]) for r in got if r["found"] != r["kind"]] == []
+
+
+def test_table_like_lines(spark):
+    cases = {
+        "Zone\nminimum\n12 m": True, "Zone\n12 m\n14%": False, "Zone\n12 m": False, "a b\nc d": False, "short one\nshort two\nshort  three": True, "12 m\n14 m": False, "1.2 Yards\n3.4 Sheds\n5.6 Walls\n12%\n14%": False,
+        "1.1 A rule stands here\nand this prose goes on for nine words or so\nand on": False, "PAGE Zone\nminimum\n12 m": True, None: None, "": False,
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "t string")
+    got = {r["t"]: r["v"] for r in df.select("t", B.table_like(F.col("t")).alias("v")).collect()}
+    assert got == cases
+
+
+def test_definitions_of_fragments(spark):
+    rows = [(1, "Lot Line means a line.\nIt may bend."), (2, '"Lot" means a parcel'), (3, "lot means a parcel"), (4, "  Daycare (home) means care"), (5, "Lot\nmeans more"), (6, None), (7, "Yard means "), (8, "Every lot is a means of use")]
+    df = spark.createDataFrame([(1, *r) for r in rows], "document_id long, fragment_id long, text string")
+    got = {r["fragment_id"]: (r["term"], r["meaning"]) for r in S.definition_facts(df).collect()}
+    assert got == {1: ("lot line", "a line."), 4: ("daycare (home)", "care"), 5: ("lot", "more"), 8: ("every lot is a", "of use")}
