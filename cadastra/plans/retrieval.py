@@ -171,8 +171,9 @@ def expand_graph(t):
     return R.expand_graph(seeds, t.d_edges)
 
 
-def _fact_levels(depth: int, nodes: int, fragments: int) -> str:
-    out = ["l0 AS (SELECT o_orderkey AS question_id, 'fact' AS kind, o_orderkey AS id, 0 AS nth FROM {orders} WHERE o_orderkey % 20 = 0)", "s0 AS (SELECT * FROM l0)"]
+def fact_levels(depth: int, nodes: int, fragments: int, seeds: str) -> str:
+    """The levels of a walk over ``hops`` and ``given`` from ``seeds``, one by one."""
+    out = [f"l0 AS ({seeds})", "s0 AS (SELECT * FROM l0)"]
     for d in range(depth + 1):
         last = " AND l.kind = 'entity'" if d == depth else ""
         before = f"SELECT * FROM h{d - 1} UNION ALL " if d else ""
@@ -202,7 +203,7 @@ def _fact_levels(depth: int, nodes: int, fragments: int) -> str:
             UNION ALL SELECT 'fact', a, 'fact', b, {{'way': CASE edge_type WHEN 'references' THEN 0 ELSE 1 END, 'place': 0}} FROM edge) GROUP BY ALL),
         given AS MATERIALIZED (SELECT DISTINCT 'fact' AS kind, fact_id AS id, fragment_id, 1 AS later, 'semantic_section_reference' AS expansion FROM part_ JOIN sect USING (entity_id) WHERE role = 'section_ref'
             UNION ALL SELECT 'fact', o_orderkey, o_orderkey, 0, 'semantic_fact_source' FROM orders UNION ALL SELECT 'entity', entity_id, fragment_id, 0, 'semantic_section_reference' FROM sect),
-        {_fact_levels(4, 200, 25)},
+        {fact_levels(4, 200, 25, "SELECT o_orderkey AS question_id, 'fact' AS kind, o_orderkey AS id, 0 AS nth FROM {orders} WHERE o_orderkey % 20 = 0")},
         b AS (SELECT *, row_number() OVER (PARTITION BY question_id, fragment_id ORDER BY level, nth, src, kind, id, depth, expansion) AS r FROM h4),
         k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY level, nth, src, kind, id, fragment_id) AS rank FROM b WHERE r = 1)
         SELECT question_id, fragment_id, rank::INT AS rank, depth, expansion, greatest(8 - depth * 0.5, 0.5)::DOUBLE AS score FROM k WHERE rank <= 25""".replace("{{'", "{'"),
@@ -352,19 +353,19 @@ def compact_match(t):
 
 @query(
     "cached_claims",
-    r"""WITH c AS (SELECT o_orderkey AS claim_id, o_custkey % 97 AS document_id, 'maximum height of lot ' || o_custkey AS claim_text, o_orderdate AS created_at, o_orderkey % 5 / 10.0 AS confidence FROM {orders} WHERE o_orderstatus = 'F'),
+    r"""WITH c AS (SELECT o_orderkey AS claim_id, CAST(floor(o_custkey / 10) AS BIGINT) AS document_id, 'maximum height of lot ' || o_custkey AS claim_text, o_orderdate AS created_at, o_orderkey % 5 / 10.0 AS confidence FROM {orders} WHERE o_orderstatus = 'F'),
         n AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY created_at DESC, claim_id) AS r FROM c) WHERE r <= 12),
         s AS (SELECT question_id, claim_id, confidence, list_sum(list_transform(string_split(lower(question), ' '), lambda w: CASE WHEN contains(claim_text, w) THEN 1 ELSE 0 END)) AS score
-              FROM {d_requests} JOIN n ON document_id = question_id % 97)
+              FROM {d_requests} JOIN n ON document_id = floor(question_id / 10))
         SELECT question_id, claim_id, score::INT AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, confidence DESC, claim_id) AS rank FROM s) WHERE rank <= 4 AND (score > 0 OR confidence > 0)""",
 )
 def cached_claims(t):
     k = F.col("o_orderkey")
     claims = t.orders.select(
-        k.alias("claim_id"), (F.col("o_custkey") % 97).alias("document_id"), F.concat(F.lit("maximum height of lot "), F.col("o_custkey").cast("string")).alias("claim_text"),
+        k.alias("claim_id"), F.floor(F.col("o_custkey") / 10).alias("document_id"), F.concat(F.lit("maximum height of lot "), F.col("o_custkey").cast("string")).alias("claim_text"),
         F.col("o_orderdate").alias("created_at"), (k % 5 / 10.0).alias("confidence"), F.when(F.col("o_orderstatus") == "F", "verified").otherwise("open").alias("status"),
     )
-    return R.cached_claims(t.d_requests.withColumn("document_id", F.col("question_id") % 97), claims).select("question_id", "claim_id", "score", "rank")
+    return R.cached_claims(t.d_requests.withColumn("document_id", F.floor(F.col("question_id") / 10)), claims).select("question_id", "claim_id", "score", "rank")
 
 
 @query("hybrid_retrieval")

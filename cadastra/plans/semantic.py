@@ -139,14 +139,14 @@ _relation("parking_facts", "parking_standard")
 _relation("requirement_facts", "requirement")
 
 
-@query(
-    "fact_participants",
-    f"""WITH {_FACTS} SELECT DISTINCT table_id, row_index, col_index, p.role AS role, p.name AS name FROM (SELECT table_id, row_index, col_index, unnest(flatten([
-        [{{'role': CASE relation_type WHEN 'dimensional_standard' THEN 'zone' WHEN 'requirement' THEN 'standard' ELSE 'use' END, 'name': row_entity}},
-         {{'role': CASE relation_type WHEN 'dimensional_standard' THEN 'standard' WHEN 'requirement' THEN 'development_context' ELSE 'zone' END, 'name': col_entity}}],
-        CASE WHEN relation_type = 'parking_standard' THEN [{{'role': 'standard', 'name': 'parking spaces'}}] ELSE [] END,
-        list_transform(row_contexts, lambda c: {{'role': 'development_context', 'name': c}}), list_transform(markers, lambda m: {{'role': 'condition', 'name': m}})])) AS p FROM facts)""",
-)
+_PARTICIPANTS = """SELECT DISTINCT table_id, row_index, col_index, p.role AS role, p.name AS name FROM (SELECT table_id, row_index, col_index, unnest(flatten([
+        [{'role': CASE relation_type WHEN 'dimensional_standard' THEN 'zone' WHEN 'requirement' THEN 'standard' ELSE 'use' END, 'name': row_entity},
+         {'role': CASE relation_type WHEN 'dimensional_standard' THEN 'standard' WHEN 'requirement' THEN 'development_context' ELSE 'zone' END, 'name': col_entity}],
+        CASE WHEN relation_type = 'parking_standard' THEN [{'role': 'standard', 'name': 'parking spaces'}] ELSE [] END,
+        list_transform(row_contexts, lambda c: {'role': 'development_context', 'name': c}), list_transform(markers, lambda m: {'role': 'condition', 'name': m})])) AS p FROM facts)"""
+
+
+@query("fact_participants", f"WITH {_FACTS} {_PARTICIPANTS}")
 def fact_participants(t):
     return S.fact_participants(_facts(t))
 

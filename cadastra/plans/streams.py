@@ -90,19 +90,49 @@ def stream_feedback_join(t):
 
 
 def _credit_rows(e):
-    """Credit events out of the event log; a third of the credits start reserved."""
+    """Credit events out of the event log, a credit for each user; a third of the credits start reserved."""
     kind = F.col("event_type")
     event = F.when(kind == "click", "reserve").when(kind == "purchase", "consume").when(kind == "error", "refund").otherwise("note")
-    return e.select((F.col("user_id") % 97).alias("credit_id"), "ts", "event_id", event.alias("event"), F.when(F.col("user_id") % 97 % 3 == 0, "reserved").otherwise("available").alias("start_state"))
+    return e.select(F.col("user_id").alias("credit_id"), "ts", "event_id", event.alias("event"), F.when(F.col("user_id") % 3 == 0, "reserved").otherwise("available").alias("start_state"))
 
 
-@query("stream_credits")
-def stream_credits(t):
-    out = _run(t, "events", EVENTS, lambda s: L.stream_credits(_credit_rows(_events(s))))
+#: A reservation of this age goes back.
+REFUND_MS = 12 * 3_600_000
+
+
+def _folded(refund_ms: int | None) -> str:
+    """The credits folded event by event; with ``refund_ms`` what is due before an event, or before the last watermark, goes back."""
+    due = "false" if refund_ms is None else f"f.state = 'reserved' AND e.ms >= f.since + {refund_ms}"
+    left = "false" if refund_ms is None else f"state = 'reserved' AND since + {refund_ms} < (SELECT max(ms) - 3600000 FROM e)"
+    return f"""WITH RECURSIVE e AS MATERIALIZED (SELECT user_id AS credit_id, epoch_ms(ts::TIMESTAMP) AS ms, event_id, row_number() OVER (PARTITION BY user_id ORDER BY epoch_ms(ts::TIMESTAMP), event_id) AS k,
+            CASE event_type WHEN 'click' THEN 'reserve' WHEN 'purchase' THEN 'consume' WHEN 'error' THEN 'refund' ELSE 'note' END AS event FROM {{events}}),
+        f(credit_id, k, state, applied, since) AS (
+            SELECT credit_id, 0::BIGINT, CASE WHEN credit_id % 3 = 0 THEN 'reserved' ELSE 'available' END, 0::BIGINT, ms FROM e WHERE k = 1
+            UNION ALL
+            SELECT f.credit_id, e.k, n.s, f.applied + CASE WHEN {due} THEN 1 ELSE 0 END + CASE WHEN n.s <> m.s THEN 1 ELSE 0 END, CASE WHEN n.s <> m.s THEN e.ms ELSE f.since END
+            FROM f JOIN e ON e.credit_id = f.credit_id AND e.k = f.k + 1, LATERAL (SELECT CASE WHEN {due} THEN 'available' ELSE f.state END AS s) m,
+            LATERAL (SELECT CASE WHEN m.s = 'available' AND e.event = 'reserve' THEN 'reserved' WHEN m.s = 'reserved' AND e.event = 'consume' THEN 'consumed'
+                                 WHEN m.s = 'reserved' AND e.event = 'refund' THEN 'available' ELSE m.s END AS s) n),
+        z AS (SELECT credit_id, arg_max(state, k) AS state, arg_max(applied, k) AS applied, arg_max(since, k) AS since FROM f GROUP BY credit_id)
+        SELECT credit_id, CASE WHEN {left} THEN 'available' ELSE state END AS state, applied + CASE WHEN {left} THEN 1 ELSE 0 END AS applied FROM z"""
+
+
+def _last(out):
     return out.groupBy("credit_id").agg(F.max_by("state", "applied").alias("state"), F.max("applied").alias("applied"))
 
 
-@query("stream_credits_batch")
+@query("stream_credits", _folded(None))
+def stream_credits(t):
+    return _last(_run(t, "events", EVENTS, lambda s: L.stream_credits(_credit_rows(_events(s)))))
+
+
+@query("stream_credit_timers", _folded(REFUND_MS))
+def stream_credit_timers(t):
+    """Reservations that nobody ends go back by event time: within the stream before the next event, at its end by timers."""
+    return _last(_run(t, "events", EVENTS, lambda s: L.stream_credits(_credit_rows(_events(s)), refund_after_ms=REFUND_MS)))
+
+
+@query("stream_credits_batch", _folded(None))
 def stream_credits_batch(t):
     """The batch fold over the same events, to compare with the stream."""
     from cadastra.operators.ledger import credit_transitions

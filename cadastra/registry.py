@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cadastra.plans import answers, evidence, files, geo, ledger, questions, retrieval, semantic, standards, streams, structure, text  # noqa: F401  each registers its queries
+from cadastra.plans import answers, evidence, factgraph, files, geo, ledger, questions, retrieval, semantic, standards, streams, structure, text  # noqa: F401  each registers its queries
 from cadastra.plans.base import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES", "flagship"]

@@ -14,7 +14,7 @@ def _same(text: str) -> tuple[str, str]:
 _BLOCK = "document_id, CAST(i AS BIGINT) AS reading_order, CAST(floor(i / 40) AS BIGINT) + 1 AS page_number, raw_text"
 
 _CLAUSE = """
-    SELECT o_orderkey AS fragment_id, o_custkey % 97 AS document_id, o_orderkey AS reading_order,
+    SELECT o_orderkey AS fragment_id, CAST(o_custkey % 97 + 97 * floor(o_orderkey / 5000) AS BIGINT) AS document_id, o_orderkey AS reading_order,
            CAST(floor(o_orderkey / 500) AS BIGINT) + 1 AS page_number,
            CASE o_orderkey % 24
              WHEN 0 THEN concat('Part ', CAST(o_custkey % 20 AS STRING), ' - General rules')
@@ -140,37 +140,49 @@ _ZONING_TABLES = """
     FROM (SELECT document_id, page_number, reading_order, CAST(floor(fragment_id / 1000) AS BIGINT) * 7 + fragment_id % 1000 AS fragment_id FROM {d_zoning} WHERE parent_fragment_id IS NOT NULL) AS lines
     WHERE fragment_id % 3 = 0"""
 
-_CELLS = """
+# Tables are numbered by lots of 1,000 parts, so that their number grows with the data and none grows without end.
+_LOTS = """(SELECT *, CAST(CAST(substr(p_brand, 7) AS BIGINT) + 10000 * floor(p_partkey / 1000) AS BIGINT) AS brand, CAST(p_size + 10000 * floor(p_partkey / 1000) AS BIGINT) AS sized FROM {part}) AS lots"""
+
+_CELLS = f"""
     SELECT table_id, CAST(r AS BIGINT) AS row_index, col_index, text FROM (
-        SELECT CAST(substr(p_brand, 7) AS BIGINT) AS table_id, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS r, 0 AS col_index,
-               CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type END AS text FROM {part}
+        SELECT brand AS table_id, row_number() OVER (PARTITION BY brand ORDER BY p_partkey) AS r, 0 AS col_index,
+               CASE WHEN p_size % 7 = 0 THEN '' ELSE p_type END AS text FROM {_LOTS}
         UNION ALL
-        SELECT CAST(substr(p_brand, 7) AS BIGINT), row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey), 1, CAST(p_size AS STRING) FROM {part}
+        SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY p_partkey), 1, CAST(p_size AS STRING) FROM {_LOTS}
         UNION ALL
-        SELECT CAST(substr(p_brand, 7) AS BIGINT), row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey), 2, concat('R-', CAST(p_size % 5 AS STRING)) FROM {part}
+        SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY p_partkey), 2, concat('R-', CAST(p_size % 5 AS STRING)) FROM {_LOTS}
         UNION ALL
-        SELECT CAST(substr(p_brand, 7) AS BIGINT), row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey), 3, p_name FROM {part}
+        SELECT brand, row_number() OVER (PARTITION BY brand ORDER BY p_partkey), 3, p_name FROM {_LOTS}
         UNION ALL
-        SELECT DISTINCT CAST(substr(p_brand, 7) AS BIGINT), 0, c, h FROM {part}
+        SELECT DISTINCT brand, 0, c, h FROM {_LOTS}
         CROSS JOIN (SELECT 0 AS c, 'Type' AS h UNION ALL SELECT 1, 'Size' UNION ALL SELECT 2, 'Zone' UNION ALL SELECT 3, 'Name') AS heads
     ) AS cells"""
 
-_MATRIX = """
-    SELECT p_size AS table_id, r AS row_index, c AS col_index, text FROM (
-        SELECT p_size, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r, 0 AS c, concat(p_name, ' use') AS text FROM {part}
+_MATRIX = f"""
+    SELECT sized AS table_id, r AS row_index, c AS col_index, text FROM (
+        SELECT sized, row_number() OVER (PARTITION BY sized ORDER BY p_partkey) AS r, 0 AS c, concat(p_name, ' use') AS text FROM {_LOTS}
         UNION ALL
-        SELECT p_size, r, z,
+        SELECT sized, r, z,
                CASE (p_partkey + z) % 5 WHEN 0 THEN '' WHEN 1 THEN 'P' WHEN 2 THEN concat('[', CAST(p_partkey % 9 + 1 AS STRING), ']') WHEN 3 THEN 'C' ELSE '' END
-        FROM (SELECT p_size, p_partkey, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r FROM {part}) AS numbered
+        FROM (SELECT sized, p_partkey, row_number() OVER (PARTITION BY sized ORDER BY p_partkey) AS r FROM {_LOTS}) AS numbered
         CROSS JOIN (SELECT 1 AS z UNION ALL SELECT 2 UNION ALL SELECT 3) AS zs
         UNION ALL
-        SELECT DISTINCT p_size, CAST(0 AS BIGINT), z, h FROM {part}
+        SELECT DISTINCT sized, CAST(0 AS BIGINT), z, h FROM {_LOTS}
         CROSS JOIN (SELECT 0 AS z, 'Use' AS h UNION ALL SELECT 1, 'DD' UNION ALL SELECT 2, 'CEN-2' UNION ALL SELECT 3, 'HR-1') AS heads
     ) AS m"""
 
 # One table for each size of a part, of five kinds by turns; those of dimensions are cut into tables of four rows.
-_NUMBERED = """(SELECT p_partkey, p_name, p_size AS kind, r, CASE WHEN p_size % 5 = 2 THEN CAST(p_size + 100 * floor((r - 1) / 4) AS BIGINT) ELSE CAST(p_size AS BIGINT) END AS table_id
-                 FROM (SELECT *, row_number() OVER (PARTITION BY p_size ORDER BY p_partkey) AS r FROM {part}) AS parts) AS numbered"""
+_NUMBERED = f"""(SELECT p_partkey, p_name, p_size AS kind, r, CASE WHEN sized % 5 = 2 THEN CAST(sized + 100 * floor((r - 1) / 4) AS BIGINT) ELSE sized END AS table_id
+                 FROM (SELECT *, row_number() OVER (PARTITION BY sized ORDER BY p_partkey) AS r FROM {_LOTS}) AS parts) AS numbered"""
+
+# Notes to the tables of documents: numbered conditions, two in three of which name a section of their document.
+_CONDITIONS = """
+    SELECT o_orderkey AS fragment_id, CAST(o_custkey % 50 + 1 + 10000 * floor(o_custkey / 750) AS BIGINT) AS document_id, CAST(o_orderkey % 40 AS STRING) AS citation_label,
+           concat('[', CAST(o_orderkey % 13 AS STRING), '] ', CASE o_orderkey % 3 WHEN 0 THEN 'applies to corner lots'
+             WHEN 1 THEN concat('subject to section ', CAST((o_orderkey * 7 + 3) % 40 AS STRING))
+             ELSE concat('as [', CAST(o_orderkey % 5 AS STRING), '], by Section ', CAST((o_orderkey * 3) % 40 AS STRING), ' and section  ', CAST((o_orderkey + 1) % 40 AS STRING), ' together') END) AS text
+    FROM {orders}"""
+
 _TABLES = f"""
     SELECT table_id, CAST(r AS BIGINT) AS row_index, c AS col_index, text FROM (
         SELECT table_id, r, 0 AS c,
@@ -229,6 +241,7 @@ DERIVED: dict[str, tuple[str, str]] = {
     "d_cells": _same(_CELLS),
     "d_matrix": _same(_MATRIX),
     "d_tables": _same(_TABLES),
+    "d_conditions": _same(_CONDITIONS),
     "d_questions": _same("SELECT item_id AS question_id, text AS question FROM {benchmark}"),
     "d_inquiries": _same(
         """SELECT c_custkey AS question_id,

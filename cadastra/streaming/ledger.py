@@ -62,34 +62,37 @@ def stream_credits(events: DataFrame, late: str = "1 hour", refund_after_ms: int
     """Credit state machine over a stream: (credit_id, state, applied) after each batch with news of the credit.
 
     ``events``: credit_id, ts, event_id, event, start_state. Within a batch a credit's events apply in
-    order of time and id. With ``refund_after_ms`` a credit that stays reserved for that long of event
-    time is refunded when the watermark passes.
+    order of time and id. With ``refund_after_ms`` a reservation of that age is refunded: before an event
+    that comes then or later, or by a timer once the watermark is past it. A credit that starts reserved
+    counts as reserved at its first event. The state of a credit is three values, however many events it has.
     """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def advance(key, frames, state: GroupState):
         import pandas as pd
 
+        now, applied, since = state.get if state.exists else (None, 0, None)
         if state.hasTimedOut:
-            now, applied = state.get
-            now, applied = ("available", applied + 1) if now == "reserved" else (now, applied)
-            state.update((now, applied))
-            yield pd.DataFrame({"credit_id": [key[0]], "state": [now], "applied": [applied]})
-            return
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        now, applied = state.get if state.exists else (rows["start_state"].iloc[0], 0)
-        reserved_at = None
-        for event, ts in zip(rows["event"], rows["ts"], strict=True):
-            after = CREDIT_MOVES.get((now, event), now)
-            if after != now:
-                applied += 1
-                reserved_at = ts if after == "reserved" else None
-            now = after
-        state.update((now, applied))
-        if refund_after_ms is not None and reserved_at is not None:
-            due = int(reserved_at.timestamp() * 1000) + refund_after_ms
-            state.setTimeoutTimestamp(max(due, state.getCurrentWatermarkMs() + 1))
+            now, applied, since = "available", applied + 1, None
+        else:
+            rows = pd.concat(list(frames)).sort_values(["at", "event_id"], kind="stable")
+            if now is None:
+                now = rows["start_state"].iloc[0]
+                since = int(rows["at"].iloc[0]) if now == "reserved" else None
+            for event, at in zip(rows["event"], rows["at"], strict=True):
+                if refund_after_ms is not None and now == "reserved" and at >= since + refund_after_ms:
+                    now, applied = "available", applied + 1
+                after = CREDIT_MOVES.get((now, event), now)
+                if after != now:
+                    applied += 1
+                    since = int(at)
+                now = after
+            since = since if now == "reserved" else None
+        state.update((now, applied, since))
+        if refund_after_ms is not None and now == "reserved":
+            state.setTimeoutTimestamp(max(since + refund_after_ms, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"credit_id": [key[0]], "state": [now], "applied": [applied]})
 
     timeout = GroupStateTimeout.EventTimeTimeout if refund_after_ms is not None else GroupStateTimeout.NoTimeout
-    return events.withWatermark("ts", late).groupBy("credit_id").applyInPandasWithState(advance, "credit_id long, state string, applied long", "state string, applied long", "append", timeout)
+    timed = events.withWatermark("ts", late).withColumn("at", F.unix_millis("ts"))
+    return timed.groupBy("credit_id").applyInPandasWithState(advance, "credit_id long, state string, applied long", "state string, applied long, since long", "append", timeout)
