@@ -49,6 +49,55 @@ def keyword_candidates(questions: DataFrame, fragments: DataFrame, k: int = 8) -
     return top_k(scored, k).withColumn("retrieval_channel", F.lit("text"))
 
 
+def positional_index(df: DataFrame, key: str, text: str) -> DataFrame:
+    """(source_fragment_id, term, positions): where each word stands in each text, counted in words from 0."""
+    words = F.split(F.trim(F.regexp_replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}\s]", " "), r"(?U)\s+", " ")), " ")
+    tokens = df.select(F.col(key).alias("source_fragment_id"), F.posexplode(words).alias("pos", "term")).where("term <> ''")
+    return tokens.groupBy("source_fragment_id", "term").agg(F.sort_array(F.collect_list("pos")).alias("positions"))
+
+
+def ranked_candidates(questions: DataFrame, index: DataFrame, k: int = 8) -> DataFrame:
+    """All-terms keyword search ranked by cover density, the ``k`` best stay.
+
+    A cover is a shortest stretch of a text that holds every term of the question (words of three
+    characters and more, not stemmed); it adds 0.1 / (1 + its words that are no term). A question without
+    terms finds nothing. Its rarest term picks the texts; the other terms meet just those, by text and
+    term, so that frequent words never bring all their texts along. Positions have no upper bound.
+    """
+    terms = questions.select("question_id", F.array_distinct(query_terms(F.col("question"), 3)).alias("terms"))
+    asked = terms.select("question_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
+    wanted = _small(asked.select("term").distinct())
+    found_in = index.join(wanted, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    counted = asked.join(found_in, "term", "left")
+    rarest = counted.groupBy("question_id").agg(F.min(F.struct(F.coalesce("texts", F.lit(0)).alias("texts"), "term")).alias("r")).where("r.texts > 0").select("question_id", F.col("r.term").alias("term"))
+    pairs = index.select("term", "source_fragment_id").join(_small(rarest), "term").select("question_id", "source_fragment_id")
+    hits = pairs.join(asked, "question_id").join(index, ["source_fragment_id", "term"])
+    whole = hits.groupBy("question_id", "source_fragment_id").agg(F.first("n_terms").alias("n_terms"), F.collect_list("positions").alias("lists")).where("size(lists) = n_terms")
+    scored = whole.select("question_id", "source_fragment_id", _cover_density(F.col("lists"), F.col("n_terms")).alias("base_score"))
+    return top_k(scored.withColumn("__score", F.round("base_score", 9)), k, score="__score").drop("__score").withColumn("retrieval_channel", F.lit("full_text"))
+
+
+def _cover_density(lists: Column, n: Column) -> Column:
+    """The sum over shortest covers of the terms whose positions are ``lists``, in one pass by position.
+
+    At each hit, the cover that ends there begins at the least of the terms' last places; it is a
+    shortest one if it begins later than the cover before it.
+    """
+    hits = F.array_sort(F.flatten(F.transform(lists, lambda x, i: F.transform(x, lambda p: F.struct(p.alias("pos"), i.alias("term"))))))
+    numbered = F.transform(hits, lambda h, j: F.struct(h["pos"].alias("pos"), h["term"].alias("term"), j.alias("nth")))
+    nowhere = F.struct(F.lit(-1).alias("pos"), F.lit(-1).alias("nth"))
+    start = F.struct(F.array_repeat(nowhere, n).alias("last"), F.lit(-1).alias("begun"), F.lit(0.0).alias("score"))
+
+    def step(acc: Column, h: Column) -> Column:
+        last = F.transform(acc["last"], lambda x, i: F.when(i == h["term"], F.struct(h["pos"].alias("pos"), h["nth"].alias("nth"))).otherwise(x))
+        begin = F.array_min(last)
+        noise = (h["pos"] - begin["pos"]) - (h["nth"] - begin["nth"])
+        fresh = begin["pos"] > acc["begun"]
+        return F.struct(last.alias("last"), F.when(fresh, begin["pos"]).otherwise(acc["begun"]).alias("begun"), (acc["score"] + F.when(fresh, 0.1 / (1.0 + noise)).otherwise(0.0)).alias("score"))
+
+    return F.aggregate(numbered, start, step, lambda acc: acc["score"])
+
+
 def _small(df: DataFrame) -> DataFrame:
     """A broadcast hint behind a look at the size; Spark decides where it is larger."""
     rows, size = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)), F.sum(F.length(F.to_json(F.struct(*df.columns))))).first()

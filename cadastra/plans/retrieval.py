@@ -31,6 +31,29 @@ def fts_terms(t):
     return R.keyword_candidates(t.d_questions, _documents(t)).select("question_id", "source_fragment_id", "base_score", "rank")
 
 
+_TERMS3 = _TERMS.replace("length(w) > 1", "length(w) > 2")
+
+
+@query(
+    "fts_ranked",
+    rf"""WITH q AS (SELECT question_id, {_TERMS3} AS terms FROM {{d_phrases}}), a AS (SELECT question_id, len(terms) AS n, unnest(terms) AS term FROM q),
+        d AS (SELECT doc_id, unnest(words) AS term, generate_subscripts(words, 1) AS pos FROM (SELECT doc_id, string_split(trim(regexp_replace(regexp_replace(lower(text), '[^\pL\pN\s]', ' ', 'g'), '\s+', ' ', 'g')), ' ') AS words FROM {{documents}})),
+        hit AS (SELECT question_id, n, doc_id, term, pos FROM a JOIN d USING (term)),
+        whole AS (SELECT question_id, doc_id FROM hit GROUP BY question_id, doc_id HAVING count(DISTINCT term) = any_value(n)),
+        e AS MATERIALIZED (SELECT hit.*, row_number() OVER (PARTITION BY question_id, doc_id ORDER BY pos) AS nth FROM hit JOIN whole USING (question_id, doc_id)),
+        x AS (SELECT e.question_id, e.doc_id, e.n, pos, nth, max(CASE WHEN e.term = a.term THEN pos END) OVER (PARTITION BY e.question_id, e.doc_id, a.term ORDER BY pos) AS last FROM e JOIN a ON a.question_id = e.question_id),
+        c AS (SELECT question_id, doc_id, pos, nth, CASE WHEN count(last) = any_value(n) THEN min(last) END AS begin FROM x GROUP BY question_id, doc_id, pos, nth),
+        s AS (SELECT *, coalesce(lag(begin) OVER (PARTITION BY question_id, doc_id ORDER BY pos), 0) AS before FROM c),
+        r AS (SELECT s.question_id, s.doc_id AS source_fragment_id, sum(0.1::DOUBLE / (1 + (s.pos - s.begin) - (s.nth - b.nth))) AS base_score
+              FROM s JOIN e b ON b.question_id = s.question_id AND b.doc_id = s.doc_id AND b.pos = s.begin WHERE s.begin > s.before GROUP BY ALL)
+        SELECT question_id, source_fragment_id, round(base_score, 6) AS base_score, rank FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY round(base_score, 9) DESC, source_fragment_id) AS rank FROM r) WHERE rank <= 8""",
+)
+def fts_ranked(t):
+    """Phrases out of every twentieth document, asked of all documents; the index is written once and read by each join."""
+    index = cut(R.positional_index(t.documents, "doc_id", "text"))
+    return R.ranked_candidates(t.d_phrases, index).select("question_id", "source_fragment_id", F.round("base_score", 6).alias("base_score"), "rank")
+
+
 @query(
     "score_keyword",
     _PATHS

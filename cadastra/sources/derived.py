@@ -243,6 +243,10 @@ DERIVED: dict[str, tuple[str, str]] = {
     "d_tables": _same(_TABLES),
     "d_conditions": _same(_CONDITIONS),
     "d_questions": _same("SELECT item_id AS question_id, text AS question FROM {benchmark}"),
+    "d_phrases": (
+        "SELECT doc_id AS question_id, array_join(slice(split(text, ' '), 3, 4), ' ') AS question FROM {documents} WHERE doc_id % 20 = 0 AND text IS NOT NULL",
+        "SELECT doc_id AS question_id, array_to_string(string_split(text, ' ')[3:6], ' ') AS question FROM {documents} WHERE doc_id % 20 = 0 AND text IS NOT NULL",
+    ),
     "d_inquiries": _same(
         """SELECT c_custkey AS question_id,
                   CASE c_custkey % 20
