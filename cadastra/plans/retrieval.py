@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cadastra.operators import retrieval as R
+from cadastra.operators import vectorindex as V
 from cadastra.operators.questions import understand
 from cadastra.operators.semantic import fact_participants, matrix_facts, table_profiles
 from cadastra.operators.structure import citation_paths, detect_references, resolve_references
@@ -103,6 +104,19 @@ def vector_topk(t):
     return R.vector_candidates(q, v).select("question_id", "source_fragment_id", F.round("base_score", 6).alias("base_score"))
 
 
+#: Lists of the coarse index.
+LISTS = 100
+
+
+@query("vector_index")
+def vector_index(t):
+    """Every twentieth vector's 8 nearest by the coarse index, over all vectors whatever their label."""
+    centres, probes = V.fit(t.embeddings, "vec_id", "embedding", LISTS)
+    index = cut(V.assign_lists(t.embeddings, "vec_id", "embedding", centres))
+    asked = V.assign_lists(t.embeddings.where("vec_id % 20 = 0"), "vec_id", "embedding", centres, probes, "question_id")
+    return V.index_candidates(asked, index).select("question_id", "source_fragment_id", F.round("base_score", 6).alias("base_score"), "rank")
+
+
 _CELL_Q = "SELECT c_custkey AS question_id, ['standard', 'red', 'widget'] AS terms, 'R-' || (c_custkey % 5) AS zone FROM {customer} WHERE c_custkey % 20 = 0"
 
 
