@@ -79,3 +79,22 @@ def src_dataset_version(t):
     """Payloads whose content no known version has: a third of the documents is known."""
     payloads = files.file_identity(t.documents.select("doc_id", F.lit("a.txt").alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content")))
     return files.changed_files(payloads, payloads.where("doc_id % 3 = 0").select("sha256").distinct()).select("doc_id", "sha256")
+
+
+@query(
+    "src_ingest_dir",
+    """WITH f AS (SELECT doc_id, coalesce(text, '') || chr(10) AS text, CASE WHEN doc_id % 10 = 3 THEN 'unsupported suffix csv' WHEN doc_id % 7 = 5 THEN 'not UTF-8' WHEN NOT regexp_matches(coalesce(text, ''), '\\S') THEN 'empty' END AS reason FROM {documents})
+       SELECT doc_id, CASE WHEN reason IS NULL THEN 'ingested' WHEN doc_id % 10 = 3 THEN 'skipped' ELSE 'failed' END AS status, reason,
+           CASE WHEN reason IS NULL THEN sha256(text) END AS sha256, CASE WHEN reason IS NULL THEN len(string_split(text, chr(10))) - 1 END AS n_lines FROM f""",
+)
+def src_ingest_dir(t):
+    """A file for each document: some of another kind, some with bytes that are no text; all have an outcome."""
+    path = shared_path(t.spark, "inbox")
+    docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    k = F.col("doc_id")
+    docs.where(k % 10 == 3).write.partitionBy("doc_id").csv(path)
+    broken = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFFE"))).cast("string")
+    docs.where(k % 10 != 3).withColumn("text", F.when(k % 7 == 5, broken).otherwise(F.col("text"))).write.mode("append").partitionBy("doc_id").text(path)
+    found = files.ingest_outcomes(t.spark, path).where("path not like '%/\\_SUCCESS'")
+    whole = F.col("status") == "ingested"
+    return found.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "status", "reason", F.when(whole, F.col("sha256")).alias("sha256"), F.when(whole, F.size(F.split("text", "\n")).cast("long") - 1).alias("n_lines"))

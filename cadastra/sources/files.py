@@ -31,6 +31,21 @@ def ingest_files(spark: SparkSession, path: str) -> DataFrame:
     return file_identity(texts.select("path", "content")).select("path", F.decode("content", "UTF-8").alias("text"), "sha256", "mime_type")
 
 
+def ingest_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each file under a directory: path, status, reason, sha256, mime_type, text.
+
+    A text file is ``ingested``; one that is no UTF-8 or holds no words is ``failed``, other suffixes are
+    ``skipped``, both with the reason and without a text. No file stops the others. Texts are read by the
+    tasks; the content of skipped files is hashed, not kept.
+    """
+    files = file_identity(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
+    text = F.try_validate_utf8(F.col("content").cast("string"))
+    reason = F.when(~suffix.isin("txt", "text", "md"), F.concat(F.lit("unsupported suffix "), suffix)).when(text.isNull(), "not UTF-8").when(~text.rlike(r"\S"), "empty")
+    status = F.when(reason.isNull(), "ingested").when(reason.startswith("unsupported"), "skipped").otherwise("failed")
+    return files.select("path", status.alias("status"), reason.alias("reason"), "sha256", "mime_type", F.when(reason.isNull(), text).alias("text"))
+
+
 def changed_files(files: DataFrame, known: DataFrame) -> DataFrame:
     """Files whose content hash is not among ``known`` (sha256)."""
     return files.join(known.select("sha256"), "sha256", "left_anti")
