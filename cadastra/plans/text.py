@@ -109,7 +109,7 @@ def detect_table_like(t):
     "boilerplate",
     r"""WITH k AS (SELECT *, lower(trim(regexp_replace(raw_text, '\s+', ' ', 'g'))) AS key FROM {d_blocks}),
         e AS (SELECT *, key <> '' AND length(key) <= 120 AND NOT regexp_matches(raw_text, '(?i)^\s*(?:\([a-z]\)|\([ivxlcdm]+\)|[-*•])\s+')
-                     AND NOT regexp_matches(key, '^(part|schedule|appendix)\s+([a-z]|\d+)\b|^\d+\b|^\(\d+(\.\d+)*\)\s|^\([ivxlcdm][ivxlcdm]+\)\s|^\([a-z][a-z]?[a-z]?\)\s') AS ok FROM k),
+                     AND NOT regexp_matches(key, '^(part|schedule|appendix)\s+([a-z]|\d+)\b|^\d+\b|^\(\d+(\.\d+)*\)\s|^\([ivxlcdm]{2,}\)\s|^\([a-z]{1,3}\)\s') AS ok FROM k),
         c AS (SELECT document_id, key, count(*) AS n FROM e WHERE ok GROUP BY document_id, key),
         p AS (SELECT document_id, count(DISTINCT page_number) AS pages FROM k GROUP BY document_id)
         SELECT e.document_id, reading_order, coalesce(ok AND least(pages, 2) >= 2 AND n >= least(pages, 2), false) AS is_boilerplate,
