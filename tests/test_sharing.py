@@ -82,3 +82,28 @@ def test_rings_end_after_as_many_rounds_as_ways_to_them_are_long(spark, monkeypa
     got = T.cycles(spark.createDataFrame(ring + tails, "fragment_id long, parent_fragment_id long"))
     assert sorted(r[0] for r in got.collect()) == list(range(600))
     assert len(rounds) <= 10  # two writes a round; it was as many rounds as the logarithm of all fragments
+
+
+def test_texts_and_questions_of_a_kind_meet_once(spark, joined):
+    texts = spark.createDataFrame([(i, "Yard of a house") for i in range(100)] + [(200, "House, yard and roof"), (201, "roof")], "source_fragment_id long, text string")
+    questions = spark.createDataFrame([(q, f"house yard roof unheard{q}") for q in range(40)], "question_id long, question string")
+    rows, most = joined(R.keyword_candidates(questions, texts, 3))
+    assert sorted((r["source_fragment_id"], r["rank"], r["base_score"]) for r in rows if r["question_id"] == 7) == [(0, 2, 0.5), (1, 3, 0.5), (200, 1, 0.75)]
+    assert len(rows) == 120 and most <= 300
+    calls = spark.createDataFrame([(1, "yard"), (2, "yard"), (3, "none")], "question_id long, question string")
+    found = E.search_context(calls, texts.withColumnRenamed("source_fragment_id", "fragment_id"), (("roof", 2.0), ("house", 1.0)), 2).collect()
+    assert sorted((r["question_id"], r["source_fragment_id"], r["base_score"]) for r in found) == [(q, f, s) for q in (1, 2) for f, s in ((0, 2.0), (200, 3.0))]
+
+
+def test_ranges_of_pages_meet_before_their_members(spark, joined):
+    fragments = spark.createDataFrame([(f, 1, 5, 7) for f in range(30)] + [(99, 2, 5, 7)], "fragment_id long, document_id long, page_start long, page_end long")
+    tables = spark.createDataFrame([(t, 1, 5, 8) for t in range(30)] + [(88, 1, 8, 9)], "table_id long, document_id long, page_start long, page_end long")
+    rows, most = joined(R.related_tables(fragments, tables))
+    assert sorted(tuple(r) for r in rows) == [(f, t) for f in range(30) for t in range(30)] and most <= 900
+
+
+def test_graph_walk_without_a_cap_keeps_every_node(spark):
+    edges = spark.createDataFrame([(0, i, "references") for i in range(1, 151)] + [(150, 151, "references")], "source_id long, target_id long, edge_type string")
+    seeds = spark.createDataFrame([(1, 0)], "question_id long, node_id long")
+    assert R.expand_graph(seeds, edges, max_nodes=None).count() == 152
+    assert R.expand_graph(seeds, edges).count() == 101
