@@ -107,3 +107,21 @@ def test_graph_walk_without_a_cap_keeps_every_node(spark):
     seeds = spark.createDataFrame([(1, 0)], "question_id long, node_id long")
     assert R.expand_graph(seeds, edges, max_nodes=None).count() == 152
     assert R.expand_graph(seeds, edges).count() == 101
+
+
+def test_terms_are_defined_in_quotes_and_in_small_letters_too(spark, joined):
+    texts = ['"Lot 5" means a parcel', "lot 5 means a parcel", "Lot 5 means a parcel\nand more", "Lot 51 means a field", "A lot has meaning"]
+    terms = S.defined_terms(spark.createDataFrame(list(enumerate(texts)), "fragment_id long, text string"))
+    assert sorted(tuple(r) for r in terms.collect()) == [(0, "lot 5"), (1, "lot 5"), (2, "lot 5"), (3, "lot 51")]
+    calls = spark.createDataFrame([(q, "Lot 5") for q in range(30)], "question_id long, term string")
+    rows, most = joined(E.definitions(calls, terms))
+    assert sorted(tuple(r) for r in rows if r["question_id"] == 3) == [(3, 0, 3.0), (3, 1, 3.0), (3, 2, 3.0), (3, 3, 2.0)] and most <= 120
+
+
+def test_a_graph_within_documents(spark):
+    from cadastra.operators import factgraph as G
+
+    g = G.condition_graph(spark.createDataFrame([(d, d * 10, "[1] by Section 4") for d in (1, 2, 3)], "document_id long, fragment_id long, text string"))
+    part = G.within(g, spark.createDataFrame([(2,)], "document_id long"))
+    assert [r["document_id"] for r in part.facts.collect()] == [2] and [r["fragment_id"] for r in part.sources.collect()] == [20]
+    assert {r["document_id"] for r in part.participants.collect()} == {2} and part.edges.count() == 1
