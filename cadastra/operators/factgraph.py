@@ -87,6 +87,13 @@ def united(*graphs: FactGraph) -> FactGraph:
     return first
 
 
+def within(graph: FactGraph, documents: DataFrame) -> FactGraph:
+    """The part of ``graph`` in ``documents`` (document_id); sources are those of its facts."""
+    keep = lambda df: df.join(documents, "document_id", "left_semi")
+    facts = keep(graph.facts)
+    return FactGraph(facts, keep(graph.participants), keep(graph.edges), graph.sources.join(facts.select("fact_id"), "fact_id", "left_semi"))
+
+
 def section_targets(participants: DataFrame, fragments: DataFrame) -> DataFrame:
     """(entity_id, fragment_id): the fragments of the document whose citation label a section reference names."""
     label = F.regexp_replace("name", r"^\S+\s+", "")

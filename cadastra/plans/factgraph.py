@@ -60,9 +60,12 @@ def fact_edges(t):
 )
 def fact_walk(t):
     """From conditional facts in the tables over their edges to the definitions of their conditions and the sections that these name."""
-    facts, g = _read(t)
+    facts = _read(t)[0]
     place = [F.col(c) for c in ("table_id", "row_index", "col_index")]
     fact_id = G.object_id(F.lit("fact"), F.col("document_id"), F.col("relation_type"), *place)
     seeds = facts.where("row_index % 20 = 1 and size(markers) > 0").select(fact_id.alias("question_id"), fact_id.alias("fact_id"))
+    # Every node belongs to a document and no edge leaves it: documents without a seed are never walked.
+    begun = cut(facts.where("row_index % 20 = 1 and size(markers) > 0").select("document_id").distinct())
+    g = G.within(G.united(G.condition_graph(t.d_conditions.join(begun, "document_id", "left_semi")), G.matrix_graph(facts)), begun)
     participants = cut(g.participants)
     return R.walk_facts(seeds, participants, g.facts, g.edges, g.sources, G.section_targets(participants, t.d_conditions))
