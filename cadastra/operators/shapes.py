@@ -21,8 +21,8 @@ from cadastra.operators.geo import CELL, EARTH_M, _cells
 TOLERANCE = 1e-11
 #: Metres around a street's centre line within which a boundary fronts it.
 BUFFER_M = 8.0
-#: Edges of a shape that are compared with the other's edges at once.
-EDGES = 2048
+#: Pairs of edges that are compared at once.
+AT_ONCE = 1 << 18
 
 
 def shape_box(parts: Column) -> Column:
@@ -43,69 +43,99 @@ def _segments(parts: list[np.ndarray], closed: bool) -> tuple[np.ndarray, np.nda
     return np.vstack(found), np.concatenate(of)
 
 
-def _inside(points: np.ndarray, edges: np.ndarray) -> np.ndarray:
-    """Whether points lie in an odd number of rings."""
+def _inside(points: np.ndarray, of: np.ndarray, edges: np.ndarray) -> np.ndarray:
+    """Whether points lie in an odd number of rings of the polygon ``of`` each among ``edges`` (polygons, edges, 4); edges that are not numbers do not count."""
     out = np.zeros(len(points), bool)
-    x1, y1, x2, y2 = edges.T
-    for at in range(0, len(points), EDGES):
-        x, y = points[at : at + EDGES].T[:, :, None]
-        spans = (y1 > y) != (y2 > y)
+    step = max(1, AT_ONCE // max(edges.shape[1], 1))
+    for at in range(0, len(points), step):
+        x, y = points[at : at + step].T[:, :, None]
+        x1, y1, x2, y2 = np.moveaxis(edges[of[at : at + step]], 2, 0)
         with np.errstate(divide="ignore", invalid="ignore"):
-            out[at : at + EDGES] = (spans & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum(1) % 2 == 1
+            spans = (y1 > y) != (y2 > y)
+            out[at : at + step] = (spans & (x < (x2 - x1) * (y - y1) / (y2 - y1) + x1)).sum(1) % 2 == 1
     return out
 
 
-def _turned(edges: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Edges of a polygon so that its inside lies to their left: outer rings counter-clockwise, holes clockwise."""
-    out = edges.copy()
-    for k in np.unique(of):
-        own = edges[of == k]
-        area = (own[:, 0] * own[:, 3] - own[:, 2] * own[:, 1]).sum()
-        hole = bool(_inside((own[:1, :2] + own[:1, 2:]) / 2, edges[of != k])[0]) if (of != k).any() else False
-        if (area > 0) == hole:
-            out[of == k] = own[:, [2, 3, 0, 1]]
+def _turned(edges: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Edges (polygons, edges, 4) so that the inside lies to their left: outer rings counter-clockwise, holes clockwise."""
+    out, all_ = edges.copy(), np.arange(len(edges))
+    area = edges[..., 0] * edges[..., 3] - edges[..., 2] * edges[..., 1]
+    for k in range(int(ring.max(initial=-1)) + 1):
+        own = ring == k
+        first = edges[all_, own.argmax(1)]
+        hole = _inside((first[:, :2] + first[:, 2:]) / 2, all_, np.where(own[..., None], np.nan, edges))
+        wrong = own & ((np.where(own, area, 0).sum(1) > 0) == hole)[:, None]
+        out[wrong] = edges[wrong][:, [2, 3, 0, 1]]
     return out
 
 
-def _cut(a: np.ndarray, b: np.ndarray, near: float) -> tuple[np.ndarray, np.ndarray, bool]:
-    """Segments ``a`` cut wherever ``b`` meets them: the pieces, for each +1 / -1 where it runs along a segment
-    of ``b`` in its direction / against it, else 0, and whether any two meet."""
-    pieces, along, met = [np.zeros((0, 4))], [np.zeros(0, int)], False
-    db = b[:, 2:] - b[:, :2]
-    for at in range(0, len(a), EDGES):
-        s = a[at : at + EDGES]
-        d = s[:, 2:] - s[:, :2]
-        cross = d[:, None, 0] * db[:, 1] - d[:, None, 1] * db[:, 0]
-        to = b[None, :, :2] - s[:, None, :2]
-        length = np.hypot(*d.T)[:, None]
+def _cut(a: np.ndarray, b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Segments ``a`` (pairs, segments, 4) cut wherever those of ``b`` of the same pair meet them: the pieces, the
+    pair of each, for each +1 / -1 where it runs along a segment of ``b`` in its direction / against it, else 0, and
+    whether any two of a pair meet. Segments that are not numbers fill up and are passed over."""
+    pieces, pairs, along, met = [np.zeros((0, 4))], [np.zeros(0, int)], [np.zeros(0, int)], np.zeros(len(a), bool)
+    db = b[..., 2:] - b[..., :2]
+    lb = np.hypot(db[..., 0], db[..., 1])
+    ends = b.reshape(len(b), -1, 2)
+    step = max(1, AT_ONCE // max(len(b) * b.shape[1], 1))
+    near = near[:, None, None]
+    for at in range(0, a.shape[1], step):
+        s = a[:, at : at + step]
+        d = s[..., 2:] - s[..., :2]
+        dx, dy = d[..., 0, None], d[..., 1, None]
         with np.errstate(divide="ignore", invalid="ignore"):
-            t = (to[..., 0] * db[:, 1] - to[..., 1] * db[:, 0]) / cross
-            u = (to[..., 0] * d[:, None, 1] - to[..., 1] * d[:, None, 0]) / cross
-            lb = np.hypot(*db.T)
-            hit = (np.abs(cross) > 1e-14 * length * lb) & (t >= -near / length) & (t <= 1 + near / length) & (u >= -near / lb) & (u <= 1 + near / lb)
+            length = np.hypot(dx, dy)
+            cross = dx * db[:, None, :, 1] - dy * db[:, None, :, 0]
+            to = b[:, None, :, :2] - s[:, :, None, :2]
+            t = (to[..., 0] * db[:, None, :, 1] - to[..., 1] * db[:, None, :, 0]) / cross
+            u = (to[..., 0] * dy - to[..., 1] * dx) / cross
+            slack, slack_b = near / length, near / lb[:, None]
+            hit = (np.abs(cross) > 1e-14 * length * lb[:, None]) & (t >= -slack) & (t <= 1 + slack) & (u >= -slack_b) & (u <= 1 + slack_b)
             # Ends of b that lie on a, which also covers segments that run along each other.
-            ends = b.reshape(-1, 2)
-            v = ends[None] - s[:, None, :2]
-            te = (v[..., 0] * d[:, None, 0] + v[..., 1] * d[:, None, 1]) / length**2
-            off = np.abs(v[..., 0] * d[:, None, 1] - v[..., 1] * d[:, None, 0]) / length
-        on = (off <= near) & (te >= -near / length) & (te <= 1 + near / length)
-        met = met or bool(hit.any() or on.any())
-        for i in range(len(s)):
-            cuts = np.unique(np.clip(np.concatenate([[0.0, 1.0], t[i, hit[i]], te[i, on[i]]]), 0, 1))
-            cuts = cuts[np.concatenate([[True], np.diff(cuts) > near / length[i, 0]])]
-            cuts[-1] = 1.0
-            ends_at = s[i, :2] + cuts[:, None] * d[i]
-            mine = np.hstack([ends_at[:-1], ends_at[1:]])
-            middle = (mine[:, :2] + mine[:, 2:]) / 2
-            w = middle[:, None] - b[None, :, :2]
-            share = (w * db).sum(2) / lb**2
-            apart = np.abs(w[..., 0] * db[:, 1] - w[..., 1] * db[:, 0]) / lb
-            runs = (apart <= 2 * near) & (share > 0) & (share < 1) & (np.abs(cross[i]) <= 1e-6 * length[i, 0] * lb)
-            first = runs.argmax(1)
-            way = np.sign((db[first] * d[i]).sum(1)).astype(int)
-            pieces.append(mine)
-            along.append(np.where(runs.any(1), way, 0))
-    return np.vstack(pieces), np.concatenate(along), met
+            v = ends[:, None] - s[:, :, None, :2]
+            te = (v[..., 0] * dx + v[..., 1] * dy) / length**2
+            on = (np.abs(v[..., 0] * dy - v[..., 1] * dx) / length <= near) & (te >= -slack) & (te <= 1 + slack)
+            met |= hit.any((1, 2)) | on.any((1, 2))
+            edge = np.zeros((*s.shape[:2], 1))
+            cuts = np.sort(np.clip(np.concatenate([edge, edge + 1, np.where(hit, t, 1), np.where(on, te, 1)], 2), 0, 1), 2)
+            kept = np.concatenate([edge == 0, np.diff(cuts, axis=2) > slack], 2)
+        pair, seg, place = np.nonzero(kept)
+        same = (pair[:-1] == pair[1:]) & (seg[:-1] == seg[1:])
+        value = cuts[pair, seg, place]
+        value[:-1][~same] = 1.0  # the last cut of each segment
+        value[-1:] = 1.0
+        spots = s[pair, seg, :2] + value[:, None] * d[pair, seg]
+        mine, pair, seg = np.hstack([spots[:-1][same], spots[1:][same]]), pair[:-1][same], seg[:-1][same]
+        way = np.zeros(len(mine), int)
+        few = max(1, AT_ONCE // max(b.shape[1], 1))
+        for k in range(0, len(mine), few):
+            m, p, g = mine[k : k + few], pair[k : k + few], seg[k : k + few]
+            w = ((m[:, :2] + m[:, 2:]) / 2)[:, None] - b[p, :, :2]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                share = (w * db[p]).sum(2) / lb[p] ** 2
+                apart = np.abs(w[..., 0] * db[p, :, 1] - w[..., 1] * db[p, :, 0]) / lb[p]
+                runs = (apart <= 2 * near[p, 0]) & (share > 0) & (share < 1) & (np.abs(cross[p, g]) <= 1e-6 * length[p, g] * lb[p])
+            which = runs.any(1).nonzero()[0]
+            way[k + which] = np.sign((db[p[which], runs[which].argmax(1)] * d[p[which], g[which]]).sum(1)).astype(int)
+        pieces.append(mine)
+        pairs.append(pair)
+        along.append(way)
+    return np.vstack(pieces), np.concatenate(pairs), np.concatenate(along), met
+
+
+def _areas(a: np.ndarray, ring_a: np.ndarray, b: np.ndarray, ring_b: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of pairs of polygons, as edges (pairs, edges, 4) with their rings: the common area, whether ``b`` holds ``a``, and whether they touch at all."""
+    a, b = _turned(a, ring_a), _turned(b, ring_b)
+    pa_, of_pair_a, along_a, met = _cut(a, b, near)
+    pb, of_pair_b, along_b, _ = _cut(b, a, near)
+    of_a = (along_a == 1) | ((along_a == 0) & _inside((pa_[:, :2] + pa_[:, 2:]) / 2, of_pair_a, b))
+    of_b = (along_b == 0) & _inside((pb[:, :2] + pb[:, 2:]) / 2, of_pair_b, a)
+    count = lambda pair, weights: np.bincount(pair, weights, len(a))
+    swept = lambda p: p[:, 0] * p[:, 3] - p[:, 2] * p[:, 1]
+    held_a, held_b = count(of_pair_a, of_a), count(of_pair_b, of_b)
+    area = np.maximum((count(of_pair_a[of_a], swept(pa_[of_a])) + count(of_pair_b[of_b], swept(pb[of_b]))) / 2, 0.0)
+    whole = np.nansum(a[..., 0] * a[..., 3] - a[..., 2] * a[..., 1], 1) / 2
+    return area, (held_b == 0) & (count(of_pair_a, ~of_a) == 0) & (np.abs(area - whole) <= 1e-9 * whole), (held_a > 0) | (held_b > 0) | met
 
 
 def overlay(kind: str, parts: list[np.ndarray], polygon: list[np.ndarray]) -> tuple[float, bool] | None:
@@ -124,30 +154,21 @@ def overlay(kind: str, parts: list[np.ndarray], polygon: list[np.ndarray]) -> tu
         w = points[:, None] - edges[None, :, :2]
         t = np.clip((w * d).sum(2) / (d * d).sum(1), 0, 1)
         border = (np.hypot(*np.moveaxis(w - t[..., None] * d, 2, 0)) <= near).any(1)
-        inside = _inside(points, edges) & ~border
+        inside = _inside(points, np.zeros(len(points), int), edges[None]) & ~border
         return (1.0, bool((inside | border).all() and inside.any())) if (inside | border).any() else None
     if kind == "line":
         own, _ = _segments(parts, False)
-        pieces, along, met = _cut(own, edges, near)
-        held = (along != 0) | _inside((pieces[:, :2] + pieces[:, 2:]) / 2, edges)
+        pieces, pair, along, met = _cut(own[None], edges[None], np.array([near]))
+        held = (along != 0) | _inside((pieces[:, :2] + pieces[:, 2:]) / 2, pair, edges[None])
         size = np.hypot(*(pieces[:, 2:] - pieces[:, :2]).T)
-        if not held.any() and not met:
+        if not held.any() and not met[0]:
             return None
         return float(size[held].sum()), bool(held.all() and (along == 0).any())
     own, mine = _segments([p for p in parts if len(p) > 2], True)
     if not len(own):
         return None
-    own, edges = _turned(own, mine), _turned(edges, of)
-    a, along_a, met = _cut(own, edges, near)
-    b, along_b, _ = _cut(edges, own, near)
-    of_a = (along_a == 1) | ((along_a == 0) & _inside((a[:, :2] + a[:, 2:]) / 2, edges))
-    of_b = (along_b == 0) & _inside((b[:, :2] + b[:, 2:]) / 2, own)
-    if not (of_a.any() or of_b.any() or met):
-        return None
-    border = np.vstack([a[of_a], b[of_b]])
-    area = max(float((border[:, 0] * border[:, 3] - border[:, 2] * border[:, 1]).sum() / 2), 0.0)
-    whole = float((own[:, 0] * own[:, 3] - own[:, 2] * own[:, 1]).sum() / 2)
-    return area, bool(not of_b.any() and of_a.all() and abs(area - whole) <= 1e-9 * whole)
+    area, holds, met = _areas(own[None], mine[None], edges[None], of[None], np.array([near]))
+    return (float(area[0]), bool(holds[0])) if met[0] else None
 
 
 def _parts(value: list[list[dict]]) -> list[np.ndarray]:
@@ -155,13 +176,52 @@ def _parts(value: list[list[dict]]) -> list[np.ndarray]:
     return [p[:-1] if len(p) > 3 and (p[0] == p[-1]).all() else p for p in out if len(p) and np.isfinite(p).all()]
 
 
+def _filled(values: list[np.ndarray], empty: float) -> np.ndarray:
+    """Arrays of different lengths as one, filled up with ``empty``."""
+    size = np.array([len(v) for v in values])
+    out = np.full((len(values), size.max(), *values[0].shape[1:]), empty, values[0].dtype)
+    out[np.arange(size.max()) < size[:, None]] = np.concatenate(values)
+    return out
+
+
+def _polygon_overlays(pairs: list[tuple[list[np.ndarray], list[np.ndarray]]]) -> list[tuple[float, bool] | None]:
+    """``overlay`` of many pairs of polygons: those of like size are cut together, some ``AT_ONCE`` pairs of edges at a time."""
+    out: list[tuple[float, bool] | None] = [None] * len(pairs)
+    ready = []
+    for k, (parts, polygon) in enumerate(pairs):
+        polygon = [p for p in polygon if len(p) > 2]
+        if not polygon or not parts:
+            continue
+        origin = polygon[0][0]
+        own, mine = _segments([p - origin for p in parts if len(p) > 2], True)
+        edges, of = _segments([p - origin for p in polygon], True)
+        if len(own):
+            near = TOLERANCE * max(max(np.abs(p - origin).max() for p in parts), np.abs(edges).max(initial=0.0), 1e-300)
+            ready.append((len(own), len(edges), k, own, mine, edges, of, near))
+    ready.sort(key=lambda r: r[:3])
+    at = 0
+    while at < len(ready):
+        upto, most = at + 1, ready[at][1]
+        while upto < len(ready) and (upto + 1 - at) * ready[upto][0] * max(most, ready[upto][1]) <= AT_ONCE:
+            most = max(most, ready[upto][1])
+            upto += 1
+        some = ready[at:upto]
+        a, ring_a, b, ring_b = (_filled([r[c] for r in some], empty) for c, empty in ((3, np.nan), (4, -1), (5, np.nan), (6, -1)))
+        for r, area, holds, met in zip(some, *_areas(a, ring_a, b, ring_b, np.array([r[7] for r in some])), strict=True):
+            if met:
+                out[r[2]] = (float(area), bool(holds))
+        at = upto
+    return out
+
+
 def _overlays(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = []
-        for r in batch.to_pylist():
-            found = overlay(r["kind"], _parts(r["parts"]), _parts(r["polygon"]))
-            if found:
-                rows.append((r["location_id"], r["feature_id"], *found))
+        given = batch.to_pylist()
+        shapes = [(_parts(r["parts"]), _parts(r["polygon"])) for r in given]
+        polygons = [k for k, r in enumerate(given) if r["kind"] not in ("point", "line")]
+        found = dict(zip(polygons, _polygon_overlays([shapes[k] for k in polygons]), strict=True))
+        found |= {k: overlay(r["kind"], *shapes[k]) for k, r in enumerate(given) if r["kind"] in ("point", "line")}
+        rows = [(r["location_id"], r["feature_id"], *found[k]) for k, r in enumerate(given) if found[k]]
         columns = list(zip(*rows, strict=True)) or [(), (), (), ()]
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64(), pa.bool_()), strict=True)], names=["location_id", "feature_id", "overlap", "contains_input"])
 
@@ -181,7 +241,9 @@ def shape_match(locations: DataFrame, features: DataFrame, cell: float = CELL) -
     low = lambda axis: F.greatest(F.floor(F.col(f"a.{axis}0") / cell), F.floor(F.col(f"b.{axis}0") / cell))
     meets = (F.col("a.x0") <= F.col("b.x1")) & (F.col("a.x1") >= F.col("b.x0")) & (F.col("a.y0") <= F.col("b.y1")) & (F.col("a.y1") >= F.col("b.y0"))
     pairs = spread(a, "a").join(spread(b, "b"), ["gx", "gy"]).where((F.col("gx") == low("x")) & (F.col("gy") == low("y")) & meets)
-    return pairs.select("location_id", "kind", "parts", "feature_id", "polygon").mapInArrow(_overlays, "location_id long, feature_id long, overlap double, contains_input boolean")
+    # Small tables meet in few tasks; the cutting is dealt over all cores.
+    dealt = pairs.select("location_id", "kind", "parts", "feature_id", "polygon").repartition(features.sparkSession.sparkContext.defaultParallelism * 4, "location_id", "feature_id")
+    return dealt.mapInArrow(_overlays, "location_id long, feature_id long, overlap double, contains_input boolean")
 
 
 def _span(a: Column, b: Column, low: Column, high: Column) -> tuple[Column, Column]:

@@ -125,3 +125,23 @@ def test_frontage_along_a_curve(spark):
     for r in frontage_pieces(lots, lines, buffer_m=8.0).where("feature_id = 1").collect():
         by_edge[r["edge"]] = by_edge.get(r["edge"], 0.0) + r["length_m"]
     assert {e: round(v, 1) for e, v in by_edge.items()} == {e: round(v, 1) for e, v in pieces.items() if v}
+
+
+def test_small_tables_are_cut_in_many_tasks(spark):
+    """A handful of shapes meets in one task; the cutting of its pairs must not stay there."""
+    ring = "array(array(struct(0.0D + id % 8 AS x, 0.0D AS y), struct(1.5D + id % 8 AS x, 0.0D AS y), struct(1.5D + id % 8 AS x, 1.0D AS y)))"
+    rows = spark.range(0, 64, 1, 1).selectExpr("id", "'polygon' AS kind", f"{ring} AS parts")
+    out = shape_match(rows.withColumnRenamed("id", "location_id"), rows.selectExpr("id AS feature_id", "parts"), cell=1.0)
+    tasks = out.selectExpr("spark_partition_id() AS p").groupBy("p").count().collect()
+    assert len(tasks) > 1 and max(t["count"] for t in tasks) < sum(t["count"] for t in tasks) / 2
+
+
+def test_pairs_cut_together_are_as_alone():
+    from cadastra.operators.shapes import _polygon_overlays
+
+    rng = np.random.default_rng(5)
+    star = lambda n: [np.c_[np.cos(a), np.sin(a)] * rng.uniform(0.3, 1, (n, 1)) + rng.uniform(-0.5, 0.5, 2) for a in [np.sort(rng.uniform(0, 2 * np.pi, n))]]
+    pairs = [(star(3 + k % 11), [*star(4 + k % 7), SQUARE / 8]) for k in range(200)] + [([], [SQUARE]), ([SQUARE], [SQUARE[:2]]), ([SQUARE[:2]], [SQUARE]), ([SQUARE + (9, 9)], [SQUARE])]
+    for got, (a, b) in zip(_polygon_overlays(pairs), pairs, strict=True):
+        alone = overlay("polygon", a, b)
+        assert (got is None) == (alone is None) and (got is None or (got[0] == pytest.approx(alone[0], abs=1e-12) and got[1] == alone[1]))
