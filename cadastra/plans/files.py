@@ -90,11 +90,11 @@ def src_dataset_version(t):
 def src_ingest_dir(t):
     """A file for each document: some of another kind, some with bytes that are no text; all have an outcome."""
     path = shared_path(t.spark, "inbox")
-    docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     k = F.col("doc_id")
-    docs.where(k % 10 == 3).write.partitionBy("doc_id").csv(path)
+    docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     broken = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFFE"))).cast("string")
-    docs.where(k % 10 != 3).withColumn("text", F.when(k % 7 == 5, broken).otherwise(F.col("text"))).write.mode("append").partitionBy("doc_id").text(path)
+    files.write_each(docs.where(k % 10 == 3), f"{path}/tables", "doc_id", "csv")
+    files.write_each(docs.where(k % 10 != 3).withColumn("text", F.when(k % 7 == 5, broken).otherwise(F.col("text"))), f"{path}/texts", "doc_id", "text")
     found = files.ingest_outcomes(t.spark, path).where("path not like '%/\\_SUCCESS'")
     whole = F.col("status") == "ingested"
     return found.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "status", "reason", F.when(whole, F.col("sha256")).alias("sha256"), F.when(whole, F.size(F.split("text", "\n")).cast("long") - 1).alias("n_lines"))

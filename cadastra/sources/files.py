@@ -24,6 +24,16 @@ def file_identity(files: DataFrame) -> DataFrame:
     return files.withColumn("sha256", F.sha2("content", 256)).withColumn("mime_type", media_type(F.col("path")))
 
 
+def write_each(df: DataFrame, path: str, key: str, kind: str, folders: int = 256) -> None:
+    """A file for each ``key`` under a new directory, as ``folder=…/key=…``, in the format ``kind``.
+
+    Files are dealt over all cores by folder, however few tasks ``df`` has. A folder belongs to one task, so that
+    a commit moves folders, not files, and whoever lists the directory lists a folder in one task.
+    """
+    dealt = df.withColumn("folder", F.pmod(F.xxhash64(key), F.lit(folders)).cast("int"))
+    dealt.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, "folder").write.partitionBy("folder", key).format(kind).save(path)
+
+
 def ingest_files(spark: SparkSession, path: str) -> DataFrame:
     """Text files under a directory: path, text, sha256, mime_type; other suffixes are left out."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
