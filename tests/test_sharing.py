@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import pytest
+from pyspark.sql import functions as F
 
 from cadastra.operators import evidence as E
 from cadastra.operators import retrieval as R
@@ -125,3 +126,30 @@ def test_a_graph_within_documents(spark):
     part = G.within(g, spark.createDataFrame([(2,)], "document_id long"))
     assert [r["document_id"] for r in part.facts.collect()] == [2] and [r["fragment_id"] for r in part.sources.collect()] == [20]
     assert {r["document_id"] for r in part.participants.collect()} == {2} and part.edges.count() == 1
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_equal_texts_are_read_once(spark, monkeypatch, broadcast):
+    """Frequent, rare and null texts give all their rows, whichever way what was read meets them."""
+    from cadastra.operators import sharing
+
+    monkeypatch.setattr(sharing, "BROADCAST_TEXTS", broadcast)
+    monkeypatch.setattr(sharing, "FREQUENT", 4)
+    sizes = []
+
+    def read(rows):
+        sizes.append(rows.count())
+        return rows.select("*", F.explode(F.split(F.coalesce("text", F.lit("none at all")), " ")).alias("word"))
+
+    text = F.when(F.col("id") % 5 == 0, None).when(F.col("id") % 2 == 0, "a b").otherwise(F.concat(F.lit("c "), (F.col("id") % 30).cast("string")))
+    rows = spark.range(300).select("id", text.alias("text"))
+    got = sharing.read_once(rows, "text", read)
+    assert got.columns == ["id", "text", "word"] and sizes == [14]
+    assert sorted(got.collect(), key=str) == sorted(read(rows).collect(), key=str)
+
+
+def test_few_equal_texts_are_read_where_they_are(spark):
+    from cadastra.operators.sharing import read_once
+
+    rows = spark.range(10).select("id", F.col("id").cast("string").alias("text"))
+    assert read_once(rows, "text", lambda r: r.withColumn("n", F.length("text"))).agg(F.sum("n")).first()[0] == 10
