@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cadastra.operators import blocks as B
+from cadastra.operators.sharing import read_once
 from cadastra.operators.structure import downgrade_duplicate_paths
 from cadastra.sources.lineage import cut
 
@@ -69,8 +70,12 @@ def segments(blocks: DataFrame, rules: Rules) -> DataFrame:
     return each.withColumn("block_type", block_type).withColumn("raw_text", F.col("__piece")).withColumn("__whole", F.col("__pieces").isNull()).drop("__pieces", "__piece")
 
 
+#: Columns that say what a block is; blocks that are alike in them are read once.
+SAID = ("raw_text", "block_type", "is_boilerplate", "normalized_text")
+
+
 def read_blocks(blocks: DataFrame, rules: Rules) -> DataFrame:
-    """One row for each piece, with all that the fold has to know of it. Nothing is filtered on what is read
+    """One row for each piece, with all that the fold has to know of it, beside the other columns of ``blocks``. Nothing is filtered on what is read
     out of a text: the optimiser would move such a filter down and repeat all patterns in it."""
     shown = blocks.where(~F.coalesce("is_boilerplate", F.lit(False)) & ~F.col("block_type").isin("header", "footer") & F.col("raw_text").rlike(r"\S"))
     text = B.normalize_text(F.col("raw_text"))
@@ -96,7 +101,7 @@ def read_blocks(blocks: DataFrame, rules: Rules) -> DataFrame:
     return (
         read.withColumn("cite", F.when(F.col("cite").isNotNull() & fits, F.col("cite")))
         .select(
-            "document_id", F.col("page_number").cast("long").alias("page_number"), F.col("reading_order").cast("long").alias("reading_order"), F.col("segment").cast("int").alias("segment"), "text",
+            *[c for c in blocks.columns if c not in SAID], F.col("segment").cast("int").alias("segment"), "text",
             F.when(F.col("is_value"), "paragraph").otherwise(kind).alias("kind"), "is_value",
             F.col("cite.type").alias("cited"), F.col("cite.label").alias("label"), F.col("cite.level").alias("level"), F.col("cite.confidence").alias("sure"),
             (term.rlike(rules.defined_term) | term.rlike(TERM_REFERENCE)).alias("defines"),
@@ -254,12 +259,21 @@ def hierarchy_full(blocks: DataFrame, rules: Rules = Rules()) -> DataFrame:  # n
     citation_label, citation_path, parse_status, confidence, duplicate_citation_path.
 
     Boilerplate, headers, footers, blank blocks and tables give no fragment. Blocks without a document
-    go; those without a type count as paragraphs; rows that repeat a place are taken by their text.
+    go; those without a type count as paragraphs, and all are classified by their text where there is no column block_type; rows that repeat a place are taken by their text.
     A list of definitions that is the first fragment of its document does not hold definitions in prose.
     Documents are dealt by id and sorted by Spark; a document is one fold, in one task. The fragments are
     written once, since their duplicate paths are counted.
     """
-    rows = read_blocks(blocks.where("document_id is not null").withColumn("block_type", F.coalesce("block_type", F.lit("paragraph"))), rules)
+    said = F.struct(*[c for c in SAID if c in blocks.columns]).alias("__said")
+    typed = "block_type" in blocks.columns
+
+    def read(rows: DataFrame) -> DataFrame:
+        each = rows.select("*", "__said.*")
+        kind = F.coalesce("block_type", F.lit("paragraph")) if typed else B.classify_block(F.col("raw_text"))
+        return read_blocks(each.withColumn("block_type", kind), rules)
+
+    placed = blocks.where("document_id is not null").select("document_id", F.col("page_number").cast("long").alias("page_number"), F.col("reading_order").cast("long").alias("reading_order"), said)
+    rows = read_once(placed, "__said", read).drop("__said")
     order = ["document_id", "reading_order", "segment", "page_number", "text"]
     fragments = rows.repartition("document_id").sortWithinPartitions(*order).mapInArrow(_fold(rules.promote_romans), _FRAGMENT)
     return downgrade_duplicate_paths(cut(fragments))
