@@ -39,3 +39,31 @@ def test_condition_edges_lead_to_sections(spark):
 def test_ids_are_stable_and_apart(spark):
     row = spark.range(1).select(*[G.object_id(*[F.lit(p) for p in parts]).alias(f"c{i}") for i, parts in enumerate([("a", "bc"), ("ab", "c"), ("a", "bc"), ("a", None), ("a", "")])]).first()
     assert row["c0"] == row["c2"] != row["c1"] and row["c3"] == row["c4"] and len(row["c0"]) == 32
+
+
+def test_walk_reads_no_more_than_the_nodes_that_count(spark, monkeypatch):
+    facts = spark.range(400).selectExpr("id as fact_id", "if(id % 2 = 0, 'permission', 'definition') as relation_type")
+    participants = facts.selectExpr("fact_id", "9000L as entity_id", "'zone' as role")
+    sources = facts.selectExpr("fact_id", "fact_id + 10000 as fragment_id")
+    edges = spark.createDataFrame([], "source_kind string, source_id long, target_kind string, target_id long, edge_type string")
+    sections = spark.createDataFrame([], "entity_id long, fragment_id long")
+    seeds = spark.createDataFrame([(q, q) for q in range(3)], "question_id long, fact_id long")
+    kept, write = [], R.written
+
+    def count(df):
+        out = write(df)
+        kept.append((out.columns, out.count()))
+        return out
+
+    monkeypatch.setattr(R, "written", count)
+    found = {}
+    for r in R.walk_facts(seeds, participants, facts, edges, sources, sections).orderBy("question_id", "rank").collect():
+        found.setdefault(r["question_id"], []).append((r["fragment_id"] - 10000, r["depth"], r["expansion"], r["score"]))
+    for q in range(3):
+        # Definitions come before permissions, by id; the question's own fact is the first.
+        want = [(q, 0, "semantic_fact_source", 8.0)] + [(i, 2, "semantic_fact_source", 7.0) for i in range(1, 400, 2) if i != q]
+        assert found[q] == want[:25]
+    # 25 of the 200 nodes of the second level give all that a question lacks.
+    assert sum(n for columns, n in kept if "order" in columns) <= 3 * 26
+    hops = participants.selectExpr("0 as from_fact", "entity_id as from_id", "1 as fact", "fact_id as id", "200 as place")
+    assert sorted(r["id"] for r in R._first_hops(hops, 300).collect()) == list(range(300)) and R._first_hops(hops, 400) is hops
