@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from cadastra.operators import structure as T
 
 
@@ -26,3 +28,22 @@ def test_outline_of_many_levels(spark):
     got = {r["idx"]: r["parent_idx"] for r in T.hierarchy_parent(f).collect()}
     want = {i: max((j for j in range(i) if levels[j] < v), default=None) for i, v in enumerate(levels)}
     assert got == want
+
+
+def test_rows_under_one_parent_stay_spread(spark):
+    """No task gets all that hangs on one fragment, whether it is a root or further down."""
+    rows = [(0, None), (1, 0)] + [(i, i % 2) for i in range(2, 4002)]
+    f = spark.createDataFrame(rows, "fragment_id long, parent_fragment_id long")
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        climbed = T._climb(f, F.array("fragment_id"))
+        spread = [r["n"] for r in climbed.where("fragment_id > 1").groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+        held = {r["fragment_id"]: list(r["held"]) for r in climbed.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert held == {0: [0], 1: [0, 1], **{i: [0, 1, i] if i % 2 else [0, i] for i in range(2, 4002)}}
+    assert sum(spread) == 4000 and max(spread) < 1500
