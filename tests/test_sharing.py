@@ -153,3 +153,17 @@ def test_few_equal_texts_are_read_where_they_are(spark):
 
     rows = spark.range(10).select("id", F.col("id").cast("string").alias("text"))
     assert read_once(rows, "text", lambda r: r.withColumn("n", F.length("text"))).agg(F.sum("n")).first()[0] == 10
+
+
+def test_page_risk_counts_ranges_before_pages(spark, joined):
+    fragments = spark.createDataFrame([(1, i, "uncertain", 0, "clause", False, 1, 20) for i in range(1, 101)], "document_id long, fragment_id long, parse_status string, parent_fragment_id long, fragment_type string, duplicate boolean, page_start int, page_end int")
+    refs = fragments.selectExpr("fragment_id", "'unresolved' as status")
+    blocks = spark.createDataFrame([], "document_id long, page int, block_type string, is_boilerplate boolean, accounted boolean, fallback boolean")
+    rows, most = joined(T.page_risk(fragments, refs, blocks, spark.createDataFrame([], "document_id long, page int")))
+    assert {r["page"]: r["score"] for r in rows} == {p: 400 for p in range(1, 21)} and most <= 100
+
+
+def test_ancestors_of_some_fragments(spark):
+    f = spark.createDataFrame([(0, None), (1, 0), (2, 1), (3, 1), (4, 2)], "fragment_id long, parent_fragment_id long")
+    some = spark.createDataFrame([(0,), (2,), (3,)], "fragment_id long")
+    assert {r[0]: r[1] for r in T.ancestor_chain(f, some).collect()} == {2: [0, 1], 3: [0, 1]}
