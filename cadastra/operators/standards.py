@@ -8,11 +8,14 @@ joined within a document is one standard's marked tables, rules and blocks.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cadastra.operators.questions import STANDARD_ALIASES
-from cadastra.sources.lineage import cut
+from cadastra.operators.sharing import BROADCAST_ASKERS
+from cadastra.sources.lineage import cut, written
 
 # Words that mark a standard in a text, headings, and points of a source by what it says.
 STANDARD_MARKERS = {
@@ -81,13 +84,15 @@ def markers(standard: str) -> list[str]:
 
 
 def compact(t: Column) -> Column:
-    return F.regexp_replace(t, "[- ]", "")
+    return F.translate(t, "- ", "")
 
 
 def marked(text: Column, standard: Column) -> Column:
     """Whether a text holds a word of its standard; blanks and hyphens do not matter."""
-    words = F.create_map(*[x for s in STANDARD_MARKERS for x in (F.lit(s), F.array(*[F.lit(m) for m in markers(s)]))])
-    return F.coalesce(F.exists(F.try_element_at(words, standard), lambda m: F.contains(compact(F.lower(text)), m)), F.lit(False))
+    low, found = compact(F.lower(text)), F.when(standard.isNull(), False)
+    for s in STANDARD_MARKERS:
+        found = found.when(standard == s, low.rlike("|".join(re.escape(m) for m in markers(s))))  # a text is made compact once
+    return F.coalesce(found, F.lit(False))
 
 
 def names_zone(text: Column, zone: Column) -> Column:
@@ -118,7 +123,9 @@ def zone_sections(zones: DataFrame, blocks: DataFrame, fragments: DataFrame) ->
     upper = F.upper("text")
     clean = F.trim(F.regexp_replace(upper, r"\s+", " "))
     short = F.replace(F.upper("zone"), F.lit("-"), F.lit(""))
-    seen = blocks.select("document_id", "page_number", upper.alias("u"), clean.alias("clean"))
+    # A heading of any kind holds one of two words; only texts that do are moved and read by patterns.
+    bare = F.replace(upper, F.lit("-"), F.lit(""))
+    seen = written(blocks.where(bare.contains("ZONE") | bare.contains("BUILT")).select("document_id", "page_number", upper.alias("u"), clean.alias("clean")))
     holds = F.contains(F.replace(F.col("u"), F.lit("-"), F.lit("")), short)
     built, dots = F.col("clean").contains(BUILT_FORM), F.col("clean").contains(".....")
     tier = (
@@ -126,16 +133,15 @@ def zone_sections(zones: DataFrame, blocks: DataFrame, fragments: DataFrame) ->
         .when(built & holds, 2)
         .when(holds & ~dots & (F.col("u").rlike(ZONE_HEADING) | built), 3)
     )
-    by_block = zones.join(seen, "document_id").where(holds).withColumn("tier", tier).where("tier is not null").select("document_id", "zone", "tier", "page_number").distinct()
+    by_block = cut(zones.join(seen, "document_id").where(holds).withColumn("tier", tier).where("tier is not null").select("document_id", "zone", "tier", "page_number").distinct())
     left = zones.join(by_block, ["document_id", "zone"], "left_anti")
-    told = fragments.select("document_id", F.col("page_start").alias("page_number"), F.upper("text").alias("u"))
-    by_fragment = left.join(told, "document_id").where(holds).select("document_id", "zone", F.lit(4).alias("tier"), "page_number").distinct()
-    found = by_block.unionByName(by_fragment)
-    best = found.groupBy("document_id", "zone").agg(F.min("tier").alias("tier"))
-    pages = found.join(best, ["document_id", "zone", "tier"])
-    nth = F.row_number().over(Window.partitionBy("document_id", "zone").orderBy("page_number"))
-    firsts = pages.withColumn("n", nth).where("n <= 3").groupBy("document_id", "zone", "tier").agg(F.sort_array(F.collect_list("page_number")).alias("first_pages"))
-    starts = firsts.withColumn("start", F.col("first_pages")[0])
+    told = fragments.select("document_id", F.col("page_start").alias("page_number"), "text")
+    by_fragment = left.join(told, "document_id").where(F.contains(bare, short)).select("document_id", "zone", F.lit(4).alias("tier"), "page_number").distinct()
+    # The first pages of the best tier are the first of all by tier and page.
+    nth = F.row_number().over(Window.partitionBy("document_id", "zone").orderBy("tier", "page_number"))
+    firsts = by_block.unionByName(by_fragment).withColumn("n", nth).where("n <= 3").groupBy("document_id", "zone").agg(F.min("tier").alias("tier"), F.sort_array(F.collect_list(F.struct("tier", "page_number"))).alias("h"))
+    of_best = F.transform(F.filter("h", lambda x: x["tier"] == F.col("tier")), lambda x: x["page_number"])
+    starts = firsts.select("document_id", "zone", "tier", of_best.alias("first_pages")).withColumn("start", F.col("first_pages")[0])
     heads = seen.where(~dots & (built | F.col("clean").rlike(f"^(?:{ZONE_HEADING})$"))).select("document_id", F.col("page_number").alias("head")).distinct()
     after = starts.join(heads, "document_id").where("head > start").groupBy("document_id", "zone").agg(F.min("head").alias("head"))
     last = F.least(F.col("start") + SECTION_PAGES - 1, F.coalesce(F.col("head") - 1, F.col("start") + SECTION_PAGES - 1))
@@ -168,18 +174,18 @@ def get_standard(calls: DataFrame, blocks: DataFrame, tables: DataFrame, fragmen
     accessory = F.col("standard") == "accessory_structure"
     hit = ranged.join(told, "document_id").where((F.col("start").isNull() | within("page") | accessory) & marked(F.col("table_text"), F.col("standard")))
     t = F.lower("table_text")
-    hit = hit.where(~((F.col("standard") == "parking") & t.contains("parking lots and parking structures existing")) & ~(accessory & t.contains("deleted") & ~t.contains("may be located")))
+    hit = cut(hit.where(~((F.col("standard") == "parking") & t.contains("parking lots and parking structures existing")) & ~(accessory & t.contains("deleted") & ~t.contains("may be located"))))
     low = F.lower("text")
     words = low.contains("requirements") | low.contains("yard") | low.contains("height") | low.contains("frontage") | low.contains("lot area")
     spots = hit.select("document_id", "page", "zone").distinct()
     around = spots.join(blocks.withColumnRenamed("page_number", "page"), ["document_id", "page"]).where(words | F.coalesce(names_zone(F.col("text"), F.col("zone")), F.lit(False)))
     context = joined_blocks(around, ["document_id", "page", "zone"], ["reading_order"], "text", CONTEXT_BLOCKS).withColumnRenamed("joined", "context")
     clean = F.trim(F.regexp_replace("text", r"\s+", " "))
-    shown = sections.join(blocks, "document_id").where(F.col("page_number").between(F.col("start"), F.least(F.col("last"), F.col("start") + INTRO_PAGES - 1)))
-    forms = F.upper(clean).isin(F.concat(F.upper("zone"), F.lit(" ZONE"))) | (F.upper(clean) == F.concat(F.replace(F.upper("zone"), F.lit("-"), F.lit("")), F.lit(" ZONE")))
-    general = (F.length(clean) < 120) & (low.contains("multiple dwelling zone") | low.contains("general residential"))
+    general = low.contains("multiple dwelling zone") | low.contains("general residential")
     rule = low.contains("where any building") & low.contains("shall comply with the following requirements")
-    intro = joined_blocks(shown.where(forms | general | rule), ["document_id", "zone"], ["page_number", "reading_order"], "text", INTRO_BLOCKS).withColumnRenamed("joined", "intro")
+    shown = sections.join(blocks.where(F.upper("text").contains("ZONE") | general | rule), "document_id").where(F.col("page_number").between(F.col("start"), F.least(F.col("last"), F.col("start") + INTRO_PAGES - 1)))
+    forms = F.upper(clean).isin(F.concat(F.upper("zone"), F.lit(" ZONE"))) | (F.upper(clean) == F.concat(F.replace(F.upper("zone"), F.lit("-"), F.lit("")), F.lit(" ZONE")))
+    intro = joined_blocks(shown.where(forms | (general & (F.length(clean) < 120)) | rule), ["document_id", "zone"], ["page_number", "reading_order"], "text", INTRO_BLOCKS).withColumnRenamed("joined", "intro")
     beside_it = context.select(F.col("document_id").alias("__d"), F.col("page").alias("__p"), F.col("zone").alias("__z"), "context")
     here_too = (F.col("document_id") == F.col("__d")) & (F.col("page") == F.col("__p")) & F.col("zone").eqNullSafe(F.col("__z"))
     placed = hit.join(intro, ["document_id", "zone"], "left").join(beside_it, here_too, "left").drop("__d", "__p", "__z")
@@ -194,29 +200,37 @@ def get_standard(calls: DataFrame, blocks: DataFrame, tables: DataFrame, fragmen
     found = placed.where(fits).select("question_id", F.lit("table").alias("stage"), "tier", F.col("table_id").alias("source_table_id"), none.alias("source_fragment_id"), "page", score.alias("base_score"), "text")
 
     # Rules on the zone's pages, their children, and the blocks after them.
-    said = fragments.select("document_id", "fragment_id", "reading_order", F.col("page_start").alias("page"), "text", F.lower("text").alias("c"))
+    said = fragments.select("document_id", "fragment_id", "reading_order", F.col("page_start").alias("page"), "text")
     met = ranged.where(F.col("start").isNotNull() | accessory).join(said, "document_id")
     is_rule = F.col("start").isNotNull() & within("page") & marked(F.col("text"), F.col("standard"))
-    is_accessory = accessory & (F.col("c").contains("accessory building") | F.col("c").contains("accessory structure") | F.col("c").contains("footprint"))
+    is_accessory = accessory & (low.contains("accessory building") | low.contains("accessory structure") | low.contains("footprint"))
+    met = met.where(is_rule | is_accessory).withColumn("c", low)
     as_rule = F.struct(F.lit("rule").alias("stage"), (3.5 + points(RULE_POINTS)).alias("base_score"))
     as_accessory = F.struct(F.lit("accessory").alias("stage"), (4.0 + points(ACCESSORY_POINTS)).alias("base_score"))
     met = met.withColumn("as", F.explode(F.array_compact(F.array(F.when(is_rule, as_rule), F.when(is_accessory, as_accessory)))))
-    both = cut(met.select("question_id", "document_id", "zone", "standard", "tier", "fragment_id", "reading_order", "page", "text", "as.*"))
-    kids = fragments.select(F.col("parent_fragment_id").alias("parent"), "fragment_id", F.col("page_start").alias("kid_page"), F.col("text").alias("kid_text"))
-    kids = kids.where("parent is not null").withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("fragment_id"))).where((F.col("r") <= CHILDREN) & F.col("kid_text").rlike(CHILD_VALUE))
+    both = written(met.select("question_id", "document_id", "zone", "standard", "tier", "fragment_id", "reading_order", "page", "text", "as.*"))
     heads = both.where("stage = 'rule'").select("question_id", "tier", F.col("fragment_id").alias("parent"), (F.col("base_score") - 0.05).alias("base_score"))
+    kids = fragments.select(F.col("parent_fragment_id").alias("parent"), "fragment_id", F.col("page_start").alias("kid_page"), F.col("text").alias("kid_text")).where("parent is not null").join(heads.select("parent"), "parent", "left_semi")
+    kids = kids.withColumn("r", F.row_number().over(Window.partitionBy("parent").orderBy("fragment_id"))).where((F.col("r") <= CHILDREN) & F.col("kid_text").rlike(CHILD_VALUE))
     children = heads.join(kids, "parent").select("question_id", F.lit("child").alias("stage"), "tier", none.alias("source_table_id"), F.col("fragment_id").alias("source_fragment_id"), F.col("kid_page").alias("page"), "base_score", F.col("kid_text").alias("text"))
-    spread = both.where("reading_order is not null").select("document_id", "fragment_id", F.explode(F.sequence("reading_order", F.col("reading_order") + NEAR_BLOCKS)).alias("reading_order")).distinct()
-    near = joined_blocks(spread.join(blocks.select("document_id", "reading_order", "text"), ["document_id", "reading_order"]), ["document_id", "fragment_id"], ["reading_order"], "text")
-    beside = both.drop("text").join(near, ["document_id", "fragment_id"]).withColumn("c", F.lower("joined")).withColumn("has_measure", F.col("c").rlike(MEASURE))
-    beside = beside.where(marked(F.col("joined"), F.col("standard")) | F.col("joined").rlike(r"\d"))
+    # Blocks meet a rule by stretches of as many numbers as are near it, of which it touches two at most.
+    stretch = f"{NEAR_BLOCKS + 1}"
+    spread = both.where("reading_order is not null").select("document_id", "fragment_id", F.col("reading_order").alias("o")).distinct().withColumn("stretch", F.explode(F.expr(f"sequence(o div {stretch}, (o + {NEAR_BLOCKS}) div {stretch})")))
+    lined = blocks.select("document_id", "reading_order", "text", F.expr(f"reading_order div {stretch}").alias("stretch"))
+    near = joined_blocks(spread.join(lined, ["document_id", "stretch"]).where(F.col("reading_order").between(F.col("o"), F.col("o") + NEAR_BLOCKS)), ["document_id", "fragment_id"], ["reading_order"], "text")
+    beside = both.drop("text").join(near, ["document_id", "fragment_id"]).where(F.col("joined").rlike(r"\d") | marked(F.col("joined"), F.col("standard")))
+    beside = beside.withColumn("c", F.lower("joined")).withColumn("has_measure", F.col("c").rlike(MEASURE))
     near_score = F.col("base_score") - 0.03 + points(NEAR_POINTS) + F.when(F.coalesce(names_zone(F.col("joined"), F.col("zone")), F.lit(False)), 0.35).otherwise(0.0)
     near_rows = beside.select("question_id", F.lit("near").alias("stage"), "tier", none.alias("source_table_id"), F.col("fragment_id").alias("source_fragment_id"), "page", near_score.alias("base_score"), F.col("joined").alias("text"))
     own = both.select("question_id", "stage", "tier", none.alias("source_table_id"), F.col("fragment_id").alias("source_fragment_id"), "page", "base_score", "text")
 
     # Blocks about parking for the use.
     terms = F.filter(F.split(F.regexp_replace("use_low", "[^a-z0-9]+", " "), " "), lambda w: F.length(w) > 2)
-    parking = ranged.where("standard = 'parking' and use_low is not null").withColumn("terms", terms).join(blocks.select("document_id", "page_number", "reading_order", "text", F.lower("text").alias("c")), "document_id")
+    parking = ranged.where("standard = 'parking' and use_low is not null").withColumn("terms", terms)
+    asked_of = parking.select("document_id").distinct()
+    # Most documents are not asked about parking: their blocks are not moved where the others can be broadcast.
+    told = blocks.join(F.broadcast(asked_of), "document_id", "left_semi") if asked_of.count() <= BROADCAST_ASKERS else blocks
+    parking = parking.join(told.select("document_id", "page_number", "reading_order", "text"), "document_id").withColumn("c", F.lower("text"))
     any_term = parking.where(F.exists("terms", lambda w: F.contains("c", w)))
     first = any_term.withColumn("r", F.row_number().over(Window.partitionBy("question_id").orderBy("page_number", "reading_order"))).where(F.col("r") <= 5 * k)
     named = first.where(F.forall("terms", lambda w: F.contains("c", w)) & (F.col("c").contains("parking") | F.col("c").contains("accommodation")))
@@ -224,7 +238,9 @@ def get_standard(calls: DataFrame, blocks: DataFrame, tables: DataFrame, fragmen
     uses = named.select("question_id", F.lit("parking").alias("stage"), "tier", none.alias("source_table_id"), F.col("reading_order").alias("source_fragment_id"), F.col("page_number").alias("page"), use_score.alias("base_score"), "text")
 
     every = found.unionByName(own).unionByName(children).unionByName(near_rows).unionByName(uses)
-    every = every.withColumn("base_score", F.round("base_score", 6)).groupBy("question_id", "stage", "source_table_id", "source_fragment_id").agg(F.max(F.struct("base_score", "tier", "page", "text")).alias("b"))
+    # One exchange by call: the best of a source's rows, then the best sources.
+    best = Window.partitionBy("question_id", "stage", "source_table_id", "source_fragment_id").orderBy(*[F.desc(c) for c in ("base_score", "tier", "page", "text")])
+    every = every.withColumn("base_score", F.round("base_score", 6)).repartition("question_id").withColumn("n", F.row_number().over(best)).where("n = 1")
     order = F.expr("CASE stage WHEN 'table' THEN 0 WHEN 'rule' THEN 1 WHEN 'child' THEN 2 WHEN 'near' THEN 3 WHEN 'accessory' THEN 4 ELSE 5 END")
-    ranked = every.select("question_id", "stage", "source_table_id", "source_fragment_id", "b.*").withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("base_score"), order, F.coalesce("source_table_id", "source_fragment_id"))))
+    ranked = every.withColumn("rank", F.row_number().over(Window.partitionBy("question_id").orderBy(F.desc("base_score"), order, F.coalesce("source_table_id", "source_fragment_id"))))
     return ranked.where(F.col("rank") <= max(k, 8)).select("question_id", "rank", "stage", "tier", "source_table_id", "source_fragment_id", "page", "base_score", "text")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from cadastra.operators import standards as S
 from cadastra.plans.base import query
-from cadastra.sources.lineage import cut
+from cadastra.sources.lineage import written
 
 
 def _points(rules: tuple[tuple[str, float], ...]) -> str:
@@ -83,6 +83,6 @@ GET_STANDARD = rf"""
 @query("get_standard", GET_STANDARD)
 def get_standard(t):
     """Calls of all customers, each about the by-law of one customer."""
-    lines = cut(t.d_zoning)  # derived once; blocks, fragments and tables read it
+    lines = written(t.d_zoning)  # derived once; blocks, fragments and tables read it
     fragments = lines.select("document_id", "fragment_id", "parent_fragment_id", F.col("page_number").alias("page_start"), "reading_order", "text")
-    return S.get_standard(t.d_standard_calls, lines, t.d_zoning_tables, fragments)
+    return S.get_standard(t.d_standard_calls, lines, t.derived("d_zoning_tables", d_zoning=lines), fragments)
