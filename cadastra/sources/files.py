@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cadastra.sources.lineage import cut
+from cadastra.sources.lineage import cut, written
 
 #: Media types by suffix.
 MEDIA_TYPES = {".pdf": "application/pdf", ".txt": "text/plain", ".text": "text/plain", ".md": "text/markdown", ".json": "application/json", ".geojson": "application/geo+json", ".html": "text/html"}
@@ -117,17 +117,31 @@ def append_runs(df: DataFrame, path: str, partition: str = "run_date", run: str
     append_trace(df, path, partition)
 
 
+#: Ids of replaced documents that are broadcast; more meet the table by a shuffle. Files of a bucket at which they are put together.
+BROADCAST_DOCUMENTS, BUCKET_FILES = 2_000_000, 16
+
+
 def replace_documents(df: DataFrame, path: str, document_id: str = "document_id", buckets: int = 64) -> None:
     """Puts the rows of ``df`` in place of all rows that the table at ``path`` has of its documents.
 
     The table is partitioned by a hash bucket of the document. Only buckets with a document of ``df`` are
-    written anew, with what they hold of other documents; a run that is repeated changes nothing.
+    written anew, with what they hold of other documents; a run that is repeated changes nothing. Just the rows
+    of ``df`` are moved: the others are read by bucket already, and what was read is replaced when all tasks have
+    ended. Buckets of many files are dealt anew.
     """
     spark = df.sparkSession
     new = df.withColumn("bucket", F.pmod(F.xxhash64(document_id), F.lit(buckets)).cast("int"))
     table = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if table.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(table):
-        touched = new.select("bucket").distinct()  # ``buckets`` rows at most
-        others = spark.read.parquet(path).join(F.broadcast(touched), "bucket", "left_semi").join(new.select(document_id).distinct(), document_id, "left_anti")
-        new = cut(new.unionByName(others))  # before its own files are replaced
-    replace_partitions(new.repartition("bucket"), path, "bucket")
+    if not table.getFileSystem(spark._jsc.sc().hadoopConfiguration()).exists(table):
+        return replace_partitions(new.hint("rebalance", "bucket"), path, "bucket")
+    new = written(new)  # read for its buckets, its documents and its rows
+    touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # ``buckets`` rows at most
+    gone = new.select(document_id).distinct()
+    held = spark.read.parquet(path).where(F.col("bucket").isin(touched))
+    others = held.join(F.broadcast(gone) if gone.count() <= BROADCAST_DOCUMENTS else gone, document_id, "left_anti")
+    names = tuple(f"/bucket={b}/" for b in touched)
+    if sum(any(n in f for n in names) for f in held.inputFiles()) > BUCKET_FILES * len(touched):
+        rows = new.unionByName(others).hint("rebalance", "bucket")
+    else:
+        rows = new.hint("rebalance", "bucket").unionByName(others)
+    replace_partitions(rows, path, "bucket")
