@@ -93,8 +93,8 @@ def src_ingest_dir(t):
     k = F.col("doc_id")
     docs = t.documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     broken = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFFE"))).cast("string")
-    files.write_each(docs.where(k % 10 == 3), f"{path}/tables", "doc_id", "csv")
-    files.write_each(docs.where(k % 10 != 3).withColumn("text", F.when(k % 7 == 5, broken).otherwise(F.col("text"))), f"{path}/texts", "doc_id", "text")
+    files.write_each(docs.where(k % 10 == 3), f"{path}/tables", "doc_id", "csv", nested=False)
+    files.write_each(docs.where(k % 10 != 3).withColumn("text", F.when(k % 7 == 5, broken).otherwise(F.col("text"))), f"{path}/texts", "doc_id", "text", nested=False)
     found = files.ingest_outcomes(t.spark, path).where("path not like '%/\\_SUCCESS'")
     whole = F.col("status") == "ingested"
-    return found.select(F.regexp_extract("path", r"doc_id=(\d+)/", 1).cast("long").alias("doc_id"), "status", "reason", F.when(whole, F.col("sha256")).alias("sha256"), F.when(whole, F.size(F.split("text", "\n")).cast("long") - 1).alias("n_lines"))
+    return found.select(F.regexp_extract("path", r"doc_id=(\d+)[/.]", 1).cast("long").alias("doc_id"), "status", "reason", F.when(whole, F.col("sha256")).alias("sha256"), F.when(whole, F.size(F.split("text", "\n")).cast("long") - 1).alias("n_lines"))

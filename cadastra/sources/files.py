@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import itertools
+import os
+import uuid
+from collections.abc import Callable, Iterator
+
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from cadastra.sources.lineage import cut, written
 
@@ -24,14 +31,62 @@ def file_identity(files: DataFrame) -> DataFrame:
     return files.withColumn("sha256", F.sha2("content", 256)).withColumn("mime_type", media_type(F.col("path")))
 
 
-def write_each(df: DataFrame, path: str, key: str, kind: str, folders: int = 256) -> None:
+#: Suffixes of the formats of which a row is a line of text.
+LINES = {"text": "txt", "csv": "csv"}
+
+
+def write_each(df: DataFrame, path: str, key: str, kind: str, folders: int = 256, nested: bool = True) -> None:
     """A file for each ``key`` under a new directory, as ``folder=…/key=…``, in the format ``kind``.
 
     Files are dealt over all cores by folder, however few tasks ``df`` has. A folder belongs to one task, so that
-    a commit moves folders, not files, and whoever lists the directory lists a folder in one task.
+    whoever lists the directory lists a folder in one task. Where the directory is on a mounted file system, tasks
+    open their files themselves: Hadoop's local file system starts a process or two for each file. Other stores
+    get them by Spark's writer, whose commit moves folders, not files. Without ``nested``, files that tasks open
+    themselves have no folder of their own, which takes a block of the disk each, and are named ``key=….suffix``.
     """
-    dealt = df.withColumn("folder", F.pmod(F.xxhash64(key), F.lit(folders)).cast("int"))
-    dealt.repartition(df.sparkSession.sparkContext.defaultParallelism * 4, "folder").write.partitionBy("folder", key).format(kind).save(path)
+    spark = df.sparkSession
+    dealt = df.withColumn("folder", F.pmod(F.xxhash64(key), F.lit(folders)).cast("int")).repartition(spark.sparkContext.defaultParallelism * 4, "folder")
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    store = place.getFileSystem(spark._jsc.sc().hadoopConfiguration())
+    at = store.makeQualified(place).toUri()
+    if at.getScheme() != "file" or kind not in LINES or not isinstance(df.schema[key].dataType, IntegralType):
+        dealt.write.partitionBy("folder", key).format(kind).save(path)
+        return
+    if store.exists(place):
+        raise FileExistsError(path)
+    os.makedirs(at.getPath())  # there even without a row
+    rest = [c for c in df.columns if c != key]
+    if kind == "csv":  # as Spark's writer: a row of nulls is no line; to_csv fails on it
+        line = F.when(F.greatest(F.lit(False), *[F.isnotnull(c) for c in rest]), F.concat(F.to_csv(F.struct(*rest)), F.lit("\n")))
+    else:
+        [text] = rest
+        line = F.concat(F.coalesce(text, F.lit("")), F.lit("\n"))
+    rows = dealt.select("folder", key, line.cast("binary").alias("line")).sortWithinPartitions("folder", key)
+    rows.mapInArrow(_own_files(at.getPath(), key, LINES[kind], nested), "n long").agg(F.sum("n")).collect()
+
+
+def _own_files(path: str, key: str, suffix: str, nested: bool) -> Callable[[Iterator], Iterator]:
+    """Writes the rows of a task (folder, key, line), sorted by key, a file for each key; a file is there whole or not at all."""
+
+    run = uuid.uuid4()
+
+    def write(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        task, n = TaskContext.get(), 0
+        rows = (row for b in batches for row in zip(*[c.to_pylist() for c in b.columns], strict=True))
+        for (folder, value), lines in itertools.groupby(rows, key=lambda row: row[:2]):
+            name = f"{key}={'__HIVE_DEFAULT_PARTITION__' if value is None else value}"
+            home, name = (f"{path}/folder={folder}/{name}", f"part-{task.partitionId():05d}-{run}") if nested else (f"{path}/folder={folder}", name)
+            os.makedirs(home, exist_ok=True)
+            begun = f"{home}/.{name}-{task.taskAttemptId()}"
+            with open(begun, "wb") as f:
+                f.writelines(line or b"" for *_, line in lines)
+            os.replace(begun, f"{home}/{name}.{suffix}")
+            n += 1
+        yield pa.RecordBatch.from_pydict({"n": pa.array([n], pa.int64())})
+
+    return write
 
 
 def ingest_files(spark: SparkSession, path: str) -> DataFrame:
@@ -46,9 +101,11 @@ def ingest_outcomes(spark: SparkSession, path: str) -> DataFrame:
 
     A text file is ``ingested``; one that is no UTF-8 or holds no words is ``failed``, other suffixes are
     ``skipped``, both with the reason and without a text. No file stops the others. Texts are read by the
-    tasks; the content of skipped files is hashed, not kept.
+    tasks; the content of skipped files is hashed, not kept. Spark would read some thirty small files a task: as many
+    tasks as the session has room for read them all.
     """
-    files = file_identity(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path))
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    files = file_identity(found.coalesce(spark.sparkContext.defaultParallelism * 4))
     suffix = F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1))
     text = F.try_validate_utf8(F.col("content").cast("string"))
     reason = F.when(~suffix.isin("txt", "text", "md"), F.concat(F.lit("unsupported suffix "), suffix)).when(text.isNull(), "not UTF-8").when(~text.rlike(r"\S"), "empty")

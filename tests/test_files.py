@@ -18,6 +18,29 @@ def test_each_key_has_its_file_and_tasks_share_them(spark, tmp_path):
     assert len({r.task for r in rows}) > 4
 
 
+@pytest.mark.parametrize("kind", ["text", "csv"])
+def test_tasks_open_files_of_a_mounted_folder_themselves(spark, tmp_path, monkeypatch, kind):
+    texts = ["", "a,b", 'say "x"', " two\nlines ", "caf\u00e9", "x"]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(5, "y"), (7, None)], "doc_id long, text string")
+    docs = docs.withColumn("text", F.when(F.col("doc_id") == 4, F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FFFE"))).cast("string")).otherwise(F.col("text")))
+    write_each(docs, f"{tmp_path}/own", "doc_id", kind)
+    monkeypatch.setattr(files, "LINES", {})
+    write_each(docs, f"{tmp_path}/spark", "doc_id", kind)
+    held = lambda top: {p.parent.name: (p.suffix, sorted(p.read_bytes().split(b"\n"))) for p in (tmp_path / top).rglob("part-*")}
+    assert held("own") == held("spark") and len(held("own")) == 7
+    assert not list((tmp_path / "own").rglob(".*"))  # no checksum files, each of which took a process
+    monkeypatch.undo()
+    write_each(docs, f"{tmp_path}/flat", "doc_id", kind, nested=False)
+    assert {p.stem: (p.suffix, sorted(p.read_bytes().split(b"\n"))) for p in (tmp_path / "flat").glob("folder=*/*")} == held("spark")
+
+
+def test_many_small_files_are_read_in_few_tasks(spark, tmp_path):
+    write_each(spark.range(800).select(F.col("id").alias("doc_id"), F.lit("a").alias("text")), f"{tmp_path}/all", "doc_id", "text")
+    found = ingest_outcomes(spark, f"{tmp_path}/all")
+    assert found.count() == found.where("status = 'ingested'").count() == 800
+    assert found.select(F.spark_partition_id().alias("p")).distinct().count() <= spark.sparkContext.defaultParallelism * 4  # it was 25
+
+
 def test_replacing_documents_moves_their_rows_only(spark, tmp_path, monkeypatch):
     path, moved, put = str(tmp_path / "t"), [], files.replace_partitions
 
