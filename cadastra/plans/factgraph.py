@@ -53,19 +53,19 @@ def fact_edges(t):
             UNION ALL SELECT 'fact', source_id, 'entity', target_id, {{'way': CASE edge_type WHEN 'references' THEN 0 ELSE 1 END, 'place': 0}} FROM edge) GROUP BY ALL),
         given AS MATERIALIZED (SELECT DISTINCT 'fact' AS kind, fact_id AS id, fragment_id, 1 AS later, 'semantic_section_reference' AS expansion FROM part_ JOIN sect USING (entity_id) WHERE role = 'section_ref'
             UNION ALL SELECT 'fact', fact_id, fragment_id, 0, 'semantic_fact_source' FROM cond UNION ALL SELECT 'entity', entity_id, fragment_id, 0, 'semantic_section_reference' FROM sect),
-        {fact_levels(4, 200, 25, "SELECT fact_id AS question_id, 'fact' AS kind, fact_id AS id, 0 AS nth FROM cells WHERE row_index % 20 = 1 AND len(markers) > 0")},
+        {fact_levels(4, 200, 25, "SELECT fact_id AS question_id, 'fact' AS kind, fact_id AS id, 0 AS nth FROM cells WHERE len(markers) > 0")},
         best AS (SELECT *, row_number() OVER (PARTITION BY question_id, fragment_id ORDER BY level, nth, src, kind, id, depth, expansion) AS r FROM h4),
         ranked AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY level, nth, src, kind, id, fragment_id) AS rank FROM best WHERE r = 1)
         SELECT question_id, fragment_id, rank::INT AS rank, depth, expansion, greatest(8 - depth * 0.5, 0.5)::DOUBLE AS score FROM ranked WHERE rank <= 25""",
 )
 def fact_walk(t):
-    """From conditional facts in the tables over their edges to the definitions of their conditions and the sections that these name."""
+    """From all conditional facts in the tables over their edges to the definitions of their conditions and the sections that these name."""
     facts = _read(t)[0]
     place = [F.col(c) for c in ("table_id", "row_index", "col_index")]
     fact_id = G.object_id(F.lit("fact"), F.col("document_id"), F.col("relation_type"), *place)
-    seeds = facts.where("row_index % 20 = 1 and size(markers) > 0").select(fact_id.alias("question_id"), fact_id.alias("fact_id"))
+    seeds = facts.where("size(markers) > 0").select(fact_id.alias("question_id"), fact_id.alias("fact_id"))
     # Every node belongs to a document and no edge leaves it: documents without a seed are never walked.
-    begun = cut(facts.where("row_index % 20 = 1 and size(markers) > 0").select("document_id").distinct())
+    begun = cut(facts.where("size(markers) > 0").select("document_id").distinct())
     g = G.within(G.united(G.condition_graph(t.d_conditions.join(begun, "document_id", "left_semi")), G.matrix_graph(facts)), begun)
     participants = cut(g.participants)
     return R.walk_facts(seeds, participants, g.facts, g.edges, g.sources, G.section_targets(participants, t.d_conditions))

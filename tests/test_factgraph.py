@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 
 from cadastra.operators import factgraph as G
 from cadastra.operators import retrieval as R
+from cadastra.operators import semantic as S
+from cadastra.plans.base import Tables
+from cadastra.registry import QUERIES
 
 
 def test_condition_edges_lead_to_sections(spark):
@@ -67,3 +70,13 @@ def test_walk_reads_no_more_than_the_nodes_that_count(spark, monkeypatch):
     assert sum(n for columns, n in kept if "order" in columns) <= 3 * 26
     hops = participants.selectExpr("0 as from_fact", "entity_id as from_id", "1 as fact", "fact_id as id", "200 as place")
     assert sorted(r["id"] for r in R._first_hops(hops, 300).collect()) == list(range(300)) and R._first_hops(hops, 400) is hops
+
+
+def test_walks_begin_at_conditional_facts_of_every_row(spark):
+    t = Tables(spark, "/root/testdata/sf0.001")
+    facts = S.matrix_facts(t.d_tables, S.table_profiles(t.d_tables)).where("size(markers) > 0").withColumn("document_id", F.col("table_id").cast("long"))
+    place = [F.col(c) for c in ("table_id", "row_index", "col_index")]
+    known = facts.select(G.object_id(F.lit("fact"), F.col("document_id"), F.col("relation_type"), *place).alias("question_id"), (F.col("row_index") % 20).alias("r"))
+    walked = QUERIES["fact_walk"](spark, t.sf_dir).select("question_id").distinct()
+    assert walked.join(known, "question_id", "left_anti").isEmpty()
+    assert walked.join(known, "question_id").where("r <> 1").count() > 0  # rows were taken one in twenty
