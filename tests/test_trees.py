@@ -47,3 +47,29 @@ def test_rows_under_one_parent_stay_spread(spark):
             spark.conf.set(k, v)
     assert held == {0: [0], 1: [0, 1], **{i: [0, 1, i] if i % 2 else [0, i] for i in range(2, 4002)}}
     assert sum(spread) == 4000 and max(spread) < 1500
+
+
+def test_paths_meet_their_parent_once_and_duplicates_are_moved_once(spark, monkeypatch):
+    rows = [(0, None, "R"), (1, 0, None), (2, 0, "A"), (3, None, None)] + [(i, i % 4, f"L{i % 600}") for i in range(10, 1410)] + [(5000 + i, 4999, "X") for i in range(40)]
+    f = spark.createDataFrame([(7, *r, "parsed", 0.9) for r in rows], "document_id long, fragment_id long, parent_fragment_id long, citation_label string, parse_status string, confidence double")
+    above = {0: ["R"], 1: ["R"], 2: ["R", "A"], 3: []}
+    want = {i: " > ".join([*above[p], *([label] if label else [])]) or None if p in above else None for i, p, label in rows[4:]} | {0: "R", 1: "R", 2: "R > A", 3: None}
+    many = {p for p in want.values() if p and list(want.values()).count(p) > 1}
+    conf = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        for up, seen in ((20_000, 50), (3, 2)):  # frequent parents and paths, and none
+            monkeypatch.setattr(T, "FREQUENT_UP", up)
+            monkeypatch.setattr(T, "SEEN", seen)
+            monkeypatch.setattr(T, "SAMPLED", 2)
+            paths = T.citation_paths(f)
+            assert {r["fragment_id"]: r["citation_path"] for r in paths.collect()} == want
+            down = T.downgrade_duplicate_paths(paths)
+            assert down._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(") == 1  # they were moved to be counted, and again
+            got = {r["fragment_id"]: (r["citation_path"], r["duplicate_citation_path"], r["parse_status"], r["confidence"]) for r in down.collect()}
+            assert got == {i: (None, p, "uncertain", 0.6) if p in many else (p, None, "parsed", 0.9) for i, p in want.items()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
