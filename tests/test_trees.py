@@ -73,3 +73,18 @@ def test_paths_meet_their_parent_once_and_duplicates_are_moved_once(spark, monke
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+def test_open_references_count_like_those_of_each_fragment(spark, monkeypatch):
+    texts = ["Subject to section 1.1 and section 9.9", "See section 8 and Schedule B", "none", None]
+    rows = [(d, 100 * d + i, f"{i}.1", i, 1 + i % 3, 1 + i % 3 + i % 2, texts[i % 4]) for d in (1, 2) for i in range(60)]
+    f = spark.createDataFrame(rows, "document_id long, fragment_id long, citation_label string, reading_order long, page_start long, page_end long, text string")
+    read, detect = [], T.detect_references
+    refs = T.resolve_references(detect(f), f)
+    monkeypatch.setattr(T, "detect_references", lambda df: (read.append(df.count()), detect(df))[1])
+    opened = T.open_references(f, f)
+    fragments = f.selectExpr("*", "cast(null as long) as parent_fragment_id", "'prose' as fragment_type", "'parsed' as parse_status", "false as duplicate")
+    blocks = spark.createDataFrame([], "document_id long, page long, block_type string, is_boilerplate boolean, accounted boolean, fallback boolean")
+    tables = spark.createDataFrame([], "document_id long, page long")
+    rows = [sorted(map(str, T.page_risk(fragments, r, blocks, tables).collect())) for r in (refs, opened)]
+    assert rows[0] == rows[1] and any("unresolved" in r for r in rows[0]) and read == [8]  # all 120 were resolved
