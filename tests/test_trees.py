@@ -75,6 +75,15 @@ def test_paths_meet_their_parent_once_and_duplicates_are_moved_once(spark, monke
             spark.conf.set(k, v)
 
 
+def test_only_parents_walk_in_search_of_cycles(spark, monkeypatch):
+    sizes, put = [], T.written
+    monkeypatch.setattr(T, "written", lambda df: (sizes.append((made := put(df)).count()), made)[1])
+    rows = [(i, (i + 1) % 5) for i in range(5)] + [(100 + i, i % 5) for i in range(400)]
+    f = spark.createDataFrame(rows, "fragment_id long, parent_fragment_id long")
+    assert {r[0] for r in T.cycles(f).collect()} == set(range(5))
+    assert sizes and max(sizes) == 5  # all 405 walked
+
+
 def test_open_references_count_like_those_of_each_fragment(spark, monkeypatch):
     texts = ["Subject to section 1.1 and section 9.9", "See section 8 and Schedule B", "none", None]
     rows = [(d, 100 * d + i, f"{i}.1", i, 1 + i % 3, 1 + i % 3 + i % 2, texts[i % 4]) for d in (1, 2) for i in range(60)]
